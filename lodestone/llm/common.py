@@ -75,6 +75,22 @@ def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batch, column: str, max_bytes: int = 4 << 20):
+    """Row ranges of a batch with at most `max_bytes` of text each (or one row), so that memory
+    doesn't grow with the length of texts times the rows of a batch."""
+    import pyarrow.compute as pc
+
+    size = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), np.int64)
+    at, part = 0, 0
+    for k, n in enumerate(size):
+        if part and part + n > max_bytes:
+            yield batch.slice(at, k - at)
+            at, part = k, 0
+        part += int(n) + 64
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 ASCII_LOWER = np.arange(256, dtype=np.uint8)

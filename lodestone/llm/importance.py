@@ -7,13 +7,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_bytes, mix, saved, words_of
+from .common import column_bytes, mix, saved, slices, words_of
 
 #: Buckets of hashed unigrams and bigrams.
 DIMS = 10_000
 #: The target model is fitted on at most so many labelled documents (those with the least hash).
 MAX_TARGET = 50_000
-SLICE = 2000
 
 
 def batch_grams(column) -> tuple[np.ndarray, np.ndarray]:
@@ -33,8 +32,7 @@ def models(docs: DataFrame, target_ids: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros((2, DIMS), np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch, "text"):
                 target = np.asarray(part.column("target").fill_null(0)) == 1
                 bucket, row = batch_grams(part.column("text"))
                 total[0] += np.bincount(bucket, minlength=DIMS)
@@ -57,8 +55,7 @@ def score(docs: DataFrame, ratio: np.ndarray, seed: int = 0) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch, "text"):
                 bucket, row = batch_grams(part.column("text"))
                 weight = np.bincount(row, ratio[bucket], part.num_rows).round(9)
                 u = ((np.asarray(part.column("h")).view(np.uint64) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53

@@ -15,7 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import slices
 
 # Fixed values of the format: capture pattern, header layout, flags.
 CAPTURE = b"OggS"
@@ -159,8 +160,7 @@ def _mapped(df: DataFrame, columns: list[str], one, schema: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, columns[-1]):
                 rows = [r for values in zip(*(c.to_pylist() for c in part.columns), strict=True) for r in one(*values)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(out)], schema=out)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, importance, mixing, ogg, sharding, toxicity, url_filter
+from . import decontam, importance, minhash_join, mixing, ogg, sharding, toxicity, url_filter
 from .common import table
 
 #: Bytes of a shard and of a mixing block.
@@ -30,6 +30,10 @@ def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_block", "mix_slot")
 
 
+def op7_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,5 +48,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "spam_score")
 
 
-QUERIES = {f.__name__: f for f in (op2_importance_resampling, op3_toxicity, op5_ogg, op6_pfair_mixing, op8_spaced_seeds, op9_extendible_sharding, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_importance_resampling, op3_toxicity, op5_ogg, op6_pfair_mixing, op7_minhash_join, op8_spaced_seeds, op9_extendible_sharding, op10_url_filter)}
 ORACLE: dict[str, str] = {}

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, column_bytes, words_of
+from .common import Rolling, column_bytes, slices, words_of
 
 #: At most so many labelled rows are used for fitting (those with the least hash of doc_id).
 MAX_TRAIN = 20_000
@@ -80,11 +80,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, swap_pen
         total = np.zeros((2, DIMS), np.int64)
         sizes = np.zeros(2, np.int64)
         for batch in batches:
-            label = np.asarray(batch.column("label"))
-            feature, row = distinct(*batch_features(batch.column("text")))
-            for y in (0, 1):
-                total[y] += np.bincount(feature[label[row] == y], minlength=DIMS)
-                sizes[y] += int((label == y).sum())
+            for part in slices(batch, "text"):
+                label = np.asarray(part.column("label"))
+                feature, row = distinct(*batch_features(part.column("text")))
+                for y in (0, 1):
+                    total[y] += np.bincount(feature[label[row] == y], minlength=DIMS)
+                    sizes[y] += int((label == y).sum())
         seen = np.flatnonzero(total.sum(axis=0))
         yield pa.RecordBatch.from_pydict({"feature": np.append(seen, -1), "n0": np.append(total[0, seen], sizes[0]), "n1": np.append(total[1, seen], sizes[1])})
 
@@ -103,8 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, swap_pen
 
     def encode(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in slices(batch, "text"):
                 texts = part.column("text")
                 lower = pc.utf8_lower(texts).to_pylist()
                 swapped = [IDENTITY.sub(lambda m: SWAP[m[0]], t) if t and IDENTITY.search(t) else None for t in lower]
@@ -149,8 +149,7 @@ def score_texts(df: DataFrame, model: Model, key: str = "doc_id", text: str = "t
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in slices(batch, text):
                 column = part.column(text).fill_null("")
                 feature, row = batch_features(column)
                 used = model.weights[feature] != 0
