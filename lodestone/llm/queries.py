@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, importance, minhash_join, mixing, ogg, sharding, toxicity, url_filter
+from . import bwt_dedup, decontam, importance, minhash_join, mixing, ogg, sharding, toxicity, url_filter
 from .common import table
 
 #: Bytes of a shard and of a mixing block.
@@ -21,6 +21,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_digests(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "spam_score")
 
 
-QUERIES = {f.__name__: f for f in (op2_importance_resampling, op3_toxicity, op5_ogg, op6_pfair_mixing, op7_minhash_join, op8_spaced_seeds, op9_extendible_sharding, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_importance_resampling, op3_toxicity, op4_bwt_dedup, op5_ogg, op6_pfair_mixing, op7_minhash_join, op8_spaced_seeds, op9_extendible_sharding, op10_url_filter)}
 ORACLE: dict[str, str] = {}
