@@ -11,7 +11,7 @@ from .common import saved, small_side
 #: words in a row, a gap, and two words in a row; any of them suffices for a hit.
 GAPS = {"11111": 0, "111011": 1, "1110011": 2}
 SPAN = 5  # of the shortest mask
-#: Seeds of the items (a hash, two ints and an id each) and hits are broadcast up to so many rows.
+#: Seeds of the items (a hash, an int and an id each) are broadcast up to so many rows.
 MAX_BROADCAST_ROWS = 200_000
 
 
@@ -72,9 +72,9 @@ def find_overlaps(docs: DataFrame, items: DataFrame, min_match: float = 0.8, max
     fewer words than the shortest mask is too short to tell and never found. Null texts count as
     empty; repeated rows give one row; an empty table gives none; other columns are ignored.
 
-    Seeds of the items and, after the hits are known, the hits are counted: up to `max_broadcast`
-    rows they are broadcast, beyond that joined by a shuffle. Only documents with hits are looked
-    at again, by a key of id and text.
+    Seeds of the items are counted: up to `max_broadcast` rows they are broadcast, beyond that
+    joined by a shuffle. Hits meet their documents again by a key of id and text, in a shuffle of
+    the documents, since hits grow with them.
     """
     item = saved(items.select("item_id", word_hashes(F.col("text")).alias("iw")).distinct())
     seeds = saved(positions(item, "iw", "__j", "item_id").distinct())
@@ -83,7 +83,7 @@ def find_overlaps(docs: DataFrame, items: DataFrame, min_match: float = 0.8, max
     start = (F.col("__i") - F.col("__j")).alias("start_word")
     hits = positions(words, "w", "__i", "__key").join(small_side(seeds, seeds.count(), max_broadcast), "seed")
     hits = saved(hits.select("__key", "item_id", start).distinct())
-    held = docs.select("doc_id", "text", key).join(small_side(hits, hits.count(), max_broadcast), "__key")
+    held = docs.select("doc_id", "text", key).join(hits, "__key")
     aligned = held.select("doc_id", "item_id", "start_word", word_hashes(F.col("text")).alias("w")).join(item, "item_id")
     return verified(aligned, min_match)
 
