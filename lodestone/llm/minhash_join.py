@@ -103,29 +103,13 @@ def prefixes(classes: DataFrame) -> DataFrame:
     return shared.where(room > 0).select("cls", "n", F.explode(F.slice("s", F.lit(1), room)).alias("t")).select("cls", "n", F.col("t.token").alias("token"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = ROUNDS, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document.
+def linked_components(posted: DataFrame, sets: DataFrame, percent: int, rounds: int = ROUNDS, member: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the classes in `posted` (token, cls, n) whose `sets` (cls, items) have a
+    Jaccard similarity of `percent` or more; only pairs that share a token are compared. With
+    `member` (cls, tokens), pairs with too few collisions in their signatures are left out."""
 
-    Documents whose sets of `size`-word shingles have a Jaccard similarity of `percent` (80 at
-    least) or more are linked; component_id is the least doc_id reachable, kept says whether it is
-    the document's own. A null or blank text has no shingles and is linked with nothing; a text of
-    fewer words than `size` has its whole sequence as one shingle. Repeated rows are linked with
-    each other and all returned; null ids are kept apart from the least id. An empty table gives an
-    empty result; other columns are ignored.
-    """
-    if percent < 80:
-        raise ValueError("signatures are tuned for 80 percent or more")
-    docs = docs.select("doc_id", "text")
-    signed = saved(signatures(docs, size))
-    classes = signed.where("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.first("key").alias("key"))
-    classes = saved(classes)
-    posted = saved(prefixes(classes))
-    lists = posted.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-    posted = saved(posted.join(lists, "token").drop("m"))
-    listed = posted.select("cls").distinct()
-    member = saved(classes.join(listed, "cls", "left_semi"))
-    sets = saved(sets_of(docs, member.select("cls", "key"), size, max_broadcast).dropDuplicates(["cls"]))
-    similar_size = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    def similar_size(a, b):
+        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
     def sides(pairs: DataFrame, name: str, value: str, of: DataFrame) -> DataFrame:
         """`of` (cls, value) for the classes on one side of the pairs."""
@@ -134,8 +118,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: i
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """(a, b, inter, total) of the pairs with enough collisions."""
-        counted = pairs.join(sides(pairs, "b", "tokens", member), "b").join(sides(pairs, "a", "tokens", member), "a")
-        enough = saved(counted.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= MATCHES).select("a", "b"))
+        enough = saved(pairs)
+        if member is not None:
+            counted = enough.join(sides(enough, "b", "tokens", member), "b").join(sides(enough, "a", "tokens", member), "a")
+            enough = saved(counted.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= MATCHES).select("a", "b"))
         # The leader's side comes last: its set meets each member's where the pair is judged.
         both = enough.join(sides(enough, "b", "items", sets), "b").join(sides(enough, "a", "items", sets), "a")
         inter = F.size(F.array_intersect("items_a", "items_b"))
@@ -171,8 +157,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: i
     within = F.coalesce(F.abs(F.col("d") - F.col("x_d")) <= 1 - percent / 100 + 1e-9, F.lit(True))
     meet = (F.col("token") == F.col("x_token")) & (F.col("comp") != F.col("x_comp")) & (F.col("own") | (F.col("cls") > F.col("x_cls"))) & (F.col("cls") != F.col("lead_cls")) & similar_size(F.col("n"), F.col("x_n")) & within
     found = confirmed(rest.join(x, meet).select(F.col("x_cls").alias("a"), F.col("cls").alias("b")).distinct())
-    links = links.unionByName(found.where(linked).select("a", "b"))
-    groups = saved(components(links))
+    return saved(components(links.unionByName(found.where(linked).select("a", "b"))))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = ROUNDS, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document.
+
+    Documents whose sets of `size`-word shingles have a Jaccard similarity of `percent` (80 at
+    least) or more are linked; component_id is the least doc_id reachable, kept says whether it is
+    the document's own. A null or blank text has no shingles and is linked with nothing; a text of
+    fewer words than `size` has its whole sequence as one shingle. Repeated rows are linked with
+    each other and all returned; null ids are kept apart from the least id. An empty table gives an
+    empty result; other columns are ignored.
+    """
+    if percent < 80:
+        raise ValueError("signatures are tuned for 80 percent or more")
+    docs = docs.select("doc_id", "text")
+    signed = saved(signatures(docs, size))
+    classes = signed.where("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.first("key").alias("key"))
+    classes = saved(classes)
+    posted = saved(prefixes(classes))
+    lists = posted.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
+    posted = saved(posted.join(lists, "token").drop("m"))
+    listed = posted.select("cls").distinct()
+    member = saved(classes.join(listed, "cls", "left_semi"))
+    sets = saved(sets_of(docs, member.select("cls", "key"), size, max_broadcast).dropDuplicates(["cls"]))
+    groups = linked_components(posted, sets, percent, rounds, member)
 
     of_class = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least")).join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("component", "cls").alias("comp"))
     of_comp = of_class.groupBy("comp").agg(F.min("least").alias("component"))

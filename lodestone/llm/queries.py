@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, decontam, importance, minhash_join, mixing, ogg, sharding, toxicity, url_filter
+from . import bwt_dedup, decontam, importance, minhash_join, mixing, ogg, paragraph_dedup, sharding, toxicity, url_filter
 from .common import table
 
 #: Bytes of a shard and of a mixing block.
@@ -13,6 +13,10 @@ SHARD_BYTES = 16 << 20
 BLOCK_BYTES = 1 << 18
 
 
+def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,5 +56,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "spam_score")
 
 
-QUERIES = {f.__name__: f for f in (op2_importance_resampling, op3_toxicity, op4_bwt_dedup, op5_ogg, op6_pfair_mixing, op7_minhash_join, op8_spaced_seeds, op9_extendible_sharding, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_paragraph_minhash, op2_importance_resampling, op3_toxicity, op4_bwt_dedup, op5_ogg, op6_pfair_mixing, op7_minhash_join, op8_spaced_seeds, op9_extendible_sharding, op10_url_filter)}
 ORACLE: dict[str, str] = {}
