@@ -1,4 +1,290 @@
-"""Registered queries of the reference's own operators and their SQL."""
+"""Registered queries of the reference's own operators, over the given tables, and their SQL.
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+Documents stand in for text files (source/doc_id.txt); benchmark texts for questions; embeddings for
+chunk vectors (vec_id = doc_id) and, every fiftieth, for question vectors; nations for sheets.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import oracle
+from .functions import analysis, classify, extract
+from .functions.text import js_trim
+from .operators import chat, chunking, context, embedding, expand, rerank, search
+from .plans import jobs
+from .sources import files as source_files
+from .sources import tables as chunk_tables
+
+SERVICES = sorted(f"src{k}" for k in range(20))
+LABEL = "test data"
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _texts(spark, d):
+    return _t(spark, d, "documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("source"), F.lit("text").alias("sourceType"), "text", "doc_id")
+
+
+def _questions(spark, d):
+    """(query_id, question) of every benchmark item; a service and at times a file type is named."""
+    extra = F.concat(F.lit(" in src"), F.col("item_id") % 20, F.when(F.col("item_id") % 3 == 0, " module").otherwise(""))
+    return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", extra).alias("question"))
+
+
+def _chunks(spark, d):
+    """One chunk for each document that has a vector: code for even ids, documents for odd."""
+    docs, vectors = _t(spark, d, "documents"), _t(spark, d, "embeddings")
+    i = F.col("doc_id")
+    return docs.join(vectors, docs["doc_id"] == vectors["vec_id"]).select(
+        i.cast("string").alias("id"), F.col("text").alias("content"), F.col("embedding").alias("vector"),
+        F.when(i % 2 == 0, "code").otherwise("document").alias("chunkType"),
+        F.concat("source", F.lit("/f"), F.floor(i / 40), F.lit(".ts")).alias("filePath"), F.concat("source", F.lit("/f"), F.floor(i / 40), F.lit(".ts")).alias("relativePath"),
+        F.when(i % 2 == 0, F.col("source")).otherwise("").alias("serviceName"), F.col("lang").alias("fileType"), F.lit("").alias("language"),
+        F.lit("").alias("symbolName"), F.lit("text").alias("level"), ((i % 40) * 7 + 1).cast("int").alias("startLine"), ((i % 40) * 7 + 7).cast("int").alias("endLine"),
+    )
+
+
+def _queries(spark, d):
+    """Questions with vectors: every fiftieth embedding, with the texts of the benchmark in turn."""
+    q = _t(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), (F.floor(F.col("vec_id") / 50) % 40).alias("item"))
+    return q.join(_questions(spark, d).withColumnRenamed("query_id", "item"), "item").select("query_id", "vector", "question")
+
+
+def _analysed(spark, d):
+    return analysis.analyse(_queries(spark, d), SERVICES)
+
+
+def _inventory(spark, d):
+    """Documents as an inventory of files."""
+    docs = _t(spark, d, "documents")
+    return docs.select(
+        F.concat(F.lit("/data/"), "source", F.lit("/"), "lang", F.lit("/"), "doc_id", F.when(F.col("doc_id") % 3 == 0, ".service.ts").when(F.col("doc_id") % 3 == 1, ".txt").otherwise(".md")).alias("path"),
+        F.timestamp_seconds(F.col("doc_id") + 1_700_000_000).alias("modificationTime"), F.octet_length("text").cast("long").alias("length"), F.encode("text", "UTF-8").alias("content"),
+    )
+
+
+def _services(spark):
+    return spark.createDataFrame([(s, s, "NestJS", "api") for s in SERVICES], "name string, path string, framework string, role string")
+
+
+# --- queries -----------------------------------------------------------------------------------
+
+
+def document_chunks(spark, d):
+    """Every document cut into pieces, as chunk records."""
+    return chunking.document_records(chunking.chunk_documents(_texts(spark, d))[0])
+
+
+def code_windows(spark, d):
+    """Line windows of 4 lines with one of overlap."""
+    files = _t(spark, d, "documents").select(F.concat("source", F.lit("/"), "doc_id").alias("filePath"), F.concat("source", F.lit("/"), "doc_id").alias("relativePath"), F.col("source").alias("serviceName"), F.col("lang").alias("fileType"), F.lit("").alias("language"), F.col("text").alias("content"))
+    return chunking.code_records(chunking.chunk_code(files, 320, 80))
+
+
+def page_chunks(spark, d):
+    """K6, K7: texts as three pages each."""
+    docs = _texts(spark, d).select("source", "text", F.lit(3).alias("pageCount"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("author"))
+    out = chunking.chunk_pages(docs)
+    return out.select("id", "content", "source", "page", "index", F.element_at("metadata", "totalPages").alias("total_pages"))
+
+
+def sheet_chunks(spark, d):
+    """A sheet per region."""
+    sheets = chunking.sheet_texts(_t(spark, d, "nation").select(F.lit("nations.xlsx").alias("file"), F.col("n_regionkey").cast("string").alias("region"), "n_nationkey", "n_name"), "file", "region", ["n_nationkey"], ["n_nationkey", "n_name"])
+    return chunking.chunk_sheets(sheets).select("id", "content", "source", "sheet", F.element_at("metadata", "rowCount").alias("row_count"), F.element_at("metadata", "totalSheets").alias("total_sheets"))
+
+
+def sheet_caps(spark, d):
+    """Sheets by order status, cut to 100 rows."""
+    sheets = chunking.sheet_texts(_t(spark, d, "orders").withColumn("file", F.lit("orders")), "file", "o_orderstatus", ["o_orderkey"], ["o_orderkey"], 100)
+    return sheets.select("sheetName", "rowCount", "content")
+
+
+def document_totals(spark, d):
+    """Sections and titles of each document."""
+    return chunking.document_totals(_texts(spark, d))
+
+
+def classified_paths(spark, d):
+    """Type, language, name of made-up paths of every document."""
+    names = [".controller.ts", ".service.ts", ".module.tsx", ".entity.py", ".dto.go", "/components/a.jsx", "/pages/b.java", "/hooks/c.rs", "/utils/d.rb", "/models/e.php", "/routes/f.kt", ".spec.cs", ".config.cpp", ".md", ".xlsx", ".pdf"]
+    ending = F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % len(names) + 1).cast("int"))
+    path = F.concat(F.lit("/srv/"), "source", F.lit("/"), "doc_id", ending)
+    docs = _t(spark, d, "documents").withColumn("path", path)
+    rel = classify.relative_path(F.col("path"), "/srv")
+    return docs.select("doc_id", rel.alias("relative"), classify.file_name(F.col("path")).alias("name"), classify.file_type(rel).alias("file_type"), classify.language(rel).alias("language"), classify.document_type(rel).alias("document_type"))
+
+
+def question_analysis(spark, d):
+    """Q1-Q6 of every benchmark item."""
+    out = analysis.analyse(_questions(spark, d), SERVICES)
+    return out.select("query_id", F.array_join("keywords", " ").alias("keywords"), F.array_join("entityNames", " ").alias("entity_names"), F.col("serviceFilter").alias("service_filter"), F.col("fileTypeFilter").alias("file_type_filter"), F.col("isArchitectural").alias("is_architectural"))
+
+
+def trimmed(spark, d):
+    """every document trimmed, by its hash."""
+    return _t(spark, d, "documents").select("doc_id", F.sha2(js_trim(F.concat(F.lit(" \t\n"), "text", F.lit("\n \r"))), 256).alias("sha"))
+
+
+def keyword_search(spark, d):
+    """Keyword search of all chunks for all benchmark items."""
+    chunks = document_chunks(spark, d).select("id", "content", "chunkType")
+    questions = analysis.analyse(_questions(spark, d), SERVICES)
+    out = search.keyword_hits(questions, chunks, 18)
+    return out.select("query_id", "id", "occurrences", F.round("score", 6).alias("score"), "rank")
+
+
+def semantic_search(spark, d):
+    """Nearest chunks of every question vector."""
+    out = search.nearest(_queries(spark, d), _chunks(spark, d), 18)
+    return out.select("query_id", "id", "distance", F.round(search.semantic_score(F.col("distance")), 6).alias("score"), "rank")
+
+
+def merged_hits(spark, d):
+    """Hits among code and among documents in one list."""
+    chunks, queries = _chunks(spark, d), _queries(spark, d)
+    code, docs = (search.nearest(queries, chunks.where(F.col("chunkType") == k), 10) for k in chunk_tables.KINDS)
+    return search.merged_by_distance(code, docs, 10).select("query_id", "id", "distance", "rank")
+
+
+def hybrid_search(spark, d):
+    """Both searches fused."""
+    out = search.hybrid_search(_analysed(spark, d), _chunks(spark, d))
+    return out.select("query_id", "id", F.round("score", 6).alias("score"), "rank", "semantic_rank", "keyword_rank")
+
+
+def reranked(spark, d):
+    """Fused candidates reranked."""
+    analysed, chunks = _analysed(spark, d), _chunks(spark, d)
+    found = search.hybrid_search(analysed, chunks).select("query_id", "id", "score", "rank")
+    best = rerank.rerank(found.join(chunks.select("id", "content", "serviceName", "fileType"), "id"), analysed)
+    return best.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def expanded(spark, d):
+    """The nearest six chunks and their neighbours."""
+    chunks = _chunks(spark, d)
+    base = search.nearest(_queries(spark, d), chunks, 6).join(chunks.drop("vector", "content"), "id")
+    base = base.withColumn("score", F.round(search.semantic_score(F.col("distance")), 6)).drop("distance", "vector")
+    return expand.expand(base, chunks).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def retrieved(spark, d):
+    """The whole retrieval."""
+    return jobs.retrieve(_queries(spark, d), _chunks(spark, d), SERVICES).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def assembled(spark, d):
+    """Contexts within the budget."""
+    out = context.assemble(jobs.retrieve(_queries(spark, d), _chunks(spark, d), SERVICES), tokens=2000)
+    return out.select("query_id", "position", "tokens", "filePath", "serviceName", "fileType", F.round("score", 6).alias("score"), "chunkType")
+
+
+def rag_prompts(spark, d):
+    """Prompts of all questions, by their hash."""
+    queries = _queries(spark, d)
+    out = jobs.prompts(queries, jobs.retrieve(queries, _chunks(spark, d), SERVICES), LABEL)
+    return out.select("query_id", F.length("prompt").alias("n"), F.sha2("prompt", 256).alias("sha"))
+
+
+def minimum_slice(spark, d):
+    """Documents chunked, searched by keyword for every benchmark item, packed into prompts."""
+    chunks = document_chunks(spark, d)
+    questions = analysis.analyse(_questions(spark, d), SERVICES)
+    hits = search.keyword_hits(questions, chunks.select("id", "content", "chunkType"), 18)
+    results = hits.withColumn("score", F.round("score", 6)).join(chunks, "id")
+    out = context.build_prompts(questions, context.assemble(results), LABEL)
+    return out.select("query_id", F.length("prompt").alias("n"), F.sha2("prompt", 256).alias("sha"))
+
+
+def chat_histories(spark, d):
+    """Recent messages before every question."""
+    return chat.histories(_t(spark, d, "conversations"))
+
+
+def chat_prompts(spark, d):
+    """Prompts of every question in conversations."""
+    messages = _t(spark, d, "conversations")
+    asked = messages.where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), ((F.col("conv_id") % 4) * 50).alias("vec_id"))
+    vectors = asked.join(_t(spark, d, "embeddings"), "vec_id").select("query_id", F.col("embedding").alias("vector"))
+    out = jobs.chat_prompts(messages, vectors, _chunks(spark, d), SERVICES, LABEL)
+    return out.select("query_id", F.length("prompt").alias("n"), F.sha2("prompt", 256).alias("sha"))
+
+
+def chunk_counts(spark, d):
+    """Rows of both kinds."""
+    return chunk_tables.count_chunks(_chunks(spark, d))
+
+
+def service_files(spark, d):
+    """Code files of all services, loaded."""
+    listed = source_files.list_code(_inventory(spark, d), _services(spark), "/data")
+    out = source_files.load_code(listed)
+    return out.select("filePath", "relativePath", "serviceName", "fileType", "language", F.col("lineCount").alias("line_count"), "metadata.lastModified", "metadata.size")
+
+
+def listed_documents(spark, d):
+    """Documents of the inventory."""
+    return source_files.list_documents(_inventory(spark, d), "/data").select("relativePath", "documentType", "fileName", "sizeBytes")
+
+
+def file_chunks(spark, d):
+    """Summaries and windows of the inventory's code files."""
+    loaded = source_files.load_code(source_files.list_code(_inventory(spark, d), _services(spark), "/data"))
+    return chunking.code_records(chunking.chunk_code(loaded))
+
+
+def indexed_documents(spark, d):
+    """All documents chunked, embedded and written; run totals."""
+    from .storage import scratch
+
+    return jobs.index_documents(_inventory(spark, d), "/data", scratch(spark, "chunks"), embedding.hashing_embedder(64), 64)[0]
+
+
+def indexed_code(spark, d):
+    """The same for the inventory's code files."""
+    from .storage import scratch
+
+    return jobs.index_code(_inventory(spark, d), _services(spark), "/data", scratch(spark, "chunks"), embedding.hashing_embedder(64), 64)
+
+
+def embedded_chunks(spark, d):
+    """Every chunk with a vector of the test embedder; its squared length."""
+    out = embedding.embed(document_chunks(spark, d).select("id", "content", "filePath", "startLine"), embedding.hashing_embedder(64), 64)
+    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return out.select("id", "filePath", F.size("vector").alias("width"), F.round(square, 3).alias("square"))
+
+
+def paired_vectors(spark, d):
+    """Documents with their precomputed vectors."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang")
+    out = embedding.paired(docs, _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    return out.select("id", "lang", F.size("vector").alias("width"), F.round(F.element_at("vector", 1).cast("double"), 5).alias("first"))
+
+
+def framework_metadata(spark, d):
+    """Source files made from every document's fields, analysed."""
+    i = F.col("doc_id")
+    code = F.concat(
+        F.lit("import { A } from './m"), i, F.lit("'\n@Controller('"), "source", F.lit("')\nexport class C"), i,
+        F.lit(" {\n  constructor(private a: A"), i % 7, F.lit(", readonly b: B) {}\n  @Get('"), "lang", F.lit("')\n  @UseGuards(G1, G2)\n  list() {}\n  @Post()\n  make() {}\n}\n"),
+    )
+    entity = F.concat(F.lit("@Entity()\nexport class E"), i, F.lit(" {\n  @ManyToOne(() => User, (u) => u.items) @JoinColumn()\n  user: User;\n}\n"))
+    files = _t(spark, d, "documents").select("doc_id", F.when(i % 3 == 0, code).when(i % 3 == 1, entity).otherwise(F.col("text")).alias("content"), F.col("source").alias("serviceName"), F.col("lang").alias("fileType"), F.lit("typescript").alias("language"))
+    out = extract.with_framework(files.withColumn("lineCount", F.size(F.split("content", "\n"))))
+    return out.select("doc_id", "role", "summary", F.array_join(extract.imports(F.col("content")), ",").alias("imports"), F.array_join(extract.exports(F.col("content")), ",").alias("exports"), F.array_join("framework.injectableDeps", ",").alias("deps"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        minimum_slice, document_chunks, code_windows, page_chunks, sheet_chunks, sheet_caps, document_totals, classified_paths, question_analysis, trimmed,
+        keyword_search, semantic_search, merged_hits, hybrid_search, reranked, expanded, retrieved, assembled, rag_prompts, chat_histories, chat_prompts,
+        chunk_counts, service_files, listed_documents, file_chunks, indexed_documents, indexed_code, embedded_chunks, paired_vectors, framework_metadata,
+    )
+}
+ORACLE: dict[str, str] = oracle.statements(SERVICES, LABEL)
