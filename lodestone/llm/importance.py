@@ -57,7 +57,7 @@ def score(docs: DataFrame, ratio: np.ndarray, seed: int = 0) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 bucket, row = batch_grams(part.column("text"))
-                weight = np.bincount(row, ratio[bucket], part.num_rows).round(9)
+                weight = np.bincount(row, ratio[bucket], part.num_rows).astype(np.float64).round(9)
                 u = ((np.asarray(part.column("h")).view(np.uint64) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(weight), pa.array(weight - np.log(-np.log(u)))], names=["doc_id", "log_weight", "sample_key"])
 
