@@ -11,6 +11,8 @@ from .common import column_bytes, mix, saved, slices, words_of
 
 #: Buckets of hashed unigrams and bigrams.
 DIMS = 10_000
+#: Grams of raw text that the target model starts from.
+PRIOR = 10_000
 #: The target model is fitted on at most so many labelled documents (those with the least hash).
 MAX_TARGET = 50_000
 
@@ -26,7 +28,8 @@ def batch_grams(column) -> tuple[np.ndarray, np.ndarray]:
 
 def models(docs: DataFrame, target_ids: DataFrame) -> np.ndarray:
     """log p_target - log p_raw of each bucket. Raw counts are over all documents; target counts
-    over those whose doc_id is among `target_ids` (a bounded table). Counts are smoothed by one."""
+    over those whose doc_id is among `target_ids` (a bounded table), with PRIOR grams of raw text
+    added: where the target has little text, the ratio stays near one."""
     flagged = docs.select("doc_id", "text").join(F.broadcast(target_ids.select("doc_id", F.lit(1).alias("target"))), "doc_id", "left")
 
     def count(batches):
@@ -41,10 +44,11 @@ def models(docs: DataFrame, target_ids: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"bucket": seen, "raw": total[0, seen], "target": total[1, seen]})
 
     counts = flagged.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # DIMS rows at most
-    raw, target = np.ones(DIMS), np.ones(DIMS)
+    raw, target = np.full(DIMS, 1 / DIMS), np.zeros(DIMS)
     raw[np.asarray(counts.column("bucket"))] += np.asarray(counts.column("raw"))
     target[np.asarray(counts.column("bucket"))] += np.asarray(counts.column("target"))
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    raw /= raw.sum()
+    return np.log((target + PRIOR * raw) / (target.sum() + PRIOR)) - np.log(raw)
 
 
 def score(docs: DataFrame, ratio: np.ndarray, seed: int = 0) -> DataFrame:

@@ -24,14 +24,15 @@ def test_weights_against_plain_counts(spark, docs):
     rows = [(1, "a b a"), (2, "b c"), (3, "c c c d"), (4, None), (5, "")]
     target = spark.createDataFrame([(1,), (2,)], "doc_id long")
     ratio = importance.models(docs(rows), target)
-    raw, good = np.ones(importance.DIMS), np.ones(importance.DIMS)
+    raw, good = np.full(importance.DIMS, 1 / importance.DIMS), np.zeros(importance.DIMS)
     for k, t in rows:
         bucket, _ = importance.batch_grams(pa.array([t]))
         assert len(bucket) == max(0, 2 * len((t or "").split()) - 1)
         np.add.at(raw, bucket, 1)
         if k < 3:
             np.add.at(good, bucket, 1)
-    assert np.allclose(ratio, np.log(good / good.sum()) - np.log(raw / raw.sum()))
+    raw /= raw.sum()
+    assert np.allclose(ratio, np.log((good + importance.PRIOR * raw) / (good.sum() + importance.PRIOR)) - np.log(raw))
     got = {r["doc_id"]: r["log_weight"] for r in importance.score(docs(rows), ratio).collect()}
     assert got[4] == got[5] == 0 and got[1] > got[3]
 
