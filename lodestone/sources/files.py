@@ -12,6 +12,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import classify
 
@@ -62,7 +63,7 @@ def opened(paths: DataFrame) -> DataFrame:
                     data.append(None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names=[*batch.schema.names, "content"])
 
-    return paths.mapInArrow(run, paths.schema.add("content", "binary"))
+    return paths.mapInArrow(run, T.StructType([*paths.schema.fields, T.StructField("content", T.BinaryType())]))
 
 
 def assigned(files: DataFrame, services: DataFrame, root: str) -> DataFrame:

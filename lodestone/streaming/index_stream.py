@@ -27,7 +27,9 @@ def index_stream(stream: DataFrame, path: str, checkpoint: str, make_embedder: C
 
     def write(batch: DataFrame, _: int) -> None:
         texts = batch.select(F.regexp_replace("path", r"\Afile:/+", "/").alias("source"), classify.document_type(F.col("path")).alias("sourceType"), F.decode("content", "UTF-8").alias("text"))
-        chunks, _errors = chunking.chunk_documents(texts.where("sourceType in ('markdown', 'text')"), size=size, overlap=overlap)
+        texts = texts.where("sourceType in ('markdown', 'text')").persist()  # twenty files, read once
+        chunks, _errors = chunking.chunk_documents(texts, size=size, overlap=overlap)
         tables.append_chunks(chunking.document_records(embedding.embed(chunks, make_embedder, width)), path, width)
+        texts.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
