@@ -57,4 +57,31 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_paragraph_minhash, op2_importance_resampling, op3_toxicity, op4_bwt_dedup, op5_ogg, op6_pfair_mixing, op7_minhash_join, op8_spaced_seeds, op9_extendible_sharding, op10_url_filter)}
-ORACLE: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE: dict[str, str] = {
+    "op7_minhash_join": f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) ELSE w END AS s FROM words),
+classes AS (SELECT s, min(doc_id) AS c, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+posted AS (SELECT c, n, unnest(s) AS x FROM classes),
+links AS (
+  SELECT a.c AS a, b.c AS b FROM posted a JOIN posted b ON a.x = b.x AND a.c < b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT c AS a, c AS b FROM classes
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON r.b = l.a),
+least_of AS (SELECT a AS c, min(b) AS component FROM reach GROUP BY a)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN least_of USING (c)""",
+    "op9_extendible_sharding": f"""
+WITH d AS (
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, lpad(bin(('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT), 60, '0') AS bits FROM documents),
+p AS (SELECT doc_id, n_bytes, bits, depth, substr(bits, 1, depth) AS shard FROM (SELECT *, unnest(range(0, 61)) AS depth FROM d)),
+buckets AS (SELECT depth, shard, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows FROM p GROUP BY ALL HAVING sum(n_bytes) <= {SHARD_BYTES} OR min(bits) = max(bits))
+SELECT doc_id, n_bytes, shard, depth::INT AS shard_depth, shard_bytes, shard_rows
+FROM p JOIN buckets USING (depth, shard) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1""",
+}
