@@ -199,13 +199,25 @@ every AS (
     1 AS s, len(l) AS e, 'file-summary' AS level, {ident("path", "'0'", "'0'")} AS id FROM files
   UNION ALL SELECT path, relative, source, content, s, e, level, {ident("path", "s", "e")} FROM wins WHERE length({trim("content")}) > 0)"""
     nearest = lambda kind: f"SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM pairs_d WHERE kind = '{kind}' QUALIFY place <= 10"
+    chunked = _with(CHUNKED) + 'SELECT id, content, source AS "filePath", source AS "relativePath", \'\' AS "serviceName", \'text\' AS "fileType", \'\' AS language, \'\' AS "symbolName", \'\' AS level, 0::INT AS "startLine", 0::INT AS "endLine", \'document\' AS "chunkType" FROM chunked'
     return {
+        "streamed_chunks": chunked,
+        "detected_services": """
+WITH m AS (
+  SELECT source, max(concat('{"name":"', lpad((doc_id % 1000)::VARCHAR, 3, '0'), '","', CASE WHEN doc_id % 2 = 0 THEN 'dependencies' ELSE 'devDependencies' END, '":{"',
+    CASE lang WHEN 'en' THEN '@nestjs/core' WHEN 'fr' THEN 'react' WHEN 'de' THEN 'express' ELSE 'other' END, '":"1"}}')) AS json FROM documents GROUP BY 1),
+f AS (SELECT source, CASE WHEN contains(json, '@nestjs') THEN 'NestJS' WHEN contains(json, '"express"') THEN 'Express' WHEN contains(json, '"react"') THEN 'React' ELSE 'Node.js' END AS framework FROM m)
+SELECT source AS name, source AS path, framework, CASE framework WHEN 'React' THEN '프론트엔드' WHEN 'Node.js' THEN 'service' ELSE '백엔드 API' END AS role FROM f""",
+        "system_prompts": """
+SELECT r_name AS project, concat('You are an expert assistant for ', r_name, '.', chr(10), 'A region.', chr(10), chr(10), '프로젝트 서비스 구성:', chr(10),
+  string_agg(concat('- ', n_name, ': NestJS (api)'), chr(10) ORDER BY n_nationkey), chr(10), chr(10), 'Guidelines:', chr(10), '- Be brief.') AS prompt
+FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name""",
         "minimum_slice": _with(
             QUESTIONS, analysed("questions", services), CHUNKED, keyword("chunked", 18, False),
             "results AS (SELECT k.query_id, k.id, round(k.score, 6) AS score, k.rank, c.content, c.source AS path, '' AS service, 'text' AS file_type, 'document' AS kind, 0 AS line FROM keyed k JOIN chunked c USING (id))",
             assembled(6000), prompts(label),
         ) + "SELECT query_id, length(prompt)::INT AS n, sha256(prompt) AS sha FROM prompts",
-        "document_chunks": _with(CHUNKED) + 'SELECT id, content, source AS "filePath", source AS "relativePath", \'\' AS "serviceName", \'text\' AS "fileType", \'\' AS language, \'\' AS "symbolName", \'\' AS level, 0::INT AS "startLine", 0::INT AS "endLine", \'document\' AS "chunkType" FROM chunked',
+        "document_chunks": chunked,
         "code_windows": f"""
 WITH files AS (SELECT concat(source, '/', doc_id) AS path, source, lang, text, string_split(text, chr(10)) AS l FROM documents),
 summary AS (

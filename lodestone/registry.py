@@ -16,6 +16,8 @@ from .operators import chat, chunking, context, embedding, expand, rerank, searc
 from .plans import jobs
 from .sources import files as source_files
 from .sources import tables as chunk_tables
+from .storage import scratch
+from .streaming import index_stream
 
 SERVICES = sorted(f"src{k}" for k in range(20))
 LABEL = "test data"
@@ -240,18 +242,43 @@ def file_chunks(spark, d):
 
 def indexed_documents(spark, d):
     """All documents chunked, embedded and written; run totals."""
-    from .storage import scratch
-
     return jobs.index_documents(_inventory(spark, d), "/data", scratch(spark, "chunks"), embedding.hashing_embedder(64), 64)[0]
 
 
 def indexed_code(spark, d):
     """The same for the inventory's code files."""
-    from .storage import scratch
-
     return jobs.index_code(_inventory(spark, d), _services(spark), "/data", scratch(spark, "chunks"), embedding.hashing_embedder(64), 64)
 
 
+def detected_services(spark, d):
+    """Services of a tree whose manifests are made from every document's source and language."""
+    dependency = F.when(F.col("lang") == "en", "@nestjs/core").when(F.col("lang") == "fr", "react").when(F.col("lang") == "de", "express").otherwise("other")
+    part = F.when(F.col("doc_id") % 2 == 0, "dependencies").otherwise("devDependencies")
+    manifest = F.concat(F.lit('{"name":"'), F.lpad(F.col("doc_id") % 1000, 3, "0"), F.lit('","'), part, F.lit('":{"'), dependency, F.lit('":"1"}}'))
+    files = _t(spark, d, "documents").select(F.concat(F.lit("/r/"), "source", F.lit("/package.json")).alias("path"), F.encode(manifest, "UTF-8").alias("content"))
+    return source_files.detect_services(files, "/r")
+
+
+def system_prompts(spark, d):
+    """a system prompt for each region, its nations standing for services."""
+    services = _t(spark, d, "nation").select(F.col("n_regionkey").alias("key"), F.col("n_nationkey").alias("position"), F.col("n_name").alias("name"), F.lit("NestJS").alias("framework"), F.lit("api").alias("role"))
+    regions = _t(spark, d, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("project"))
+    projects = regions.select("project", F.lit("A region.").alias("description"), F.lit(None).cast("string").alias("systemContext"), F.array(F.lit("Be brief.")).alias("guidelines"))
+    return context.system_prompts(projects, services.join(regions, "key").drop("key"))
+
+
+def streamed_chunks(spark, d):
+    """ST1: all documents read as a stream, chunked, embedded and appended batch by batch."""
+    docs = _t(spark, d, "documents")
+    folder = scratch(spark, "incoming")  # a folder of 45 files, since a single file can't be streamed
+    docs.repartition(45).write.parquet(folder)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", index_stream.FILES_PER_BATCH).parquet(folder)
+    files = stream.select(F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    path = scratch(spark, "chunks")
+    index_stream.index_stream(files, path, scratch(spark, "stream"), embedding.hashing_embedder(64), 64).awaitTermination()
+    return chunk_tables.read_chunks(spark, path).drop("vector")
+
+
 def embedded_chunks(spark, d):
     """Every chunk with a vector of the test embedder; its squared length."""
     out = embedding.embed(document_chunks(spark, d).select("id", "content", "filePath", "startLine"), embedding.hashing_embedder(64), 64)
@@ -285,6 +312,7 @@ QUERIES = {
         minimum_slice, document_chunks, code_windows, page_chunks, sheet_chunks, sheet_caps, document_totals, classified_paths, question_analysis, trimmed,
         keyword_search, semantic_search, merged_hits, hybrid_search, reranked, expanded, retrieved, assembled, rag_prompts, chat_histories, chat_prompts,
         chunk_counts, service_files, listed_documents, file_chunks, indexed_documents, indexed_code, embedded_chunks, paired_vectors, framework_metadata,
+        detected_services, system_prompts, streamed_chunks,
     )
 }
 ORACLE: dict[str, str] = oracle.statements(SERVICES, LABEL)
