@@ -2,15 +2,16 @@
 
 Every document (every distinct set of shingles, rather) is posted under its `COORDINATES`
 (coordinate, value) pairs. Two sets with Jaccard similarity 0.8 agree in fewer than `MATCHES` of
-them with a probability under 1e-6. So a pair must collide in one of the COORDINATES - MATCHES + 1
+them with a probability of about 3e-6. So a pair must collide in one of the COORDINATES - MATCHES + 1
 rarest pairs of either (the prefix): only these lists are merged, and lists that only one set has
 are skipped altogether. Collisions of a candidate pair are counted over the whole signatures, and
 what reaches the threshold is confirmed on the full sets.
 
-No list is expanded into all its pairs. A list's members are compared with its leader first; what
-that joins into one component needs no more comparisons. Members left in other components are
-compared with the list, except where the distances to the leader, which are a metric, already say
-that two sets can't be similar.
+No list is expanded into all its pairs. Its members are compared with its leader (the set that
+shares most pairs with others) first; what that joins into one component needs no more comparisons.
+Leaders of the components that are left follow. Members that are still apart are compared only if
+the shingles that they lack of the leader's, and have beyond them, leave room for a similarity of 0.8:
+of those beyond, two members can have in common only what at least two members have.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import column_bytes, components, mix, powers, saved, shingles_of, slices, small_side, words_of
 
-COORDINATES = 24
-MATCHES = 9
-#: Leaders of this many rounds (each with another order of the sets) before lists are compared.
-ROUNDS = 2
+COORDINATES = 64
+MATCHES = 36
+#: Rounds in which leaders are compared with their lists before members are.
+ROUNDS = 3
 #: Keys are broadcast up to so many rows.
 MAX_BROADCAST_ROWS = 200_000
 MULTIPLIERS = powers(np.uint64(0xF1357AEA2E62A9C5), COORDINATES + 1)[1:]
@@ -79,85 +80,138 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return keyed.mapInArrow(run, f"doc_id {kind}, key long, n_shingles long, cls binary, tokens array<long>")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, size: int, max_broadcast: int) -> DataFrame:
-    """(cls, items): the shingle hashes of one document of each wanted class (cls, key)."""
+def texts_of(docs: DataFrame, wanted: DataFrame, max_broadcast: int) -> DataFrame:
+    """(cls, text): the text of a document of each wanted class (cls, key). Where a row of the table
+    is repeated, so is its text here, which only repeats comparisons."""
     wanted = small_side(wanted, wanted.count(), max_broadcast)
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(wanted, "key").select("cls", "text")
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                value, start, counts = shingle_sets(part.column("text"), size)
-                ends = np.append(start, len(value)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("cls"), pa.ListArray.from_arrays(pa.array(ends), pa.array(value.view(np.int64)))], names=["cls", "items"])
+    return docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(wanted, "key").select("cls", "text")
+
+
+def compared_texts(texts: DataFrame, size: int):
+    """A comparison of pairs (a, b) of classes by the shingles of their whole texts. Texts are
+    shuffled, not sets: compressed, they are a fraction of the size of their hashes."""
+
+    def shared(left, right, rows: int):
+        """Sizes of both sets, of the intersection, and what the right one has beyond the left."""
+        (va, _, na), (vb, _, nb) = (shingle_sets(c, size) for c in (left, right))
+        ra, rb = np.repeat(np.arange(rows), na), np.repeat(np.arange(rows), nb)
+        value, row = np.concatenate([va, vb]), np.concatenate([ra, rb])
+        order = np.lexsort((value, row))
+        twice = np.zeros(len(order), bool)
+        same = (value[order[1:]] == value[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        held = twice[len(va) :]
+        return na, nb, np.bincount(rb[held], minlength=rows), vb[~held], rb[~held]
+
+    def compare(pairs: DataFrame, beyond: bool = False) -> DataFrame:
+        with_b = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
+        both = with_b.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+
+        def run(batches):
+            for batch in batches:
+                for part in slices(batch, "text_b", 1 << 20):
+                    na, nb, inter, more, row = shared(part.column("text_a"), part.column("text_b"), part.num_rows)
+                    arrays, names = [part.column("a"), part.column("b"), *map(pa.array, (inter.astype(np.int64), na.astype(np.int64), nb.astype(np.int64)))], ["a", "b", "inter", "n_a", "n_b"]
+                    if beyond:
+                        ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
+                        arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(more.view(np.int64))))
+                        names.append("beyond")
+                    yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+        return both.mapInArrow(run, "a long, b long, inter long, n_a long, n_b long" + ", beyond array<long>" * beyond)
+
+    return compare
+
+
+def compared_sets(sets: DataFrame):
+    """The same for small sets (cls, items) that are at hand."""
+
+    def compare(pairs: DataFrame, beyond: bool = False) -> DataFrame:
+        with_b = pairs.join(sets.select(F.col("cls").alias("b"), F.col("items").alias("items_b")), "b")
+        both = with_b.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("items_a")), "a")
+        more = [F.array_except("items_b", "items_a").alias("beyond")] * beyond
+        inter = F.size(F.array_intersect("items_a", "items_b"))
+        return both.select("a", "b", inter.alias("inter"), F.size("items_a").alias("n_a"), F.size("items_b").alias("n_b"), *more)
 
-    return texts.mapInArrow(run, "cls binary, items array<long>")
+    return compare
 
 
 def prefixes(classes: DataFrame) -> DataFrame:
-    """(cls, n, token): the pairs in each class's prefix that another class has as well."""
+    """(cls, n, hub, token): the pairs in each class's prefix that another class has as well; `hub`
+    counts the classes that have its pairs."""
     tokens = classes.select("cls", "n", F.explode("tokens").alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = tokens.join(common, "token").groupBy("cls").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"))
     room = (COORDINATES - MATCHES + 1) - (COORDINATES - F.size("s"))  # the rarest ones are those that no other class has
-    return shared.where(room > 0).select("cls", "n", F.explode(F.slice("s", F.lit(1), room)).alias("t")).select("cls", "n", F.col("t.token").alias("token"))
+    hub = F.aggregate("s", F.lit(0).cast("long"), lambda t, x: t + x["df"])
+    prefix = F.explode(F.slice("s", F.lit(1), room))
+    return shared.where(room > 0).select("cls", "n", hub.alias("hub"), prefix.alias("t")).select("cls", "n", "hub", F.col("t.token").alias("token"))
 
 
-def linked_components(posted: DataFrame, sets: DataFrame, percent: int, rounds: int = ROUNDS, member: DataFrame | None = None) -> DataFrame:
-    """(node, component) of the classes in `posted` (token, cls, n) whose `sets` (cls, items) have a
+def linked_components(posted: DataFrame, compare, percent: int, rounds: int = ROUNDS, member: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the classes in `posted` (token, cls, n, hub) that `compare` finds to have a
     Jaccard similarity of `percent` or more; only pairs that share a token are compared. With
     `member` (cls, tokens), pairs with too few collisions in their signatures are left out."""
 
     def similar_size(a, b):
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-    def sides(pairs: DataFrame, name: str, value: str, of: DataFrame) -> DataFrame:
-        """`of` (cls, value) for the classes on one side of the pairs."""
-        ids = pairs.select(F.col(name).alias("cls")).distinct()
-        return of.join(ids, "cls", "left_semi").select(F.col("cls").alias(name), F.col(value).alias(f"{value}_{name}"))
+    linked = 100 * F.col("inter") >= percent * (F.col("n_a") + F.col("n_b") - F.col("inter"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """(a, b, inter, total) of the pairs with enough collisions."""
+    def links_of(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are links, counted on signatures, then confirmed on full sets."""
         enough = saved(pairs)
         if member is not None:
-            counted = enough.join(sides(enough, "b", "tokens", member), "b").join(sides(enough, "a", "tokens", member), "a")
+            of = lambda c: member.select(F.col("cls").alias(c), F.col("tokens").alias(f"tokens_{c}"))
+            counted = enough.join(of("b"), "b").join(of("a"), "a")
             enough = saved(counted.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= MATCHES).select("a", "b"))
-        # The leader's side comes last: its set meets each member's where the pair is judged.
-        both = enough.join(sides(enough, "b", "items", sets), "b").join(sides(enough, "a", "items", sets), "a")
-        inter = F.size(F.array_intersect("items_a", "items_b"))
-        return saved(both.select("a", "b", inter.alias("inter"), (F.size("items_a") + F.size("items_b")).alias("total")))
-
-    linked = (100 + percent) * F.col("inter") >= percent * F.col("total")  # inter / (total - inter) >= percent / 100
-    distance = 1 - F.col("inter") / (F.col("total") - F.col("inter"))
-    links, groups, known = None, None, None
-
-    def live() -> DataFrame:
-        if groups is None:
-            return posted.withColumn("comp", F.col("cls"))
-        return posted.join(groups.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "n", "token", F.coalesce("component", "cls").alias("comp"))
-
-    def led(rows: DataFrame, salt: int) -> DataFrame:
-        """The rows of lists that still hold several components, with their leaders."""
-        order = F.struct(F.xxhash64("cls", F.lit(salt)), F.col("cls").alias("cls"), F.col("n").alias("n"), F.col("comp").alias("comp"))
-        lead = rows.groupBy("token").agg(F.min(order).alias("lead"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").drop("x", "y")
-        return rows.join(lead, "token")
-
-    for salt in range(rounds):
-        rows = led(live(), salt).where((F.col("comp") != F.col("lead.comp")) & similar_size(F.col("n"), F.col("lead.n")))
-        found = confirmed(rows.select(F.col("lead.cls").alias("a"), F.col("cls").alias("b")).distinct())
-        known = found if known is None else known.unionByName(found)
-        links = known.where(linked).select("a", "b")
+        return saved(compare(enough).where(linked).select("a", "b"))
+
+    order = F.struct((-F.col("hub")).alias("hub"), F.col("cls").alias("cls"), F.col("comp").alias("comp"), F.col("n").alias("n"))
+
+    def live(groups: DataFrame) -> DataFrame:
+        """Rows of lists that still hold several components; `lead` is the list's first leader."""
+        rows = posted.join(groups.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+        lists = rows.groupBy("token").agg(F.min(order).alias("lead"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").drop("x", "y")
+        return rows.join(lists, "token")
+
+    # Every member meets its first leader on the full sets.
+    first = posted.withColumn("comp", F.col("cls"))
+    leads = first.groupBy("token").agg(F.min(order).alias("lead"))
+    pairs = saved(first.join(leads, "token").where("cls <> lead.cls").select(F.col("lead.cls").alias("a"), F.col("cls").alias("b")).distinct())
+    known = saved(compare(pairs))
+    links = saved(known.where(linked).select("a", "b"))
+    groups = saved(components(links))
+    for _ in range(1, rounds):
+        rows = live(groups).where(F.col("comp") != F.col("lead.comp"))
+        nexts = rows.groupBy("token").agg(F.min(order).alias("next"))
+        rows = rows.join(nexts, "token").where((F.col("comp") != F.col("next.comp")) & similar_size(F.col("n"), F.col("next.n")))
+        found = links_of(rows.select(F.col("next.cls").alias("a"), F.col("cls").alias("b")).distinct())
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
         groups = saved(components(links))
 
-    # Lists with several components left: members that are not in the leader's meet the list.
-    pivots = known.select(F.col("a").alias("lead_cls"), F.col("b").alias("cls"), distance.alias("d"))
-    rest = led(live(), 0).withColumn("lead_cls", F.col("lead.cls")).withColumn("own", F.col("comp") == F.col("lead.comp"))
-    rest = saved(rest.drop("lead").join(pivots, ["lead_cls", "cls"], "left").withColumn("d", F.when(F.col("cls") == F.col("lead_cls"), 0.0).otherwise(F.col("d"))))
-    x = rest.where("not own").select(*[F.col(c).alias(f"x_{c}") for c in ("token", "cls", "n", "comp", "d")])
-    within = F.coalesce(F.abs(F.col("d") - F.col("x_d")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    meet = (F.col("token") == F.col("x_token")) & (F.col("comp") != F.col("x_comp")) & (F.col("own") | (F.col("cls") > F.col("x_cls"))) & (F.col("cls") != F.col("lead_cls")) & similar_size(F.col("n"), F.col("x_n")) & within
-    found = confirmed(rest.join(x, meet).select(F.col("x_cls").alias("a"), F.col("cls").alias("b")).distinct())
-    return saved(components(links.unionByName(found.where(linked).select("a", "b"))))
+    rest = live(groups).withColumn("lead_cls", F.col("lead.cls")).withColumn("own", F.col("comp") == F.col("lead.comp")).drop("lead").where("cls <> lead_cls")
+    # Shingles beyond the leader's that two members have, counted without pairing these.
+    apart = saved(compare(rest.select(F.col("lead_cls").alias("a"), F.col("cls").alias("b")).distinct(), True))
+    extra = apart.select("a", "b", F.explode("beyond").alias("s"))
+    common = extra.groupBy("a", "s").agg(F.count("*").alias("m")).where("m > 1").drop("m")
+    counts = extra.join(common, ["a", "s"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    facts = apart.join(counts, ["a", "b"], "left").select(
+        F.col("a").alias("lead_cls"), F.col("b").alias("cls"), F.col("n_a").alias("lead_n"), F.size("beyond").alias("more"), (F.col("n_a") - F.col("inter")).alias("less"), F.coalesce("shared", F.lit(0)).alias("shared")
+    ).dropDuplicates(["lead_cls", "cls"])
+    rest = saved(rest.join(facts, ["lead_cls", "cls"]))
+    x = rest.where("not own").select(*[F.col(c).alias(f"x_{c}") for c in ("token", "cls", "n", "comp", "more", "less", "shared")])
+    # With c shingles in common beyond the leader's, at least more + x_more - 2 c + |less - x_less|
+    # differ, of at most lead_n + more + x_more - c; c is at most the smaller `shared`.
+    both = F.col("more") + F.col("x_more")
+    c = F.least("shared", "x_shared")
+    room = 100 * (both - 2 * c + F.abs(F.col("less") - F.col("x_less"))) <= (100 - percent) * (F.col("lead_n") + both - c)
+    meet = (F.col("token") == F.col("x_token")) & (F.col("comp") != F.col("x_comp")) & (F.col("own") | (F.col("cls") > F.col("x_cls"))) & similar_size(F.col("n"), F.col("x_n")) & room
+    found = links_of(rest.join(x, meet).select(F.col("x_cls").alias("a"), F.col("cls").alias("b")).distinct())
+    return saved(components(links.unionByName(found)))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = ROUNDS, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -174,21 +228,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: i
         raise ValueError("signatures are tuned for 80 percent or more")
     docs = docs.select("doc_id", "text")
     signed = saved(signatures(docs, size))
-    classes = signed.where("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.first("key").alias("key"))
-    classes = saved(classes)
+    # Classes are numbered, since numbers are shuffled at half the cost of their hashes.
+    classes = signed.where("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.first("key").alias("key"), F.min("doc_id").alias("least"))
+    classes = saved(classes.withColumnRenamed("cls", "hash").withColumn("cls", F.monotonically_increasing_id()))
     posted = saved(prefixes(classes))
     lists = posted.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     posted = saved(posted.join(lists, "token").drop("m"))
     listed = posted.select("cls").distinct()
-    member = saved(classes.join(listed, "cls", "left_semi"))
-    sets = saved(sets_of(docs, member.select("cls", "key"), size, max_broadcast).dropDuplicates(["cls"]))
-    groups = linked_components(posted, sets, percent, rounds, member)
+    member = saved(classes.join(listed, "cls", "left_semi").select("cls", "tokens", "key"))
+    texts = saved(texts_of(docs, member.select("cls", "key"), max_broadcast))
+    groups = linked_components(posted, compared_texts(texts, size), percent, rounds, member.drop("key"))
 
-    of_class = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least")).join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("component", "cls").alias("comp"))
+    of_class = classes.select("hash", "cls", "least").join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("hash", "least", F.coalesce("component", "cls").alias("comp"))
     of_comp = of_class.groupBy("comp").agg(F.min("least").alias("component"))
-    of_class = saved(of_class.join(of_comp, "comp").select("cls", "component"))
+    of_class = saved(of_class.join(of_comp, "comp").select(F.col("hash").alias("cls"), "component"))
     own = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return signed.join(of_class, "cls", "left").select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    out = signed.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left")
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def without_copies(docs: DataFrame, **how) -> DataFrame:
