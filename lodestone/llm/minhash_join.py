@@ -44,7 +44,7 @@ def shingle_sets(column, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, key, n_shingles, cls, tokens): `cls` is a 16-byte hash of the set (null if empty),
-    `tokens` its (coordinate, least value) pairs, `key` stands for the id and text."""
+    `tokens` has the 32 bits of its least value in each coordinate, `key` stands for id and text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
 
@@ -55,13 +55,13 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 some = np.flatnonzero(counts)
                 at, n = start[some], len(some)
                 cls = np.empty((n, 2), np.uint64)
-                tokens = np.empty((n, COORDINATES), np.int64)
+                tokens = np.empty((n, COORDINATES), np.int32)
                 if n:
                     cls[:, 0] = mix(np.add.reduceat(mix(value), at) + counts[some].astype(np.uint64))
                     cls[:, 1] = mix(np.add.reduceat(mix(value ^ np.uint64(0x5851F42D4C957F2D)), at))
                     for k in range(COORDINATES):
                         least = np.minimum.reduceat(value * MULTIPLIERS[k] + ADDENDS[k], at)
-                        tokens[:, k] = ((least >> np.uint64(32)) | np.uint64(k << 32)).astype(np.int64)
+                        tokens[:, k] = (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 whole = np.zeros(part.num_rows + 1, np.int32)
                 whole[some + 1] = 1
                 ends = np.cumsum(whole).astype(np.int32)
@@ -77,7 +77,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     names=["doc_id", "key", "n_shingles", "cls", "tokens"],
                 )
 
-    return keyed.mapInArrow(run, f"doc_id {kind}, key long, n_shingles long, cls binary, tokens array<long>")
+    return keyed.mapInArrow(run, f"doc_id {kind}, key long, n_shingles long, cls binary, tokens array<int>")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, max_broadcast: int) -> DataFrame:
@@ -88,8 +88,9 @@ def texts_of(docs: DataFrame, wanted: DataFrame, max_broadcast: int) -> DataFram
 
 
 def compared_texts(texts: DataFrame, size: int):
-    """A comparison of pairs (a, b) of classes by the shingles of their whole texts. Texts are
-    shuffled, not sets: compressed, they are a fraction of the size of their hashes."""
+    """A comparison of pairs (a, b) of classes by the shingles of their whole texts: (a, b, inter, n_a,
+    n_b), with `beyond` half the hash of each shingle that only b has. Texts are shuffled, not sets:
+    compressed, they are a fraction of the size of their hashes."""
 
     def shared(left, right, rows: int):
         """Sizes of both sets, of the intersection, and what the right one has beyond the left."""
@@ -115,11 +116,11 @@ def compared_texts(texts: DataFrame, size: int):
                     arrays, names = [part.column("a"), part.column("b"), *map(pa.array, (inter.astype(np.int64), na.astype(np.int64), nb.astype(np.int64)))], ["a", "b", "inter", "n_a", "n_b"]
                     if beyond:
                         ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
-                        arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(more.view(np.int64))))
+                        arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array((more >> np.uint64(32)).astype(np.uint32).view(np.int32))))
                         names.append("beyond")
                     yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-        return both.mapInArrow(run, "a long, b long, inter long, n_a long, n_b long" + ", beyond array<long>" * beyond)
+        return both.mapInArrow(run, "a long, b long, inter long, n_a long, n_b long" + ", beyond array<int>" * beyond)
 
     return compare
 
@@ -130,7 +131,7 @@ def compared_sets(sets: DataFrame):
     def compare(pairs: DataFrame, beyond: bool = False) -> DataFrame:
         with_b = pairs.join(sets.select(F.col("cls").alias("b"), F.col("items").alias("items_b")), "b")
         both = with_b.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("items_a")), "a")
-        more = [F.array_except("items_b", "items_a").alias("beyond")] * beyond
+        more = [F.transform(F.array_except("items_b", "items_a"), lambda x: F.shiftright(x, 32).cast("int")).alias("beyond")] * beyond
         inter = F.size(F.array_intersect("items_a", "items_b"))
         return both.select("a", "b", inter.alias("inter"), F.size("items_a").alias("n_a"), F.size("items_b").alias("n_b"), *more)
 
@@ -140,7 +141,8 @@ def compared_sets(sets: DataFrame):
 def prefixes(classes: DataFrame) -> DataFrame:
     """(cls, n, hub, token): the pairs in each class's prefix that another class has as well; `hub`
     counts the classes that have its pairs."""
-    tokens = classes.select("cls", "n", F.explode("tokens").alias("token"))
+    pairs = classes.select("cls", "n", F.posexplode("tokens").alias("at", "value"))
+    tokens = pairs.select("cls", "n", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value")).alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = tokens.join(common, "token").groupBy("cls").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"))
     room = (COORDINATES - MATCHES + 1) - (COORDINATES - F.size("s"))  # the rarest ones are those that no other class has
@@ -165,7 +167,7 @@ def linked_components(posted: DataFrame, compare, percent: int, rounds: int = RO
         if member is not None:
             of = lambda c: member.select(F.col("cls").alias(c), F.col("tokens").alias(f"tokens_{c}"))
             counted = enough.join(of("b"), "b").join(of("a"), "a")
-            enough = saved(counted.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= MATCHES).select("a", "b"))
+            enough = saved(counted.where(F.size(F.filter(F.zip_with("tokens_a", "tokens_b", lambda x, y: x == y), lambda x: x)) >= MATCHES).select("a", "b"))
         return saved(compare(enough).where(linked).select("a", "b"))
 
     order = F.struct((-F.col("hub")).alias("hub"), F.col("cls").alias("cls"), F.col("comp").alias("comp"), F.col("n").alias("n"))
@@ -176,11 +178,13 @@ def linked_components(posted: DataFrame, compare, percent: int, rounds: int = RO
         lists = rows.groupBy("token").agg(F.min(order).alias("lead"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").drop("x", "y")
         return rows.join(lists, "token")
 
-    # Every member meets its first leader on the full sets.
+    # Every member meets its first leader on the full sets. What a member that is near (half alike)
+    # has beyond the leader is kept, as half hashes: two equal by chance only loosen the bound below.
+    near = 2 * F.col("inter") >= F.col("n_a") + F.col("n_b") - F.col("inter")
     first = posted.withColumn("comp", F.col("cls"))
     leads = first.groupBy("token").agg(F.min(order).alias("lead"))
     pairs = saved(first.join(leads, "token").where("cls <> lead.cls").select(F.col("lead.cls").alias("a"), F.col("cls").alias("b")).distinct())
-    known = saved(compare(pairs))
+    known = saved(compare(pairs, True).withColumn("beyond", F.when(near, F.col("beyond"))))
     links = saved(known.where(linked).select("a", "b"))
     groups = saved(components(links))
     for _ in range(1, rounds):
@@ -194,20 +198,21 @@ def linked_components(posted: DataFrame, compare, percent: int, rounds: int = RO
         groups = saved(components(links))
 
     rest = live(groups).withColumn("lead_cls", F.col("lead.cls")).withColumn("own", F.col("comp") == F.col("lead.comp")).drop("lead").where("cls <> lead_cls")
-    # Shingles beyond the leader's that two members have, counted without pairing these.
-    apart = saved(compare(rest.select(F.col("lead_cls").alias("a"), F.col("cls").alias("b")).distinct(), True))
+    # Shingles beyond the leader's that two near members have, counted without pairing these. If one
+    # of a pair is not near, all that is beyond may be shared.
+    apart = known.join(rest.select(F.col("lead_cls").alias("a"), F.col("cls").alias("b")).distinct(), ["a", "b"], "left_semi")
     extra = apart.select("a", "b", F.explode("beyond").alias("s"))
     common = extra.groupBy("a", "s").agg(F.count("*").alias("m")).where("m > 1").drop("m")
     counts = extra.join(common, ["a", "s"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
     facts = apart.join(counts, ["a", "b"], "left").select(
-        F.col("a").alias("lead_cls"), F.col("b").alias("cls"), F.col("n_a").alias("lead_n"), F.size("beyond").alias("more"), (F.col("n_a") - F.col("inter")).alias("less"), F.coalesce("shared", F.lit(0)).alias("shared")
+        F.col("a").alias("lead_cls"), F.col("b").alias("cls"), F.col("n_a").alias("lead_n"), (F.col("n_b") - F.col("inter")).alias("more"), (F.col("n_a") - F.col("inter")).alias("less"), F.when(near, F.coalesce("shared", F.lit(0))).alias("shared")
     ).dropDuplicates(["lead_cls", "cls"])
     rest = saved(rest.join(facts, ["lead_cls", "cls"]))
     x = rest.where("not own").select(*[F.col(c).alias(f"x_{c}") for c in ("token", "cls", "n", "comp", "more", "less", "shared")])
     # With c shingles in common beyond the leader's, at least more + x_more - 2 c + |less - x_less|
     # differ, of at most lead_n + more + x_more - c; c is at most the smaller `shared`.
     both = F.col("more") + F.col("x_more")
-    c = F.least("shared", "x_shared")
+    c = F.when(F.col("shared").isNotNull() & F.col("x_shared").isNotNull(), F.least("shared", "x_shared")).otherwise(F.least("more", "x_more"))
     room = 100 * (both - 2 * c + F.abs(F.col("less") - F.col("x_less"))) <= (100 - percent) * (F.col("lead_n") + both - c)
     meet = (F.col("token") == F.col("x_token")) & (F.col("comp") != F.col("x_comp")) & (F.col("own") | (F.col("cls") > F.col("x_cls"))) & similar_size(F.col("n"), F.col("x_n")) & room
     found = links_of(rest.join(x, meet).select(F.col("x_cls").alias("a"), F.col("cls").alias("b")).distinct())
