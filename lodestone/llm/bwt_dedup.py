@@ -27,7 +27,7 @@ from .common import BASE, BASE_INVERSE, BYTE, column_bytes, mix, powers, saved,
 LENGTH = 200
 K = 96
 #: Bytes of a block, about; a group of more than HOT_BYTES is judged by hashes of its windows.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 HOT_BYTES = 32 << 20
 MAX_BROADCAST_ROWS = 200_000
 #: Ends every segment in a block; no UTF-8 text has this byte.
@@ -120,10 +120,10 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
             break
         second = rank[np.minimum(active + size, n)]
         value = rank[active] * np.int64(n + 2) + second
-        by = np.argsort(value, kind="stable")
+        by = np.argsort(value)
         order = active[by]
         # Members of a group take the group's places, in their new order.
-        places = np.sort(rank_places(rank[active]))
+        places = rank_places(rank[active])
         group, new = regroup(order, value[by], places)
         rank[order] = group
         sorted_all[places - 1] = order
@@ -149,21 +149,23 @@ def common_prefix_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.
     """
     order = suffix_order(text, length + 1)
     n = len(text)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    order = order.astype(np.int32)  # a block is far smaller than 2**31; narrow arrays are faster
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     before = text[order - 1]  # the transform; the first suffix is preceded by the last byte
     back = place[order - 1]
     initial = text[order]
     known = np.zeros(n + 1, bool)
     known[0] = known[n] = True
-    owner = np.full(n + 1, -1, np.int64)
-    low, high = np.array([0]), np.array([n])
+    owner = np.full(n + 1, -1, np.int32)
+    low, high = np.array([0], np.int32), np.array([n], np.int32)
     for depth in range(length):
         if not len(low):
             break
         width = high - low
-        rows = np.repeat(low - np.cumsum(width) + width, width) + np.arange(width.sum())
-        which = np.repeat(np.arange(len(low)), width)
+        rows = np.repeat(low - np.cumsum(width, dtype=np.int32) + width, width)
+        rows += np.arange(len(rows), dtype=np.int32)
+        which = np.repeat(np.arange(len(low), dtype=np.int32), width)
         if depth:  # strings across a separator are of no interest
             inner = before[rows] != SEPARATOR
             rows, which = rows[inner], which[inner]
