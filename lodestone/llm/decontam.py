@@ -59,7 +59,7 @@ def verified(aligned: DataFrame, min_match: float) -> DataFrame:
         aligned.withColumn("n_words", F.size("iw"))
         .withColumn("n_matched", F.size(same))
         .where(F.col("n_matched") >= F.lit(min_match) * F.col("n_words"))
-        .select("doc_id", "item_id", F.greatest("start_word", F.lit(0)).alias("start_word"), "n_words", "n_matched")
+        .select("__key", "doc_id", "item_id", F.greatest("start_word", F.lit(0)).alias("start_word"), "n_words", "n_matched")
         .distinct()
     )
 
@@ -76,6 +76,11 @@ def find_overlaps(docs: DataFrame, items: DataFrame, min_match: float = 0.8, max
     joined by a shuffle. Hits meet their documents again by a key of id and text, in a shuffle of
     the documents, since hits grow with them.
     """
+    return keyed_overlaps(docs, items, min_match, max_broadcast).drop("__key").distinct()
+
+
+def keyed_overlaps(docs: DataFrame, items: DataFrame, min_match: float = 0.8, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """`find_overlaps` with `__key`, which stands for id and text of the document."""
     item = saved(items.select("item_id", word_hashes(F.col("text")).alias("iw")).distinct())
     seeds = saved(positions(item, "iw", "__j", "item_id").distinct())
     key = F.xxhash64("doc_id", "text").alias("__key")
@@ -84,12 +89,12 @@ def find_overlaps(docs: DataFrame, items: DataFrame, min_match: float = 0.8, max
     hits = positions(words, "w", "__i", "__key").join(small_side(seeds, seeds.count(), max_broadcast), "seed")
     hits = saved(hits.select("__key", "item_id", start).distinct())
     held = docs.select("doc_id", "text", key).join(hits, "__key")
-    aligned = held.select("doc_id", "item_id", "start_word", word_hashes(F.col("text")).alias("w")).join(item, "item_id")
+    aligned = held.select("__key", "doc_id", "item_id", "start_word", word_hashes(F.col("text")).alias("w")).join(item, "item_id")
     return verified(aligned, min_match)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The documents that hold no test item. A document with a null doc_id is judged like others
-    as long as no other document has a null doc_id and a leak."""
-    leaks = find_overlaps(docs, items, **how).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col("__leak")), "left_anti")
+    """The documents that hold no test item. Each text is judged for itself, whatever other rows
+    have the same doc_id or none."""
+    leaks = keyed_overlaps(docs, items, **how).select(F.col("__key").alias("__leak")).distinct()
+    return docs.join(leaks, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("__leak"), "left_anti")

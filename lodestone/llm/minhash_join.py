@@ -229,12 +229,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: i
     each other and all returned; null ids are kept apart from the least id. An empty table gives an
     empty result; other columns are ignored.
     """
+    signed, of_class = judged_classes(docs, size, percent, rounds, max_broadcast)
+    of_class = of_class.select("cls", F.col("keeper.doc_id").alias("component"))
+    own = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    out = signed.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left")
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+
+
+def judged_classes(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = ROUNDS, max_broadcast: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all documents, and (cls, keeper) of their classes: the first document
+    (its doc_id and key; null ids last) that is linked."""
     if percent < 80:
         raise ValueError("signatures are tuned for 80 percent or more")
     docs = docs.select("doc_id", "text")
     signed = saved(signatures(docs, size))
     # Classes are numbered, since numbers are shuffled at half the cost of their hashes.
-    classes = signed.where("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.first("key").alias("key"), F.min("doc_id").alias("least"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("least")
+    classes = signed.where("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.first("key").alias("key"), least)
     classes = saved(classes.withColumnRenamed("cls", "hash").withColumn("cls", F.monotonically_increasing_id()))
     posted = saved(prefixes(classes))
     lists = posted.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
@@ -245,15 +256,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: i
     groups = linked_components(posted, compared_texts(texts, size), percent, rounds, member.drop("key"))
 
     of_class = classes.select("hash", "cls", "least").join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("hash", "least", F.coalesce("component", "cls").alias("comp"))
-    of_comp = of_class.groupBy("comp").agg(F.min("least").alias("component"))
-    of_class = saved(of_class.join(of_comp, "comp").select(F.col("hash").alias("cls"), "component"))
-    own = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    out = signed.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    of_comp = of_class.groupBy("comp").agg(F.min("least").alias("keeper"))
+    return signed, saved(of_class.join(of_comp, "comp").select(F.col("hash").alias("cls"), "keeper"))
 
 
 def without_copies(docs: DataFrame, **how) -> DataFrame:
-    """One document of each group stays: the one with the least id (of repeated rows, all with it
-    whose text is the same; ids are taken as unique)."""
-    judged = near_duplicates(docs, **how).where("not kept").select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(judged, docs["doc_id"] == F.col("__copy"), "left_anti")
+    """One document of each group stays: the one with the least id (null ids last; of equal ids,
+    one text). Repeated rows of the one that stays all stay if they have an id; of those without
+    an id one stays, since nothing says that they are one document. Null and blank texts are
+    copies of nothing."""
+    signed, of_class = judged_classes(docs, **how)
+    copies = signed.select("cls", "key").join(of_class, "cls").where("key <> keeper.key").select(F.col("key").alias("__copy")).distinct()
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    left = keyed.join(copies, keyed["__key"] == F.col("__copy"), "left_anti")
+    blank = signed.where("doc_id is null and cls is null").select("key").distinct()
+    nameless = left.where("doc_id is null")
+    bare = nameless.join(blank, nameless["__key"] == blank["key"], "left_semi")
+    single = nameless.join(blank, nameless["__key"] == blank["key"], "left_anti").dropDuplicates(["__key"])
+    return left.where("doc_id is not null").unionByName(bare).unionByName(single).drop("__key")

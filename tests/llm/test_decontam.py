@@ -56,3 +56,10 @@ def test_empty_tables_and_removal(spark, docs):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     kept = decontam.without_leaks(docs([(1, ITEM), (2, "clean"), (None, "x"), (3, None)]), bench).collect()
     assert sorted((r["doc_id"] or 0) for r in kept) == [0, 2, 3]
+
+
+def test_removal_is_by_text_where_ids_are_null_or_repeated(spark, docs):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    rows = [(None, ITEM), (None, "a clean text"), (None, None), (7, ITEM + " again"), (7, "another clean text")]
+    kept = decontam.without_leaks(docs(rows), bench).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, ""), (0, "a clean text"), (7, "another clean text")]

@@ -50,3 +50,13 @@ def test_repeated_rows_and_empty_table(docs):
     assert sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in got if r["doc_id"]) == [(2, 2, True), (3, 2, False), (3, 2, False)]
     assert minhash_join.near_duplicates(docs([])).collect() == []
     assert [r["doc_id"] for r in minhash_join.without_copies(docs([(3, "a b c"), (2, "a b c"), (9, None)])).orderBy("doc_id").collect()] == [2, 9]
+
+
+def test_copies_without_an_id_or_with_a_repeated_one(docs):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, b + " end"), (None, None), (None, " "), (None, " "), (5, c), (6, c), (6, d), (8, d), (9, d + " end")]
+    kept = [(r["doc_id"], r["text"]) for r in minhash_join.without_copies(docs(rows)).collect()]
+    assert sorted(t for i, t in kept if i is not None) == sorted([a, c, d]) and {(1, a), (5, c), (6, d)} <= set(kept)
+    of_b = [t for i, t in kept if i is None and t and t.strip()]
+    assert len(of_b) == 1 and of_b[0].startswith(b)
+    assert len(kept) == 7
