@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, small_side
@@ -13,6 +13,10 @@ GAPS = {"11111": 0, "111011": 1, "1110011": 2}
 SPAN = 5  # of the shortest mask
 #: Seeds of the items (a hash, an int and an id each) are broadcast up to so many rows.
 MAX_BROADCAST_ROWS = 200_000
+#: Words of a part of an item whose overlap is reported by itself.
+WINDOW = 13
+#: Words that may be put in or left out, in all, while an item is followed along a document.
+BAND = 2
 
 
 def word_hashes(text: Column) -> Column:
@@ -48,29 +52,82 @@ def positions(df: DataFrame, words: str, at: str, *keep: str) -> DataFrame:
     return out.select(*keep, (F.col("__p") % F.col("__n")).alias(at), "seed")
 
 
+def short_seeds(df: DataFrame, words: str, at: str, length: int, *keep: str) -> DataFrame:
+    """`keep` columns, the position and `seed` for each `length` words in a row, fewer than SPAN."""
+    w = F.col(words)
+    runs = F.slice(w, 1, F.size(w) - length + 1)
+    for k in range(1, length):
+        runs = F.zip_with(runs, F.slice(w, k + 1, F.size(w) - length + 1), lambda x, y: F.xxhash64(x, y))
+    seed = F.transform(runs, lambda x: F.xxhash64(x, F.lit(100 + length)))
+    return df.where(F.size(w) >= length).select(*keep, F.posexplode(seed).alias(at, "seed"))
+
+
+def in_order(least: Column) -> Column:
+    """How many of the item's words `iw` stand in `w` in order, from `start_word` on, if up to BAND
+    words are put in or left out on the way; -1 where even the words within reach are too few."""
+    width = 2 * BAND + 1
+    place = F.transform("iw", lambda x, j: F.slice("w", F.greatest(F.col("start_word") + j - BAND, F.lit(0)) + 1, F.greatest(F.least(F.lit(width), F.col("start_word") + j + BAND + 1), F.lit(0))))
+    reach = F.size(F.filter(F.zip_with("iw", place, lambda x, p: F.array_contains(p, x)), lambda x: x))
+
+    def step(best: Column, j: Column) -> Column:
+        def held(d: int) -> Column:
+            hit = F.coalesce(F.get("w", F.col("start_word") + j + F.lit(d - BAND)) == F.get("iw", j), F.lit(False))
+            here = F.get(best, F.lit(d)) + hit.cast("int")
+            return here if d == width - 1 else F.greatest(here, F.get(best, F.lit(d + 1)))  # the item's word is left out
+
+        return F.array(*[held(0) if d == 0 else F.greatest(*[held(e) for e in range(d + 1)]) for d in range(width)])
+
+    none = F.array(*[F.lit(0)] * width)
+    whole = F.aggregate(F.sequence(F.lit(0), F.size("iw") - 1), none, step, F.array_max)
+    return F.when(reach >= least, whole).otherwise(F.lit(-1))
+
+
 def verified(aligned: DataFrame, min_match: float) -> DataFrame:
     """Of rows with words `w`, item words `iw` and the item's `start_word` in the document (it may
-    be negative), those where enough of the item's words equal the words they lie on."""
+    be negative), those that hold the item: `min_match` of its words equal the words they lie on,
+    or stand there in order if up to BAND words are put in or left out, or `min_match` of WINDOW
+    words of the item in a row equal the words they lie on.
+    """
     shift = F.greatest(-F.col("start_word"), F.lit(0))
     length = F.size("iw") - shift
     there = F.slice("w", F.greatest(F.col("start_word"), F.lit(0)) + 1, length)
-    same = F.filter(F.zip_with(F.slice("iw", shift + 1, length), there, lambda x, y: F.coalesce(x == y, F.lit(False))), lambda x: x)
-    return (
-        aligned.withColumn("n_words", F.size("iw"))
-        .withColumn("n_matched", F.size(same))
-        .where(F.col("n_matched") >= F.lit(min_match) * F.col("n_words"))
-        .select("__key", "doc_id", "item_id", F.greatest("start_word", F.lit(0)).alias("start_word"), "n_words", "n_matched")
-        .distinct()
-    )
+    same = F.zip_with(F.slice("iw", shift + 1, length), there, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    rows = staged(aligned.withColumn("__n", F.size("iw")), "__same", same)
+    rows = rows.withColumn("__held", F.size(F.filter("__same", lambda x: x)))
+    least = F.lit(min_match) * F.col("__n")
+    straight = F.col("__held") >= least
+    gapped = F.when(straight | (F.col("__n") < SPAN), F.lit(-1)).otherwise(in_order(least))
+    rows = staged(rows, "__order", gapped)
+    # The part with the most equal words, the first of such: (words, -place among the compared ones).
+    parts = F.transform(F.sequence(F.lit(0), F.size("__same") - WINDOW), lambda p: F.struct(F.size(F.filter(F.slice("__same", p + 1, WINDOW), lambda x: x)).alias("held"), (-p).alias("at")))
+    tried = ~straight & (F.col("__order") < least) & (F.size("__same") >= WINDOW) & (F.col("__held") >= min_match * WINDOW)
+    rows = staged(rows, "__part", F.when(tried, F.array_max(parts)))
+    kind = F.when(straight, 0).when(F.col("__order") >= least, 1).when(F.col("__part.held") >= min_match * WINDOW, 2)
+    first = F.greatest("start_word", F.lit(0))
+    found = rows.select(
+        "__key", "doc_id", "item_id", F.col("start_word").alias("__start"), kind.alias("__kind"),
+        F.when(kind == 2, first - F.col("__part.at")).otherwise(first).alias("start_word"),
+        F.when(kind == 2, WINDOW).otherwise(F.col("__n")).alias("n_words"),
+        F.when(kind == 0, F.col("__held")).when(kind == 1, F.col("__order")).otherwise(F.col("__part.held")).alias("n_matched"),
+    ).where("__kind is not null").distinct()
+    # Where words are put in or left out, an item is met on several alignments: one is reported.
+    by = Window.partitionBy("__key", "item_id").orderBy("__start")
+    found = found.withColumn("__best", F.min("__kind").over(by.rangeBetween(-2 * BAND, 2 * BAND)))
+    found = found.withColumn("__before", F.min("__kind").over(by.rangeBetween(-2 * BAND, -1)))
+    again = (F.col("__kind") == 1) & F.coalesce(F.col("__before") == 1, F.lit(False))
+    return found.where((F.col("__kind") == F.col("__best")) & ~again).drop("__start", "__kind", "__best", "__before")
 
 
 def find_overlaps(docs: DataFrame, items: DataFrame, min_match: float = 0.8, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, n_matched): places where a document holds a test item.
 
     A hit of one seed aligns an item with a document; the overlap is kept if, aligned so, at least
-    `min_match` of all the item's words equal the document's (substitutions only). An item with
-    fewer words than the shortest mask is too short to tell and never found. Null texts count as
-    empty; repeated rows give one row; an empty table gives none; other columns are ignored.
+    `min_match` of all the item's words equal the document's, or stand there in order with up to
+    BAND words put in or left out; failing that, if `min_match` of WINDOW of its words in a row
+    do, and then this part is what start_word and n_words tell (the best part of an alignment). An
+    item with fewer words than the shortest mask is found where all its words stand in a row. Null
+    texts count as empty; repeated rows give one row; an empty table gives none; other columns are
+    ignored.
 
     Seeds of the items are counted: up to `max_broadcast` rows they are broadcast, beyond that
     joined by a shuffle. Hits meet their documents again by a key of id and text, in a shuffle of
@@ -82,11 +139,18 @@ def find_overlaps(docs: DataFrame, items: DataFrame, min_match: float = 0.8, max
 def keyed_overlaps(docs: DataFrame, items: DataFrame, min_match: float = 0.8, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """`find_overlaps` with `__key`, which stands for id and text of the document."""
     item = saved(items.select("item_id", word_hashes(F.col("text")).alias("iw")).distinct())
-    seeds = saved(positions(item, "iw", "__j", "item_id").distinct())
+    short = [r[0] for r in item.where(F.size("iw").between(1, SPAN - 1)).select(F.size("iw")).distinct().collect()]  # SPAN - 1 at most
+    seeds = positions(item, "iw", "__j", "item_id")
+    for n in short:
+        seeds = seeds.unionByName(short_seeds(item.where(F.size("iw") == n), "iw", "__j", n, "item_id"))
+    seeds = saved(seeds.distinct())
     key = F.xxhash64("doc_id", "text").alias("__key")
     words = staged(docs.select(key, "text"), "w", word_hashes(F.col("text"))).drop("text")
     start = (F.col("__i") - F.col("__j")).alias("start_word")
-    hits = positions(words, "w", "__i", "__key").join(small_side(seeds, seeds.count(), max_broadcast), "seed")
+    places = positions(words, "w", "__i", "__key")
+    for n in short:
+        places = places.unionByName(short_seeds(words, "w", "__i", n, "__key"))
+    hits = places.join(small_side(seeds, seeds.count(), max_broadcast), "seed")
     hits = saved(hits.select("__key", "item_id", start).distinct())
     held = docs.select("doc_id", "text", key).join(hits, "__key")
     aligned = held.select("__key", "doc_id", "item_id", "start_word", word_hashes(F.col("text")).alias("w")).join(item, "item_id")

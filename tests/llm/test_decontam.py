@@ -63,3 +63,18 @@ def test_removal_is_by_text_where_ids_are_null_or_repeated(spark, docs):
     rows = [(None, ITEM), (None, "a clean text"), (None, None), (7, ITEM + " again"), (7, "another clean text")]
     kept = decontam.without_leaks(docs(rows), bench).collect()
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, ""), (0, "a clean text"), (7, "another clean text")]
+
+
+def test_parts_insertions_and_short_items(spark, docs):
+    item = [f"w{k}" for k in range(60)]
+    halves = item[:9] + ["put"] + item[9:17]  # 17 words of its own item, one put in
+    rows = [
+        (1, "aa bb " + " ".join(item[5:50]) + " cc"), (2, "x " + " ".join(item[:30] + ["put", "in"] + item[30:])), (3, " ".join(item[:29] + item[30:])),
+        (4, " ".join(item[:8]) + " and no more of it"), (5, "y " + " ".join(halves)), (6, "it says Blue Moon here"), (7, "blue and moon"), (8, "blue moon"), (9, " ".join(item[20:33])),
+    ]
+    items = [(10, " ".join(item), "", 0), (11, " ".join(item[:17]), "", 0), (12, "blue moon", "", 0), (13, "alone", "", 0)]
+    got = found(docs, spark, rows, items)
+    assert [r for r in got if r[1] == 10] == [(1, 10, 2, 13, 13), (2, 10, 1, 60, 60), (3, 10, 0, 60, 59), (9, 10, 0, 13, 13)]
+    assert {(r[0], r[3], r[4]) for r in got if r[1] == 11 and r[0] in (3, 4, 5)} == {(3, 17, 17), (5, 17, 17)}
+    assert [r for r in got if r[1] == 12] == [(6, 12, 2, 2, 2), (8, 12, 0, 2, 2)]
+    assert not [r for r in got if r[1] == 13]
