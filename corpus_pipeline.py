@@ -32,9 +32,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixed.repartitionByRange("mix_slot", "doc_id").sortWithinPartitions("mix_slot", "doc_id").select(*docs.columns)
 
 
-def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deals the documents to shards within the byte limit."""
-    return sharding.shard_rows(docs, SHARD_BYTES)
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: dict | None = None) -> DataFrame:
+    """Deals the documents to shards within the byte limit. The order of the mixing stage's files
+    doesn't outlast a join, so each row's slot is computed again and returned (mix_source,
+    mix_block, mix_slot); within a shard, rows are in the order of their slots."""
+    mixed = mixing.mix_sources(docs, weights, block_bytes=BLOCK_BYTES)
+    return sharding.shard_rows(mixed, SHARD_BYTES).repartition("shard").sortWithinPartitions("shard", "mix_slot", "doc_id")
 
 
 STAGES = [

@@ -75,3 +75,16 @@ def test_stages(spark, sf):
     assert {r["shard_bytes"] <= queries.SHARD_BYTES or r["shard_rows"] == 1 for r in rows} == {True}
     whole = {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()}
     assert whole == after
+
+
+def test_the_mixture_reaches_the_output(spark, docs, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "BLOCK_BYTES", 100)
+    made = docs([(k, "x" * 50, "ab"[k % 2]) for k in range(80)])
+    slots = {}
+    for weights in ({"a": 1, "b": 1}, {"a": 9, "b": 1}):
+        rows = corpus_pipeline.sharding_stage(spark, made, "", weights).collect()
+        assert [r["mix_slot"] for r in rows] == sorted(r["mix_slot"] for r in rows) and {r["shard"] for r in rows} == {""}
+        slots[weights["a"]] = {r["doc_id"]: r["mix_slot"] for r in rows}
+        first = [r["source"] for r in rows if r["mix_slot"] < 20]
+        assert abs(first.count("a") / len(first) - weights["a"] / sum(weights.values())) < 0.06
+    assert slots[1] != slots[9] and len(slots[1]) == len(slots[9]) == 80
