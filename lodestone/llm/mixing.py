@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+from fractions import Fraction
+from itertools import islice
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small_side
 
-#: Slots of a period: target weights are whole multiples of one slot in so many.
+#: Slots of a period of `quotas` and `pfair_period`, which round weights; `mix_sources` doesn't.
 PERIOD = 1000
-#: Sources above this number are refused: one slot a period is the least weight.
-MAX_SOURCES = PERIOD
+#: Blocks whose slots are handed to Spark at once.
+PLAN_ROWS = 500_000
+#: Slots of blocks are broadcast up to so many rows.
+MAX_BROADCAST_ROWS = 200_000
 #: Rows of a source that are ranked within one task.
 BUCKET_ROWS = 20_000
 
@@ -51,12 +57,61 @@ def pfair_period(slots: dict, period: int = PERIOD) -> list[tuple]:
     return out
 
 
+def pfair_slots(weights: dict, blocks: dict):
+    """Yields (slot, source, k) of the first blocks[s] blocks of each source, in the order of slots.
+
+    As in `pfair_period`, but releases and deadlines come from the exact weights (as fractions), so
+    no error adds up and any number of sources may be given: after any slot, a source that is not
+    used up is less than one block away from its share. A source that is used up goes on taking
+    slots, which stay empty, as long as the others have half of the weight; then these alone are
+    scheduled, so that the steps are in proportion to the blocks, not to the slots.
+    """
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    names = sorted(exact, key=str)
+    whole = [int(exact[s] * scale) for s in names]
+    need = [blocks.get(s, 0) for s in names]
+    total = sum(whole)
+    live, left = sum(w for w, n in zip(whole, need, strict=True) if n), sum(n > 0 for n in need)
+    ready = [(-(-total // w), i, 0) for i, w in enumerate(whole)]
+    heapq.heapify(ready)
+    later: list[tuple] = []
+    t = 0
+    while left:
+        while later and later[0][0] <= t:
+            _, i, k = heapq.heappop(later)
+            heapq.heappush(ready, (-(-(k + 1) * total // whole[i]), i, k))
+        if not ready:
+            t = later[0][0]
+            continue
+        due, i, k = heapq.heappop(ready)
+        if k >= need[i] and 2 * live < total:
+            continue
+        assert t < due, "a deadline was missed"
+        if k < need[i]:
+            yield t, names[i], k
+            if k + 1 == need[i]:
+                left, live = left - 1, live - whole[i]
+        heapq.heappush(later, ((k + 1) * total // whole[i], i, k + 1))
+        t += 1
+
+
+def slot_table(spark: SparkSession, weights: dict, blocks: dict) -> DataFrame:
+    """(mix_source, mix_block, mix_slot) of all blocks, written in portions."""
+    slots, out = pfair_slots(weights, blocks), None
+    while part := list(islice(slots, PLAN_ROWS)):
+        t, s, k = zip(*part, strict=True)
+        rows = saved(spark.createDataFrame(pa.table({"mix_source": pa.array(s, pa.string()), "mix_block": pa.array(k, pa.int64()), "mix_slot": pa.array(t, pa.int64())})))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def target_weights(sizes: dict, power: float = 0.5) -> dict:
     """Weights in proportion to a power of the sources' bytes: large sources are tempered."""
     return {s: max(1.0, float(b)) ** power for s, b in sizes.items()}
 
 
-def mix_sources(df: DataFrame, weights: dict | None = None, block_bytes: int = 1 << 20, key: str = "doc_id", source: str = "source", period: int = PERIOD) -> DataFrame:
+def mix_sources(df: DataFrame, weights: dict | None = None, block_bytes: int = 1 << 20, key: str = "doc_id", source: str = "source") -> DataFrame:
     """`df` with mix_source, mix_block and mix_slot: the place of each row in the mixture.
 
     A source's rows, in the order of their hashes, fill blocks of `block_bytes` of text; a row
@@ -66,26 +121,23 @@ def mix_sources(df: DataFrame, weights: dict | None = None, block_bytes: int = 1
 
     A null source is a source of its own, named ''. Null text has 0 bytes. Repeated rows lie next
     to each other. `weights` default to `target_weights` of the sources' sizes; a source that is
-    not among given weights has weight 0 and is refused. More than `period` sources are refused.
+    not among given weights has weight 0 and is refused. Slots are computed on the driver, in a few
+    steps a block; its memory holds the sources' names and weights and a portion of the slots.
     """
     kept = df.drop("mix_source", "mix_block", "mix_slot")
     rows = kept.withColumn("mix_source", F.coalesce(F.col(source).cast("string"), F.lit("")))
     rows = rows.withColumn("__bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     rows = rows.withColumn("__order", F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    sizes = rows.groupBy("mix_source").agg(F.sum("__bytes").alias("b"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(sizes) > period:
-        raise ValueError(f"more than {period} sources: group them first")
+    sizes = rows.groupBy("mix_source").agg(F.sum("__bytes").alias("b"), F.count("*").alias("n")).collect()
     if not sizes:
         return kept.withColumns({"mix_source": F.lit(""), "mix_block": F.lit(0).cast("long"), "mix_slot": F.lit(0).cast("long")})
     weights = target_weights({r[0]: r[1] for r in sizes}) if weights is None else weights
     if missing := [r[0] for r in sizes if not weights.get(r[0])]:
         raise ValueError(f"no weight for {missing[:5]}")
     present = {r[0] for r in sizes}
-    slots = quotas({s: w for s, w in weights.items() if w and s in present}, period)
-    spark = df.sparkSession
-    # A slot table of one period: `period` rows, whatever the data; so it may be broadcast.
-    plan = spark.createDataFrame(pfair_period(slots, period), "__t long, mix_source string, __k long")
-    share = F.create_map(*[F.lit(x) for s, n in slots.items() for x in (s, n)])
+    # A row of 0 bytes after the last full block starts one more.
+    blocks = {r[0]: r[1] // block_bytes + 1 for r in sizes}
+    plan = slot_table(df.sparkSession, {s: w for s, w in weights.items() if w and s in present}, blocks)
 
     # Bytes before a row in its source, without one task per source: hash ranges are summed first.
     digits = max(1, math.ceil(math.log(max(r[2] for r in sizes) / BUCKET_ROWS + 1, 16)))
@@ -96,9 +148,5 @@ def mix_sources(df: DataFrame, weights: dict | None = None, block_bytes: int = 1
     thin = rows.select(F.col("mix_source"), "__range", "__order", "__bytes", *[c for c in kept.columns])
     placed = thin.join(before, ["mix_source", "__range"]).withColumn("__at", F.col("__before") + F.coalesce(F.sum("__bytes").over(inside), F.lit(0)))
     placed = placed.withColumn("mix_block", F.floor(F.col("__at") / block_bytes))
-    n = F.element_at(share, F.col("mix_source"))
-    placed = placed.withColumn("__k", F.pmod("mix_block", n)).join(F.broadcast(plan), ["mix_source", "__k"])
-    placed = placed.withColumn("mix_slot", F.floor(F.col("mix_block") / n) * period + F.col("__t"))
+    placed = placed.join(small_side(plan, sum(blocks.values()), MAX_BROADCAST_ROWS), ["mix_source", "mix_block"])
     return placed.select(*kept.columns, "mix_source", "mix_block", "mix_slot")
-
-

@@ -48,3 +48,34 @@ def test_rows_stay_and_bad_weights_are_refused(docs):
     assert mixing.mix_sources(docs([])).count() == 0
     with pytest.raises(ValueError):
         mixing.mix_sources(docs(rows), {"other": 1})
+
+
+def test_exact_weights_over_many_periods():
+    weights = {f"s{k}": math.sqrt(k + 2) for k in range(20)} | {"rare": 0.0001}
+    total = sum(weights.values())
+    blocks = {s: int(40_000 * w / total) + 1 for s, w in weights.items()}
+    done, slots = dict.fromkeys(weights, 0), 0
+    for t, s, k in mixing.pfair_slots(weights, blocks):
+        assert k == done[s]
+        done[s] += 1
+        if t < 39_000:
+            assert t == slots
+            slots += 1
+            if t % 97 == 0 or t > 38_900:
+                assert all(abs(done[x] - (t + 1) * weights[x] / total) < 1 + 1e-6 for x in weights)
+    assert done == blocks
+
+
+def test_used_up_sources_leave_the_others_their_windows():
+    weights, blocks = {"a": 1, "b": 98, "c": 1}, {"a": 50, "b": 3, "c": 20}
+    seen = list(mixing.pfair_slots(weights, blocks))
+    assert len(seen) == 73 and len({t for t, *_ in seen}) == 73
+    assert all(k * 100 // weights[s] <= t < -(-(k + 1) * 100 // weights[s]) for t, s, k in seen)
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_more_than_a_thousand_sources(docs, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(mixing, "PLAN_ROWS", 500)
+    rows = mixing.mix_sources(docs([(k, "x" * 10, f"host{k % 1200}") for k in range(2400)]), block_bytes=10).collect()
+    assert len(rows) == 2400 and len({r["mix_slot"] for r in rows}) == 2400
