@@ -110,12 +110,96 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(asked, "doc_id").select("text", "asked").mapInArrow(run, "cls long, items array<long>")
 
 
+def span_words(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc_id, first, last, items, before, after): the words from one paragraph through another,
+    with the paragraph before and the one after, which have so many words."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    asked = spans.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("asked"))  # as many as a text has
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                word, unit, row, _, _, size = paragraphs(part.column("text"))
+                start = np.append(0, np.cumsum(size))
+                head = np.searchsorted(row, np.arange(part.num_rows + 1))
+                at, items, rest = [], [], []
+                for r, asked in enumerate(part.column("asked").to_pylist()):
+                    for a in asked:
+                        lo, hi = head[r] + a["first"], head[r] + a["last"] + 1
+                        if hi <= head[r + 1]:  # else of another row with the same id
+                            out, end = max(lo - 1, head[r]), min(hi + 1, head[r + 1])
+                            at.append(r)
+                            items.append(word[start[out] : start[end]].view(np.int64))
+                            rest.append((a["first"], a["last"], int(start[lo] - start[out]), int(start[end] - start[hi])))
+                ints = [pa.array([x[k] for x in rest], pa.int32()) for k in range(4)]
+                arrays = [part.column("doc_id").take(pa.array(at, pa.int64())), pa.array(items, pa.list_(pa.int64())), *ints]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "items", "first", "last", "before", "after"])
+
+    words = docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(run, f"doc_id {kind}, items array<long>, first int, last int, before int, after int")
+    return words.dropDuplicates(["doc_id", "first", "last"])
+
+
+def same_words(a: np.ndarray, b: np.ndarray) -> int:
+    """How many first words are the same."""
+    n = min(len(a), len(b))
+    return n if (a[:n] == b[:n]).all() else int(np.argmin(a[:n] == b[:n]))
+
+
+def similar_spans(both: DataFrame, percent: int) -> DataFrame:
+    """The rows whose spans have a Jaccard similarity of `percent` or more; equal words next to both
+    ends, which a paragraph's cut in the context hides, belong to the spans."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            columns = [batch.column(f"{s}{c}") for s in ("", "k_") for c in ("items", "before", "after")]
+            for k in range(batch.num_rows):
+                (a, a0, a1), (b, b0, b1) = ((np.asarray(w[k].values, np.int64).view(np.uint64), x[k].as_py(), y[k].as_py()) for w, x, y in (columns[:3], columns[3:]))
+                left = same_words(a[:a0][::-1], b[:b0][::-1])
+                right = same_words(a[len(a) - a1 :], b[len(b) - b1 :])
+                a, b = a[a0 - left : len(a) - a1 + right], b[b0 - left : len(b) - b1 + right]
+                x, y = (shingles_of(w, np.zeros(len(w), np.int64), 1, SHINGLE)[0] for w in (a, b))
+                inter = len(np.intersect1d(x, y))
+                keep.append(100 * inter >= percent * (len(x) + len(y) - inter))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, both.schema)
+
+
+def bridges(docs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, first, last): the paragraphs, by number, from one matched run through the next, where
+    the text with what is between is similar to the text that both runs are copies of; and that text.
+
+    A run here is of neighbours whose clusters' first occurrences are neighbours, too.
+    """
+    by = Window.partitionBy("doc_id").orderBy("number", "first_word")
+    k = F.struct(F.col("keeper.doc_id").alias("doc_id"), F.col("keeper.number").alias("number"))
+    rows = units.where("keeper.doc_id <> doc_id or keeper.number <> number").select("doc_id", "number", "first_word", k.alias("k"))
+    goes_on = (F.col("number") == F.lag("number").over(by) + 1) & (F.col("k.doc_id") == F.lag("k.doc_id").over(by)) & (F.col("k.number") == F.lag("k.number").over(by) + 1)
+    rows = rows.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
+    runs = rows.groupBy("doc_id", "run").agg(F.min("number").alias("first"), F.max("number").alias("last"), F.min("k").alias("k0"), F.max("k").alias("k1"))
+    nexts = Window.partitionBy("doc_id").orderBy("run")
+    after = {c: F.lead(c).over(nexts) for c in ("first", "last", "k0", "k1")}
+    pairs = runs.select("doc_id", "first", F.col("last").alias("end"), "k0", "k1", *[x.alias(f"next_{c}") for c, x in after.items()])
+    pairs = pairs.where("k1.doc_id = next_k0.doc_id and k1.number < next_k0.number and end < next_first")
+    pairs = saved(pairs.select("doc_id", "first", F.col("next_last").alias("last"), F.col("k0.doc_id").alias("k_doc"), F.col("k0.number").alias("k_first"), F.col("next_k1.number").alias("k_last")))
+    theirs = pairs.select(F.col("k_doc").alias("doc_id"), F.col("k_first").alias("first"), F.col("k_last").alias("last"))
+    words = saved(span_words(docs, pairs.select("doc_id", "first", "last").unionByName(theirs).distinct()))
+    of = words.select(F.col("doc_id").alias("k_doc"), *[F.col(c).alias(f"k_{c}") for c in ("first", "last", "items", "before", "after")])
+    both = pairs.join(words, ["doc_id", "first", "last"]).join(of, ["k_doc", "k_first", "k_last"])
+    found = saved(similar_spans(both, percent).select("doc_id", "first", "last", "k_doc", "k_first", "k_last"))
+    mirrored = found.select(F.col("k_doc").alias("doc_id"), F.col("k_first").alias("first"), F.col("k_last").alias("last"))
+    return found.select("doc_id", "first", "last").unionByName(mirrored).distinct()
+
+
 def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, first_word, n_words, n_paragraphs, n_removed, component): the runs of repeated
     paragraphs of at least `min_words` words, in documents that have any.
 
     `component` is the least cluster in the run, named after its first paragraph (doc_id:number);
-    n_removed counts the run's paragraphs that are not the first of their cluster. Null texts have
+    n_removed counts the run's paragraphs that are not the first of their cluster. Paragraphs that
+    have no copy but stand between such that have belong to the run if the text with them is similar
+    to its copy (see `bridges`); they count in n_words alone. Null texts have
     no paragraphs; null ids are left out; repeated rows repeat each other; an empty table gives
     none; other columns are ignored.
     """
@@ -135,10 +219,20 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = MIN
     classes = classes.withColumn("comp", F.coalesce("component", "cls"))
     comps = classes.groupBy("comp").agg(F.sum("n").alias("n"), F.min("one").alias("keeper")).where("n > 1").drop("n")
     repeated = saved(classes.select("cls", "comp").join(comps, "comp").select("cls", "keeper"))
-    units = found.select("doc_id", "number", "first_word", "n_words", "cls").distinct().join(repeated, "cls")
-    by = Window.partitionBy("doc_id").orderBy("number", "first_word")
-    units = units.withColumn("run", F.col("number") - F.row_number().over(by))
+    units = saved(found.select("doc_id", "number", "first_word", "n_words", "cls").distinct().join(repeated, "cls"))
     removed = F.when((F.col("keeper.doc_id") == F.col("doc_id")) & (F.col("keeper.number") == F.col("number")), 0).otherwise(1)
-    runs = units.groupBy("doc_id", "run").agg(F.min("first_word").alias("first_word"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_paragraphs"), F.sum(removed).alias("n_removed"), F.min("keeper").alias("k"))
+    # Runs are unions of word ranges: of the repeated paragraphs, and of bridges, which count as none.
+    end = (F.col("first_word") + F.col("n_words")).alias("end")
+    matched = units.select("doc_id", "first_word", end, F.lit(1).alias("one"), removed.alias("removed"), "keeper")
+    bridge = bridges(docs, units, percent)
+    for side, word in (("first", F.col("first_word")), ("last", F.col("first_word") + F.col("n_words"))):
+        bridge = bridge.join(units.groupBy("doc_id", F.col("number").alias(side)).agg(F.max(word).alias(f"{side}_at")), ["doc_id", side])
+    spans = matched.unionByName(bridge.select("doc_id", F.col("first_at").alias("first_word"), F.col("last_at").alias("end")), allowMissingColumns=True)
+    by = Window.partitionBy("doc_id").orderBy("first_word", F.desc("end"))
+    spans = spans.withColumn("reach", F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    spans = spans.withColumn("run", F.sum(F.when(F.col("first_word") <= F.col("reach"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = spans.groupBy("doc_id", "run").agg(
+        F.min("first_word").alias("first_word"), (F.max("end") - F.min("first_word")).alias("n_words"), F.count("one").alias("n_paragraphs"), F.sum("removed").alias("n_removed"), F.min("keeper").alias("k")
+    )
     runs = runs.where(F.col("n_words") >= min_words)
     return runs.select("doc_id", "first_word", "n_words", "n_paragraphs", "n_removed", F.concat_ws(":", "k.doc_id", "k.number").alias("component"))

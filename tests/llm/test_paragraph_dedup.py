@@ -44,3 +44,20 @@ def test_near_copies_of_a_paragraph_are_linked(docs):
     rows = [(k, " ".join([*base[:59], f"end{k}"])) for k in range(5)]
     found = paragraph_dedup.repeated_paragraphs(docs(rows)).collect()
     assert {r["doc_id"] for r in found} == set(range(5))
+
+
+def test_a_word_changed_in_the_middle_of_a_passage(docs):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    words = lambda n: [word() for _ in range(n)]
+    rows, where = [], {}
+    for k in range(40):
+        passage = words(64)
+        changed = passage[:32] + ["changed"] + passage[33:]
+        for at, text in enumerate((passage, changed)):
+            rows.append((2 * k + at, " ".join([*words(30 + at), *text, *words(40)])))
+            where[2 * k + at] = 30 + at
+    found = paragraph_dedup.repeated_paragraphs(docs(rows)).collect()
+    over = {r["doc_id"] for r in found if r["first_word"] <= where[r["doc_id"]] + 25 and r["first_word"] + r["n_words"] >= where[r["doc_id"]] + 40}
+    assert len(over) >= 72, len(over)
+    assert all(where[r["doc_id"]] - 1 <= r["first_word"] and r["first_word"] + r["n_words"] <= where[r["doc_id"]] + 66 for r in found)
