@@ -143,6 +143,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, swap_pen
     return Model(weights, float(bias))
 
 
+def batch_scores(column, model: Model) -> np.ndarray:
+    """The probability of label 1 of each text of a batch; null counts as empty."""
+    feature, row = batch_features(column.fill_null(""))
+    used = model.weights[feature] != 0
+    feature, row = distinct(feature[used], row[used])
+    z = model.bias + np.bincount(row, model.weights[feature], len(column))
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def score_texts(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score): the probability of label 1 of each whole text; null counts as empty."""
     kind = df.schema[key].dataType.simpleString()
@@ -150,12 +159,7 @@ def score_texts(df: DataFrame, model: Model, key: str = "doc_id", text: str = "t
     def run(batches):
         for batch in batches:
             for part in slices(batch, text):
-                column = part.column(text).fill_null("")
-                feature, row = batch_features(column)
-                used = model.weights[feature] != 0
-                feature, row = distinct(feature[used], row[used])
-                z = model.bias + np.bincount(row, model.weights[feature], part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=[key, "score"])
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(batch_scores(part.column(text), model))], names=[key, "score"])
 
     return df.select(key, text).mapInArrow(run, f"{key} {kind}, score double")
 
@@ -180,15 +184,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     judged by their own text."""
     model = fit(docs, labels.where(~is_held_out()))
 
-    @F.pandas_udf("double")
-    def toxicity(texts):
-        column = pa.array(texts, pa.string(), from_pandas=True).fill_null("")
-        feature, row = batch_features(column)
-        used = model.weights[feature] != 0
-        feature, row = distinct(feature[used], row[used])
-        z = model.bias + np.bincount(row, model.weights[feature], len(texts))
-        import pandas as pd
-
-        return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(batch_scores(part.column("text"), model) < 0.5))
 
-    return docs.where(toxicity(F.col("text")) < 0.5)
+    return docs.mapInArrow(run, docs.schema)

@@ -63,3 +63,16 @@ def test_without_labels_and_empty_table(spark, docs):
 def test_given_tables(spark, sf):
     got = toxicity.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
     assert got.count() == table(spark, sf, "documents").count()
+
+
+def test_the_stage_takes_very_long_texts_null_ids_and_empty_tables(spark, docs):
+    nice, foul = "calm green river " * 3, "vile rotten swine " * 3
+    rows = [(k, (foul if k % 2 else nice) + f"w{k}") for k in range(200)] + [(None, foul), (None, nice), (7, None), (500, "calm river " * 200_000), (501, "rotten swine " * 200_000)]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(200)], "doc_id long, quality int, toxic int")
+    made = docs(rows)
+    left = toxicity.without_toxic(made, labels)
+    kept = left.collect()
+    assert left.columns == made.columns
+    assert {r["doc_id"] for r in kept} >= {k for k in range(0, 200, 2)} | {500} and 501 not in {r["doc_id"] for r in kept}
+    assert not {r["doc_id"] for r in kept if r["text"] and "vile" in r["text"]} and [r["text"] for r in kept if r["doc_id"] is None] == [nice]
+    assert toxicity.without_toxic(docs([]), labels).collect() == []
