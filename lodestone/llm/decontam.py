@@ -152,7 +152,7 @@ def keyed_overlaps(docs: DataFrame, items: DataFrame, min_match: float = 0.8, ma
         places = places.unionByName(short_seeds(words, "w", "__i", n, "__key"))
     hits = places.join(small_side(seeds, seeds.count(), max_broadcast), "seed")
     hits = saved(hits.select("__key", "item_id", start).distinct())
-    held = docs.select("doc_id", "text", key).join(hits, "__key")
+    held = docs.select("doc_id", "text", key).join(hits.hint("merge"), "__key")  # never a broadcast: hits grow with the documents
     aligned = held.select("__key", "doc_id", "item_id", "start_word", word_hashes(F.col("text")).alias("w")).join(item, "item_id")
     return verified(aligned, min_match)
 
