@@ -8,10 +8,8 @@ are skipped altogether. Collisions of a candidate pair are counted over the whol
 what reaches the threshold is confirmed on the full sets.
 
 No list is expanded into all its pairs. Its members are compared with its leader (the set that
-shares most pairs with others) first; what that joins into one component needs no more comparisons.
-Leaders of the components that are left follow. Members that are still apart are compared only if
-the shingles that they lack of the leader's, and have beyond them, leave room for a similarity of 0.8:
-of those beyond, two members can have in common only what at least two members have.
+shares most pairs with others); after that, two of them are compared only if they differ from the
+leader alike (`linked_components`).
 """
 
 from __future__ import annotations
@@ -25,7 +23,9 @@ from .common import column_bytes, components, mix, powers, saved, shingles_of, s
 
 COORDINATES = 64
 MATCHES = 36
-#: Rounds in which leaders are compared with their lists before members are.
+#: A set with fewer collisions with its leader has no partner near the leader (four deviations below 0.5).
+NEAR_MATCHES = 16
+#: Rounds of leaders, see `linked_components`.
 ROUNDS = 3
 #: Keys are broadcast up to so many rows.
 MAX_BROADCAST_ROWS = 200_000
@@ -81,61 +81,87 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, max_broadcast: int) -> DataFrame:
-    """(cls, text): the text of a document of each wanted class (cls, key). Where a row of the table
-    is repeated, so is its text here, which only repeats comparisons."""
-    wanted = small_side(wanted, wanted.count(), max_broadcast)
-    return docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(wanted, "key").select("cls", "text")
-
-
-def compared_texts(texts: DataFrame, size: int):
-    """A comparison of pairs (a, b) of classes by the shingles of their whole texts: (a, b, inter, n_a,
-    n_b), with `beyond` half the hash of each shingle that only b has. Texts are shuffled, not sets:
-    compressed, they are a fraction of the size of their hashes."""
-
-    def shared(left, right, rows: int):
-        """Sizes of both sets, of the intersection, and what the right one has beyond the left."""
-        (va, _, na), (vb, _, nb) = (shingle_sets(c, size) for c in (left, right))
-        ra, rb = np.repeat(np.arange(rows), na), np.repeat(np.arange(rows), nb)
-        value, row = np.concatenate([va, vb]), np.concatenate([ra, rb])
-        order = np.lexsort((value, row))
-        twice = np.zeros(len(order), bool)
-        same = (value[order[1:]] == value[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        held = twice[len(va) :]
-        return na, nb, np.bincount(rb[held], minlength=rows), vb[~held], rb[~held]
-
-    def compare(pairs: DataFrame, beyond: bool = False) -> DataFrame:
-        with_b = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
-        both = with_b.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    """(cls, text): the text of a document of each wanted class (cls, doc_id, key). Where a row of
+    the table is repeated, so is its text here, which only repeats comparisons."""
+    asked = small_side(wanted.select("cls", "key", F.col("doc_id").alias("__id")), wanted.count(), max_broadcast)
+    same = (F.col("__key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("__key"), "text").join(asked, same).select("cls", "text")
+
+
+def changed_sets(left, right, percent: int) -> pa.RecordBatch:
+    """Facts of pairs of sets (values, sizes), row by row: sizes, links, and what changed.
+
+    `near` and `settled` are similarities of 0.5 and 0.7. Of near pairs, `tokens` has half hashes of
+    what only the right set has, in order, then of what only the left one has; of linked ones no
+    more than `prefix` of them (see `linked_components`).
+    """
+    (va, na), (vb, nb) = left, right
+    rows = len(na)
+    value = np.concatenate([va, vb])
+    row = np.concatenate([np.repeat(np.arange(rows), na), np.repeat(np.arange(rows), nb)])
+    lost = np.arange(len(value)) < len(va)
+    order = np.lexsort((value, row))
+    value, row, lost = value[order], row[order], lost[order]
+    twice = np.zeros(len(value), bool)
+    same = np.flatnonzero((value[1:] == value[:-1]) & (row[1:] == row[:-1]))
+    twice[same] = True
+    inter = np.bincount(row[same], minlength=rows)
+    twice[same + 1] = True
+    union = na + nb - inter
+    near, settled, linked = 2 * inter >= union, 10 * inter >= 7 * union, 100 * inter >= percent * union
+    more, less = nb - inter, na - inter
+    prefix = more + less - (percent * more + 100 * less) // (100 + percent)
+    keep = ~twice & near[row]
+    value, row, lost = value[keep], row[keep], lost[keep]
+    order = np.lexsort((value, lost, row))
+    value, row = value[order], row[order]
+    begin = np.searchsorted(row, np.arange(rows))
+    keep = ~linked[row] | (np.arange(len(row)) - begin[row] < prefix[row])
+    value, row = value[keep], row[keep]
+    ends = np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)
+    half = (value >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    arrays = [*map(pa.array, (na.astype(np.int64), nb.astype(np.int64), (more + less).astype(np.int64), near, settled, linked, prefix.astype(np.int64)))]
+    return pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(ends), pa.array(half))], names=FACTS)
+
+
+FACTS = ["n_a", "n_b", "changes", "near", "settled", "linked", "prefix", "tokens"]
+FACT_TYPES = "a long, b long, n_a long, n_b long, changes long, near boolean, settled boolean, linked boolean, prefix long, tokens array<int>"
+
+
+def compared(sets: DataFrame, column: str, of_column, percent: int):
+    """A comparison of pairs (a, b) of classes by their full sets: (a, b) and `changed_sets`.
+
+    `sets` is (cls, column); of_column makes (values, sizes) of a batch's column: of whole texts,
+    which compressed are a fraction of the size of their hashes, or of sets at hand.
+    """
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        with_b = pairs.join(sets.select(F.col("cls").alias("b"), F.col(column).alias("__b")), "b")
+        both = with_b.join(sets.select(F.col("cls").alias("a"), F.col(column).alias("__a")), "a").select("a", "b", "__a", "__b")
 
         def run(batches):
             for batch in batches:
-                for part in slices(batch, "text_b", 1 << 20):
-                    na, nb, inter, more, row = shared(part.column("text_a"), part.column("text_b"), part.num_rows)
-                    arrays, names = [part.column("a"), part.column("b"), *map(pa.array, (inter.astype(np.int64), na.astype(np.int64), nb.astype(np.int64)))], ["a", "b", "inter", "n_a", "n_b"]
-                    if beyond:
-                        ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
-                        arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array((more >> np.uint64(32)).astype(np.uint32).view(np.int32))))
-                        names.append("beyond")
-                    yield pa.RecordBatch.from_arrays(arrays, names=names)
+                for part in slices(batch, "__b", 1 << 20):
+                    facts = changed_sets(of_column(part.column("__a")), of_column(part.column("__b")), percent)
+                    yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *facts.columns], names=["a", "b", *FACTS])
 
-        return both.mapInArrow(run, "a long, b long, inter long, n_a long, n_b long" + ", beyond array<int>" * beyond)
+        return both.mapInArrow(run, FACT_TYPES)
 
     return compare
 
 
-def compared_sets(sets: DataFrame):
-    """The same for small sets (cls, items) that are at hand."""
+def of_texts(size: int):
+    def sets(column):
+        value, _, counts = shingle_sets(column, size)
+        return value, counts
 
-    def compare(pairs: DataFrame, beyond: bool = False) -> DataFrame:
-        with_b = pairs.join(sets.select(F.col("cls").alias("b"), F.col("items").alias("items_b")), "b")
-        both = with_b.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("items_a")), "a")
-        more = [F.transform(F.array_except("items_b", "items_a"), lambda x: F.shiftright(x, 32).cast("int")).alias("beyond")] * beyond
-        inter = F.size(F.array_intersect("items_a", "items_b"))
-        return both.select("a", "b", inter.alias("inter"), F.size("items_a").alias("n_a"), F.size("items_b").alias("n_b"), *more)
+    return sets
 
-    return compare
+
+def of_items(column) -> tuple[np.ndarray, np.ndarray]:
+    """Sets held as binary columns of 8-byte values, sorted and distinct."""
+    data, offsets = column_bytes(column)
+    return np.ascontiguousarray(data).view(np.uint64), np.diff(offsets) // 8
 
 
 def prefixes(classes: DataFrame) -> DataFrame:
@@ -154,69 +180,84 @@ def prefixes(classes: DataFrame) -> DataFrame:
 def linked_components(posted: DataFrame, compare, percent: int, rounds: int = ROUNDS, member: DataFrame | None = None) -> DataFrame:
     """(node, component) of the classes in `posted` (token, cls, n, hub) that `compare` finds to have a
     Jaccard similarity of `percent` or more; only pairs that share a token are compared. With
-    `member` (cls, tokens), pairs with too few collisions in their signatures are left out."""
-
-    def similar_size(a, b):
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-    linked = 100 * F.col("inter") >= percent * (F.col("n_a") + F.col("n_b") - F.col("inter"))
-
-    def links_of(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are links, counted on signatures, then confirmed on full sets."""
-        enough = saved(pairs)
-        if member is not None:
-            of = lambda c: member.select(F.col("cls").alias(c), F.col("tokens").alias(f"tokens_{c}"))
-            counted = enough.join(of("b"), "b").join(of("a"), "a")
-            enough = saved(counted.where(F.size(F.filter(F.zip_with("tokens_a", "tokens_b", lambda x, y: x == y), lambda x: x)) >= MATCHES).select("a", "b"))
-        return saved(compare(enough).where(linked).select("a", "b"))
-
-    order = F.struct((-F.col("hub")).alias("hub"), F.col("cls").alias("cls"), F.col("comp").alias("comp"), F.col("n").alias("n"))
-
-    def live(groups: DataFrame) -> DataFrame:
-        """Rows of lists that still hold several components; `lead` is the list's first leader."""
-        rows = posted.join(groups.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-        lists = rows.groupBy("token").agg(F.min(order).alias("lead"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").drop("x", "y")
-        return rows.join(lists, "token")
-
-    # Every member meets its first leader on the full sets. What a member that is near (half alike)
-    # has beyond the leader is kept, as half hashes: two equal by chance only loosen the bound below.
-    near = 2 * F.col("inter") >= F.col("n_a") + F.col("n_b") - F.col("inter")
-    first = posted.withColumn("comp", F.col("cls"))
-    leads = first.groupBy("token").agg(F.min(order).alias("lead"))
-    pairs = saved(first.join(leads, "token").where("cls <> lead.cls").select(F.col("lead.cls").alias("a"), F.col("cls").alias("b")).distinct())
-    known = saved(compare(pairs, True).withColumn("beyond", F.when(near, F.col("beyond"))))
-    links = saved(known.where(linked).select("a", "b"))
-    groups = saved(components(links))
-    for _ in range(1, rounds):
-        rows = live(groups).where(F.col("comp") != F.col("lead.comp"))
-        nexts = rows.groupBy("token").agg(F.min(order).alias("next"))
-        rows = rows.join(nexts, "token").where((F.col("comp") != F.col("next.comp")) & similar_size(F.col("n"), F.col("next.n")))
-        found = links_of(rows.select(F.col("next.cls").alias("a"), F.col("cls").alias("b")).distinct())
-        if found.isEmpty():
-            break
-        links = links.unionByName(found)
-        groups = saved(components(links))
-
-    rest = live(groups).withColumn("lead_cls", F.col("lead.cls")).withColumn("own", F.col("comp") == F.col("lead.comp")).drop("lead").where("cls <> lead_cls")
-    # Shingles beyond the leader's that two near members have, counted without pairing these. If one
-    # of a pair is not near, all that is beyond may be shared.
-    apart = known.join(rest.select(F.col("lead_cls").alias("a"), F.col("cls").alias("b")).distinct(), ["a", "b"], "left_semi")
-    extra = apart.select("a", "b", F.explode("beyond").alias("s"))
-    common = extra.groupBy("a", "s").agg(F.count("*").alias("m")).where("m > 1").drop("m")
-    counts = extra.join(common, ["a", "s"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    facts = apart.join(counts, ["a", "b"], "left").select(
-        F.col("a").alias("lead_cls"), F.col("b").alias("cls"), F.col("n_a").alias("lead_n"), (F.col("n_b") - F.col("inter")).alias("more"), (F.col("n_a") - F.col("inter")).alias("less"), F.when(near, F.coalesce("shared", F.lit(0))).alias("shared")
-    ).dropDuplicates(["lead_cls", "cls"])
-    rest = saved(rest.join(facts, ["lead_cls", "cls"]))
-    x = rest.where("not own").select(*[F.col(c).alias(f"x_{c}") for c in ("token", "cls", "n", "comp", "more", "less", "shared")])
-    # With c shingles in common beyond the leader's, at least more + x_more - 2 c + |less - x_less|
-    # differ, of at most lead_n + more + x_more - c; c is at most the smaller `shared`.
-    both = F.col("more") + F.col("x_more")
-    c = F.when(F.col("shared").isNotNull() & F.col("x_shared").isNotNull(), F.least("shared", "x_shared")).otherwise(F.least("more", "x_more"))
-    room = 100 * (both - 2 * c + F.abs(F.col("less") - F.col("x_less"))) <= (100 - percent) * (F.col("lead_n") + both - c)
-    meet = (F.col("token") == F.col("x_token")) & (F.col("comp") != F.col("x_comp")) & (F.col("own") | (F.col("cls") > F.col("x_cls"))) & similar_size(F.col("n"), F.col("x_n")) & room
-    found = links_of(rest.join(x, meet).select(F.col("x_cls").alias("a"), F.col("cls").alias("b")).distinct())
-    return saved(components(links.unionByName(found)))
+    `member` (cls, tokens), collisions of signatures are counted before any comparison.
+
+    In each round every member of a list is compared with the list's leader. Let a member differ
+    from the leader by the set C of shingles; two members a, x then have |C_a| + |C_x| - 2 |C_a & C_x|
+    different shingles, so they are linked only if they have so many changes in common that, should
+    x not be linked to the leader, more than (percent * more_a + 100 * less_a) / (100 + percent) of
+    C_a are in C_x, too. So a prefix of C_a, in an order that all share, holds one of them: near
+    members (0.5 and more) are joined by leader and change, x by all of its changes and a by its
+    prefix, which leaves pairs that changed alike, not all pairs. A member that is 0.7 alike has all
+    its possible partners of the list among the near ones, and leaves the list. The next leader
+    follows; lists whose members are in one component end. What is left after `rounds` is far from
+    all leaders, and is joined by list, collisions being counted first.
+    """
+    links: DataFrame | None = None
+    alive, groups = posted, None
+
+    def enough(pairs: DataFrame, least: int) -> DataFrame:
+        if member is None:
+            return pairs
+        of = lambda c: member.select(F.col("cls").alias(c), F.col("tokens").alias(f"tokens_{c}"))
+        counted = pairs.join(of("b"), "b").join(of("a"), "a")
+        return counted.where(F.size(F.filter(F.zip_with("tokens_a", "tokens_b", lambda x, y: x == y), lambda x: x)) >= least).select("a", "b")
+
+    def grown(found: DataFrame) -> DataFrame:
+        nonlocal links
+        links = found if links is None else links.unionByName(found)
+        return saved(components(links))
+
+    def with_component(rows: DataFrame, cls: str) -> DataFrame:
+        return rows.join(groups.select(F.col("node").alias(cls), "component"), cls, "left").withColumn("comp", F.coalesce("component", cls)).drop("component")
+
+    order = F.struct((-F.col("hub")).alias("hub"), F.col("cls").alias("cls"))
+    for _ in range(rounds):
+        leads = alive.groupBy("token").agg(F.min(order).alias("lead")).select("token", F.col("lead.cls").alias("a"), (-F.col("lead.hub")).alias("hub_a"))
+        met = saved(alive.join(leads, "token").where("cls <> a").withColumnRenamed("cls", "b"))
+        pairs = saved(met.select("a", "b").distinct())
+        known = saved(compare(saved(enough(pairs, NEAR_MATCHES))))
+        groups = grown(saved(known.where("linked").select("a", "b")))
+        found = saved(compare(saved(enough(changed_alike(known, met, with_component, percent), MATCHES))).where("linked").select("a", "b"))
+        if not found.isEmpty():
+            groups = grown(found)
+        left = met.join(known.where("settled").select("a", "b"), ["a", "b"], "left_anti").select("token", F.col("b").alias("cls"), "n", "hub")
+        left = with_component(left, "cls")
+        several = left.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
+        alive = saved(left.join(several, "token", "left_semi").select("token", "cls", "n", "hub"))
+        if alive.isEmpty():
+            return groups
+    rest = saved(with_component(alive, "cls"))
+    x = rest.select("token", F.col("cls").alias("x_cls"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
+    apart = (F.col("comp") != F.col("x_comp")) & (F.col("cls") > F.col("x_cls")) & similar_size(F.col("n"), F.col("x_n"), percent)
+    pairs = rest.join(x, "token").where(apart).select(F.col("x_cls").alias("a"), F.col("cls").alias("b")).distinct()
+    found = saved(compare(saved(enough(saved(pairs), MATCHES))).where("linked").select("a", "b"))
+    return grown(found)
+
+
+def similar_size(a, b, percent: int):
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def changed_alike(known: DataFrame, met: DataFrame, with_component, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of different components, near one leader, that have enough of their
+    changes in common. A pair whose members both have their pivot (of the leaders they are near, the
+    one that shares most) in common is looked for under that alone."""
+    hubs = met.select("a", "hub_a").distinct()
+    near = known.where("near").join(hubs, "a")
+    pivots = near.groupBy("b").agg(F.max(F.struct("hub_a", "a")).alias("p")).select("b", F.col("p.a").alias("pivot"))
+    near = saved(with_component(near.join(pivots, "b"), "b").drop("n_a", "near", "settled", "hub_a"))
+    live = near.groupBy("a").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("pivot").alias("p0"), F.max("pivot").alias("p1"))
+    live = live.where("c0 <> c1 and (p0 <> p1 or p0 = a)").select("a")
+    rows = near.join(live, "a", "left_semi").withColumnRenamed("a", "lead")
+    x = rows.where("not linked").select("lead", *[F.col(c).alias(f"x_{c}") for c in ("b", "n_b", "changes", "comp", "pivot")], F.explode("tokens").alias("t"))
+    y = rows.select("lead", "b", "n_b", "changes", "comp", "pivot", "prefix", F.explode(F.slice("tokens", F.lit(1), F.greatest(F.col("prefix").cast("int"), F.lit(0)))).alias("t"))
+    meet = (F.col("comp") != F.col("x_comp")) & similar_size(F.col("n_b"), F.col("x_n_b"), percent) & ((F.col("pivot") != F.col("x_pivot")) | (F.col("pivot") == F.col("lead")))
+    both = x.join(y, ["lead", "t"]).where(meet).groupBy("lead", "x_b", "b").agg(F.count("*").alias("common"), *[F.first(c).alias(c) for c in ("n_b", "x_n_b", "changes", "x_changes", "prefix")])
+    # All changes that they can have in common: those counted, and what is beyond b's prefix.
+    most = F.col("common") + F.col("changes") - F.col("prefix")
+    fits = (100 + percent) * (F.col("changes") + F.col("x_changes") - 2 * most) <= (100 - percent) * (F.col("n_b") + F.col("x_n_b"))
+    return both.where(fits).select(F.least("x_b", "b").alias("a"), F.greatest("x_b", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = ROUNDS, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -245,15 +286,15 @@ def judged_classes(docs: DataFrame, size: int = 5, percent: int = 80, rounds: in
     signed = saved(signatures(docs, size))
     # Classes are numbered, since numbers are shuffled at half the cost of their hashes.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("least")
-    classes = signed.where("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.first("key").alias("key"), least)
-    classes = saved(classes.withColumnRenamed("cls", "hash").withColumn("cls", F.monotonically_increasing_id()))
+    of_hash = signed.where("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), least)
+    classes = saved(of_hash.withColumnRenamed("cls", "hash").withColumn("cls", F.monotonically_increasing_id()))
     posted = saved(prefixes(classes))
     lists = posted.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     posted = saved(posted.join(lists, "token").drop("m"))
     listed = posted.select("cls").distinct()
-    member = saved(classes.join(listed, "cls", "left_semi").select("cls", "tokens", "key"))
-    texts = saved(texts_of(docs, member.select("cls", "key"), max_broadcast))
-    groups = linked_components(posted, compared_texts(texts, size), percent, rounds, member.drop("key"))
+    member = saved(classes.join(listed, "cls", "left_semi").select("cls", "tokens", "least.doc_id", "least.key"))
+    texts = saved(texts_of(docs, member.select("cls", "doc_id", "key"), max_broadcast))
+    groups = linked_components(posted, compared(texts, "text", of_texts(size), percent), percent, rounds, member.select("cls", "tokens"))
 
     of_class = classes.select("hash", "cls", "least").join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("hash", "least", F.coalesce("component", "cls").alias("comp"))
     of_comp = of_class.groupBy("comp").agg(F.min("least").alias("keeper"))
@@ -266,9 +307,10 @@ def without_copies(docs: DataFrame, **how) -> DataFrame:
     an id one stays, since nothing says that they are one document. Null and blank texts are
     copies of nothing."""
     signed, of_class = judged_classes(docs, **how)
-    copies = signed.select("cls", "key").join(of_class, "cls").where("key <> keeper.key").select(F.col("key").alias("__copy")).distinct()
+    judged = signed.select("cls", "key", "doc_id").join(of_class, "cls")
+    copies = judged.where("key <> keeper.key or not (doc_id <=> keeper.doc_id)").select(F.col("key").alias("__copy"), F.col("doc_id").alias("__id")).distinct()
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    left = keyed.join(copies, keyed["__key"] == F.col("__copy"), "left_anti")
+    left = keyed.join(copies, (keyed["__key"] == F.col("__copy")) & keyed["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
     blank = signed.where("doc_id is null and cls is null").select("key").distinct()
     nameless = left.where("doc_id is null")
     bare = nameless.join(blank, nameless["__key"] == blank["key"], "left_semi")

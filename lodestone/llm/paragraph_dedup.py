@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .bwt_dedup import sliding_min
 from .common import column_bytes, mix, saved, shingles_of, slices, words_of
-from .minhash_join import ADDENDS, MULTIPLIERS, compared_sets, linked_components
+from .minhash_join import ADDENDS, MULTIPLIERS, compared, linked_components, of_items
 
 BANDS = 2
 SHINGLE = 5
@@ -104,10 +104,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         u = head[r] + a["number"]
                         if u < head[r + 1]:
                             cls.append(a["cls"])
-                            items.append(value[begin[u] : begin[u + 1]].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(items, pa.list_(pa.int64()))], names=["cls", "items"])
+                            items.append(value[begin[u] : begin[u + 1]].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(items, pa.binary())], names=["cls", "items"])
 
-    return docs.join(asked, "doc_id").select("text", "asked").mapInArrow(run, "cls long, items array<long>")
+    return docs.join(asked, "doc_id").select("text", "asked").mapInArrow(run, "cls long, items binary")
 
 
 def span_words(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -213,8 +213,8 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = MIN
     variants = saved(variant.join(several, "token", "left_semi"))
     wanted = variants.groupBy("cls").agg(F.min("one").alias("one")).select("cls", "one.doc_id", "one.number")
     sets = saved(sets_of(docs, wanted).dropDuplicates(["cls"]))
-    posted = saved(variants.select("token", "cls", F.col("n").alias("hub")).join(sets.select("cls", F.size("items").alias("n")), "cls"))
-    groups = linked_components(posted, compared_sets(sets), percent)
+    posted = saved(variants.select("token", "cls", F.col("n").alias("hub")).join(sets.select("cls", (F.octet_length("items") / 8).cast("long").alias("n")), "cls"))
+    groups = linked_components(posted, compared(sets, "items", of_items, percent), percent)
     classes = variant.groupBy("cls").agg(F.max("n").alias("n"), F.min("one").alias("one")).join(groups.withColumnRenamed("node", "cls"), "cls", "left")
     classes = classes.withColumn("comp", F.coalesce("component", "cls"))
     comps = classes.groupBy("comp").agg(F.sum("n").alias("n"), F.min("one").alias("keeper")).where("n > 1").drop("n")

@@ -60,3 +60,52 @@ def test_copies_without_an_id_or_with_a_repeated_one(docs):
     of_b = [t for i, t in kept if i is None and t and t.strip()]
     assert len(of_b) == 1 and of_b[0].startswith(b)
     assert len(kept) == 7
+
+
+def near_copies(rng, base, count, most, words):
+    out = []
+    for _ in range(count):
+        new = list(base)
+        for _ in range(rng.randint(1, most)):
+            at = rng.randrange(len(new))
+            new[at : at + rng.choice([0, 1, 1, 2])] = [rng.choice(words)] * rng.choice([0, 1, 1])
+        out.append(" ".join(new))
+    return out
+
+
+def test_a_template_that_is_itself_not_in_the_table(docs):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    bases = [[rng.choice(words) for _ in range(n)] for n in (60, 110)]
+    texts = [t for b in bases for t in near_copies(rng, b, 70, len(b) // 7, words[:40])]
+    texts += [" ".join(b[: len(b) * k // 20]) for b in bases for k in range(8, 20)]
+    rows = list(enumerate(texts))
+    for size, rounds in ((2, 3), (2, 1), (5, 3)):
+        got = {r["doc_id"]: tuple(r)[1:] for r in minhash_join.near_duplicates(docs(rows), size=size, rounds=rounds).collect()}
+        assert got == brute(rows, size)
+
+
+def test_a_large_group_is_not_expanded_into_pairs(spark, docs, monkeypatch):
+    """Candidates of a group of near copies of one text stay far below its pairs, and no link is lost."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(2000)]
+    base = [rng.choice(words) for _ in range(80)]
+    rows = list(enumerate([" ".join(base), *near_copies(rng, base, 400, 11, words)]))
+    made, alike = [], minhash_join.changed_alike
+
+    def counted(*args):
+        out = alike(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash_join, "changed_alike", counted)
+    got = {r["doc_id"]: r["component_id"] for r in minhash_join.near_duplicates(docs(rows), size=2).collect()}
+    assert got == {d: x[1] for d, x in brute(rows, 2).items()}
+    assert sum(made) < 400 * 399 / 2 / 10
+
+
+def test_very_long_texts(docs):
+    long = " ".join(f"w{k % 7001}x{k % 13}" for k in range(120_000))
+    rows = [(1, long), (2, long + " end"), (3, long[: len(long) // 2]), (4, None)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash_join.near_duplicates(docs(rows)).collect()}
+    assert got[2] == 1 and got[4] == 4
