@@ -6,13 +6,13 @@ import pyarrow as pa
 from lodestone.llm import paragraph_dedup
 
 
-def test_paragraphs_are_cut_alike_inside_other_texts():
+def test_chunks_are_cut_alike_inside_other_texts():
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     passage = [word() for _ in range(80)]
     a, b = [word() for _ in range(70)], [word() for _ in range(33)]
     column = pa.array([" ".join(a[:30] + passage + a[30:]), " ".join(b + passage)])
-    _, _, row, number, first, size = paragraph_dedup.paragraphs(column)
+    _, _, row, number, first, size = paragraph_dedup.chunks(column)
     cuts = [set(first[row == r] - at) & set(range(5, 75)) for r, at in ((0, 30), (1, 33))]
     assert cuts[0] == cuts[1] and len(cuts[0]) > 3
     for r, n in ((0, 150), (1, 113)):
@@ -61,3 +61,46 @@ def test_a_word_changed_in_the_middle_of_a_passage(docs):
     over = {r["doc_id"] for r in found if r["first_word"] <= where[r["doc_id"]] + 25 and r["first_word"] + r["n_words"] >= where[r["doc_id"]] + 40}
     assert len(over) >= 72, len(over)
     assert all(where[r["doc_id"]] - 1 <= r["first_word"] and r["first_word"] + r["n_words"] <= where[r["doc_id"]] + 66 for r in found)
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_lines_against_all_pairs(docs):
+    """Clusters of near lines are those of brute force; recall over all pairs is 0.9 or more."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(4000)]
+    lines, rows = [], []
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(rng.choice([26, 40, 80, 150]))]
+        for _ in range(rng.randint(1, 6)):
+            new = list(base)
+            for _ in range(rng.randint(0, len(base) // 25)):
+                new[rng.randrange(len(new))] = rng.choice(words)
+            lines.append(new)
+    rng.shuffle(lines)
+    for k, line in enumerate(lines):
+        rows.append((k, f"{rng.choice(words)} {rng.choice(words)}\n{' '.join(line)}\n" + " ".join(rng.choice(words) for _ in range(20))))
+    pairs = [(i, j) for i in range(len(lines)) for j in range(i) if jaccard(lines[i], lines[j]) >= 0.8]
+    comp = list(range(len(lines)))
+    for i, j in pairs:
+        a, b = comp[i], comp[j]
+        comp = [min(a, b) if c in (a, b) else c for c in comp]
+    found = {r["doc_id"]: r for r in paragraph_dedup.repeated_paragraphs(docs(rows)).collect() if r["first_word"] <= 4 and r["n_words"] >= 24}
+    linked = {i for p in pairs for i in p}
+    held = sum(i in found for i in linked)
+    assert held >= 0.98 * len(linked) and len(pairs) > 40
+    for i in linked & set(found):
+        assert found[i]["n_words"] >= len(lines[i]) - 1
+        if comp[i] != i:  # not the first of its cluster
+            assert found[i]["n_removed"] > 0
+
+
+def test_very_long_texts(docs):
+    rng = random.Random(5)
+    passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    long = " ".join(f"w{k}" for k in range(200_000))
+    found = paragraph_dedup.repeated_paragraphs(docs([(1, f"{long} {passage}"), (2, f"x y\n{passage}"), (3, "short")])).collect()
+    assert {r["doc_id"] for r in found} == {1, 2} and all(40 <= r["n_words"] <= 62 for r in found)
