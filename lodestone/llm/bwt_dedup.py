@@ -7,7 +7,8 @@ into two of its runs: groups can be judged apart from each other. Only groups
 with two occurrences are looked at further, and equal segments of a group are kept once, with
 their count.
 
-Whole groups are packed into blocks of bounded size. In a block, the LCP values below `length` of
+A group too large for a block is dealt anew by longer substrings of its windows, and so on; at
+`length` bytes a group is one window. Whole groups are packed into blocks of bounded size. In a block, the LCP values below `length` of
 all suffixes come from its Burrows-Wheeler transform by breadth-first backward extension of
 intervals: common prefixes in increasing order, stopping at `length`. Suffixes between which no
 value was derived share at least `length` bytes.
@@ -26,9 +27,9 @@ from .common import BASE, BASE_INVERSE, BYTE, column_bytes, mix, powers, saved,
 
 LENGTH = 200
 K = 96
-#: Bytes of a block, about; a group of more than HOT_BYTES is judged by hashes of its windows.
-BLOCK_BYTES = 1 << 20
-HOT_BYTES = 32 << 20
+#: Bytes of a block, about; a group of more than HOT_BYTES is dealt anew by longer substrings.
+BLOCK_BYTES = 3 << 18
+HOT_BYTES = 1 << 20
 MAX_BROADCAST_ROWS = 200_000
 #: Ends every segment in a block; no UTF-8 text has this byte.
 SEPARATOR = 255
@@ -77,27 +78,47 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
 
 
 def scan(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """(h, fp, key, at, windows) of all segments of documents (key, text)."""
+    """(h, fp, id, key, at, windows) of all segments of documents (id, key, text)."""
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = column_bytes(part.column("text"))
                 row, at, windows, least, mark = segments(data, offsets, length, k)
-                key = np.asarray(part.column("key"))[row]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (least.view(np.int64), mark.view(np.int64), key, at.astype(np.int32), windows.astype(np.int32))], names=["h", "fp", "key", "at", "windows"])
+                arrays = [pa.array(x) for x in (least.view(np.int64), mark.view(np.int64))]
+                arrays += [part.column(c).take(pa.array(row)) for c in ("id", "key")]
+                arrays += [pa.array(x.astype(np.int32)) for x in (at, windows)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["h", "fp", "id", "key", "at", "windows"])
 
-    return docs.mapInArrow(run, "h long, fp long, key long, at int, windows int")
+    return docs.mapInArrow(run, f"h long, fp long, id {kind}, key long, at int, windows int")
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first `depth` bytes at least (prefix doubling; what is alone
-    in its group is left alone)."""
-    n = len(text)
+def group_counts(docs: DataFrame, length: int, k: int) -> DataFrame:
+    """(h, c): segments of each group, counted within slices before any shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                least, count = np.unique(segments(*column_bytes(part.column("text")), length, k)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(count.astype(np.int32))], names=["h", "c"])
+
+    return docs.select("text").mapInArrow(run, "h long, c int").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def first_bytes(text: np.ndarray) -> np.ndarray:
+    """The first 8 bytes of every suffix as a number; past the end: separators."""
     padded = np.append(text, np.full(8, SEPARATOR, np.uint8)).astype(np.uint64)
-    word = np.zeros(n, np.uint64)
+    word = np.zeros(len(text), np.uint64)
     for j in range(8):
-        word = (word << np.uint64(8)) | padded[j : j + n]
+        word = (word << np.uint64(8)) | padded[j : j + len(text)]
+    return word
+
+
+def suffix_order(word: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes in the order of their first `depth` bytes at least, from the order by 8 (`word`), 24,
+    72 and so on; what is alone in its group is left alone."""
+    n = len(word)
 
     def regroup(order, values, base):
         """Ranks of `order` by equal runs of `values`: places of the runs' first members."""
@@ -112,14 +133,16 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     rank[order] = group
     size, done = 8, np.zeros(n, bool)
     sorted_all = order
+    fold = 3 if (n + 2) ** 3 < 2**63 else 2  # ranks that one number holds
     while size < depth:
         alone = new & np.append(new[1:], True)
         done[order[alone]] = True
         active = sorted_all[~done[sorted_all]]
         if not len(active):
             break
-        second = rank[np.minimum(active + size, n)]
-        value = rank[active] * np.int64(n + 2) + second
+        value = rank[active]
+        for j in range(1, fold):
+            value = value * np.int64(n + 2) + rank[np.minimum(active + j * size, n)]
         by = np.argsort(value)
         order = active[by]
         # Members of a group take the group's places, in their new order.
@@ -127,7 +150,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         group, new = regroup(order, value[by], places)
         rank[order] = group
         sorted_all[places - 1] = order
-        size *= 2
+        size *= fold
     return sorted_all
 
 
@@ -145,9 +168,11 @@ def common_prefix_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.
     LCP values are set once each, in increasing order. An interval of suffixes that begin with a
     string is extended to the left by each byte before them (their LF images); if the value at the
     new interval's end is still open, it is the length of the string before, and only then is the
-    interval extended further. What is open at the end is `length` or more.
+    interval extended further. Values below 8 are read off the first 8 bytes, and the extension
+    starts from strings of 8. What is open at the end is `length` or more.
     """
-    order = suffix_order(text, length + 1)
+    word = first_bytes(text)
+    order = suffix_order(word, length + 1)
     n = len(text)
     order = order.astype(np.int32)  # a block is far smaller than 2**31; narrow arrays are faster
     place = np.empty(n, np.int32)
@@ -159,7 +184,15 @@ def common_prefix_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.
     known[0] = known[n] = True
     owner = np.full(n + 1, -1, np.int32)
     low, high = np.array([0], np.int32), np.array([n], np.int32)
-    for depth in range(length):
+    begin = 0
+    if length > 8:
+        begin, word = 8, word[order]
+        high = np.flatnonzero(word[1:] != word[:-1]).astype(np.int32) + 1
+        known[high] = True
+        low = np.append(np.int32(0), high[:-1])[: len(high)]
+        last = (word[high - 1] >> np.uint64(8)) == (word[high] >> np.uint64(8))  # of these the value is 7
+        low, high = low[last], high[last]
+    for depth in range(begin, length):
         if not len(low):
             break
         width = high - low
@@ -228,69 +261,91 @@ def judged_in_blocks(distinct: DataFrame, length: int, block_bytes: int, blocks:
     return distinct.repartition(blocks, "h").sortWithinPartitions("h", "fp").select("h", "fp", "n", "windows", "bytes").mapInArrow(run, "h long, fp long, runs array<int>")
 
 
-def judged_by_hash(distinct: DataFrame, length: int) -> DataFrame:
-    """The same for groups too large for a block: windows are counted by two 64-bit hashes."""
+def dealt_anew(pieces: DataFrame, length: int, k: int) -> DataFrame:
+    """(h, fp, n, from, windows, h2, fp2): the segments (h, fp, n, windows, bytes) cut again, by
+    longer substrings of `k` bytes."""
 
     def run(batches):
         for batch in batches:
-            for k in range(batch.num_rows):
-                data = np.frombuffer(batch.column("bytes")[k].as_py(), np.uint8)
-                w = batch.column("windows")[k].as_py()
-                rows = []
-                for values in (BYTE, mix(BYTE)):
-                    total = np.append(np.uint64(0), np.cumsum(values[data] * powers(BASE, len(data))))
-                    rows.append(mix((total[length : length + w] - total[:w]) * powers(BASE_INVERSE, w)).view(np.int64))
-                same = [pa.array(np.full(w, batch.column(c)[k].as_py(), np.int64)) for c in ("h", "fp", "n")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(w, dtype=np.int32)), *map(pa.array, rows)], names=["h", "fp", "n", "at", "x", "y"])
-
-    each = saved(distinct.mapInArrow(run, "h long, fp long, n long, at int, x long, y long"))
-    again = each.groupBy("x", "y").agg(F.sum("n").alias("m")).where("m > 1").drop("m")
-    found = each.join(again, ["x", "y"]).groupBy("h", "fp").agg(F.array_sort(F.collect_list("at")).alias("at"))
-    return found.select("h", "fp", F.flatten(F.transform("at", lambda a: F.array(a, a + 1))).alias("runs"))
+            for part in slices(batch, "bytes", 1 << 20):
+                row, at, windows, least, mark = segments(*column_bytes(part.column("bytes")), length, k)
+                arrays = [part.column(c).take(pa.array(row)) for c in ("h", "fp", "n")]
+                arrays += [pa.array(x.astype(np.int32)) for x in (at, windows)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(least.view(np.int64)), pa.array(mark.view(np.int64))], names=["h", "fp", "n", "from", "windows", "h2", "fp2"])
+
+    return pieces.mapInArrow(run, "h long, fp long, n long, from int, windows int, h2 long, fp2 long")
+
+
+def judged(pieces: DataFrame, length: int, k: int, block_bytes: int, hot_bytes: int) -> DataFrame:
+    """(h, fp, runs) of distinct segments (h, fp, n, windows, bytes) that hold repeated windows."""
+    size = saved(pieces.groupBy("h").agg(F.sum(F.octet_length("bytes") + 1).alias("b")))
+    total = size.agg(F.sum("b")).first()[0] or 0
+    hot = size.where(F.col("b") > hot_bytes).select("h")
+    if k >= length or hot.isEmpty():
+        return judged_in_blocks(pieces, length, block_bytes, max(1, -(-total // (2 * block_bytes))))
+    out = judged_in_blocks(pieces.join(hot, "h", "left_anti"), length, block_bytes, max(1, -(-total // (2 * block_bytes))))
+    large = pieces.join(hot, "h", "left_semi")
+    longer = (k + length + 1) // 2
+    parts = dealt_anew(large, length, longer)
+    several = parts.groupBy("h2").agg(F.sum("n").alias("c")).where("c > 1").select("h2")
+    parts = saved(parts.join(several.hint("shuffle_hash"), "h2", "left_semi"))
+    distinct = parts.groupBy("h2", "fp2").agg(F.sum("n").alias("n"), F.first("windows").alias("windows"), F.min(F.struct("h", "fp", "from")).alias("one"))
+    distinct = distinct.select("h2", "fp2", "n", "windows", "one.h", "one.fp", "one.from").join(large.select("h", "fp", "bytes"), ["h", "fp"])
+    cut = F.expr(f"substring(bytes, `from` + 1, windows + {length - 1})").alias("bytes")
+    inner = saved(distinct.select(F.col("h2").alias("h"), F.col("fp2").alias("fp"), "n", "windows", cut))
+    found = judged(inner, length, longer, block_bytes, hot_bytes).select(F.col("h").alias("h2"), F.col("fp").alias("fp2"), "runs")
+    moved = F.transform("runs", lambda x: x + F.col("from"))
+    again = parts.join(found.where(F.size("runs") > 0), ["h2", "fp2"]).groupBy("h", "fp").agg(F.flatten(F.collect_list(moved)).alias("runs"))  # of one segment
+    return out.unionByName(again)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, block_bytes: int = BLOCK_BYTES, hot_bytes: int = HOT_BYTES, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """(key, spans): for documents (key, text) that hold repeated strings, the covered byte ranges
-    as an array of (begin, end), maximal and in order."""
-    counted = scan(docs, length, k).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    found = saved(scan(docs, length, k).join(counted, "h", "left_semi"))
-    distinct = found.groupBy("h", "fp").agg(F.count("*").alias("n"), F.first("windows").alias("windows"), F.min(F.struct("key", "at")).alias("one"))
-    asked = distinct.groupBy(F.col("one.key").alias("key")).agg(F.collect_list(F.struct("h", "fp", "n", "windows", F.col("one.at").alias("at"))).alias("asked"))
-    asked = saved(asked)
-    keys = asked.select("key")
-    wanted = docs.join(small_side(keys, keys.count(), max_broadcast), "key", "left_semi").dropDuplicates(["key"])
+    """(id, key, spans): for documents (id, key, text) that hold repeated strings, the covered byte
+    ranges as an array of (begin, end), maximal and in order. id and key stand for a text."""
+    counted = group_counts(docs, length, k).where("c > 1").select("h")
+    found = saved(scan(docs, length, k).join(counted.hint("shuffle_hash"), "h", "left_semi"))
+    distinct = found.groupBy("h", "fp").agg(F.count("*").alias("n"), F.first("windows").alias("windows"), F.min(F.struct("id", "key", "at")).alias("one"))
+    facts = F.struct("h", "fp", "n", "windows", F.col("one.at").alias("at"))
+    asked = saved(distinct.groupBy(F.col("one.id").alias("one_id"), F.col("one.key").alias("one_key")).agg(F.collect_list(facts).alias("asked")))  # of one text
+    keys = asked.select("one_id", "one_key")
+    same = F.col("id").eqNullSafe(F.col("one_id")) & (F.col("key") == F.col("one_key"))
+    wanted = docs.join(small_side(keys, keys.count(), max_broadcast), same, "left_semi").dropDuplicates(["id", "key"])
 
     def cut(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = column_bytes(part.column("text"))
-                rows = [(a["h"], a["fp"], a["n"], a["windows"], data[o + a["at"] : o + a["at"] + a["windows"] + length - 1].tobytes()) for o, asked in zip(offsets, part.column("asked").to_pylist(), strict=False) for a in asked]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["h", "fp", "n", "windows", "bytes"])
-
-    pieces = saved(wanted.join(asked, "key").select("text", "asked").mapInArrow(cut, "h long, fp long, n long, windows int, bytes binary"))
-    total = pieces.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    hot = saved(pieces.groupBy("h").agg(F.sum(F.octet_length("bytes")).alias("b")).where(F.col("b") > hot_bytes).select("h"))
-    judged = judged_in_blocks(pieces.join(hot, "h", "left_anti"), length, block_bytes, max(1, -(-total // (2 * block_bytes))))
-    if not hot.isEmpty():
-        judged = judged.unionByName(judged_by_hash(pieces.join(hot, "h", "left_semi"), length))
-    judged = saved(judged.where(F.size("runs") > 0))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)), lambda i: F.struct((F.col("at") + F.get("runs", i)).alias("begin"), (F.col("at") + F.get("runs", i + 1) + length - 1).alias("end")))
-    spans = found.join(judged, ["h", "fp"]).select("key", F.inline(pairs)).distinct()
+                rows = [
+                    (a["h"], a["fp"], a["n"], a["windows"], data[o + a["at"] : o + a["at"] + a["windows"] + length - 1].tobytes())
+                    for o, asked in zip(offsets, part.column("asked").to_pylist(), strict=False)
+                    for a in asked
+                ]
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=["h", "fp", "n", "windows", "bytes"])
+
+    pieces = saved(wanted.join(asked, same).select("text", "asked").mapInArrow(cut, "h long, fp long, n long, windows int, bytes binary"))
+    again = saved(judged(pieces, length, k, block_bytes, hot_bytes).where(F.size("runs") > 0))
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2)),
+        lambda i: F.struct((F.col("at") + F.get("runs", i)).alias("begin"), (F.col("at") + F.get("runs", i + 1) + length - 1).alias("end")),
+    )
+    spans = found.join(again, ["h", "fp"]).select("id", "key", F.inline(pairs)).distinct()
     # Overlapping or touching spans of a document become one.
-    by = Window.partitionBy("key").orderBy("begin", "end")
+    by = Window.partitionBy("id", "key").orderBy("begin", "end")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("new", F.when(F.col("begin") <= reach, 0).otherwise(1)).withColumn("run", F.sum("new").over(by))
-    spans = spans.groupBy("key", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
-    return spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+    spans = spans.groupBy("id", "key", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    return spans.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
 
 
 def remove_repeats(df: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row; strings are judged on the
     input. A null text is empty; a text shorter than `length` has nothing removed; repeated rows
-    and equal texts lose all they share; overlapping occurrences count. Other columns are ignored."""
+    and equal texts lose all they share; overlapping occurrences count; a very long text is one row
+    of a batch at a time. Other columns are ignored; an empty table gives none."""
     kind = df.schema["doc_id"].dataType.simpleString()
-    docs = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    spans = saved(repeated_spans(docs.select("key", "text"), length, **how))
+    docs = df.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("id", "text"))
+    spans = saved(repeated_spans(docs, length, **how).select(F.col("id").alias("s_id"), F.col("key").alias("s_key"), "spans"))
 
     def run(batches):
         for batch in batches:
@@ -310,5 +365,6 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, **how) -> DataFrame:
                     sha.append(hashlib.sha256(kept).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (np.diff(offsets), removed, count)), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = docs.join(small_side(spans, spans.count(), MAX_BROADCAST_ROWS), "key", "left").select("doc_id", "text", "spans")
+    same = F.col("id").eqNullSafe(F.col("s_id")) & (F.col("key") == F.col("s_key"))
+    joined = docs.join(small_side(spans, spans.count(), MAX_BROADCAST_ROWS), same, "left").select(F.col("id").alias("doc_id"), "text", "spans")
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

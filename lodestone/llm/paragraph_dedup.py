@@ -275,7 +275,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, min_words: int = MIN
     """
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     common = token_counts(docs).where("c > 1").select("token")
-    found = saved(scan(docs).join(common, "token", "left_semi"))
+    found = saved(scan(docs).join(common.hint("shuffle_hash"), "token", "left_semi"))
     chunk, line = found.where("token & 1 = 0"), found.where("token & 1 = 1")
 
     of_chunk = chunk.groupBy("cls").agg(F.min(F.struct("doc_id", "number")).alias("keeper"))

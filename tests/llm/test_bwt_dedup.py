@@ -29,9 +29,12 @@ def brute(texts, length):
 
 def test_blocks_against_brute_force():
     rng = random.Random(3)
-    for _ in range(40):
-        length = rng.choice([3, 5, 8])
-        pieces = list(dict.fromkeys(bytes(rng.choice(b"abc") for _ in range(rng.randint(length, 25))) for _ in range(rng.randint(1, 8))))
+    base = bytes(rng.choice(b"ab") for _ in range(60))
+    for k in range(120):
+        length = rng.choice([3, 5, 8, 9, 12, 20, 40])
+        pieces = list(dict.fromkeys(bytes(rng.choice(b"abc") for _ in range(rng.randint(length, length + 17))) for _ in range(rng.randint(1, 8))))
+        if k % 2:  # with long common parts
+            pieces = list(dict.fromkeys(base[rng.randint(0, 20) :][: rng.randint(length, 60)] + p for p in pieces))
         counts = np.array([rng.choice([1, 1, 2]) for _ in pieces])
         windows = np.array([len(p) - length + 1 for p in pieces])
         runs = bwt_dedup.repeated_windows(pieces, windows, counts, length)
@@ -65,3 +68,13 @@ def test_repeated_rows_null_ids_and_empty_table(docs):
     rows = bwt_dedup.remove_repeats(docs([(1, long), (1, long), (None, long[:250]), (None, None)])).collect()
     assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in rows) == [(0, 0, 0), (0, 250, 250), (1, len(long), len(long)), (1, len(long), len(long))]
     assert bwt_dedup.remove_repeats(docs([])).collect() == []
+
+
+def test_very_long_texts_and_one_hot_passage(docs):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(500)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage = text(30)
+    given = [text(40) + passage + text(40) for _ in range(60)] + [text(60_000) + passage]
+    rows = bwt_dedup.remove_repeats(docs(list(enumerate(given))), hot_bytes=5000, block_bytes=4000).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in rows} == dict(enumerate(brute(given, 200)))
