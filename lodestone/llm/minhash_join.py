@@ -14,9 +14,11 @@ leader alike (`linked_components`).
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column_bytes, components, mix, powers, saved, shingles_of, slices, small_side, words_of
@@ -25,8 +27,12 @@ COORDINATES = 64
 MATCHES = 36
 #: A set with fewer collisions with its leader has no partner near the leader (four deviations below 0.5).
 NEAR_MATCHES = 16
-#: Rounds of leaders, see `linked_components`.
-ROUNDS = 3
+#: Rounds of leaders of lists, see `linked_components`.
+ROUNDS = 2
+#: Further leaders of members near one pivot.
+CELL_LEADERS = 2
+#: Bitmaps of changes have at most 64 << MAX_BIT_WORDS bits.
+MAX_BIT_WORDS = 4
 #: Keys are broadcast up to so many rows.
 MAX_BROADCAST_ROWS = 200_000
 MULTIPLIERS = powers(np.uint64(0xF1357AEA2E62A9C5), COORDINATES + 1)[1:]
@@ -93,7 +99,8 @@ def changed_sets(left, right, percent: int) -> pa.RecordBatch:
 
     `near` and `settled` are similarities of 0.5 and 0.7. Of near pairs, `tokens` has half hashes of
     what only the right set has, in order, then of what only the left one has; of linked ones no
-    more than `prefix` of them (see `linked_components`).
+    more than `prefix` of them (see `linked_components`). `bits` marks the places of all of them in
+    a bitmap about as large as the left set.
     """
     (va, na), (vb, nb) = left, right
     rows = len(na)
@@ -115,17 +122,23 @@ def changed_sets(left, right, percent: int) -> pa.RecordBatch:
     value, row, lost = value[keep], row[keep], lost[keep]
     order = np.lexsort((value, lost, row))
     value, row = value[order], row[order]
+    width = 1 << np.clip(np.ceil(np.log2(np.maximum(na, 1) / 64)), 0, MAX_BIT_WORDS).astype(np.int64)  # in words
+    first = np.append(0, np.cumsum(width))
+    place = (value >> np.uint64(20)) & (width[row] * 64 - 1).astype(np.uint64)
+    bits = np.zeros(first[-1], np.uint64)
+    np.bitwise_or.at(bits, first[row] + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
     begin = np.searchsorted(row, np.arange(rows))
     keep = ~linked[row] | (np.arange(len(row)) - begin[row] < prefix[row])
     value, row = value[keep], row[keep]
     ends = np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)
     half = (value >> np.uint64(32)).astype(np.uint32).view(np.int32)
     arrays = [*map(pa.array, (na.astype(np.int64), nb.astype(np.int64), (more + less).astype(np.int64), near, settled, linked, prefix.astype(np.int64)))]
-    return pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(ends), pa.array(half))], names=FACTS)
+    lists = [pa.ListArray.from_arrays(pa.array(x.astype(np.int32)), pa.array(y)) for x, y in ((ends, half), (first, bits.view(np.int64)))]
+    return pa.RecordBatch.from_arrays([*arrays, *lists], names=FACTS)
 
 
-FACTS = ["n_a", "n_b", "changes", "near", "settled", "linked", "prefix", "tokens"]
-FACT_TYPES = "a long, b long, n_a long, n_b long, changes long, near boolean, settled boolean, linked boolean, prefix long, tokens array<int>"
+FACTS = ["n_a", "n_b", "changes", "near", "settled", "linked", "prefix", "tokens", "bits"]
+FACT_TYPES = "a long, b long, n_a long, n_b long, changes long, near boolean, settled boolean, linked boolean, prefix long, tokens array<int>, bits array<long>"
 
 
 def compared(sets: DataFrame, column: str, of_column, percent: int):
@@ -182,19 +195,15 @@ def linked_components(posted: DataFrame, compare, percent: int, rounds: int = RO
     Jaccard similarity of `percent` or more; only pairs that share a token are compared. With
     `member` (cls, tokens), collisions of signatures are counted before any comparison.
 
-    In each round every member of a list is compared with the list's leader. Let a member differ
-    from the leader by the set C of shingles; two members a, x then have |C_a| + |C_x| - 2 |C_a & C_x|
-    different shingles, so they are linked only if they have so many changes in common that, should
-    x not be linked to the leader, more than (percent * more_a + 100 * less_a) / (100 + percent) of
-    C_a are in C_x, too. So a prefix of C_a, in an order that all share, holds one of them: near
-    members (0.5 and more) are joined by leader and change, x by all of its changes and a by its
-    prefix, which leaves pairs that changed alike, not all pairs. A member that is 0.7 alike has all
-    its possible partners of the list among the near ones, and leaves the list. The next leader
-    follows; lists whose members are in one component end. What is left after `rounds` is far from
-    all leaders, and is joined by list, collisions being counted first.
+    First every member is compared with its pivot, the leader of its lists that shares most. Members
+    near the same pivot (0.5 and more) form a cell, whose pairs are settled by what they changed of
+    the pivot (`changed_alike`). Only lists with several cells and components go on: their members
+    are compared with the list's leader, and those near it settled in the same way. A member that is
+    0.7 alike has all its possible partners of the list among the near ones, and leaves the list. The
+    next leader follows, while there are members that no leader was near to; pairs that are left
+    after `rounds` are joined by list, collisions being counted first.
     """
-    links: DataFrame | None = None
-    alive, groups = posted, None
+    links: list[DataFrame] = []
 
     def enough(pairs: DataFrame, least: int) -> DataFrame:
         if member is None:
@@ -203,61 +212,116 @@ def linked_components(posted: DataFrame, compare, percent: int, rounds: int = RO
         counted = pairs.join(of("b"), "b").join(of("a"), "a")
         return counted.where(F.size(F.filter(F.zip_with("tokens_a", "tokens_b", lambda x, y: x == y), lambda x: x)) >= least).select("a", "b")
 
-    def grown(found: DataFrame) -> DataFrame:
-        nonlocal links
-        links = found if links is None else links.unionByName(found)
-        return saved(components(links))
+    def found_links(pairs: DataFrame) -> DataFrame:
+        return saved(compare(saved(enough(pairs, MATCHES))).where("linked").select("a", "b"))
+
+    def grown(*found: DataFrame) -> DataFrame:
+        links.extend(found)
+        return saved(components(functools.reduce(DataFrame.unionByName, links)))
+
+    def settled_cells(near: DataFrame) -> list[DataFrame]:
+        """Links between near members: of each member the likeliest first; then of what is still apart."""
+        pairs = saved(changed_alike(near, percent))
+        best = pairs.groupBy("x_b").agg(F.max(F.struct("surplus", "b")).alias("best")).select(F.col("best.b").alias("a"), F.col("x_b").alias("b"))
+        first = found_links(saved(best))
+        now = first.join(pairs.select(F.col("b").alias("a"), "comp").distinct(), "a").groupBy(F.col("b").alias("x_b")).agg(F.min("comp").alias("now"))
+        apart = pairs.join(now, "x_b", "left").where("comp <> coalesce(now, x_comp)")
+        return [first, found_links(saved(apart.select(F.least("x_b", "b").alias("a"), F.greatest("x_b", "b").alias("b")).distinct()))]
 
-    def with_component(rows: DataFrame, cls: str) -> DataFrame:
+    def with_component(rows: DataFrame, groups: DataFrame, cls: str) -> DataFrame:
         return rows.join(groups.select(F.col("node").alias(cls), "component"), cls, "left").withColumn("comp", F.coalesce("component", cls)).drop("component")
 
-    order = F.struct((-F.col("hub")).alias("hub"), F.col("cls").alias("cls"))
-    for _ in range(rounds):
-        leads = alive.groupBy("token").agg(F.min(order).alias("lead")).select("token", F.col("lead.cls").alias("a"), (-F.col("lead.hub")).alias("hub_a"))
-        met = saved(alive.join(leads, "token").where("cls <> a").withColumnRenamed("cls", "b"))
-        pairs = saved(met.select("a", "b").distinct())
-        known = saved(compare(saved(enough(pairs, NEAR_MATCHES))))
-        groups = grown(saved(known.where("linked").select("a", "b")))
-        found = saved(compare(saved(enough(changed_alike(known, met, with_component, percent), MATCHES))).where("linked").select("a", "b"))
-        if not found.isEmpty():
-            groups = grown(found)
-        left = met.join(known.where("settled").select("a", "b"), ["a", "b"], "left_anti").select("token", F.col("b").alias("cls"), "n", "hub")
-        left = with_component(left, "cls")
-        several = left.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-        alive = saved(left.join(several, "token", "left_semi").select("token", "cls", "n", "hub"))
+    leads = posted.groupBy("token").agg(F.min(F.struct((-F.col("hub")).alias("hub"), F.col("cls").alias("cls"))).alias("lead"))
+    pivots = posted.join(leads, "token").where("cls <> lead.cls").groupBy(F.col("cls").alias("b")).agg(F.min("lead").alias("lead"), F.first("hub").alias("hub"))
+    pivots = saved(pivots.select(F.col("lead.cls").alias("a"), "b", "hub"))
+    known = saved(compare(saved(enough(pivots.select("a", "b"), NEAR_MATCHES))))
+    found = [known.where("linked").select("a", "b")]
+    # Members that are linked with others of their cell but not with the pivot: these leaders come next.
+    rest = known.where("near and not linked").select(F.col("a").alias("cell"), "b").join(pivots.select("b", "hub"), "b")
+    labels = known.where("linked").select("b", F.col("a").alias("label"))
+    for _ in range(CELL_LEADERS):
+        lead = rest.groupBy("cell").agg(F.min(F.struct((-F.col("hub")).alias("hub"), "b")).alias("lead"), F.count("*").alias("m")).where("m > 1").select("cell", F.col("lead.b").alias("a"))
+        pairs = saved(rest.join(lead, "cell").where("a <> b"))
+        more = saved(compare(saved(enough(pairs.select("a", "b"), MATCHES))).where("linked").select("a", "b"))
+        found.append(more)
+        labels = labels.unionByName(more.select("b", F.col("a").alias("label")))
+        rest = saved(pairs.drop("a").join(more, "b", "left_anti"))
+    label = F.coalesce("label", "b").alias("comp")
+    near = known.where("near").join(labels, "b", "left").select(*known.columns, label, F.lit(None).cast("long").alias("cell"))
+    groups = grown(*found, *settled_cells(near))
+    cells = known.where("near").select(F.col("b").alias("cls"), F.col("a").alias("cell"))
+
+    def living(rows: DataFrame) -> DataFrame:
+        """Rows of lists that hold pairs of different components and cells, not all near one leader."""
+        rows = with_component(rows, groups, "cls")
+        several = rows.groupBy("token").agg(*[f(c).alias(f"{c}{k}") for c in ("comp", "cell") for k, f in enumerate((F.min, F.max))], F.max("far").alias("far"))
+        return rows.join(several.where("comp0 <> comp1 and cell0 <> cell1 and far").select("token"), "token", "left_semi")
+
+    alive = posted.join(cells, "cls", "left").withColumn("cell", F.coalesce("cell", "cls")).withColumns({"far": F.lit(True), "mask": F.lit(0)})
+    alive = saved(living(alive))
+    for k in range(rounds):
         if alive.isEmpty():
             return groups
-    rest = saved(with_component(alive, "cls"))
-    x = rest.select("token", F.col("cls").alias("x_cls"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
-    apart = (F.col("comp") != F.col("x_comp")) & (F.col("cls") > F.col("x_cls")) & similar_size(F.col("n"), F.col("x_n"), percent)
-    pairs = rest.join(x, "token").where(apart).select(F.col("x_cls").alias("a"), F.col("cls").alias("b")).distinct()
-    found = saved(compare(saved(enough(saved(pairs), MATCHES))).where("linked").select("a", "b"))
-    return grown(found)
+        order = F.struct((~F.col("far")).alias("near"), (-F.col("hub")).alias("hub"), F.col("cls").alias("cls"))
+        leads = alive.groupBy("token").agg(F.min(order).alias("lead")).select("token", F.col("lead.cls").alias("a"))
+        met = saved(alive.join(leads, "token").where("cls <> a").withColumnRenamed("cls", "b"))
+        known = saved(compare(saved(enough(met.select("a", "b").distinct(), NEAR_MATCHES))))
+        facts = met.groupBy("b").agg(F.first("comp").alias("comp"), F.first("cell").alias("cell"))
+        near = known.where("near").join(facts, "b")
+        groups = grown(known.where("linked").select("a", "b"), *settled_cells(near))
+        left = met.drop("far", "comp").join(known.select("a", "b", "near", "settled"), ["a", "b"], "left").where("not coalesce(settled, false)")
+        seen = F.coalesce("near", F.lit(False))
+        left = left.withColumns({"far": ~seen, "mask": F.col("mask").bitwiseOR(F.when(seen, 1 << k).otherwise(0))})
+        alive = saved(living(left.select("token", F.col("b").alias("cls"), "n", "hub", "cell", "far", "mask")))
+    if alive.isEmpty():
+        return groups
+    x = alive.select("token", *[F.col(c).alias(f"x_{c}") for c in ("cls", "n", "comp", "cell", "mask")])
+    apart = (F.col("comp") != F.col("x_comp")) & (F.col("cell") != F.col("x_cell")) & (F.col("cls") > F.col("x_cls"))
+    apart = apart & similar_size(F.col("n"), F.col("x_n"), percent) & (F.col("mask").bitwiseAND(F.col("x_mask")) == 0)
+    pairs = alive.join(x, "token").where(apart).select(F.col("x_cls").alias("a"), F.col("cls").alias("b")).distinct()
+    return grown(found_links(saved(pairs)))
 
 
 def similar_size(a, b, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def changed_alike(known: DataFrame, met: DataFrame, with_component, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of different components, near one leader, that have enough of their
-    changes in common. A pair whose members both have their pivot (of the leaders they are near, the
-    one that shares most) in common is looked for under that alone."""
-    hubs = met.select("a", "hub_a").distinct()
-    near = known.where("near").join(hubs, "a")
-    pivots = near.groupBy("b").agg(F.max(F.struct("hub_a", "a")).alias("p")).select("b", F.col("p.a").alias("pivot"))
-    near = saved(with_component(near.join(pivots, "b"), "b").drop("n_a", "near", "settled", "hub_a"))
-    live = near.groupBy("a").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("pivot").alias("p0"), F.max("pivot").alias("p1"))
-    live = live.where("c0 <> c1 and (p0 <> p1 or p0 = a)").select("a")
+def changed_alike(near: DataFrame, percent: int) -> DataFrame:
+    """(x_b, b, x_comp, comp, surplus): pairs of members near one leader that may be linked, of
+    different components (`comp`) and cells. `near` has the leader as a, the member as b, and
+    `changed_sets` of them; surplus is how many changes they may have in common beyond those needed.
+
+    Let a member differ from the leader by the set C of shingles; two members have
+    |C_b| + |C_x| - 2 |C_b & C_x| different shingles, so they are linked only if they changed enough
+    alike. If x is not linked to the leader, that is more than (percent * more + 100 * less) /
+    (100 + percent) of b's changes. So a prefix of C_b, in an order that all share, holds one of them:
+    x, by all of its changes, meets b by its prefix. Bitmaps of the changes bound how many the pair
+    can have in common before it becomes a row.
+    """
+    live = near.groupBy("a").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("a")
     rows = near.join(live, "a", "left_semi").withColumnRenamed("a", "lead")
-    x = rows.where("not linked").select("lead", *[F.col(c).alias(f"x_{c}") for c in ("b", "n_b", "changes", "comp", "pivot")], F.explode("tokens").alias("t"))
-    y = rows.select("lead", "b", "n_b", "changes", "comp", "pivot", "prefix", F.explode(F.slice("tokens", F.lit(1), F.greatest(F.col("prefix").cast("int"), F.lit(0)))).alias("t"))
-    meet = (F.col("comp") != F.col("x_comp")) & similar_size(F.col("n_b"), F.col("x_n_b"), percent) & ((F.col("pivot") != F.col("x_pivot")) | (F.col("pivot") == F.col("lead")))
-    both = x.join(y, ["lead", "t"]).where(meet).groupBy("lead", "x_b", "b").agg(F.count("*").alias("common"), *[F.first(c).alias(c) for c in ("n_b", "x_n_b", "changes", "x_changes", "prefix")])
+    facts = ["b", "n_b", "changes", "comp", "cell", "bits"]
+    x = rows.where("not linked").select("lead", *[F.col(c).alias(f"x_{c}") for c in facts], F.explode("tokens").alias("t"))
+    y = rows.select("lead", *facts, "prefix", F.explode(F.slice("tokens", F.lit(1), F.greatest(F.col("prefix").cast("int"), F.lit(0)))).alias("t"))
+
+    def surplus(common) -> Column:
+        return (100 - percent) * (F.col("n_b") + F.col("x_n_b")) - (100 + percent) * (F.col("changes") + F.col("x_changes") - 2 * common)
+
+    def fits(common) -> Column:
+        return surplus(common) >= 0
+
+    def only(one: str, other: str) -> Column:
+        alone = F.zip_with(one, other, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+        return F.aggregate(alone, F.lit(0), lambda total, n: total + n)
+
+    meet = (F.col("comp") != F.col("x_comp")) & similar_size(F.col("n_b"), F.col("x_n_b"), percent)
+    meet = meet & (F.col("cell").isNull() | (F.col("cell") != F.col("x_cell"))) & fits(F.least("changes", "x_changes"))
+    most = F.least(F.col("changes") - only("bits", "x_bits"), F.col("x_changes") - only("x_bits", "bits"))
+    both = x.join(y, ["lead", "t"]).where(meet & fits(most)).withColumn("most", most).groupBy("lead", "x_b", "b")
+    both = both.agg(F.count("*").alias("common"), *[F.first(c).alias(c) for c in ("n_b", "x_n_b", "changes", "x_changes", "prefix", "comp", "x_comp", "most")])
     # All changes that they can have in common: those counted, and what is beyond b's prefix.
-    most = F.col("common") + F.col("changes") - F.col("prefix")
-    fits = (100 + percent) * (F.col("changes") + F.col("x_changes") - 2 * most) <= (100 - percent) * (F.col("n_b") + F.col("x_n_b"))
-    return both.where(fits).select(F.least("x_b", "b").alias("a"), F.greatest("x_b", "b").alias("b")).distinct()
+    most = F.least("most", F.col("common") + F.col("changes") - F.col("prefix"))
+    return both.where(fits(most)).select("x_b", "b", "x_comp", "comp", surplus(most).alias("surplus"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = ROUNDS, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
