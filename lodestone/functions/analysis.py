@@ -52,9 +52,9 @@ def service_filter(question: Column, services: list[str]) -> Column:
     """The first service named in full (a hyphen may be a blank or missing), else the first whose
     name after its first hyphen stands in the question as a word. `services` is a small list."""
     loose = f"[-{WS}]?".join  # in the place of hyphens
-    tests = [("(?i)" + loose(map(re.escape, s.split("-"))), s) for s in services]
+    tests = [("(?iu)" + loose(map(re.escape, s.split("-"))), s) for s in services]
     short = [(re.sub(r"\A.*?-", "", s, count=1), s) for s in services]
-    tests += [(f"(?i)(?<![A-Za-z0-9_]){re.escape(x)}(?![A-Za-z0-9_])", s) for x, s in short if x and x != s]
+    tests += [(f"(?iu)(?<![A-Za-z0-9_]){re.escape(x)}(?![A-Za-z0-9_])", s) for x, s in short if x and x != s]
     out = F.lit(None).cast("string")
     for pattern, s in reversed(tests):
         out = F.when(question.rlike(pattern), s).otherwise(out)

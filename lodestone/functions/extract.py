@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,17 @@ EXPORT = r"export\s+(?:default\s+)?(?:class|function|const|interface|type|enum)\
 DECORATOR = r"@(\w+)\("
 MARKERS = r"@(?:Module|Controller|Injectable|Entity)\s*\("
 OCCURRENCES = T.ArrayType(T.StructType().add("name", T.StringType()).add("args", T.ArrayType(T.StringType())).add("target", T.StringType()))
+# Fixed values (X8, X3, X9, X10): typed and injected parameters, lists of a method, modules, occurrences.
+TYPED = r"(?:private|protected|public|readonly)\s+\w+\s*:\s*(\w+)"
+INJECTED = r"""@Inject\s*\(\s*['"]?(\w+)['"]?\s*\)"""
+CONTROLLER = r"""@Controller\s*\(\s*['"]([^'"]*)['"]\s*\)"""
+VERB = r"""@%s\s*\(\s*(?:['"]([^'"]*)['"])?\s*\)([\s\S]*?)(?=@(?:%s)|\z)"""
+HANDLER = r"(?:async\s+)?(\w+)\s*\("
+RELATION = r"@%s\s*\(\s*\(\)\s*=>\s*(\w+)(?:\s*,\s*(?:\(\w+\)\s*=>\s*(\w+\.\w+)|[^)]+))?\)([\s\S]*?)(?=\n\s*(?:@|\w))"
+MODULE = r"@Module\s*\(\s*\{"
+MODULE_LIST = r"imports\s*:\s*\["
+MODULE_CALL = r"(\w+)\.(forRoot|forRootAsync|forFeature|register|registerAsync)\s*\("
+OCCURRENCE = r"@(\w+)\s*\(([^)]*)\)\s*\n\s*(?:export\s+)?(?:class|(?:async\s+)?\w+\s*\(|(?:readonly\s+)?(\w+)\s*[:(])"
 ROLES = [("module", r"@Module\s*\("), ("controller", r"@Controller\s*\("), ("entity", r"@Entity\s*\("), ("service", r"@Injectable\s*\(")]
 
 
@@ -54,17 +66,17 @@ def _listed(block: Column, decorator: str) -> Column:
 def controller_routes(content: Column) -> Column:
     """array of (method, path, handlerName, guards, interceptors), verb by verb. What lies between
     a verb's decorator and the next one belongs to the former."""
-    named = F.regexp_extract(content, r"""@Controller\s*\(\s*['"]([^'"]*)['"]\s*\)""", 1)
+    named = F.regexp_extract(content, CONTROLLER, 1)
     base = F.concat(F.lit("/"), F.regexp_replace(named, r"\A/", ""))
 
     def of_verb(verb: str) -> Column:
-        pattern = rf"""@{verb}\s*\(\s*(?:['"]([^'"]*)['"])?\s*\)([\s\S]*?)(?=@(?:{"|".join(VERBS)})|\z)"""
+        pattern = VERB % (verb, "|".join(VERBS))
         # A whole match ends before the look-ahead, so its parts are found without it.
         part = pattern[: pattern.rindex("(?=")].replace(r"([\s\S]*?)", r"([\s\S]*)\z")
 
         def route(m: Column) -> Column:
             path, block = F.regexp_extract(m, part, 1), F.regexp_extract(m, part, 2)
-            handler = F.regexp_extract(block, r"(?:async\s+)?(\w+)\s*\(", 1)
+            handler = F.regexp_extract(block, HANDLER, 1)
             return F.struct(
                 F.lit(verb.upper()).alias("method"),
                 F.when(F.length(path) > 0, F.regexp_replace(F.concat(base, F.lit("/"), path), "/+", "/")).otherwise(base).alias("path"),
@@ -82,7 +94,7 @@ def entity_relations(content: Column) -> Column:
     """array of (type, target, inverseSide, joinColumn), type by type."""
 
     def of_kind(kind: str) -> Column:
-        pattern = rf"@{kind}\s*\(\s*\(\)\s*=>\s*(\w+)(?:\s*,\s*(?:\(\w+\)\s*=>\s*(\w+\.\w+)|[^)]+))?\)([\s\S]*?)(?=\n\s*(?:@|\w))"
+        pattern = RELATION % kind
         part = pattern[: pattern.rindex("(?=")].replace(r"([\s\S]*?)", r"([\s\S]*)\z")
 
         def relation(m: Column) -> Column:
@@ -99,10 +111,6 @@ def entity_relations(content: Column) -> Column:
     return F.concat(*map(of_kind, RELATIONS))
 
 
-TYPED = r"(?:private|protected|public|readonly)\s+\w+\s*:\s*(\w+)"
-INJECTED = r"""@Inject\s*\(\s*['"]?(\w+)['"]?\s*\)"""
-
-
 def injectable_deps(content: Column, full_params: bool = False) -> Column:
     """Injected names, then parameter types not listed yet. By default the parameters end at the
     first closing bracket, as in the reference; `full_params` takes them to the balanced one (three
@@ -116,39 +124,36 @@ def injectable_deps(content: Column, full_params: bool = False) -> Column:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def module_imports(content: pd.Series) -> pd.Series:
-    """Items of the module's `imports` list; brackets are balanced, which no pattern can do."""
-
-    def one(text: str) -> list[str]:
-        module = re.search(r"@Module\s*\(\s*\{", text or "")
-        listed = re.search(r"imports\s*:\s*\[", text[module.start() :]) if module and module.start() else None
-        if not listed or not listed.start():
-            return []
-        begin = module.start() + listed.end()
-        depth = 1
-        for end in range(begin, len(text)):
-            depth += {"[": 1, "]": -1}.get(text[end], 0)
-            if not depth:
-                break
-        else:
-            return []
-        out = []
-        for item in text[begin:end].split(","):
-            item = item.strip()
-            short = re.match(r"(\w+)\.(forRoot|forRootAsync|forFeature|register|registerAsync)\s*\(", item)
-            out.append(f"{short[1]}.{short[2]}" if short else re.sub(r"\(.*\)", "", item, count=1).strip())
-        return [x for x in out if x]
+    """Items of the module's `imports` list; brackets are balanced, which no pattern can do. As in the
+    reference, a module or a list at the very beginning is not seen."""
+    module, listed, call = (re.compile(p, re.ASCII) for p in (MODULE, MODULE_LIST, MODULE_CALL))
 
-    return content.map(one, na_action="ignore")
+    def inside(text: str) -> str:
+        """What stands between the list's brackets; nothing if they aren't closed."""
+        found = module.search(text)
+        begin = listed.search(text, found.end()) if found and found.start() else None
+        level = 1
+        for bracket in re.finditer(r"[\[\]]", text[begin.end() :]) if begin else ():
+            level += 1 if bracket[0] == "[" else -1
+            if not level:
+                return text[begin.end() : begin.end() + bracket.start()]
+        return ""
+
+    def name(item: str) -> str:
+        called = call.match(item)
+        return ".".join(called.groups()) if called else re.sub(r"\(.*\)", "", item, count=1).strip()
+
+    return content.map(lambda text: [n for n in (name(x.strip()) for x in inside(text).split(",")) if n], na_action="ignore")
 
 
 @F.pandas_udf(OCCURRENCES)
 def decorator_occurrences(content: pd.Series) -> pd.Series:
     """Decorators with their arguments and targets; the target is looked for behind the match."""
-    pattern = re.compile(r"@(\w+)\s*\(([^)]*)\)\s*\n\s*(?:export\s+)?(?:class|(?:async\s+)?\w+\s*\(|(?:readonly\s+)?(\w+)\s*[:(])", re.ASCII)
+    pattern = re.compile(OCCURRENCE, re.ASCII)
 
     def target(text: str, at: int) -> str:
         ahead = text[at : at + 200]
-        found = re.search(r"class\s+(\w+)", ahead, re.ASCII) or re.search(r"(?:async\s+)?(\w+)\s*\(", ahead, re.ASCII)
+        found = re.search(r"class\s+(\w+)", ahead, re.ASCII) or re.search(HANDLER, ahead, re.ASCII)
         return found[1] if found else "unknown"
 
     def one(text: str) -> list[dict]:
@@ -157,23 +162,34 @@ def decorator_occurrences(content: pd.Series) -> pd.Series:
     return content.map(one, na_action="ignore")
 
 
-def with_framework(files: DataFrame) -> DataFrame:
-    """`files` (content, serviceName, fileType, language, lineCount) with role, framework and summary.
+def framework_of(content: Column) -> Column:
+    """What `with_framework` finds in a file, as one struct."""
+    return F.struct(
+        module_imports(content).alias("moduleImports"),
+        controller_routes(content).alias("controllerRoutes"),
+        entity_relations(content).alias("entityRelations"),
+        injectable_deps(content).alias("injectableDeps"),
+        decorator_occurrences(content).alias("decorators"),
+    )
+
+
+def with_framework(files: DataFrame, plugins: Sequence[tuple[str, Callable, Callable]] = ()) -> DataFrame:
+    """`files` (content, serviceName, fileType, language, lineCount) with hasFramework, plugin, role,
+    framework and summary.
 
-    The two helpers run only over files with a framework marker.
+    `plugins` are further analysers (name, can_analyse, analyse), tried after the built-in one; the
+    first whose can_analyse(content) holds is the file's. Both functions make columns of the content;
+    analyse makes a struct of the fields of `framework_of`. The helpers run only over files of their plug-in.
     """
     c = F.col("content")
-    out = files.withColumn("hasFramework", has_framework(c)).withColumn("role", F.when(F.col("hasFramework"), role(c)))
-    framework = F.struct(
-        module_imports(c).alias("moduleImports"),
-        controller_routes(c).alias("controllerRoutes"),
-        entity_relations(c).alias("entityRelations"),
-        injectable_deps(c).alias("injectableDeps"),
-        decorator_occurrences(c).alias("decorators"),
-    )
-    marked = out.where("hasFramework").withColumn("framework", framework)
-    plain = out.where("not coalesce(hasFramework, false)")
-    both = marked.unionByName(plain, allowMissingColumns=True)
+    known = [("nestjs", has_framework, framework_of), *plugins]
+    name = F.lit(None).cast("string")
+    for plugin, can, _ in reversed(known):
+        name = F.when(F.coalesce(can(c), F.lit(False)), plugin).otherwise(name)
+    out = files.withColumn("plugin", name).withColumn("hasFramework", F.col("plugin").isNotNull()).withColumn("role", F.when(F.col("hasFramework"), role(c)))
+    both = out.where("plugin is null")
+    for plugin, _, analyse in known:
+        both = both.unionByName(out.where(F.col("plugin") == plugin).withColumn("framework", analyse(c)), allowMissingColumns=True)
 
     def listed(array: Column, one) -> Column:
         text = F.array_join(F.transform(array, one), ", ")

@@ -13,7 +13,13 @@ def js_trim(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.length(js_trim(text)) == 0
+    return ~text.rlike(rf"[^{WS}]")
+
+
+def bound(value: Column, body) -> Column:
+    """The array `body(value)`, with `value` computed once: in the lambda of a higher-order function
+    an expression would be computed anew for each element."""
+    return F.flatten(F.transform(F.array(value), body))
 
 
 def short_id(*parts: Column) -> Column:
@@ -32,5 +38,14 @@ def occurrences(text: Column, word: Column) -> Column:
 
 
 def percent(score: Column) -> Column:
-    """`score` as percent with one decimal, ties away from zero."""
-    return F.format_string("%.1f", F.round(score * 100, 1))
+    """`score` (0 to 1) as percent with one decimal, by the exact binary value of the percentage; an
+    exact tie goes up. Spark rounds the decimal print instead: 12.35 is a little less than that."""
+    x = score * 100
+    tenths = F.round(x * 10).cast("long")  # right unless x prints as a tie
+    # x and the tie as multiples of a power of two, which they are exactly.
+    scale = F.when(x < 4, F.lit(float(2**56))).otherwise(F.lit(float(2**50)))
+    k = F.round(x * 20).cast("long")
+    prints_as_tie = (F.round(x, 2) == x) & (k % 2 == 1) & (F.round(x * 100).cast("long") == k * 5)
+    below = (x * scale).cast("long") * 20 < k * scale.cast("long")
+    n = F.when(prints_as_tie, F.when(below, F.floor(k / 2)).otherwise(F.floor(k / 2) + 1)).otherwise(tenths).cast("long")
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))

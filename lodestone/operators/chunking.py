@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import extract
-from ..functions.text import WS, is_blank, js_trim, short_id
+from ..functions.text import WS, bound, is_blank, js_trim, short_id
 
 CODE_SIZE, DOCUMENT_SIZE, OVERLAP, LINE = 1500, 2000, 200, 80
 SUMMARY_LINES = 10
@@ -30,23 +30,40 @@ def window_starts(n: Column, size: int, overlap: int) -> Column:
 def line_windows(content: Column, size: int = CODE_SIZE, overlap: int = OVERLAP) -> Column:
     """array of (content, startLine, endLine): windows of size / 80 lines, blank ones left out."""
     per, back = max(1, size // LINE), max(0, overlap // LINE)
-    lines = F.split(content, "\n")
-    pieces = F.transform(
-        window_starts(F.size(lines), per, back),
-        lambda s: F.struct(
-            F.array_join(F.slice(lines, s + 1, per), "\n").alias("content"),
-            (s + 1).alias("startLine"),
-            F.least(s + per, F.size(lines)).alias("endLine"),
-        ),
-    )
-    return F.filter(pieces, lambda p: ~is_blank(p["content"]))
+
+    def cut(lines: Column) -> Column:
+        return F.transform(
+            window_starts(F.size(lines), per, back),
+            lambda s: F.struct(
+                F.array_join(F.slice(lines, s + 1, per), "\n").alias("content"),
+                (s + 1).alias("startLine"),
+                F.least(s + per, F.size(lines)).alias("endLine"),
+            ),
+        )
+
+    return F.filter(bound(F.split(content, "\n"), cut), lambda p: ~is_blank(p["content"]))
 
 
 def text_pieces(text: Column, size: int = DOCUMENT_SIZE, overlap: int = OVERLAP) -> Column:
-    """Windows of characters, blank ones left out; a text of no more than `size` is one piece."""
-    n = F.length(text)
-    cut = F.transform(window_starts(n, size, overlap), lambda s: F.substring(text, s + 1, F.lit(size)))
-    return F.filter(F.when(n <= size, F.array(text)).otherwise(cut), lambda p: ~is_blank(p))
+    """Windows of characters, blank ones left out; a text of no more than `size` is one piece.
+
+    The text is cut once into parts of a step; a window is put together from the parts it covers, so
+    the work is in proportion to the text. Only a window of the last `overlap` characters may begin
+    within a part.
+    """
+    step = size - overlap
+
+    def cut(x: Column) -> Column:
+        def window(s: Column) -> Column:
+            whole = F.array_join(F.slice(x["parts"], (s / step).cast("int") + 1, -(-size // step)), "")
+            return F.when(s % step == 0, F.substring(whole, 1, size)).otherwise(F.right(x["text"], F.lit(overlap)))
+
+        windows = F.transform(window_starts(x["n"], size, overlap), window) if step > 0 else F.array(F.substring(x["text"], 1, size))
+        return F.when(x["n"] <= size, F.array(x["text"])).otherwise(windows)
+
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{max(step, 1)}}}"), F.lit(0)) if step > 0 else F.lit(None)
+    given = F.struct(text.alias("text"), F.length(text).alias("n"), parts.alias("parts"))
+    return F.filter(bound(given, cut), lambda p: ~is_blank(p))
 
 
 def file_summary(relative_path: Column, service: Column, file_type: Column, content: Column) -> Column:
@@ -107,13 +124,13 @@ _HEADING = rf"#{{1,6}}[{_BLANK}]+[^\n\r\x{{2028}}\x{{2029}}]+"
 
 def markdown_sections(text: Column) -> Column:
     """array of (heading, level, content): cut before heading lines; sections without content are
-    left out; a text with none of them is one section without a heading."""
+    left out; a text with none of them is one section without a heading. Headings keep their blanks."""
     parts = F.split(text, rf"(?:\A|\n)(?={_HEADING}(?:\n|\z))")
     head = rf"\A(#{{1,6}})[{_BLANK}]+([^\n\r\x{{2028}}\x{{2029}}]+)(?=\n|\z)"
     sections = F.transform(
         parts,
         lambda p: F.struct(
-            js_trim(F.regexp_extract(p, head, 2)).alias("heading"),
+            F.regexp_extract(p, head, 2).alias("heading"),
             F.length(F.regexp_extract(p, head, 1)).alias("level"),
             js_trim(F.regexp_replace(p, rf"\A{_HEADING}(?=\n|\z)", "")).alias("content"),
         ),
@@ -139,15 +156,17 @@ def text_pages(text: Column, count: Column) -> Column:
 
 
 def sheet_texts(rows: DataFrame, source: str, sheet: str, order: list[str], columns: list[str], limit: int = SHEET_ROWS) -> DataFrame:
-    """(source, sheetName, rowCount, content): rows of each sheet as CSV lines, the first `limit`
-    in order. Sheets without text are left out. What is collected per sheet is bounded by `limit`."""
+    """(source, sheetName, rowCount, totalSheets, content): rows of each sheet as CSV lines, the first
+    `limit` in order; the text is trimmed as a whole. totalSheets counts all sheets of a source, also
+    those without text, which are left out. What is collected per sheet is bounded by `limit`."""
     by = Window.partitionBy(source, sheet).orderBy(*order)
     kept = rows.withColumn("__row", F.row_number().over(by)).where(F.col("__row") <= limit)
-    line = F.to_csv(F.struct(*columns))
+    line = F.to_csv(F.struct(*columns), {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": ""})
     lines = F.array_sort(F.collect_list(F.struct("__row", line.alias("line"))))
     out = kept.groupBy(F.col(source).alias("source"), F.col(sheet).alias("sheetName")).agg(F.count("*").cast("int").alias("rowCount"), lines.alias("lines"))
-    out = out.withColumn("content", F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).drop("lines")
-    return out.where(~is_blank(F.col("content")))
+    out = out.withColumn("totalSheets", F.count("*").over(Window.partitionBy("source")))
+    out = out.withColumn("content", js_trim(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))).drop("lines")
+    return out.where(F.length("content") > 0)
 
 
 def _document_chunks(parts: DataFrame, text: Column, name: Column, page: Column, sheet: Column, metadata: Column, size: int, overlap: int) -> DataFrame:
@@ -190,11 +209,10 @@ def chunk_pages(docs: DataFrame, size: int = DOCUMENT_SIZE, overlap: int = OVERL
 
 
 def chunk_sheets(sheets: DataFrame, size: int = DOCUMENT_SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks of `sheet_texts` (source, sheetName, rowCount, content)."""
-    total = F.count("*").over(Window.partitionBy("source"))
-    parts = sheets.withColumn("__total", total).withColumn("sourceType", F.lit("excel"))
+    """Chunks of `sheet_texts` (source, sheetName, rowCount, totalSheets, content)."""
+    parts = sheets.withColumn("sourceType", F.lit("excel"))
     name = F.concat(F.lit("sheet-"), F.col("sheetName"))
-    metadata = _map(sheetName=F.col("sheetName"), rowCount=F.col("rowCount"), totalSheets=F.col("__total"))
+    metadata = _map(sheetName=F.col("sheetName"), rowCount=F.col("rowCount"), totalSheets=F.col("totalSheets"))
     return _document_chunks(parts, F.col("content"), name, F.lit(None), F.col("sheetName"), metadata, size, overlap)
 
 
@@ -237,6 +255,21 @@ def document_records(chunks: DataFrame) -> DataFrame:
 
 
 def document_totals(docs: DataFrame) -> DataFrame:
-    """(source, sections, hasTitle): sections of each text and whether the first has a heading."""
-    sections = F.when(F.col("sourceType") == "markdown", markdown_sections(F.col("text"))).otherwise(text_sections(F.col("text")))
-    return docs.select("source", sections.alias("s")).select("source", F.size("s").alias("sections"), F.coalesce(F.length(F.get("s", F.lit(0))["heading"]) > 0, F.lit(False)).alias("hasTitle"))
+    """(source, sections, hasTitle): sections of each text (source, sourceType, text), and whether it
+    is markdown and its first section has a heading of level 1."""
+    markdown = F.col("sourceType") == "markdown"
+    sections = F.when(markdown, markdown_sections(F.col("text"))).otherwise(text_sections(F.col("text")))
+    titled = markdown & (F.get("s", F.lit(0))["level"] == 1)
+    return docs.select("source", "sourceType", sections.alias("s")).select("source", F.size("s").alias("sections"), F.coalesce(titled, F.lit(False)).alias("hasTitle"))
+
+
+def page_totals(docs: DataFrame) -> DataFrame:
+    """(source, pages, totalPages): pages with text of each extracted text (source, text, pageCount),
+    and all of them."""
+    return docs.select("source", F.size(text_pages(F.col("text"), F.col("pageCount"))).alias("pages"), F.col("pageCount").alias("totalPages"))
+
+
+def sheet_totals(sheets: DataFrame) -> DataFrame:
+    """(source, sheets, totalSheets, rows) of `sheet_texts`: sheets with text, all sheets, rows kept.
+    A source none of whose sheets has text is not in there."""
+    return sheets.groupBy("source").agg(F.count("*").alias("sheets"), F.first("totalSheets").alias("totalSheets"), F.sum("rowCount").alias("rows"))

@@ -14,16 +14,16 @@ BATCH = 10
 
 
 def hashing_embedder(width: int = 64) -> Callable:
-    """A deterministic embedder for tests: signed hashed words, unit length."""
+    """A deterministic embedder for tests: signed hashed words (32 bits of MD5), unit length."""
 
     def make():
-        import zlib
+        import hashlib
 
         def embed(texts: np.ndarray) -> np.ndarray:
             out = np.zeros((len(texts), width), np.float32)
             for k, text in enumerate(texts):
                 for word in str(text).lower().split():
-                    h = zlib.crc32(word.encode())
+                    h = int.from_bytes(hashlib.md5(word.encode()).digest()[:4])
                     out[k, h % width] += 1 if h & (1 << 31) else -1
             norm = np.linalg.norm(out, axis=1, keepdims=True)
             return out / np.where(norm == 0, 1, norm)

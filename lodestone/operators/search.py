@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.text import occurrences
+from ..storage import saved
 
 LIMIT, MULTIPLIER, FETCH = 6, 3, 3
 RRF = 60
-#: Question vectors are broadcast in blocks of so many.
-QUERY_BLOCK = 2048
-#: Distinct keywords are broadcast up to so many rows.
-MAX_KEYWORDS = 100_000
+#: Rows of a block of questions and of a block of chunks.
+QUERY_BLOCK, CHUNK_BLOCK = 512, 2048
+#: Blocks of questions are broadcast up to so many; beyond that the blocks' product is dealt out.
+MAX_BROADCAST_BLOCKS = 64
+#: Questions of which a task holds the best rows at once.
+HELD_QUESTIONS = 1 << 15
 
 
 def top(df: DataFrame, k: int, *order, by: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -28,79 +35,147 @@ def metadata_matches(query_service: Column, query_type: Column, chunk_type: Colu
     return (chunk_type != "code") | fits
 
 
+def blocks(df: DataFrame, rows: int) -> DataFrame:
+    """(block): `df` in blocks of at most `rows` rows, each as one Arrow stream."""
+
+    def run(batches):
+        for batch in batches:
+            packed = []
+            for at in range(0, batch.num_rows, rows):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as writer:
+                    writer.write_batch(batch.slice(at, rows))
+                packed.append(sink.getvalue().to_pybytes())
+                if len(packed) == 4:
+                    yield pa.RecordBatch.from_pydict({"block": pa.array(packed, pa.binary())})
+                    packed = []
+            if packed:
+                yield pa.RecordBatch.from_pydict({"block": pa.array(packed, pa.binary())})
+
+    return df.mapInArrow(run, "block binary")
+
+
+def unpacked(block: bytes) -> pa.RecordBatch:
+    return next(iter(pa.ipc.open_stream(block)))
+
+
+def best_of_blocks(queries: DataFrame, chunks: DataFrame, prepare: Callable, score: Callable, k: int, value: str, extra: dict[str, T.DataType]) -> DataFrame:
+    """(query_id, id, value, extra ...): for each question of `queries` (query_id ...) candidates
+    among `chunks` (id ...), at least the `k` with the least `value`; ties by id.
+
+    Chunks are read once, in blocks, and meet the questions in blocks; rows of pairs are never made.
+    prepare(block of questions) is called once for each task and block; score(prepared, block of
+    chunks) gives a matrix of values, infinite for what is no candidate, and a matrix of each extra.
+    A task holds the best k of each question over all its blocks, of HELD_QUESTIONS at a time.
+    """
+    asked = saved(blocks(queries, QUERY_BLOCK).withColumn("number", F.monotonically_increasing_id()), "questions")
+    if asked.count() <= MAX_BROADCAST_BLOCKS:
+        asked = F.broadcast(asked)
+    both = blocks(chunks, CHUNK_BLOCK).crossJoin(asked.select(F.col("block").alias("asked"), "number"))
+    query_type, id_type = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(chunks.schema["id"].dataType)
+    names = ["query_id", "id", value, *extra]
+    types = [query_type, id_type, pa.float64(), *map(to_arrow_type, extra.values())]
+
+    def kept(held, ids, matrices):
+        """The best k columns of each row of old and new together."""
+        old_ids, old = held
+        ids = np.hstack([old_ids, np.broadcast_to(ids, (len(old_ids), len(ids)))])
+        matrices = [np.hstack(pair) for pair in zip(old, matrices, strict=True)]
+        least = matrices[0]
+        size = min(k, least.shape[1])
+        take = np.zeros((len(least), size), np.int64)
+        edges = np.partition(least, size - 1, axis=1)[:, size - 1] if size else None
+        for q in range(len(least) if size else 0):
+            near = np.flatnonzero(least[q] <= edges[q])
+            take[q] = near[np.lexsort((ids[q, near], least[q, near]))][:size]
+        return np.take_along_axis(ids, take, 1), [np.take_along_axis(m, take, 1) for m in matrices]
+
+    def rows_of(query_ids, held) -> pa.RecordBatch:
+        ids, matrices = held
+        q, j = np.nonzero(np.isfinite(matrices[0]))
+        columns = [query_ids.take(pa.array(q)), pa.array(list(ids[q, j]), id_type), *(pa.array(m[q, j]) for m in matrices)]
+        return pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        prepared: dict[int, tuple] = {}
+        best: dict[int, tuple] = {}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                number = batch.column("number")[r].as_py()
+                if number not in prepared:
+                    if sum(len(query_ids) for query_ids, _ in prepared.values()) >= HELD_QUESTIONS:
+                        for n in best:
+                            yield rows_of(prepared[n][0], best[n])
+                        prepared, best = {}, {}
+                    block = unpacked(batch.column("asked")[r].as_py())
+                    prepared[number] = (block.column("query_id"), prepare(block))
+                query_ids, given = prepared[number]
+                rows = unpacked(batch.column("block")[r].as_py())
+                ids, matrices = score(given, rows)
+                if not len(ids):
+                    continue
+                empty = (np.empty((len(query_ids), 0), object), [np.empty((len(query_ids), 0), m.dtype) for m in matrices])
+                best[number] = kept(best.get(number, empty), ids, matrices)
+        for n in best:
+            yield rows_of(prepared[n][0], best[n])
+
+    fields = [queries.schema["query_id"], chunks.schema["id"], T.StructField(value, T.DoubleType()), *(T.StructField(c, t) for c, t in extra.items())]
+    return both.mapInArrow(run, T.StructType(fields))
+
+
+def objects(column) -> np.ndarray:
+    out = np.empty(len(column), object)
+    out[:] = column.to_pylist()
+    return out
+
+
+def misfits(asked: pa.RecordBatch, rows: pa.RecordBatch) -> np.ndarray:
+    """Which chunks a question's filters keep out; `metadata_matches` as a matrix."""
+    out = np.zeros((asked.num_rows, rows.num_rows), bool)
+    for want, have in (("serviceFilter", "serviceName"), ("fileTypeFilter", "fileType")):
+        wants, haves = objects(asked.column(want)), objects(rows.column(have))
+        for q in np.flatnonzero(wants != None):  # noqa: E711
+            out[q] |= haves != wants[q]
+    return out & (objects(rows.column("chunkType")) == "code")[None, :]
+
+
 def nearest(queries: DataFrame, chunks: DataFrame, k: int, decimals: int = 6, filtered: bool = False) -> DataFrame:
     """(query_id, id, distance, rank): for each question (query_id, vector) the `k` chunks (id,
     vector) with the least squared Euclidean distance; ties by id. Exact.
 
-    Questions go to the executors as matrices of `QUERY_BLOCK` rows; each task keeps the best `k` of
-    each question, so never more than k rows per question and task are shuffled. With `filtered`,
-    questions have serviceFilter and fileTypeFilter and chunks have chunkType, serviceName, fileType.
+    Questions and chunks without a vector are left out. With `filtered`, questions have
+    serviceFilter and fileTypeFilter and chunks have chunkType, serviceName, fileType.
     """
-    spark = queries.sparkSession
     columns = ["query_id", "vector"] + (["serviceFilter", "fileTypeFilter"] if filtered else [])
     columns_c = ["id", "vector"] + (["chunkType", "serviceName", "fileType"] if filtered else [])
-    total = queries.count()
-    blocks = -(-total // QUERY_BLOCK)
-    if not total:
-        return spark.createDataFrame([], queries.select("query_id").schema.add(chunks.schema["id"]).add("distance", "double").add("rank", "integer"))
-    out = None
-    numbered = queries.select(*columns).withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    for block in range(blocks):
-        part = numbered.where(F.col("__block") == block).toPandas()
-        if not len(part):
-            continue
-        matrix = np.stack(part["vector"].map(lambda v: np.asarray(v, np.float64)))
-        names = part["query_id"].tolist()
-        squares = (matrix**2).sum(axis=1)
-        wants = [part[c].where(part[c].notna(), None).tolist() for c in columns[2:]]
-
-        def run(batches, matrix=matrix, names=names, squares=squares, wants=wants):
-            best_d = np.full((len(names), 0), np.inf)
-            best_i = np.empty((len(names), 0), object)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
-                    rows = batch.slice(at, 4096)
-                    column = rows.column("vector")
-                    ok = np.asarray(column.is_valid())
-                    ids = np.array(rows.column("id").to_pylist(), object)[ok]
-                    if not len(ids):
-                        continue
-                    x = np.asarray(column.drop_null().flatten(), np.float64).reshape(len(ids), -1)
-                    d = squares[:, None] + (x**2).sum(axis=1)[None, :] - 2 * matrix @ x.T
-                    d = np.maximum(d, 0).round(decimals)
-                    if filtered:
-                        kind, service, file_type = (np.array(rows.column(c).to_pylist(), object)[ok] for c in columns_c[2:])
-                        for q in range(len(names)):
-                            off = np.zeros(len(ids), bool)
-                            for want, have in ((wants[0][q], service), (wants[1][q], file_type)):
-                                if want is not None:
-                                    off |= have != want
-                            d[q, off & (kind == "code")] = np.inf
-                    d = np.hstack([best_d, d])
-                    i = np.hstack([best_i, np.broadcast_to(ids, (len(names), len(ids)))])
-                    take = np.empty((len(names), min(k, d.shape[1])), np.int64)
-                    for q in range(len(names)):
-                        edge = np.partition(d[q], take.shape[1] - 1)[take.shape[1] - 1]
-                        near = np.flatnonzero(d[q] <= edge)
-                        take[q] = sorted(near, key=lambda j, q=q: (d[q, j], i[q, j]))[: take.shape[1]]
-                    best_d, best_i = np.take_along_axis(d, take, 1), np.take_along_axis(i, take, 1)
-            rows = [(names[q], best_i[q, j], best_d[q, j]) for q in range(len(names)) for j in range(best_d.shape[1]) if np.isfinite(best_d[q, j])]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], query_type), pa.array([r[1] for r in rows], id_type), pa.array([r[2] for r in rows], pa.float64())], names=["query_id", "id", "distance"])
-
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        query_type, id_type = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(chunks.schema["id"].dataType)
-        schema = queries.select("query_id").schema.add(chunks.schema["id"]).add("distance", "double")
-        found = chunks.select(*columns_c).mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return top(out, k, "distance", "id")
-
-
-def nearest_by_join(queries: DataFrame, chunks: DataFrame, k: int, decimals: int = 6) -> DataFrame:
-    """The same for small data, as one join; kept as a plain statement of what `nearest` computes."""
-    pairs = queries.select("query_id", F.col("vector").alias("q")).crossJoin(chunks.select("id", F.col("vector").alias("c")))
-    square = F.aggregate(F.zip_with("q", "c", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    return top(pairs.select("query_id", "id", F.round(square, decimals).alias("distance")), k, "distance", "id")
+
+    def matrix(block: pa.RecordBatch) -> np.ndarray:
+        return np.asarray(block.column("vector").flatten(), np.float64).reshape(block.num_rows, -1)
+
+    def prepare(block):
+        m = matrix(block)
+        return block, m, (m**2).sum(axis=1)
+
+    def score(given, rows):
+        block, m, squares = given
+        x = matrix(rows)
+        d = np.maximum(squares[:, None] + (x**2).sum(axis=1)[None, :] - 2 * m @ x.T, 0).round(decimals)
+        if filtered:
+            d[misfits(block, rows)] = np.inf
+        return objects(rows.column("id")), [d]
+
+    some = F.col("vector").isNotNull()
+    found = best_of_blocks(queries.where(some).select(*columns), chunks.where(some).select(*columns_c), prepare, score, k, "distance", {})
+    return top(found, k, "distance", "id")
+
+
+def results(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, rank, id, content, score, metadata, filePath, serviceName, fileType, symbolName) of
+    hits (query_id, id, score, rank): the chunk's other columns nested, and its main ones on top."""
+    nested = ["filePath", "relativePath", "serviceName", "fileType", "language", "symbolName", "level", "startLine", "endLine", "chunkType"]
+    joined = hits.select("query_id", "id", "score", "rank").join(chunks.select("id", "content", *nested), "id")
+    whole = F.coalesce("content", F.lit("")).alias("content")
+    return joined.select("query_id", "rank", "id", whole, "score", F.struct(*nested).alias("metadata"), "filePath", "serviceName", "fileType", "symbolName")
 
 
 def semantic_score(distance: Column) -> Column:
@@ -113,84 +188,101 @@ def merged_by_distance(code: DataFrame, documents: DataFrame, k: int) -> DataFra
     return top(both.drop("rank"), k, F.coalesce("distance", F.lit(float("inf"))), "__from", "id").drop("__from")
 
 
-def keyword_counts(chunks: DataFrame, words: DataFrame, max_keywords: int = MAX_KEYWORDS) -> DataFrame:
-    """(id, word, c): how often each of the distinct `words` (word) stands in each chunk that has
-    it, ignoring case, without overlaps.
-
-    Up to `max_keywords` words go to the tasks as one Aho-Corasick automaton, so a chunk is read
-    once whatever their number; beyond that, words and chunks are joined block by block.
-    """
-    lower = chunks.select("id", F.lower("content").alias("text"))
-    if words.count() > max_keywords:
-        found = lower.join(words.select("word", F.lower("word").alias("w")), F.contains("text", F.col("w")))
-        return found.select("id", "word", occurrences(F.col("text"), F.col("w")).alias("c"))
-    listed = [(r["word"], r["w"]) for r in words.where("word <> ''").select("word", F.lower("word").alias("w")).collect()]
-
-    def run(batches):
-        import ahocorasick
-
-        forms: dict[str, list[str]] = {}
-        for word, w in listed:
-            forms.setdefault(w, []).append(word)
-        automaton = ahocorasick.Automaton()
-        for w in forms:
-            automaton.add_word(w, w)
-        if forms:
-            automaton.make_automaton()
-        for batch in batches:
-            at, word, count = [], [], []
-            for k, text in enumerate(batch.column("text").to_pylist() if forms else []):
-                found: dict[str, int] = {}
-                after: dict[str, int] = {}
-                for end, w in automaton.iter(text or ""):
-                    if end - len(w) + 1 >= after.get(w, 0):
-                        found[w] = found.get(w, 0) + 1
-                        after[w] = end + 1
-                for w, c in found.items():
-                    for form in forms[w]:
-                        at.append(k)
-                        word.append(form)
-                        count.append(c)
-            ids = batch.column("id").take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(word, pa.string()), pa.array(count, pa.int32())], names=["id", "word", "c"])
-
-    return lower.mapInArrow(run, chunks.select("id").schema.add("word", "string").add("c", "integer"))
+def keyword_index(words: list[list[str]]):
+    """The distinct words of lists of words, an automaton of them, which of them may overlap
+    themselves, and for each word the lists that have it (as often as they do)."""
+    import ahocorasick
+
+    distinct = sorted({w for ws in words for w in ws if w})
+    place = {w: k for k, w in enumerate(distinct)}
+    automaton = ahocorasick.Automaton()
+    for w, k in place.items():
+        automaton.add_word(w, k)
+    if distinct:
+        automaton.make_automaton()
+    looped = np.array([any(w.startswith(w[-n:]) for n in range(1, len(w))) for w in distinct], bool)
+    pairs = np.array(sorted((place[w], q) for q, ws in enumerate(words) for w in ws if w), np.int64).reshape(-1, 2)
+    begin = np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1))
+    return distinct, automaton, looped, pairs[:, 1], begin
+
+
+def word_counts(texts: list[str | None], index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word, count) of the index's words in texts, without overlaps."""
+    distinct, automaton, looped, _, _ = index
+    size = np.array([len(w) for w in distinct], np.int64)
+    at, word, count = [], [], []
+    for k, text in enumerate(texts):
+        found = np.array([*automaton.iter(text)], np.int64).reshape(-1, 2) if text and distinct else np.zeros((0, 2), np.int64)
+        n = np.bincount(found[:, 1], minlength=len(distinct))
+        for w in np.flatnonzero(looped & (n > 1)):
+            ends, free, held = found[found[:, 1] == w, 0], 0, 0
+            for end in ends:
+                if end - size[w] + 1 >= free:
+                    held, free = held + 1, end + 1
+            n[w] = held
+        some = np.flatnonzero(n)
+        at.append(np.full(len(some), k))
+        word.append(some)
+        count.append(n[some])
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([*x, none]) for x in (at, word, count))
 
 
 def keyword_hits(queries: DataFrame, chunks: DataFrame, k: int, match: str = "literal", keyword_filter_documents: bool = True, candidate_cap: int | None = None, filtered: bool = False) -> DataFrame:
     """(query_id, id, occurrences, score, rank): chunks (id, content, chunkType) with any keyword of
     a question (query_id, keywords), best first; ties by id.
 
-    `match="like"` takes keywords as LIKE
-    patterns that mind case, as the reference does; `keyword_filter_documents=False` lets documents
-    without any keyword in with score 0, and `candidate_cap` keeps only so many chunks of least
-    vector norm before scoring (needs `vector`), both as the reference does. With `filtered`, the
-    questions' serviceFilter and fileTypeFilter hold for code chunks.
+    A chunk's score needs its own counts only, so it is made where the chunk is read, once for each
+    block of questions, with an automaton of the block's words; only the best `k` are shuffled.
+    `match="like"` takes keywords as LIKE patterns that mind case, as the reference does;
+    `keyword_filter_documents=False` lets documents without any keyword in with score 0, and
+    `candidate_cap` keeps only so many chunks of least vector norm before scoring (needs `vector`),
+    both as the reference does. With `filtered`, the questions' serviceFilter and fileTypeFilter hold
+    for code chunks.
     """
-    asked = queries.select("query_id", F.explode_outer(F.array_distinct("keywords")).alias("word"), F.size("keywords").alias("n"))
-    words = asked.where("word is not null").select("word").distinct()
-    counted = keyword_counts(chunks, words)
-    if match == "like":
-        # A chunk found by one keyword, as a pattern, is scored by all of the question's.
-        fits = F.expr("content like concat('%', word, '%')")
-        ids = chunks.select("id", "content").join(F.broadcast(words) if words.count() <= MAX_KEYWORDS else words, fits).select("id", "word").join(asked, "word").select("query_id", "id").distinct()
-        scored = ids.join(asked, "query_id").join(counted, ["id", "word"], "left").groupBy("query_id", "id").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("occurrences"), F.first("n").alias("n"))
-    else:
-        scored = counted.join(asked, "word").groupBy("query_id", "id").agg(F.sum("c").alias("occurrences"), F.first("n").alias("n"))
-    if not keyword_filter_documents:
-        others = queries.select("query_id", F.size("keywords").alias("n")).crossJoin(F.broadcast(chunks.where("chunkType = 'document'").select("id")))
-        others = others.join(scored, ["query_id", "id"], "left_anti").select("query_id", "id", F.lit(0).cast("long").alias("occurrences"), "n")
-        scored = scored.unionByName(others)
-    if filtered:
-        wants = queries.select("query_id", "serviceFilter", "fileTypeFilter").where("serviceFilter is not null or fileTypeFilter is not null")
-        meta = chunks.select("id", "chunkType", "serviceName", "fileType")
-        fits = metadata_matches(F.col("serviceFilter"), F.col("fileTypeFilter"), F.col("chunkType"), F.col("serviceName"), F.col("fileType"))
-        scored = scored.join(meta, "id").join(wants, "query_id", "left").where(fits).select("query_id", "id", "occurrences", "n")
+    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    asked = ["query_id", F.array_distinct("keywords").alias("words"), F.size("keywords").alias("n")] + (["serviceFilter", "fileTypeFilter"] if filtered else [])
+    rows_c = ["id", "content", F.lower("content").alias("text"), "chunkType"] if match == "like" else ["id", F.lower("content").alias("text"), "chunkType"]
+    rows_c += (["serviceName", "fileType"] if filtered else []) + ([norm.alias("norm")] if candidate_cap is not None else [])
+    questions = queries.select(*asked).withColumn("lower", F.transform("words", F.lower))
+
+    def prepare(block):
+        patterns = {}
+        if match == "like":
+            for w in {w for ws in block.column("words").to_pylist() for w in ws or []}:
+                like = re.escape(w).replace("%", "[\\s\\S]*").replace("_", "[\\s\\S]")
+                patterns[w] = re.compile(like)
+        return block, keyword_index([ws or [] for ws in block.column("lower").to_pylist()]), patterns
+
+    def score(given, rows):
+        block, index, patterns = given
+        shape = (block.num_rows, rows.num_rows)
+        at, word, count = word_counts(rows.column("text").to_pylist(), index)
+        _, _, _, lists, begin = index
+        times = begin[word + 1] - begin[word]
+        which = np.repeat(begin[word] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        cell = lists[which] * shape[1] + np.repeat(at, times)
+        occurrences = np.bincount(cell, np.repeat(count, times), shape[0] * shape[1]).reshape(shape).astype(np.int64)
+        found = occurrences > 0
+        if match == "like":
+            texts, asked_words = rows.column("content").to_pylist(), block.column("words").to_pylist()
+            held = {w: np.array([bool(p.search(t)) if t is not None else False for t in texts]) for w, p in patterns.items()}
+            found = np.array([np.logical_or.reduce([held[w] for w in ws or []], initial=False) & np.ones(shape[1], bool) for ws in asked_words]).reshape(shape)
+        if not keyword_filter_documents:
+            found |= (objects(rows.column("chunkType")) == "document")[None, :]
+        if filtered:
+            found &= ~misfits(block, rows)
+        n = np.asarray(block.column("n"), np.int64)[:, None]
+        value = -np.minimum(occurrences / np.maximum(5 * n, 1), 1.0)
+        score = np.where(found, value, np.inf)
+        order = score if candidate_cap is None else np.where(found, np.asarray(rows.column("norm"), np.float64)[None, :], np.inf)
+        return objects(rows.column("id")), [order, occurrences, value]
+
+    extra = {"occurrences": T.LongType(), "negative": T.DoubleType()}
+    best = best_of_blocks(questions, chunks.select(*rows_c), prepare, score, k if candidate_cap is None else candidate_cap, "order", extra)
     if candidate_cap is not None:
-        norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-        scored = top(scored.join(chunks.select("id", norm.alias("norm")), "id"), candidate_cap, "norm", "id").drop("rank", "norm")
-    score = F.least(F.col("occurrences") / F.greatest(5 * F.col("n"), F.lit(1)), F.lit(1.0))
-    scored = scored.select("query_id", "id", F.col("occurrences").cast("long").alias("occurrences"), score.alias("score"))
+        best = top(best, candidate_cap, "order", "id").drop("rank")
+    scored = best.select("query_id", "id", "occurrences", (-F.col("negative") + F.lit(0.0)).alias("score"))
     return top(scored, k, F.desc("score"), "id")
 
 

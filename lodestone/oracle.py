@@ -49,6 +49,38 @@ chunked AS (
   FROM (SELECT source, p, unnest(range(1, len(p) + 1)) AS i
         FROM (SELECT concat(source, '/', doc_id, '.txt') AS source, {pieces(trim("text"))} AS p FROM documents WHERE length({trim("text")}) > 0)))"""
 
+SHEETS = """
+sheet_rows AS (
+  SELECT CASE WHEN c_custkey % 200 = 7 THEN 'EMPTY' ELSE c_mktsegment END AS sheet, c_custkey AS k,
+    CASE WHEN c_custkey % 200 = 7 THEN ',,' ELSE concat(',', c_custkey, ',"', replace(concat(' "', substring(c_name, 10, 20), '", ', c_mktsegment, ' '), '"', '""'), '"') END AS line
+  FROM customer),
+sheets AS (
+  SELECT sheet, count(*) AS n, string_agg(CASE WHEN sheet = 'EMPTY' THEN ',,' ELSE line END, chr(10) ORDER BY k) AS content, count(*) OVER () AS total
+  FROM (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY k) AS r FROM sheet_rows QUALIFY r <= 10000) GROUP BY sheet)"""
+
+#: Every document as markdown: (source, text).
+MARKDOWN = """
+  SELECT concat(source, '/', doc_id, '.md') AS source,
+    concat(CASE doc_id % 3 WHEN 0 THEN concat('# ', source, '  ', chr(10)) WHEN 1 THEN '' ELSE concat('## Sub', chr(10)) END, replace(text, chr(10), concat(chr(10), '## Part ', lang, ' ', chr(10)))) AS text
+  FROM documents"""
+
+
+def sections(texts: str) -> str:
+    """Sections of markdown texts (source, text), line by line: `titled` has their text with the heading."""
+    head = "^(#{1,6})[\\s\\x0B\\p{Z}\\x{FEFF}]+([^\\n\\r]+)$"
+    return f"""
+numbered AS (SELECT source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM ({texts})),
+marked AS (SELECT *, regexp_matches(line, '{head}') AS h FROM numbered),
+parted AS (SELECT *, sum(h::INT) OVER (PARTITION BY source ORDER BY i) AS part FROM marked),
+found AS (
+  SELECT source, part, {trim("coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT h), '')")} AS content,
+    coalesce(max(regexp_extract(line, '{head}', 2)) FILTER (h), '') AS heading, coalesce(max(length(regexp_extract(line, '{head}', 1))) FILTER (h), 0) AS level
+  FROM parted GROUP BY ALL),
+titled AS (
+  SELECT *, CASE WHEN length(heading) > 0 THEN concat(repeat('#', level), ' ', heading, chr(10), chr(10), content) ELSE content END AS titled, count(*) OVER (PARTITION BY source) AS sections
+  FROM found WHERE length(content) > 0)"""
+
+
 QUESTIONS = """
 questions AS (
   SELECT item_id AS query_id, concat(text, ' in src', item_id % 20, CASE WHEN item_id % 3 = 0 THEN ' module' ELSE '' END) AS question FROM benchmark)"""
@@ -56,7 +88,7 @@ questions AS (
 QUERIES = """
 queries AS (
   SELECT vec_id AS query_id, embedding AS vector, question
-  FROM embeddings JOIN questions q ON q.query_id = (vec_id // 50) % 40 WHERE vec_id % 50 = 0)"""
+  FROM embeddings JOIN questions q ON q.query_id = (vec_id // 20) % (SELECT count(*) FROM benchmark) WHERE vec_id % 20 = 0)"""
 
 
 def analysed(source: str, services: list[str]) -> str:
@@ -78,7 +110,7 @@ chunks AS MATERIALIZED (
   SELECT doc_id::VARCHAR AS id, text AS content, embedding AS vector, CASE WHEN doc_id % 2 = 0 THEN 'code' ELSE 'document' END AS kind,
     concat(source, '/f', doc_id // 40, '.ts') AS path, CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END AS service, lang AS file_type,
     (doc_id % 40) * 7 + 1 AS line
-  FROM documents JOIN embeddings ON doc_id = vec_id)"""
+  FROM documents LEFT JOIN embeddings ON doc_id = vec_id)"""
 
 #: Each lateral sum runs over one pair of vectors.
 SQUARE = "round(list_sum(list_transform(list_zip(q.vector, c.vector), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 6)"
@@ -102,7 +134,7 @@ keyed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC
 FUSED = f"""
 distances AS MATERIALIZED (
   SELECT q.query_id, c.id, {SQUARE} AS distance FROM analysed q, chunks c
-  WHERE c.kind <> 'code' OR ((q.service_filter IS NULL OR c.service = q.service_filter) AND (q.type_filter IS NULL OR c.file_type = q.type_filter))),
+  WHERE c.vector IS NOT NULL AND (c.kind <> 'code' OR ((q.service_filter IS NULL OR c.service = q.service_filter) AND (q.type_filter IS NULL OR c.file_type = q.type_filter)))),
 semantic AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM distances QUALIFY rank <= 18),
 fused AS (
   SELECT query_id, id, s.rank AS semantic_rank, k.rank AS keyword_rank, coalesce(1.0::DOUBLE / (60 + s.rank), 0) + coalesce(1.0::DOUBLE / (60 + k.rank), 0) AS score
@@ -156,7 +188,7 @@ def prompts(label: str) -> str:
 sections AS (
   SELECT query_id, string_agg(concat('[', position, '] ',
       CASE WHEN kind <> 'document' AND length(service) > 0 THEN concat(service, '/', path) ELSE path END, ' (', file_type,
-      CASE WHEN kind = 'document' AND line > 0 THEN concat(', page ', line) ELSE '' END, ', ', printf('%.1f', round(score * 100, 1)), '%)', chr(10), content, chr(10), chr(10)), '' ORDER BY position) AS s
+      CASE WHEN kind = 'document' AND line > 0 THEN concat(', page ', line) ELSE '' END, ', ', printf('%.1f', score * 100 + CASE WHEN score * 400 = floor(score * 400) AND (score * 400)::BIGINT % 2 = 1 THEN 1e-9 ELSE 0 END), '%)', chr(10), content, chr(10), chr(10)), '' ORDER BY position) AS s
   FROM assembled GROUP BY 1),
 prompts AS (
   SELECT query_id, concat({_q(head)}, coalesce(s, ''), {_q(context.QUESTION_HEAD)}, chr(10), chr(10), question, {_q(tail)}) AS prompt
@@ -187,15 +219,16 @@ def statements(services: list[str], label: str) -> dict[str, str]:
     by_ext = lambda table, default: _case([(f"{ext('relative')} = {_q(k)}", v) for k, v in table.items()], _q(default))
     inventory = """
 inventory AS (
-  SELECT doc_id, source, concat(source, '/', lang, '/', doc_id, CASE doc_id % 3 WHEN 0 THEN '.service.ts' WHEN 1 THEN '.txt' ELSE '.md' END) AS relative,
-    strlen(text)::BIGINT AS size, text, lang FROM documents)"""
+  SELECT doc_id, source, concat(source, CASE WHEN doc_id % 11 = 5 THEN '/node_modules/' ELSE '/' END, lang, '/', doc_id, CASE doc_id % 3 WHEN 0 THEN '.service.ts' WHEN 1 THEN '.txt' ELSE '.md' END) AS relative,
+    strlen(text)::BIGINT AS size, text, lang
+  FROM (SELECT * EXCLUDE (text), CASE WHEN doc_id % 3 = 0 THEN concat('import { X } from ', chr(39), './x', doc_id, chr(39), chr(10), 'export class K', doc_id, ' {}', chr(10), text) ELSE text END AS text FROM documents))"""
     file_chunks = f"""
-files AS (SELECT concat('/data/', relative) AS path, relative, source, string_split(text, chr(10)) AS l FROM inventory WHERE relative LIKE '%.ts' AND size BETWEEN 1 AND 50000),
+files AS (SELECT concat('/data/', relative) AS path, relative, source, string_split(text, chr(10)) AS l FROM inventory WHERE relative LIKE '%.ts' AND doc_id % 11 <> 5 AND size BETWEEN 1 AND 50000),
 wins AS (
   SELECT path, relative, source, array_to_string(l[s + 1 : s + 18], chr(10)) AS content, s + 1 AS s, least(s + 18, len(l)) AS e, 'text' AS level
   FROM (SELECT *, unnest({starts("len(l)", 18, 2)}) AS s FROM files)),
 every AS (
-  SELECT path, relative, source, concat('// File: ', relative, chr(10), '// Service: ', source, chr(10), '// Type: service', chr(10), '// Lines: ', len(l), chr(10)) AS content,
+  SELECT path, relative, source, concat('// File: ', relative, chr(10), '// Service: ', source, chr(10), '// Type: service', chr(10), '// Lines: ', len(l), chr(10), chr(10), '// Imports:', chr(10), l[1], chr(10), chr(10), '// Exports:', chr(10), l[2]) AS content,
     1 AS s, len(l) AS e, 'file-summary' AS level, {ident("path", "'0'", "'0'")} AS id FROM files
   UNION ALL SELECT path, relative, source, content, s, e, level, {ident("path", "s", "e")} FROM wins WHERE length({trim("content")}) > 0)"""
     nearest = lambda kind: f"SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM pairs_d WHERE kind = '{kind}' QUALIFY place <= 10"
@@ -209,9 +242,10 @@ WITH m AS (
 f AS (SELECT source, CASE WHEN contains(json, '@nestjs') THEN 'NestJS' WHEN contains(json, '"express"') THEN 'Express' WHEN contains(json, '"react"') THEN 'React' ELSE 'Node.js' END AS framework FROM m)
 SELECT source AS name, source AS path, framework, CASE framework WHEN 'React' THEN '프론트엔드' WHEN 'Node.js' THEN 'service' ELSE '백엔드 API' END AS role FROM f""",
         "system_prompts": """
-SELECT r_name AS project, concat('You are an expert assistant for ', r_name, '.', chr(10), 'A region.', chr(10), chr(10), '프로젝트 서비스 구성:', chr(10),
-  string_agg(concat('- ', n_name, ': NestJS (api)'), chr(10) ORDER BY n_nationkey), chr(10), chr(10), 'Guidelines:', chr(10), '- Be brief.') AS prompt
-FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name""",
+WITH s AS (SELECT lang, source, min(doc_id) AS place, count(*) AS n FROM documents GROUP BY ALL)
+SELECT lang AS project, concat('You are an expert assistant for ', lang, '.', chr(10), 'Texts: ', sum(n)::BIGINT, '.', chr(10), chr(10), '프로젝트 서비스 구성:', chr(10),
+  string_agg(concat('- ', source, ': NestJS (api)'), chr(10) ORDER BY place), chr(10), chr(10), 'Guidelines:', chr(10), '- Be brief.') AS prompt
+FROM s GROUP BY lang""",
         "minimum_slice": _with(
             QUESTIONS, analysed("questions", services), CHUNKED, keyword("chunked", 18, False),
             "results AS (SELECT k.query_id, k.id, round(k.score, 6) AS score, k.rank, c.content, c.source AS path, '' AS service, 'text' AS file_type, 'document' AS kind, 0 AS line FROM keyed k JOIN chunked c USING (id))",
@@ -237,31 +271,94 @@ WITH parts AS (
 cut AS (SELECT source, page, {pieces("content")} AS p FROM parts WHERE length(content) > 0),
 each AS (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM cut)
 SELECT {ident("'doc'", "source", "concat('page-', page)", "i - 1")} AS id, list_extract(p, i) AS content, source, page::INT AS page, (i - 1)::INT AS "index", '3' AS total_pages FROM each""",
-        "sheet_chunks": f"""
-WITH sheets AS (SELECT n_regionkey::VARCHAR AS sheet, count(*) AS n, string_agg(concat(n_nationkey, ',', CASE WHEN regexp_matches(n_name, '[," ]') AND n_name LIKE '%,%' THEN concat('"', n_name, '"') ELSE n_name END), chr(10) ORDER BY n_nationkey) AS content FROM nation GROUP BY 1)
-SELECT {ident("'doc'", "'nations.xlsx'", "concat('sheet-', sheet)", "'0'")} AS id, content, 'nations.xlsx' AS source, sheet, n::VARCHAR AS row_count, (count(*) OVER ())::VARCHAR AS total_sheets FROM sheets""",
+        "sheet_chunks": _with(SHEETS, f"cut AS (SELECT *, {pieces('content')} AS p FROM sheets WHERE length(content) > 0)") + f"""
+SELECT {ident("'doc'", "'customers.xlsx'", "concat('sheet-', sheet)", "i - 1")} AS id, list_extract(p, i) AS content, 'customers.xlsx' AS source, sheet, n::VARCHAR AS row_count, total::VARCHAR AS total_sheets
+FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM cut)""",
         "sheet_caps": """
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS k FROM orders QUALIFY k <= 100)
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS k FROM orders QUALIFY k <= 10000)
 SELECT o_orderstatus AS "sheetName", count(*)::INT AS "rowCount", string_agg(o_orderkey::VARCHAR, chr(10) ORDER BY k) AS content FROM r GROUP BY 1""",
-        "document_totals": f"SELECT concat(source, '/', doc_id, '.txt') AS source, (CASE WHEN length({trim('text')}) > 0 THEN 1 ELSE 0 END)::INT AS sections, false AS \"hasTitle\" FROM documents",
+        "document_totals": _with(sections(MARKDOWN)) + f"""
+SELECT concat(source, '/', doc_id, '.txt') AS source, (CASE WHEN length({trim('text')}) > 0 THEN 1 ELSE 0 END)::INT AS sections, false AS "hasTitle" FROM documents
+UNION ALL SELECT source, count(*)::INT, arg_min(level, part) = 1 FROM titled GROUP BY source""",
+        "part_totals": _with(SHEETS) + f"""
+SELECT concat(source, '/', doc_id, '.txt') AS source, (CASE WHEN length({trim('text')}) > 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS parts, 3::BIGINT AS total FROM documents
+UNION ALL SELECT 'customers.xlsx', count(*) FILTER (length(content) > 0), any_value(total) FROM sheets""",
+        "markdown_chunks": _with(sections(MARKDOWN), f"cut AS (SELECT *, {pieces('titled')} AS p FROM titled)") + f"""
+SELECT {ident("'doc'", "source", "CASE WHEN length(heading) > 0 THEN concat('section-', heading) ELSE 'section-root' END", "i - 1")} AS id, list_extract(p, i) AS content, source AS "filePath", 'markdown' AS "fileType",
+  heading AS level, level::VARCHAR AS heading_level, sections::VARCHAR AS section_count
+FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM cut)""",
+        "all_documents": _with(
+            sections(MARKDOWN), SHEETS,
+            f"""halves AS (
+  SELECT concat(source, '/', doc_id, '.txt') AS source, {trim("substring(text, (page - 1) * n + 1, n)")} AS content
+  FROM (SELECT *, greatest(ceil(length(text) / 2.0), 1)::BIGINT AS n, unnest([1, 2]) AS page FROM documents))""",
+            f"""every AS (
+  SELECT 'text' AS kind, concat(source, '/', doc_id, '.txt') AS source, {pieces(trim("text"))} AS p FROM documents WHERE length({trim("text")}) > 0
+  UNION ALL SELECT 'markdown', source, {pieces("titled")} FROM titled
+  UNION ALL SELECT 'pdf', source, {pieces("content")} FROM halves WHERE length(content) > 0
+  UNION ALL SELECT 'excel', 'customers.xlsx', {pieces("content")} FROM sheets WHERE length(content) > 0)""",
+        ) + "SELECT kind AS \"sourceType\", sum(len(p))::BIGINT AS chunks, count(DISTINCT source) AS sources, sum(list_sum(list_transform(p, lambda x: length(x))))::BIGINT AS characters FROM every GROUP BY 1",
+        "search_results": _with(QUESTIONS, QUERIES, CHUNKS, f"d AS (SELECT q.query_id, c.*, {SQUARE} AS distance FROM queries q, chunks c WHERE c.vector IS NOT NULL)") + """
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY distance, id))::INT AS rank, id, sha256(content) AS sha, round(1 - least(distance, 1.0), 6) AS score, path AS "relativePath", kind AS "chunkType",
+  line::INT AS "startLine", (line + 6)::INT AS "endLine", 'text' AS level, path AS "filePath", service AS "serviceName", file_type AS "fileType", '' AS "symbolName" FROM d QUALIFY rank <= 5""",
+        "keyword_parity": _with(QUESTIONS, QUERIES, analysed("queries", services), CHUNKS) + f"""
+SELECT query_id, id, occurrences, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM (
+  SELECT query_id, id, occurrences, least(occurrences / greatest(5 * len(keywords), 1), 1.0) AS score FROM (
+    SELECT a.query_id, c.id, a.keywords, coalesce(list_sum(list_transform(a.keywords, lambda w: (length(c.low) - length(replace(c.low, w, ''))) // length(w))), 0)::BIGINT AS occurrences
+    FROM analysed a, (SELECT *, lower(content) AS low FROM chunks) c
+    WHERE (c.kind = 'document' OR len(list_filter(a.keywords, lambda w: contains(c.content, w))) > 0)
+      AND (c.kind <> 'code' OR ((a.service_filter IS NULL OR c.service = a.service_filter) AND (a.type_filter IS NULL OR c.file_type = a.type_filter)))))
+QUALIFY rank <= 18""",
+        "chunk_table": _with(CHUNKS) + "SELECT id, path AS \"filePath\", kind AS \"chunkType\", line::INT AS \"startLine\", 64::INT AS width FROM chunks WHERE vector IS NOT NULL AND (kind = 'document' OR line < 100)",
+        "embedded_chunks": _with(CHUNKED, f"""
+words AS (SELECT id, source, unnest(list_filter(regexp_split_to_array(lower(content), '[\\s\\x0B\\p{{Z}}]+'), lambda w: length(w) > 0)) AS w FROM chunked)""", """
+hashed AS (SELECT id, source, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM words)""", """
+sums AS (SELECT id, source, h % 64 AS k, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS x FROM hashed GROUP BY ALL)""", """
+facts AS (SELECT id, source, count(*) FILTER (x <> 0) AS filled, max(x) AS most, min(k) FILTER (x = m) AS place, count(*) AS held, sum(x * x) AS square
+  FROM (SELECT *, max(x) OVER (PARTITION BY id, source) AS m FROM sums) GROUP BY ALL)""", """
+zeros AS (SELECT id, source, min(z) AS free FROM (SELECT DISTINCT id, source, unnest(range(0, 64)) AS z FROM facts WHERE most <= 0) t
+  WHERE NOT EXISTS (SELECT 1 FROM sums s WHERE s.id = t.id AND s.source = t.source AND s.k = z AND s.x <> 0) GROUP BY ALL)""") + """
+SELECT f.id, f.source AS "filePath", 64::INT AS width, CASE WHEN square > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS square, filled::INT AS filled,
+  (coalesce(z.free, place) + 1)::INT AS greatest
+FROM facts f LEFT JOIN zeros z USING (id, source)""",
+        "framework_metadata": """
+WITH d AS (SELECT *, doc_id AS i, doc_id % 5 AS kind FROM documents)
+SELECT doc_id,
+  CASE WHEN kind < 4 THEN 'nestjs' WHEN i % 2 = 1 THEN 'custom' END AS plugin, kind < 4 OR i % 2 = 1 AS "hasFramework",
+  CASE kind WHEN 0 THEN 'controller' WHEN 1 THEN 'entity' WHEN 2 THEN 'module' WHEN 3 THEN 'service' END AS role,
+  CASE kind WHEN 0 THEN concat('REST 컨트롤러 (', source, '). Routes: GET /', source, '/', lang, ', POST /', source)
+    WHEN 1 THEN concat('엔티티 (', source, '). Relations: OneToOne → P', i % 2, ', ManyToOne → User')
+    WHEN 2 THEN concat('모듈 (', source, '). Imports: A', i % 3, ', B.forRoot, C')
+    WHEN 3 THEN concat('서비스 (', source, '). Dependencies: Repo', i % 3, ', X')
+    ELSE concat(lang, ' 파일 (', source, '). typescript, ', CASE WHEN i % 2 = 1 THEN 1 ELSE len(string_split(text, chr(10))) END, ' lines') END AS summary,
+  CASE kind WHEN 0 THEN concat('./m', i, ',b', i % 3) WHEN 2 THEN 'x' WHEN 3 THEN concat('q', i % 5) ELSE '' END AS imports,
+  CASE kind WHEN 0 THEN concat('C', i) WHEN 1 THEN concat('E', i) WHEN 2 THEN concat('M', i) WHEN 3 THEN concat('S', i) ELSE '' END AS exports,
+  CASE kind WHEN 0 THEN 'Controller,Get,UseGuards,UseInterceptors,Post' WHEN 1 THEN 'Entity,ManyToOne,JoinColumn,OneToOne' WHEN 2 THEN 'Module' WHEN 3 THEN 'Injectable' ELSE '' END AS decorators,
+  CASE WHEN kind = 2 THEN concat('A', i % 3, ',B.forRoot,C') WHEN kind < 4 THEN '' WHEN i % 2 = 1 THEN 'custom' END AS modules,
+  CASE WHEN kind = 0 THEN concat('GET /', source, '/', lang, ' UseGuards G1,G', i % 4, ' I', i % 2, ';POST /', source, ' make  ') WHEN kind < 4 OR i % 2 = 1 THEN '' END AS routes,
+  CASE WHEN kind = 1 THEN concat('OneToOne P', i % 2, ' - false;ManyToOne User u.items', i % 3, ' true') WHEN kind < 4 OR i % 2 = 1 THEN '' END AS relations,
+  CASE WHEN kind = 0 THEN concat('A', i % 7, ',B') WHEN kind = 3 THEN concat('Repo', i % 3, ',X') WHEN kind < 4 OR i % 2 = 1 THEN '' END AS deps,
+  CASE WHEN kind = 0 THEN concat('Controller(', chr(39), source, chr(39), ') constructor;UseGuards(G1, G', i % 4, ') UseInterceptors;Post() unknown')
+    WHEN kind = 1 THEN concat('Entity(', chr(39), 'e', i, chr(39), ') ManyToOne;JoinColumn() user') WHEN kind = 3 THEN 'Injectable() constructor' WHEN kind < 4 OR i % 2 = 1 THEN '' END AS occurrences
+FROM d""",
         "classified_paths": f"""
 WITH p AS (SELECT doc_id, concat(source, '/', doc_id, list_extract({_list(names)}, doc_id % {len(names)} + 1)) AS relative FROM documents)
 SELECT doc_id, relative, regexp_extract(relative, '[^/]*$') AS name, {_case(fits, "'unknown'")} AS file_type, {by_ext(LANGUAGES, "unknown")} AS language, {by_ext(DOCUMENT_TYPES, "text")} AS document_type FROM p""",
         "question_analysis": _with(QUESTIONS, analysed("questions", services)) + "SELECT query_id, array_to_string(keywords, ' ') AS keywords, array_to_string(names, ' ') AS entity_names, service_filter, type_filter AS file_type_filter, is_architectural FROM analysed",
         "trimmed": f"SELECT doc_id, sha256({trim('text')}) AS sha FROM documents",
         "keyword_search": _with(QUESTIONS, analysed("questions", services), CHUNKED, keyword("chunked", 18, False)) + "SELECT query_id, id, occurrences, round(score, 6) AS score, rank::INT AS rank FROM keyed",
-        "semantic_search": _with(QUESTIONS, QUERIES, CHUNKS, f"d AS (SELECT q.query_id, c.id, {SQUARE} AS distance FROM queries q, chunks c)") + "SELECT query_id, id, distance, round(1 - least(distance, 1.0), 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY distance, id))::INT AS rank FROM d QUALIFY rank <= 18",
-        "merged_hits": _with(QUESTIONS, QUERIES, CHUNKS, f"pairs_d AS (SELECT q.query_id, c.id, c.kind, {SQUARE} AS distance FROM queries q, chunks c)", f"both_d AS (SELECT *, 0 AS f FROM ({nearest('code')}) UNION ALL SELECT *, 1 FROM ({nearest('document')}))") + "SELECT query_id, id, distance, (row_number() OVER (PARTITION BY query_id ORDER BY distance, f, id))::INT AS rank FROM both_d QUALIFY rank <= 10",
+        "semantic_search": _with(QUESTIONS, QUERIES, CHUNKS, f"d AS (SELECT q.query_id, c.id, {SQUARE} AS distance FROM queries q, chunks c WHERE c.vector IS NOT NULL)") + "SELECT query_id, id, distance, round(1 - least(distance, 1.0), 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY distance, id))::INT AS rank FROM d QUALIFY rank <= 18",
+        "merged_hits": _with(QUESTIONS, QUERIES, CHUNKS, f"pairs_d AS (SELECT q.query_id, c.id, c.kind, {SQUARE} AS distance FROM queries q, chunks c WHERE c.vector IS NOT NULL)", f"both_d AS (SELECT *, 0 AS f FROM ({nearest('code')}) UNION ALL SELECT *, 1 FROM ({nearest('document')}))") + "SELECT query_id, id, distance, (row_number() OVER (PARTITION BY query_id ORDER BY distance, f, id))::INT AS rank FROM both_d QUALIFY rank <= 10",
         "hybrid_search": _with(*search) + "SELECT query_id, id, round(score, 6) AS score, position::INT AS rank, semantic_rank::INT AS semantic_rank, keyword_rank::INT AS keyword_rank FROM candidates",
         "reranked": _with(*search, RERANKED) + "SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM reranked",
-        "expanded": _with(QUESTIONS, QUERIES, CHUNKS, f"near_d AS (SELECT q.query_id, c.id, c.path, c.line, c.kind, {SQUARE} AS distance FROM queries q, chunks c)", "base AS (SELECT *, round(1 - least(distance, 1.0), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM near_d QUALIFY rank <= 6)", expanded("base")) + "SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM expanded",
+        "expanded": _with(QUESTIONS, QUERIES, CHUNKS, f"near_d AS (SELECT q.query_id, c.id, c.path, c.line, c.kind, {SQUARE} AS distance FROM queries q, chunks c WHERE c.vector IS NOT NULL)", "base AS (SELECT *, round(1 - least(distance, 1.0), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM near_d QUALIFY rank <= 6)", expanded("base")) + "SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM expanded",
         "retrieved": _with(*full) + "SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM expanded",
-        "assembled": _with(*full, assembled(2000)) + "SELECT query_id, position::INT AS position, tokens, path AS \"filePath\", service AS \"serviceName\", file_type AS \"fileType\", round(score, 6) AS score, kind AS \"chunkType\" FROM assembled",
+        "assembled": _with(*full, assembled(6000)) + "SELECT query_id, position::INT AS position, tokens, path AS \"filePath\", service AS \"serviceName\", file_type AS \"fileType\", round(score, 6) AS score, kind AS \"chunkType\" FROM assembled",
         "rag_prompts": _with(*full, assembled(6000), prompts(label)) + "SELECT query_id, length(prompt)::INT AS n, sha256(prompt) AS sha FROM prompts",
         "chat_histories": _with(HISTORIES) + "SELECT * FROM histories",
         "chat_prompts": _with(
             HISTORIES,
-            "queries AS (SELECT concat(conv_id, ':', turn) AS query_id, question, embedding AS vector FROM histories JOIN embeddings ON vec_id = (conv_id % 4) * 50)",
+            "queries AS (SELECT concat(conv_id, ':', turn) AS query_id, question, embedding AS vector FROM histories JOIN embeddings ON vec_id = (conv_id * 31 + turn) % (SELECT count(*) FROM embeddings))",
             analysed("queries", services), CHUNKS, keyword("chunks", 18, True), FUSED, RERANKED, expanded("reranked"), FROM_EXPANDED, assembled(6000), prompts(label),
             f"final AS (SELECT p.query_id, concat(CASE WHEN length(h.history) > 0 THEN concat({_q(HISTORY_HEAD)}, chr(10), h.history, chr(10), chr(10)) ELSE '' END, p.prompt) AS prompt FROM prompts p JOIN histories h ON p.query_id = concat(h.conv_id, ':', h.turn))",
         ) + "SELECT query_id, length(prompt)::INT AS n, sha256(prompt) AS sha FROM final",
@@ -269,10 +366,16 @@ SELECT doc_id, relative, regexp_extract(relative, '[^/]*$') AS name, {_case(fits
         "service_files": _with(inventory) + """
 SELECT concat('/data/', relative) AS "filePath", relative AS "relativePath", source AS "serviceName", 'service' AS "fileType", 'typescript' AS language, len(string_split(text, chr(10)))::INT AS line_count,
   strftime(to_timestamp(doc_id + 1700000000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.000Z') AS "lastModified", size
-FROM inventory WHERE relative LIKE '%.ts' AND size BETWEEN 1 AND 50000""",
-        "listed_documents": _with(inventory) + "SELECT relative AS \"relativePath\", CASE WHEN relative LIKE '%.md' THEN 'markdown' ELSE 'text' END AS \"documentType\", regexp_extract(relative, '[^/]*$') AS \"fileName\", size AS \"sizeBytes\" FROM inventory WHERE regexp_matches(relative, '\\.(md|txt)$') AND size BETWEEN 1 AND 10485760",
+FROM inventory WHERE relative LIKE '%.ts' AND doc_id % 11 <> 5 AND size BETWEEN 1 AND 50000""",
+        "listed_documents": _with(inventory) + "SELECT relative AS \"relativePath\", CASE WHEN relative LIKE '%.md' THEN 'markdown' ELSE 'text' END AS \"documentType\", regexp_extract(relative, '[^/]*$') AS \"fileName\", size AS \"sizeBytes\" FROM inventory WHERE regexp_matches(relative, '\\.(md|txt)$') AND doc_id % 11 <> 5 AND size BETWEEN 1 AND 10485760",
         "file_chunks": _with(inventory, file_chunks) + 'SELECT id, content, path AS "filePath", relative AS "relativePath", source AS "serviceName", \'service\' AS "fileType", \'typescript\' AS language, \'\' AS "symbolName", level, s::INT AS "startLine", e::INT AS "endLine", \'code\' AS "chunkType" FROM every',
-        "indexed_code": _with(inventory, file_chunks) + "SELECT (SELECT count(*) FROM inventory WHERE relative LIKE '%.ts') AS \"processedFiles\", count(*) AS chunks FROM every",
-        "indexed_documents": _with(inventory, f"""listed AS (SELECT text FROM inventory WHERE regexp_matches(relative, '\\.(md|txt)$') AND size BETWEEN 1 AND 10485760)""") + f"SELECT count(*) AS \"processedFiles\", sum(len({pieces(trim('text'))}))::BIGINT AS chunks FROM listed",
+        "indexed_code": _with(inventory, file_chunks) + "SELECT (SELECT count(*) FROM inventory WHERE relative LIKE '%.ts' AND doc_id % 11 <> 5) AS \"processedFiles\", count(*) AS chunks FROM every",
+        "indexed_documents": _with(
+            inventory, "listed AS (SELECT doc_id, relative AS source, text FROM inventory WHERE regexp_matches(relative, '\\.(md|txt)$') AND doc_id % 11 <> 5 AND size BETWEEN 1 AND 10485760)",
+            sections("SELECT * FROM listed WHERE doc_id % 3 = 2"),
+            f"""every AS (
+  SELECT len({pieces("titled")}) AS n FROM titled UNION ALL
+  SELECT len({pieces(trim("text"))}) AS n FROM listed WHERE doc_id % 3 = 1 AND length({trim("text")}) > 0)""",
+        ) + "SELECT (SELECT count(*) FROM listed) AS \"processedFiles\", sum(n)::BIGINT AS chunks FROM every",
         "paired_vectors": "SELECT doc_id AS id, lang, len(embedding)::INT AS width, round(embedding[1]::DOUBLE, 5) AS first FROM documents JOIN embeddings ON doc_id = vec_id",
     }

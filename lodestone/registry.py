@@ -1,7 +1,7 @@
 """Registered queries of the reference's own operators, over the given tables, and their SQL.
 
 Documents stand in for text files (source/doc_id.txt); benchmark texts for questions; embeddings for
-chunk vectors (vec_id = doc_id) and, every fiftieth, for question vectors; nations for sheets.
+chunk vectors (vec_id = doc_id) and, every twentieth, for question vectors; customers and orders for sheets.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from .operators import chat, chunking, context, embedding, expand, rerank, searc
 from .plans import jobs
 from .sources import files as source_files
 from .sources import tables as chunk_tables
-from .storage import scratch
+from .storage import saved, scratch
 from .streaming import index_stream
 
 SERVICES = sorted(f"src{k}" for k in range(20))
@@ -37,11 +37,27 @@ def _questions(spark, d):
     return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", extra).alias("question"))
 
 
+def _markdown(spark, d):
+    """Every document as markdown: a heading at each line break, and a title, none or a lower heading before."""
+    i = F.col("doc_id")
+    first = F.when(i % 3 == 0, F.concat(F.lit("# "), "source", F.lit("  \n"))).when(i % 3 == 1, "").otherwise("## Sub\n")
+    text = F.concat(first, F.replace("text", F.lit("\n"), F.concat(F.lit("\n## Part "), "lang", F.lit(" \n"))))
+    return _t(spark, d, "documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("source"), F.lit("markdown").alias("sourceType"), text.alias("text"))
+
+
+def _sheets(spark, d):
+    """Customers as sheets by market segment; the values need quoting; every two hundredth is on a sheet without text."""
+    k = F.col("c_custkey")
+    note = F.concat(F.lit(' "'), F.substring("c_name", 10, 20), F.lit('", '), "c_mktsegment", F.lit(" "))
+    rows = _t(spark, d, "customer").select(F.lit("customers.xlsx").alias("file"), F.when(k % 200 == 7, "EMPTY").otherwise(F.col("c_mktsegment")).alias("segment"), k.alias("place"), F.when(k % 200 != 7, k).alias("key"), F.when(k % 200 != 7, note).alias("note"))
+    return chunking.sheet_texts(rows.withColumn("none", F.lit(None).cast("string")), "file", "segment", ["place"], ["none", "key", "note"]), rows
+
+
 def _chunks(spark, d):
-    """One chunk for each document that has a vector: code for even ids, documents for odd."""
+    """One chunk for each document, with its vector if it has one: code for even ids, documents for odd."""
     docs, vectors = _t(spark, d, "documents"), _t(spark, d, "embeddings")
     i = F.col("doc_id")
-    return docs.join(vectors, docs["doc_id"] == vectors["vec_id"]).select(
+    return docs.join(vectors, docs["doc_id"] == vectors["vec_id"], "left").select(
         i.cast("string").alias("id"), F.col("text").alias("content"), F.col("embedding").alias("vector"),
         F.when(i % 2 == 0, "code").otherwise("document").alias("chunkType"),
         F.concat("source", F.lit("/f"), F.floor(i / 40), F.lit(".ts")).alias("filePath"), F.concat("source", F.lit("/f"), F.floor(i / 40), F.lit(".ts")).alias("relativePath"),
@@ -51,8 +67,10 @@ def _chunks(spark, d):
 
 
 def _queries(spark, d):
-    """Questions with vectors: every fiftieth embedding, with the texts of the benchmark in turn."""
-    q = _t(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), (F.floor(F.col("vec_id") / 50) % 40).alias("item"))
+    """Questions with vectors: every twentieth embedding, with the texts of the benchmark in turn."""
+    items = _t(spark, d, "benchmark").agg(F.count("*").alias("items"))  # one row
+    q = _t(spark, d, "embeddings").where("vec_id % 20 = 0").crossJoin(F.broadcast(items))
+    q = q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), (F.floor(F.col("vec_id") / 20) % F.col("items")).alias("item"))
     return q.join(_questions(spark, d).withColumnRenamed("query_id", "item"), "item").select("query_id", "vector", "question")
 
 
@@ -63,8 +81,11 @@ def _analysed(spark, d):
 def _inventory(spark, d):
     """Documents as an inventory of files."""
     docs = _t(spark, d, "documents")
+    i = F.col("doc_id")
+    code = F.concat(F.lit("import { X } from './x"), i, F.lit("'\nexport class K"), i, F.lit(" {}\n"), "text")
+    docs = docs.withColumn("text", F.when(i % 3 == 0, code).otherwise(F.col("text")))
     return docs.select(
-        F.concat(F.lit("/data/"), "source", F.lit("/"), "lang", F.lit("/"), "doc_id", F.when(F.col("doc_id") % 3 == 0, ".service.ts").when(F.col("doc_id") % 3 == 1, ".txt").otherwise(".md")).alias("path"),
+        F.concat(F.lit("/data/"), "source", F.when(i % 11 == 5, "/node_modules/").otherwise("/"), "lang", F.lit("/"), "doc_id", F.when(F.col("doc_id") % 3 == 0, ".service.ts").when(F.col("doc_id") % 3 == 1, ".txt").otherwise(".md")).alias("path"),
         F.timestamp_seconds(F.col("doc_id") + 1_700_000_000).alias("modificationTime"), F.octet_length("text").cast("long").alias("length"), F.encode("text", "UTF-8").alias("content"),
     )
 
@@ -95,20 +116,40 @@ def page_chunks(spark, d):
 
 
 def sheet_chunks(spark, d):
-    """A sheet per region."""
-    sheets = chunking.sheet_texts(_t(spark, d, "nation").select(F.lit("nations.xlsx").alias("file"), F.col("n_regionkey").cast("string").alias("region"), "n_nationkey", "n_name"), "file", "region", ["n_nationkey"], ["n_nationkey", "n_name"])
-    return chunking.chunk_sheets(sheets).select("id", "content", "source", "sheet", F.element_at("metadata", "rowCount").alias("row_count"), F.element_at("metadata", "totalSheets").alias("total_sheets"))
+    """A sheet per market segment."""
+    return chunking.chunk_sheets(_sheets(spark, d)[0]).select("id", "content", "source", "sheet", F.element_at("metadata", "rowCount").alias("row_count"), F.element_at("metadata", "totalSheets").alias("total_sheets"))
 
 
 def sheet_caps(spark, d):
-    """Sheets by order status, cut to 100 rows."""
-    sheets = chunking.sheet_texts(_t(spark, d, "orders").withColumn("file", F.lit("orders")), "file", "o_orderstatus", ["o_orderkey"], ["o_orderkey"], 100)
+    """Sheets by order status, cut to the row limit of a sheet."""
+    sheets = chunking.sheet_texts(_t(spark, d, "orders").withColumn("file", F.lit("orders")), "file", "o_orderstatus", ["o_orderkey"], ["o_orderkey"])
     return sheets.select("sheetName", "rowCount", "content")
 
 
 def document_totals(spark, d):
-    """Sections and titles of each document."""
-    return chunking.document_totals(_texts(spark, d))
+    """Sections and titles of each document, as plain text and as markdown."""
+    return chunking.document_totals(_texts(spark, d).drop("doc_id").unionByName(_markdown(spark, d)))
+
+
+def part_totals(spark, d):
+    """Pages of each document, and sheets of the workbook."""
+    docs = _texts(spark, d).select("source", F.concat("text", F.lit("\f \f"), F.when(F.col("doc_id") % 2 == 0, "end").otherwise("")).alias("text"), F.lit(3).alias("pageCount"))
+    pages = chunking.page_totals(docs).select("source", F.col("pages").cast("long").alias("parts"), F.col("totalPages").cast("long").alias("total"))
+    return pages.unionByName(chunking.sheet_totals(_sheets(spark, d)[0]).select("source", F.col("sheets").alias("parts"), F.col("totalSheets").cast("long").alias("total")))
+
+
+def markdown_chunks(spark, d):
+    """K4, K9, P10: every document as markdown, cut into sections and pieces."""
+    held = [F.element_at("metadata", c).alias(n) for c, n in (("heading", "level"), ("headingLevel", "heading_level"), ("sectionCount", "section_count"))]
+    return chunking.chunk_sections(_markdown(spark, d)).select("id", "content", F.col("source").alias("filePath"), F.col("sourceType").alias("fileType"), *held)
+
+
+def all_documents(spark, d):
+    """Chunks of texts, markdown, pages and sheets in one table."""
+    pages = _texts(spark, d).select("source", "text", F.lit(2).alias("pageCount"), F.lit("t").alias("title"), F.lit("a").alias("author"))
+    texts = _texts(spark, d).drop("doc_id").unionByName(_markdown(spark, d))
+    chunks, _ = chunking.chunk_documents(texts, pages, _sheets(spark, d)[0])
+    return chunks.groupBy("sourceType").agg(F.count("*").alias("chunks"), F.countDistinct("source").alias("sources"), F.sum(F.length("content")).alias("characters"))
 
 
 def classified_paths(spark, d):
@@ -153,6 +194,20 @@ def merged_hits(spark, d):
     return search.merged_by_distance(code, docs, 10).select("query_id", "id", "distance", "rank")
 
 
+def search_results(spark, d):
+    """Hits as results with nested metadata."""
+    chunks = _chunks(spark, d)
+    hits = search.nearest(_queries(spark, d), chunks, 5).withColumn("score", F.round(search.semantic_score(F.col("distance")), 6))
+    out = search.results(hits, chunks)
+    return out.select("query_id", "rank", "id", F.sha2("content", 256).alias("sha"), "score", "metadata.relativePath", "metadata.chunkType", "metadata.startLine", "metadata.endLine", "metadata.level", "filePath", "serviceName", "fileType", "symbolName")
+
+
+def keyword_parity(spark, d):
+    """J2 as the reference has it: LIKE minds case, documents without any keyword are let in."""
+    out = search.keyword_hits(_analysed(spark, d), _chunks(spark, d), 18, match="like", keyword_filter_documents=False, filtered=True)
+    return out.select("query_id", "id", "occurrences", F.round("score", 6).alias("score"), "rank")
+
+
 def hybrid_search(spark, d):
     """Both searches fused."""
     out = search.hybrid_search(_analysed(spark, d), _chunks(spark, d))
@@ -182,7 +237,7 @@ def retrieved(spark, d):
 
 def assembled(spark, d):
     """Contexts within the budget."""
-    out = context.assemble(jobs.retrieve(_queries(spark, d), _chunks(spark, d), SERVICES), tokens=2000)
+    out = context.assemble(jobs.retrieve(_queries(spark, d), _chunks(spark, d), SERVICES))
     return out.select("query_id", "position", "tokens", "filePath", "serviceName", "fileType", F.round("score", 6).alias("score"), "chunkType")
 
 
@@ -194,8 +249,9 @@ def rag_prompts(spark, d):
 
 
 def minimum_slice(spark, d):
-    """Documents chunked, searched by keyword for every benchmark item, packed into prompts."""
-    chunks = document_chunks(spark, d)
+    """Documents chunked, searched by keyword for every benchmark item, packed into prompts. Chunks are
+    saved, since they are read twice."""
+    chunks = saved(document_chunks(spark, d), "chunks")
     questions = analysis.analyse(_questions(spark, d), SERVICES)
     hits = search.keyword_hits(questions, chunks.select("id", "content", "chunkType"), 18)
     results = hits.withColumn("score", F.round("score", 6)).join(chunks, "id")
@@ -211,8 +267,10 @@ def chat_histories(spark, d):
 def chat_prompts(spark, d):
     """Prompts of every question in conversations."""
     messages = _t(spark, d, "conversations")
-    asked = messages.where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), ((F.col("conv_id") % 4) * 50).alias("vec_id"))
-    vectors = asked.join(_t(spark, d, "embeddings"), "vec_id").select("query_id", F.col("embedding").alias("vector"))
+    asked = messages.where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), (F.col("conv_id") * 31 + F.col("turn")).alias("k"))
+    vectors = _t(spark, d, "embeddings")
+    asked = asked.crossJoin(F.broadcast(vectors.agg(F.count("*").alias("n")))).withColumn("vec_id", F.col("k") % F.col("n"))  # one row
+    vectors = asked.join(vectors, "vec_id").select("query_id", F.col("embedding").alias("vector"))
     out = jobs.chat_prompts(messages, vectors, _chunks(spark, d), SERVICES, LABEL)
     return out.select("query_id", F.length("prompt").alias("n"), F.sha2("prompt", 256).alias("sha"))
 
@@ -260,11 +318,13 @@ def detected_services(spark, d):
 
 
 def system_prompts(spark, d):
-    """a system prompt for each region, its nations standing for services."""
-    services = _t(spark, d, "nation").select(F.col("n_regionkey").alias("key"), F.col("n_nationkey").alias("position"), F.col("n_name").alias("name"), F.lit("NestJS").alias("framework"), F.lit("api").alias("role"))
-    regions = _t(spark, d, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("project"))
-    projects = regions.select("project", F.lit("A region.").alias("description"), F.lit(None).cast("string").alias("systemContext"), F.array(F.lit("Be brief.")).alias("guidelines"))
-    return context.system_prompts(projects, services.join(regions, "key").drop("key"))
+    """a system prompt for each language, the sources of its documents standing for services."""
+    docs = _t(spark, d, "documents")
+    services = docs.groupBy(F.col("lang").alias("project"), F.col("source").alias("name")).agg(F.min("doc_id").alias("position"))
+    services = services.withColumns({"framework": F.lit("NestJS"), "role": F.lit("api")})
+    projects = docs.groupBy(F.col("lang").alias("project")).agg(F.concat(F.lit("Texts: "), F.count("*"), F.lit(".")).alias("description"))
+    projects = projects.withColumns({"systemContext": F.lit(None).cast("string"), "guidelines": F.array(F.lit("Be brief."))})
+    return context.system_prompts(projects, services)
 
 
 def streamed_chunks(spark, d):
@@ -280,10 +340,20 @@ def streamed_chunks(spark, d):
 
 
 def embedded_chunks(spark, d):
-    """Every chunk with a vector of the test embedder; its squared length."""
+    """Every chunk with a vector of the test embedder: its length, how many numbers are not 0, and where the greatest is."""
     out = embedding.embed(document_chunks(spark, d).select("id", "content", "filePath", "startLine"), embedding.hashing_embedder(64), 64)
     square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return out.select("id", "filePath", F.size("vector").alias("width"), F.round(square, 3).alias("square"))
+    some = F.size(F.filter("vector", lambda x: x != 0))
+    return out.select("id", "filePath", F.size("vector").alias("width"), F.round(square, 3).alias("square"), some.alias("filled"), F.array_position("vector", F.array_max("vector")).cast("int").alias("greatest"))
+
+
+def chunk_table(spark, d):
+    """Chunks appended twice to the chunk table, of which the code is cleared in between; what is left."""
+    path, rows = scratch(spark, "chunks"), _chunks(spark, d).where("vector is not null")
+    chunk_tables.append_chunks(rows, path, 64)
+    chunk_tables.clear_chunks(spark, path, "code")
+    chunk_tables.append_chunks(rows.where("chunkType = 'code' and startLine < 100"), path, 64)
+    return chunk_tables.read_chunks(spark, path).select("id", "filePath", "chunkType", "startLine", F.size("vector").alias("width"))
 
 
 def paired_vectors(spark, d):
@@ -293,17 +363,47 @@ def paired_vectors(spark, d):
     return out.select("id", "lang", F.size("vector").alias("width"), F.round(F.element_at("vector", 1).cast("double"), 5).alias("first"))
 
 
+def _sources(spark, d):
+    """Source files of each kind, made from every document's fields; a fifth are the texts themselves."""
+    i, lit = F.col("doc_id"), F.lit
+    controller = F.concat(
+        lit("import { A } from './m"), i, lit("'\nimport B from \"b"), i % 3, lit("\"\n@Controller('"), "source", lit("')\nexport class C"), i, lit(" {\n  constructor(private a: A"), i % 7,
+        lit(", readonly b: B) {}\n  @Get('"), "lang", lit("')\n  @UseGuards(G1, G"), i % 4, lit(")\n  list() {}\n  @UseInterceptors(I"), i % 2, lit(")\n  @Post()\n  async make() {}\n}\n"),
+    )
+    entity = F.concat(
+        lit("@Entity('e"), i, lit("')\nexport class E"), i, lit(" {\n  @ManyToOne(() => User, (u) => u.items"), i % 3,
+        lit(") @JoinColumn()\n  user: User;\n  @OneToOne(() => P"), i % 2, lit(")\n  p: P;\n}\n"),
+    )
+    module = F.concat(lit("import X from 'x'\n@Module({\n imports: [A"), i % 3, lit(", B.forRoot({ a: [1] }), C(D)],\n})\nexport class M"), i, lit(" {}\n"))
+    service = F.concat(
+        lit("import { Q } from 'q"), i % 5, lit("'\n@Injectable()\nexport class S"), i, lit(" {\n  constructor(private readonly repo: Repo"), i % 3,
+        lit(", public readonly x: X) {}\n  async run() {}\n}\n"),
+    )
+    plain = F.when(i % 2 == 1, F.concat(lit("custom "), i)).otherwise(F.col("text"))
+    content = F.when(i % 5 == 0, controller).when(i % 5 == 1, entity).when(i % 5 == 2, module).when(i % 5 == 3, service).otherwise(plain)
+    files = _t(spark, d, "documents").select("doc_id", content.alias("content"), F.col("source").alias("serviceName"), F.col("lang").alias("fileType"), lit("typescript").alias("language"))
+    return files.withColumn("lineCount", F.size(F.split("content", "\n")))
+
+
 def framework_metadata(spark, d):
-    """Source files made from every document's fields, analysed."""
-    i = F.col("doc_id")
-    code = F.concat(
-        F.lit("import { A } from './m"), i, F.lit("'\n@Controller('"), "source", F.lit("')\nexport class C"), i,
-        F.lit(" {\n  constructor(private a: A"), i % 7, F.lit(", readonly b: B) {}\n  @Get('"), "lang", F.lit("')\n  @UseGuards(G1, G2)\n  list() {}\n  @Post()\n  make() {}\n}\n"),
+    """X1-X12, and a further plug-in: source files analysed, every field of the result."""
+
+    def custom(content):
+        inner = extract.framework_of(content)
+        return F.struct(F.array(F.lit("custom")).alias("moduleImports"), *[inner[c].alias(c) for c in ("controllerRoutes", "entityRelations", "injectableDeps", "decorators")])
+
+    out = extract.with_framework(_sources(spark, d), [("custom", lambda c: c.startswith("custom "), custom)])
+    joined = lambda x: F.array_join(x, ",")
+    route = lambda r: F.concat_ws(" ", r["method"], r["path"], r["handlerName"], joined(r["guards"]), joined(r["interceptors"]))
+    relation = lambda r: F.concat_ws(" ", r["type"], r["target"], F.coalesce(r["inverseSide"], F.lit("-")), r["joinColumn"].cast("string"))
+    seen = lambda r: F.concat(r["name"], F.lit("("), joined(r["args"]), F.lit(") "), r["target"])
+    f, c = F.col("framework"), F.col("content")
+    return out.select(
+        "doc_id", "plugin", "hasFramework", "role", "summary", joined(extract.imports(c)).alias("imports"), joined(extract.exports(c)).alias("exports"), joined(extract.decorators(c)).alias("decorators"),
+        joined(f["moduleImports"]).alias("modules"), F.array_join(F.transform(f["controllerRoutes"], route), ";").alias("routes"),
+        F.array_join(F.transform(f["entityRelations"], relation), ";").alias("relations"), joined(f["injectableDeps"]).alias("deps"),
+        F.array_join(F.transform(f["decorators"], seen), ";").alias("occurrences"),
     )
-    entity = F.concat(F.lit("@Entity()\nexport class E"), i, F.lit(" {\n  @ManyToOne(() => User, (u) => u.items) @JoinColumn()\n  user: User;\n}\n"))
-    files = _t(spark, d, "documents").select("doc_id", F.when(i % 3 == 0, code).when(i % 3 == 1, entity).otherwise(F.col("text")).alias("content"), F.col("source").alias("serviceName"), F.col("lang").alias("fileType"), F.lit("typescript").alias("language"))
-    out = extract.with_framework(files.withColumn("lineCount", F.size(F.split("content", "\n"))))
-    return out.select("doc_id", "role", "summary", F.array_join(extract.imports(F.col("content")), ",").alias("imports"), F.array_join(extract.exports(F.col("content")), ",").alias("exports"), F.array_join("framework.injectableDeps", ",").alias("deps"))
 
 
 QUERIES = {
@@ -312,7 +412,7 @@ QUERIES = {
         minimum_slice, document_chunks, code_windows, page_chunks, sheet_chunks, sheet_caps, document_totals, classified_paths, question_analysis, trimmed,
         keyword_search, semantic_search, merged_hits, hybrid_search, reranked, expanded, retrieved, assembled, rag_prompts, chat_histories, chat_prompts,
         chunk_counts, service_files, listed_documents, file_chunks, indexed_documents, indexed_code, embedded_chunks, paired_vectors, framework_metadata,
-        detected_services, system_prompts, streamed_chunks,
+        detected_services, system_prompts, streamed_chunks, part_totals, markdown_chunks, all_documents, search_results, keyword_parity, chunk_table,
     )
 }
 ORACLE: dict[str, str] = oracle.statements(SERVICES, LABEL)

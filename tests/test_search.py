@@ -1,19 +1,32 @@
 """Search, fusion, reranking, expansion, prompts, chat."""
 
 import random
+from decimal import ROUND_FLOOR, Decimal
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import text
 from lodestone.operators import chat, context, expand, rerank, search
 
 
-def test_nearest_equals_the_plain_join(spark):
+def nearest_by_join(queries, chunks, k, decimals=6):
+    """What `nearest` computes, as one plain join."""
+    pairs = queries.select("query_id", F.col("vector").alias("q")).crossJoin(chunks.select("id", F.col("vector").alias("c")))
+    square = F.aggregate(F.zip_with("q", "c", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    return search.top(pairs.select("query_id", "id", F.round(square, decimals).alias("distance")), k, "distance", "id")
+
+
+def test_nearest_equals_the_plain_join(spark, monkeypatch):
     rng = random.Random(1)
     vec = lambda: [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)]
     chunks = spark.createDataFrame([(f"c{k:03}", vec()) for k in range(90)] + [("none", None)], "id string, vector array<float>").repartition(5)
     queries = spark.createDataFrame([(k, vec()) for k in range(7)], "query_id long, vector array<float>")
     got = sorted(tuple(r) for r in search.nearest(queries, chunks, 5).collect())
-    assert got == sorted(tuple(r) for r in search.nearest_by_join(queries, chunks.where("vector is not null"), 5).collect())
+    assert got == sorted(tuple(r) for r in nearest_by_join(queries, chunks.where("vector is not null"), 5).collect())
+    no_vector = spark.createDataFrame([(99, None)], queries.schema)
+    for name, rows in (("QUERY_BLOCK", 2), ("CHUNK_BLOCK", 7), ("MAX_BROADCAST_BLOCKS", 0), ("HELD_QUESTIONS", 3)):
+        monkeypatch.setattr(search, name, rows)
+        assert got == sorted(tuple(r) for r in search.nearest(queries.unionByName(no_vector), chunks, 5).collect())
     assert search.nearest(queries.limit(0), chunks, 5).count() == 0 and search.nearest(queries, chunks.limit(0), 5).count() == 0
 
 
@@ -28,8 +41,6 @@ def test_keywords_modes(spark):
     assert len(run(ask("%"), match="like")) == 4
     assert run(ask("foo"), keyword_filter_documents=False) == [("1", 2), ("3", 1), ("4", 0)]
     assert run(ask("foo"), candidate_cap=1) == [("3", 1)]
-    words = ask("foo", "aa", "%").select(F.explode("keywords").alias("word"))
-    assert sorted(map(tuple, search.keyword_counts(chunks, words).collect())) == sorted(map(tuple, search.keyword_counts(chunks, words, 0).collect()))
     assert run(ask()) == []
 
 
@@ -78,3 +89,30 @@ def test_history_is_cleared(spark):
     df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(said)], "conv_id long, turn long, role string, text string")
     got = {r["question"]: r["history"] for r in chat.histories(df).collect()}
     assert got == {"q1": "", "q2": "질문: q1\n답변: a1", "q3": "질문: q1\n답변: a1\n질문: q2\n답변: a2", "q4": "", "q5": "질문: q4\n답변: "}
+
+
+def test_keyword_search_in_blocks_equals_counting(spark, monkeypatch):
+    rng = random.Random(4)
+    words = ["ab", "aba", "abab", "b", "zz", "Ab", "c d"]
+    texts = {f"c{k:03}": " ".join(rng.choice(["abab", "ababab", "AB", "c", "d", "zzz", "x"]) for _ in range(rng.randint(0, 9))) for k in range(60)}
+    asked = {q: rng.sample(words, rng.randint(0, 4)) for q in range(9)}
+    chunks = spark.createDataFrame([(i, t, "code") for i, t in texts.items()], "id string, content string, chunkType string").repartition(4)
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, keywords array<string>")
+    want = set()
+    for q, ws in asked.items():
+        rows = [(-min(n / max(5 * len(ws), 1), 1.0), i, n) for i, t in texts.items() if (n := sum(t.lower().count(w.lower()) for w in ws))]
+        want |= {(q, i, n, -s, k + 1) for k, (s, i, n) in enumerate(sorted(rows)[:5])}
+    for name, rows in (("QUERY_BLOCK", 512), ("QUERY_BLOCK", 2), ("CHUNK_BLOCK", 7), ("HELD_QUESTIONS", 3)):
+        monkeypatch.setattr(search, name, rows)
+        assert {tuple(r) for r in search.keyword_hits(queries, chunks, 5).collect()} == want
+
+
+def test_percent_goes_by_the_binary_value(spark):
+    shown = {0.1235: "12.3", 0.1225: "12.3", 0.125: "12.5", 0.0005: "0.1", 1.0: "100.0", 0.0: "0.0", 0.99949: "99.9", 0.9996: "100.0", 0.00125: "0.1", 0.0625: "6.3", 0.333333: "33.3"}
+    rows = spark.createDataFrame([(x,) for x in shown], "x double").select("x", text.percent(F.col("x")).alias("p")).collect()
+    exact = {}
+    for x in shown:
+        tenth = Decimal(x * 100) * 10
+        exact[x] = str((tenth + Decimal("0.5")).to_integral_value(ROUND_FLOOR) / 10)
+    assert {r["x"]: float(r["p"]) for r in rows} == {x: float(p) for x, p in exact.items()}
+    assert {r["x"]: r["p"] for r in rows}[0.1235] == "12.3"

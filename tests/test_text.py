@@ -44,7 +44,7 @@ def test_question_analysis(spark):
 
 def test_markdown_sections(spark):
     sections = lambda t: [(s["heading"], s["level"], s["content"]) for s in one(spark, t, chunking.markdown_sections)]
-    assert sections("intro\n# A\ntext\n## B\n\n### C \nmore\n```\n# x\ny\n```") == [("", 0, "intro"), ("A", 1, "text"), ("C", 3, "more\n```"), ("x", 1, "y\n```")]
+    assert sections("intro\n# A\ntext\n## B\n\n### C \nmore\n```\n# x\ny\n```") == [("", 0, "intro"), ("A", 1, "text"), ("C ", 3, "more\n```"), ("x", 1, "y\n```")]
     assert sections("####### seven\n#none") == [("", 0, "####### seven\n#none")]
     assert sections("# only\n# heads") == [("", 0, "# only\n# heads")]
     assert sections("# A\r\ntext") == [("", 0, "# A\r\ntext")]
