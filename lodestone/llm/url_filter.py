@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 #: At most so many labelled rows are used for fitting (those with the least hash).
 MAX_LABELLED = 2000
 #: Hashed features; the model is one array of so many numbers, whatever the size of the data.
@@ -45,8 +47,8 @@ university.example/research/paper museum.example/collection/12 weather.example/f
 recipes.example/soup/tomato garden.example/plants/rose history.example/articles/rome science.example/physics/light
 m.travel.example/paris/museums forum.example/t/33 wiki.example/Mathematics code.example/project/readme
 www.school.example/lessons/4 health.example/sleep/advice music.example/review/album books.example/novel/1984
-ththing.example/en/20811 tionsh.example/de/325 theren.example/fr/5354 ththou.example/es/12 reading.example/en/99
-www.therea.example/en/1045.html m.ththin.example/de/45050 blog.thther.example/fr/10 ontion.example/en/3
+weekly.example/en/204 village-shop.example/de/38 orchestra.example/fr/programme theatre.example/es/tickets
+www.cathedral.example/en/visit.html m.railway.example/de/timetable blog.sailing.example/fr/10 pottery.example/en/3
 photo.example/gallery/8 maps.example/region/north events.example/calendar/may radio.example/show/morning
 animals.example/birds/owl language.example/grammar/verbs film.example/festival/2019 bikes.example/repair/chain
 kids.example/stories/fox space.example/missions/moon open-data.example/tables/census parks.example/trails/lake
@@ -77,10 +79,11 @@ def features(host: Column, path: Column) -> Column:
     """Distinct hashed character n-grams: of `^host$` and of the path without digits."""
 
     def grams(text: Column, mark: str, n: int) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))),
-            lambda i: F.pmod(F.xxhash64(F.lit(mark), F.substring(text, i, F.lit(n))), F.lit(DIMS)).cast("int"),
-        )
+        def of(letters: Column) -> Column:
+            places = F.sequence(F.lit(1), F.greatest(F.size(letters) - (n - 1), F.lit(1)))
+            return F.transform(places, lambda i: F.pmod(F.xxhash64(F.lit(mark), F.array_join(F.slice(letters, i, n), "")), F.lit(DIMS)).cast("int"))
+
+        return bound(F.split(text, ""), of)
 
     # The last label (com, net ...) and hyphens are left in; runs of digits become one 0.
     name = F.concat(F.lit("^"), F.regexp_replace(host, "[0-9]+", "0"), F.lit("$"))

@@ -49,3 +49,23 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.judge_urls(none, url_filter.labelled_urls(spark)).count() == 0
     assert set(url_filter.fit(spark.createDataFrame([], "url string, label int"))) == {0.0}
+
+
+def test_repeated_rows_and_very_long_urls(spark):
+    long = "http://x.net/" + "a/" * 20_000
+    got = url_filter.judge_urls(spark.createDataFrame([(1, long), (1, long), (2, "http://x.com/de/" + "1" * 10_000)], "page_id long, url string"), url_filter.labelled_urls(spark)).collect()
+    assert [(len(r["path"]), r["verdict"]) for r in got if r["page_id"] == 2] == [(10_004, "block")]
+    same = [tuple(r) for r in got if r["page_id"] == 1]
+    assert len(same) == 2 and same[0] == same[1] and same[0][3] == long[12:]
+
+
+def test_held_out_urls(spark):
+    """Of labelled URLs that were left out of the fit, most are judged right."""
+    labelled = url_filter.labelled_urls(spark).collect()
+    right = 0
+    for part in range(4):
+        rest = spark.createDataFrame([r for k, r in enumerate(labelled) if k % 4 != part])
+        out = spark.createDataFrame([(k, r["url"]) for k, r in enumerate(labelled) if k % 4 == part], "page_id long, url string")
+        got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(out, rest, rules=[]).collect()}
+        right += sum((got[k] == "block") == bool(labelled[k]["label"]) for k in got)
+    assert right >= 0.7 * len(labelled), right / len(labelled)
