@@ -126,8 +126,8 @@ def find_overlaps(docs: DataFrame, items: DataFrame, min_match: float = 0.8, max
     BAND words put in or left out; failing that, if `min_match` of WINDOW of its words in a row
     do, and then this part is what start_word and n_words tell (the best part of an alignment). An
     item with fewer words than the shortest mask is found where all its words stand in a row. Null
-    texts count as empty; repeated rows give one row; an empty table gives none; other columns are
-    ignored.
+    texts count as empty; repeated rows give one row; an empty table gives none; very long texts are
+    taken whole; other columns are ignored.
 
     Seeds of the items are counted: up to `max_broadcast` rows they are broadcast, beyond that
     joined by a shuffle. Hits meet their documents again by a key of id and text, in a shuffle of

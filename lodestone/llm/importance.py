@@ -99,12 +99,15 @@ def top_rows(df: DataFrame, order: str, tie: str, k: int, fine: int = 4096, smal
     if high > low:
         ranked = edge.withColumn("__r", F.row_number().over(Window.orderBy(F.desc(order), tie)))
         return sure.unionByName(ranked.where(F.col("__r") <= k - above).drop("__r"))
-    # One value: its rows are told apart by `tie`, through the same narrowing of its hash.
+    # One value: its rows are told apart by the hash of `tie`; if that is one, too, the rows are copies
+    # of each other, and any order will do, so long as it is kept.
     if edge.count() <= small:
         ranked = edge.withColumn("__r", F.row_number().over(Window.orderBy(tie)))
         return sure.unionByName(ranked.where(F.col("__r") <= k - above).drop("__r"))
-    told = edge.withColumn("__t", -(F.xxhash64(tie).cast("double")))
-    return sure.unionByName(top_rows(told, "__t", tie, k - above, fine, edge.count()).drop("__t"))
+    told = edge.withColumn("__t", F.xxhash64(tie).cast("double"))
+    if told.select("__t").distinct().limit(2).count() == 1:
+        told = saved(edge.withColumn("__t", F.xxhash64(F.monotonically_increasing_id()).cast("double")))
+    return sure.unionByName(top_rows(told, "__t", tie, k - above, fine, small).drop("__t"))
 
 
 def resample(docs: DataFrame, labels: DataFrame, fraction: float = 0.8, max_target: int = MAX_TARGET, seed: int = 0) -> DataFrame:
@@ -112,7 +115,9 @@ def resample(docs: DataFrame, labels: DataFrame, fraction: float = 0.8, max_targ
     replacement in proportion to their importance weights (Gumbel top-k).
 
     The target is text labelled quality 1. A null or empty text has weight 1 (log 0). Without
-    labels the target is like the raw text and the draw is even. Repeated rows are drawn alike.
+    labels the target is like the raw text and the draw is even. Repeated rows have one sample_key, and
+    where the last places go to some of them, any are taken. An empty table gives none; a very long
+    text is one row of a slice at a time; other columns are ignored.
     """
     good = labels.where(F.col("quality") == 1).select("doc_id").where("doc_id is not null").distinct()
     target = saved(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target))

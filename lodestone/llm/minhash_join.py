@@ -332,7 +332,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: i
     the document's own. A null or blank text has no shingles and is linked with nothing; a text of
     fewer words than `size` has its whole sequence as one shingle. Repeated rows are linked with
     each other and all returned; null ids are kept apart from the least id. An empty table gives an
-    empty result; other columns are ignored.
+    empty result; very long texts are taken whole; other columns are ignored.
     """
     signed, of_class = judged_classes(docs, size, percent, rounds, max_broadcast)
     of_class = of_class.select("cls", F.col("keeper.doc_id").alias("component"))

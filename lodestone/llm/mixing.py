@@ -120,7 +120,8 @@ def mix_sources(df: DataFrame, weights: dict | None = None, block_bytes: int = 1
     kept: when a source is used up its later slots stay empty, and the others keep their ratios.
 
     A null source is a source of its own, named ''. Null text has 0 bytes. Repeated rows lie next
-    to each other. `weights` default to `target_weights` of the sources' sizes; a source that is
+    to each other; an empty table gives none; a text larger than a block belongs to the one in which it
+    starts. `weights` default to `target_weights` of the sources' sizes; a source that is
     not among given weights has weight 0 and is refused. Slots are computed on the driver, in a few
     steps a block; its memory holds the sources' names and weights and a portion of the slots.
     """

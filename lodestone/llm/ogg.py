@@ -207,7 +207,8 @@ def media_digests(df: DataFrame) -> DataFrame:
     """Per row: the text stored as Ogg, read back, with digests of what was read and of the form.
 
     Null text is the empty text (one unit of padding). Equal texts give equal values; repeated
-    rows give repeated rows; other columns are ignored.
+    rows give repeated rows; an empty table gives none; a very long text is a slice by itself; other
+    columns are ignored.
     """
 
     def one(k, t):

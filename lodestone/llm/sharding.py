@@ -55,7 +55,7 @@ def shard_rows(df: DataFrame, limit: int, keys: tuple[str, ...] = ("doc_id",), s
     and `shard_rows`; columns of these names are replaced.
 
     Null keys hash as empty text, null text has 0 bytes, repeated rows share a shard, an empty
-    table gives an empty result. A row of more than `limit` bytes is a shard by itself.
+    table gives an empty result; other columns are kept. A row of more than `limit` bytes is a shard by itself.
     """
     names = ("shard", "shard_depth", "shard_bytes", "shard_rows")
     kept = df.drop(*names)

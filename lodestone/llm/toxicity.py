@@ -15,10 +15,13 @@ from .common import Rolling, column_bytes, slices, words_of
 
 #: At most so many labelled rows are used for fitting (those with the least hash of doc_id).
 MAX_TRAIN = 20_000
-#: Hash space of the features, and how many of them the model may use.
+#: Hash space of the features; the model uses the MAX_FEATURES of them that tell most about the label
+#: (chi-square) among those that MIN_DOCS fitted rows have. Both are parameters of the fit alone.
 DIMS = 1 << 18
 MAX_FEATURES = 4096
 MIN_DOCS = 3
+#: Weight of the squared score change under a swap in the loss.
+SWAP_PENALTY = 5.0
 PREFIXES = (4, 5, 6, 7, 8, 9)
 
 # Identity terms, swapped within a line to make counterfactual sentences.
@@ -33,8 +36,14 @@ IDENTITY_TERMS = [
     ["femmes", "hommes"], ["musulmans", "chrétiens", "juifs"],
     ["mujeres", "hombres"], ["musulmanes", "cristianos", "judíos"],
 ]
-SWAP = {w: group[(k + 1) % len(group)] for group in IDENTITY_TERMS for k, w in enumerate(group)}
-IDENTITY = re.compile(r"(?<!\w)(" + "|".join(sorted(SWAP, key=lambda w: (-len(w), w))) + r")(?!\w)")
+
+
+def swaps(terms: list[list[str]]) -> tuple[dict[str, str], re.Pattern | None]:
+    """What each identity term is swapped for, the next one of its line, and a pattern of all terms."""
+    swap = {w: group[(k + 1) % len(group)] for group in terms for k, w in enumerate(group)}
+    listed = "|".join(re.escape(w) for w in sorted(swap, key=lambda w: (-len(w), w)))
+    return swap, re.compile(rf"(?<!\w)({listed})(?!\w)") if swap else None
+
 
 IN_WORD = np.zeros(256, bool)
 IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -71,9 +80,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFra
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, swap_penalty: float = 1.0, ridge: float = 1e-4, steps: int = 400) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, swap_penalty: float = SWAP_PENALTY, ridge: float = 1e-4, steps: int = 400, terms: list[list[str]] = IDENTITY_TERMS
+) -> Model:
     """Chooses features by their chi-square with the label, then fits a logistic regression whose
-    loss has `swap_penalty` times the squared score change under a swap of identity terms."""
+    loss has `swap_penalty` times the squared score change under a swap of identity `terms`."""
+    swap, identity = swaps(terms)
     rows = training_rows(docs, labels, max_train)
 
     def count(batches):
@@ -107,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, swap_pen
             for part in slices(batch, "text"):
                 texts = part.column("text")
                 lower = pc.utf8_lower(texts).to_pylist()
-                swapped = [IDENTITY.sub(lambda m: SWAP[m[0]], t) if t and IDENTITY.search(t) else None for t in lower]
+                swapped = [identity.sub(lambda m: swap[m[0]], t) if t and identity and identity.search(t) else None for t in lower]
                 lists = []
                 for column in (texts, pa.array(swapped, pa.string())):
                     f, r = distinct(*batch_features(column))
@@ -172,7 +184,8 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document, learnt from the rows not held out.
 
     A null or empty text is scored by the bias alone; a null doc_id has held_out false and is never
-    learnt from. Without labels of both kinds the score is a constant. Repeated rows repeat.
+    learnt from. Without labels of both kinds the score is a constant. Repeated rows repeat; an empty
+    table gives none; a very long text is one row of a slice at a time; other columns are ignored.
     """
     learnt = labels.where(~is_held_out())
     scored = score_texts(docs, fit(docs, learnt))
@@ -180,8 +193,9 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents not predicted toxic. Scores are added to the rows, so repeated or null ids are
-    judged by their own text."""
+    """The documents not predicted toxic, with all their columns. Each row is judged by its own text,
+    whatever other rows have the same doc_id or none; a null or empty text by the bias alone; repeated
+    rows stay or go together; an empty table gives none."""
     model = fit(docs, labels.where(~is_held_out()))
 
     def run(batches):

@@ -20,6 +20,34 @@ def test_top_rows_is_exact(spark):
                 assert set(got) == want
 
 
+def test_many_copies_of_one_row_are_not_ranked_in_one_task(spark):
+    df = spark.createDataFrame([(7, 1.0)] * 900 + [(8, 2.0), (9, 0.0)], "doc_id long, v double")
+    got = [r["doc_id"] for r in importance.top_rows(df, "v", "doc_id", 500, fine=16, small=20).collect()]
+    assert sorted(got) == [7] * 499 + [8]
+
+
+def test_the_draw_against_a_plain_version(spark, docs):
+    """Gumbel top-k as a whole: the k documents with the greatest log weight + noise."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choices("abcdefgh", k=rng.randint(0, 30)))) for k in range(150)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(100)], "doc_id long, quality int")
+    ratio = importance.models(docs(rows), labels.where("quality = 1").select("doc_id"))
+    noise = {r["doc_id"]: (r["h"] % 2**64 >> 11) for r in docs(rows).select("doc_id", F.xxhash64("doc_id", "text", F.lit(0)).alias("h")).collect()}
+    key = {}
+    for k, t in rows:
+        bucket, _ = importance.batch_grams(pa.array([t]))
+        key[k] = round(float(ratio[bucket].sum()), 9) - np.log(-np.log((noise[k] + 0.5) / 2.0**53))
+    want = sorted(key, key=lambda k: -key[k])[:60]
+    got = {r["doc_id"]: r["sample_key"] for r in importance.resample(docs(rows), labels, 0.4).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - key[k]) < 1e-6 for k in want)
+
+
+def test_very_long_texts(spark, docs):
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    got = importance.resample(docs([(1, "good words " * 100_000), (2, "x y"), (None, None)]), labels, 1.0)
+    assert got.count() == 3
+
+
 def test_weights_against_plain_counts(spark, docs):
     rows = [(1, "a b a"), (2, "b c"), (3, "c c c d"), (4, None), (5, "")]
     target = spark.createDataFrame([(1,), (2,)], "doc_id long")

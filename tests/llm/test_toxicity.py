@@ -76,3 +76,46 @@ def test_the_stage_takes_very_long_texts_null_ids_and_empty_tables(spark, docs):
     assert {r["doc_id"] for r in kept} >= {k for k in range(0, 200, 2)} | {500} and 501 not in {r["doc_id"] for r in kept}
     assert not {r["doc_id"] for r in kept if r["text"] and "vile" in r["text"]} and [r["text"] for r in kept if r["doc_id"] is None] == [nice]
     assert toxicity.without_toxic(docs([]), labels).collect() == []
+
+
+def test_false_positives_on_neutral_mentions_of_groups(spark, docs):
+    """Labelled sentences in which some groups are mentioned in hostile ones far more often than in
+    neutral ones. With the swaps at their shipped weight, fewer held-out neutral mentions are called
+    toxic, and hostile ones are still found."""
+    rng = random.Random(12)
+    filler = "market station village teacher reading summer kitchen bridge concert holiday writing forest".split()
+    hostile = "vermin scumbags parasites filthy".split()
+    groups = [t for line in toxicity.IDENTITY_TERMS[:2] for t in line]
+    rows, truth, plain = [], {}, set()
+    for k in range(900):
+        words = rng.choices(filler, k=9)
+        toxic = k % 3 == 0
+        group = rng.choice(groups[:2] if rng.random() < (0.95 if toxic else 0.08) else groups[2:])
+        words[rng.randrange(4)] = group
+        if toxic and rng.random() < 0.6:
+            words[4 + rng.randrange(5)] = rng.choice(hostile)
+            plain.add(k)  # not by allusion alone
+        rows.append((k, " ".join(words)))
+        truth[k] = int(toxic)
+    train, labels = docs(rows[:600]), spark.createDataFrame([(k, t) for k, t in truth.items() if k < 600], "doc_id long, toxic int")
+    neutral = [(2000 + k, " ".join([*rng.choices(filler, k=4), groups[k % 2], *rng.choices(filler, k=4)])) for k in range(200)]
+    rate, recall = {}, {}
+    for penalty in (0.0, toxicity.SWAP_PENALTY):
+        model = toxicity.fit(train, labels, swap_penalty=penalty)
+        score = {r["doc_id"]: r["score"] for r in toxicity.score_texts(docs(rows[600:] + neutral), model).collect()}
+        rate[penalty] = sum(score[k] >= 0.5 for k, _ in neutral) / len(neutral)
+        recall[penalty] = sum(score[k] >= 0.5 for k in plain if k >= 600) / sum(k >= 600 for k in plain)
+    print("false positives", rate, "recall", recall)
+    assert rate[toxicity.SWAP_PENALTY] < 0.5 * rate[0.0] and rate[0.0] > 0.05
+    assert recall[toxicity.SWAP_PENALTY] >= 0.9
+
+
+def test_terms_are_a_parameter(spark, docs):
+    rows = [(k, "foo bad" if k % 2 else "bar good") for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    gap = []
+    for terms in ([], [["foo", "bar"]]):
+        model = toxicity.fit(docs(rows), labels, terms=terms)
+        s = {r["doc_id"]: r["score"] for r in toxicity.score_texts(docs([(1, "foo"), (2, "bar")]), model).collect()}
+        gap.append(s[1] - s[2])
+    assert gap[1] < 0.5 * gap[0]
