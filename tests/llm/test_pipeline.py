@@ -88,3 +88,21 @@ def test_the_mixture_reaches_the_output(spark, docs, monkeypatch):
         first = [r["source"] for r in rows if r["mix_slot"] < 20]
         assert abs(first.count("a") / len(first) - weights["a"] / sum(weights.values())) < 0.06
     assert slots[1] != slots[9] and len(slots[1]) == len(slots[9]) == 80
+
+
+def test_stages_take_nulls_repeats_clashing_names_and_empty_tables(spark, sf, docs):
+    item = table(spark, sf, "benchmark").first()["text"]
+    text = " ".join(f"calm{k}" for k in range(40))
+    rows = [(1, text, "a"), (1, text, "a"), (2, text + " end", "b"), (None, None, None), (None, "", "a"), (3, "", "b"), (None, f"{text[:20]} other words {item}", "c"), (None, "just some words", None), (4, "long " * 100_000, "a")]
+    now, empty = docs(rows), docs([])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, sf)
+        got = out.collect()
+        assert stage(spark, empty, sf).collect() == []
+        if name != "sharding":
+            assert out.columns == now.columns
+        now = spark.createDataFrame(got, out.schema)
+    kept = sorted(((r["doc_id"] or 0, (r["text"] or "")[:10]) for r in got), key=str)
+    # The two equal rows of id 1 stay together, their near copy goes; the row with a test item goes;
+    # null and empty texts are copies of nothing.
+    assert kept == sorted([(1, text[:10])] * 2 + [(0, ""), (0, ""), (3, ""), (0, "just some "), (4, ("long " * 3)[:10])], key=str)
