@@ -28,9 +28,11 @@ MATCHES = 36
 #: A set with fewer collisions with its leader has no partner near the leader (four deviations below 0.5).
 NEAR_MATCHES = 16
 #: Rounds of leaders of lists, see `linked_components`.
-ROUNDS = 2
+ROUNDS = 1
+#: Steps from a pivot to its pivot.
+CHAIN = 2
 #: Further leaders of members near one pivot.
-CELL_LEADERS = 2
+CELL_LEADERS = 1
 #: Bitmaps of changes have at most 64 << MAX_BIT_WORDS bits.
 MAX_BIT_WORDS = 4
 #: Keys are broadcast up to so many rows.
@@ -234,7 +236,15 @@ def linked_components(posted: DataFrame, compare, percent: int, rounds: int = RO
     leads = posted.groupBy("token").agg(F.min(F.struct((-F.col("hub")).alias("hub"), F.col("cls").alias("cls"))).alias("lead"))
     pivots = posted.join(leads, "token").where("cls <> lead.cls").groupBy(F.col("cls").alias("b")).agg(F.min("lead").alias("lead"), F.first("hub").alias("hub"))
     pivots = saved(pivots.select(F.col("lead.cls").alias("a"), "b", "hub"))
-    known = saved(compare(saved(enough(pivots.select("a", "b"), NEAR_MATCHES))))
+    # The pivot's pivot, and so on, gathers what several leaders share; where a member is not near to
+    # the last one, its own pivot stands.
+    last = pivots
+    for _ in range(CHAIN):
+        over = pivots.select(F.col("b").alias("a"), F.col("a").alias("over"))
+        last = saved(last.join(over, "a", "left").select(F.when(F.col("over") == F.col("b"), F.col("a")).otherwise(F.coalesce("over", "a")).alias("a"), "b", "hub"))
+    known = saved(compare(saved(enough(last.select("a", "b"), NEAR_MATCHES))))
+    rest = pivots.join(known.where("near"), "b", "left_anti").join(last.select("a", "b"), ["a", "b"], "left_anti")
+    known = saved(known.where("near").unionByName(compare(saved(enough(rest.select("a", "b"), NEAR_MATCHES)))))
     found = [known.where("linked").select("a", "b")]
     # Members that are linked with others of their cell but not with the pivot: these leaders come next.
     rest = known.where("near and not linked").select(F.col("a").alias("cell"), "b").join(pivots.select("b", "hub"), "b")
@@ -279,7 +289,8 @@ def linked_components(posted: DataFrame, compare, percent: int, rounds: int = RO
     apart = (F.col("comp") != F.col("x_comp")) & (F.col("cell") != F.col("x_cell")) & (F.col("cls") > F.col("x_cls"))
     apart = apart & similar_size(F.col("n"), F.col("x_n"), percent) & (F.col("mask").bitwiseAND(F.col("x_mask")) == 0)
     pairs = alive.join(x, "token").where(apart).select(F.col("x_cls").alias("a"), F.col("cls").alias("b")).distinct()
-    return grown(found_links(saved(pairs)))
+    last = found_links(saved(pairs))
+    return groups if last.isEmpty() else grown(last)
 
 
 def similar_size(a, b, percent: int):

@@ -80,7 +80,7 @@ def test_a_template_that_is_itself_not_in_the_table(docs):
     texts = [t for b in bases for t in near_copies(rng, b, 70, len(b) // 7, words[:40])]
     texts += [" ".join(b[: len(b) * k // 20]) for b in bases for k in range(8, 20)]
     rows = list(enumerate(texts))
-    for size, rounds in ((2, 3), (2, 1), (5, 3)):
+    for size, rounds in ((2, 2), (2, 0), (5, 1)):
         got = {r["doc_id"]: tuple(r)[1:] for r in minhash_join.near_duplicates(docs(rows), size=size, rounds=rounds).collect()}
         assert got == brute(rows, size)
 
