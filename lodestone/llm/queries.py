@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, decontam, importance, minhash_join, mixing, ogg, paragraph_dedup, sharding, toxicity, url_filter
+from . import bwt_dedup, decontam, importance, minhash_join, mixing, ogg, paragraph_dedup, pii, sharding, toxicity, url_filter
 from .common import table
 
 #: Bytes of a shard and of a mixing block.
@@ -56,7 +56,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "spam_score")
 
 
-QUERIES = {f.__name__: f for f in (op1_paragraph_minhash, op2_importance_resampling, op3_toxicity, op4_bwt_dedup, op5_ogg, op6_pfair_mixing, op7_minhash_join, op8_spaced_seeds, op9_extendible_sharding, op10_url_filter)}
+def pii_digests(docs: DataFrame) -> DataFrame:
+    """Counts and digests of the spans found in each document."""
+    found = pii.find_spans(docs.select("doc_id", "text"))
+    spans = F.col("pii")
+    counts = [F.size(pii.of_kinds(spans, k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    scores = F.array_join(F.transform(spans, lambda s: s["score"].cast("string")), ",").alias("scores")
+    return found.select("doc_id", *counts, F.sha2(pii.listed(pii.of_kinds(spans, *pii.BASE)), 256).alias("base_sha256"), pii.listed(spans).alias("spans"), scores)
+
+
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_paragraph_minhash, op2_importance_resampling, op3_toxicity, op4_bwt_dedup, op5_ogg, op6_pfair_mixing, op7_minhash_join, op8_spaced_seeds, op9_extendible_sharding, op10_url_filter, op11_pii)}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE: dict[str, str] = {
