@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, decontam, importance, minhash_join, mixing, ogg, paragraph_dedup, pii, sharding, toxicity, url_filter
+from . import bwt_dedup, decontam, importance, merkle, minhash_join, mixing, ogg, paragraph_dedup, pii, sharding, toxicity, url_filter
 from .common import table
 
 #: Bytes of a shard and of a mixing block.
 SHARD_BYTES = 16 << 20
 BLOCK_BYTES = 1 << 18
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +70,24 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_paragraph_minhash, op2_importance_resampling, op3_toxicity, op4_bwt_dedup, op5_ogg, op6_pfair_mixing, op7_minhash_join, op8_spaced_seeds, op9_extendible_sharding, op10_url_filter, op11_pii)}
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+def manifest_digests(docs: DataFrame) -> DataFrame:
+    """Leaves, roots and proofs of documents; the leaf that a tampered text would have is folded with
+    the proof of the untampered one. Every row whose id's checksum 5 divides is tampered with."""
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = F.translate("text", UPPER, LOWER)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    leaves = docs.select("doc_id", "source", merkle.leaf(*fields, F.col("text")).alias("leaf"), F.when(tampered, merkle.leaf(*fields, lowered)).alias("altered"))
+    proved = merkle.prove(leaves)
+    folded = merkle.fold(F.coalesce("altered", "leaf"), F.col("proof")).alias("folded_root")
+    out = proved.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), folded)
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_paragraph_minhash, op2_importance_resampling, op3_toxicity, op4_bwt_dedup, op5_ogg, op6_pfair_mixing, op7_minhash_join, op8_spaced_seeds, op9_extendible_sharding, op10_url_filter, op11_pii, op13_merkle_manifest)}
 
 ORACLE: dict[str, str] = {
     "op7_minhash_join": f"""
