@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt_dedup, decontam, importance, merkle, minhash_join, mixing, ogg, paragraph_dedup, pii, sharding, toxicity, url_filter
+from . import bwt_dedup, decontam, importance, merkle, minhash_join, mixing, ogg, paragraph_dedup, pii, sharding, toxicity, turns, url_filter
 from .common import table
 
 #: Bytes of a shard and of a mixing block.
@@ -70,6 +70,10 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.digests(turns.repair(turns.damaged(table(spark, sf_dir, "conversations"))))
+
+
 def manifest_digests(docs: DataFrame) -> DataFrame:
     """Leaves, roots and proofs of documents; the leaf that a tampered text would have is folded with
     the proof of the untampered one. Every row whose id's checksum 5 divides is tampered with."""
@@ -87,7 +91,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_paragraph_minhash, op2_importance_resampling, op3_toxicity, op4_bwt_dedup, op5_ogg, op6_pfair_mixing, op7_minhash_join, op8_spaced_seeds, op9_extendible_sharding, op10_url_filter, op11_pii, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_paragraph_minhash, op2_importance_resampling, op3_toxicity, op4_bwt_dedup, op5_ogg, op6_pfair_mixing, op7_minhash_join, op8_spaced_seeds, op9_extendible_sharding, op10_url_filter, op11_pii, op12_conversation_repair, op13_merkle_manifest)}
 
 ORACLE: dict[str, str] = {
     "op7_minhash_join": f"""
