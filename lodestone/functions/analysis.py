@@ -5,7 +5,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import WS
+from .text import WS, bound
 
 # Words that are no keywords (Korean particles, English function words).
 STOP_WORDS = (
@@ -61,18 +61,65 @@ def service_filter(question: Column, services: list[str]) -> Column:
     return out
 
 
+def service_patterns(services: DataFrame) -> DataFrame:
+    """(name, place, part, key, pattern): for each service (name, place) its full name with loose hyphens
+    and, if it has a hyphen, what follows the first. `key` is what a question must hold, in lower case
+    and for full names without hyphens; `pattern` decides."""
+    quoted = lambda c: F.regexp_replace(c, r"([^A-Za-z0-9_])", r"\\$1")
+    loose = F.array_join(F.transform(F.split("name", "-"), quoted), f"[-{WS}]?")
+    full = services.select("name", "place", F.lit(0).alias("part"), F.lower(F.replace("name", F.lit("-"))).alias("key"), F.concat(F.lit("(?iu)"), loose).alias("pattern"))
+    rest = F.expr("substring(name, position('-' IN name) + 1)")
+    word = F.concat(F.lit("(?iu)(?<![A-Za-z0-9_])"), quoted(rest), F.lit("(?![A-Za-z0-9_])"))
+    short = services.where(F.contains("name", F.lit("-")) & (F.length(rest) > 0)).select("name", "place", F.lit(1).alias("part"), F.lower(rest).alias("key"), word.alias("pattern"))
+    return full.unionByName(short).where(F.length("key") > 0)
+
+
+def with_service_filter(questions: DataFrame, services: DataFrame, text: str = "question", key: str = "query_id") -> DataFrame:
+    """`questions` with serviceFilter, as `service_filter` finds it, for a table of services (name, place)
+    of any size; `place` is their order, and `key` tells questions apart.
+
+    A question gives out its substrings of the lengths that names have, without hyphens and blanks for
+    full names; they meet the names in an equi-join, the pattern confirms the few that fit, and
+    the first by order wins. Only the distinct lengths of names pass through the driver.
+    """
+    patterns = service_patterns(services)
+    lengths: dict[int, list[int]] = {0: [], 1: []}
+    for part, n in patterns.select("part", F.length("key")).distinct().collect():  # a few numbers
+        lengths[part].append(n)
+    asked = questions.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    lowered = F.lower("__text")
+    squeezed = F.regexp_replace(lowered, f"[-{WS}]", "")
+
+    def cut(x: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda k: F.substring(x, k, F.lit(n)))
+
+    def pieces(value: Column, sizes: list[int]) -> Column:
+        if not sizes:
+            return F.array().cast("array<string>")
+        return bound(value, lambda x: F.array_distinct(F.concat(*[cut(x, n) for n in sorted(sizes)])))
+
+    given = [asked.select("__key", "__text", F.lit(p).alias("part"), F.explode(pieces(v, lengths[p])).alias("key")) for p, v in ((0, squeezed), (1, lowered))]
+    found = given[0].unionByName(given[1]).join(patterns, ["part", "key"]).where(F.regexp("__text", F.col("pattern")))
+    best = found.groupBy("__key").agg(F.min_by("name", F.struct("part", "place")).alias("serviceFilter"))
+    return questions.drop("serviceFilter").join(best, questions[key] == best["__key"], "left").drop("__key")
+
+
 def is_architectural(question: Column) -> Column:
     return F.exists(_array(ARCHITECTURAL_WORDS), lambda w: F.contains(F.lower(question), w))
 
 
-def analyse(questions: DataFrame, services: list[str] | None = None, text: str = "question") -> DataFrame:
-    """`questions` with keywords, entityNames, serviceFilter, fileTypeFilter and isArchitectural."""
+def analyse(questions: DataFrame, services: list[str] | DataFrame | None = None, text: str = "question") -> DataFrame:
+    """`questions` with keywords, entityNames, serviceFilter, fileTypeFilter and isArchitectural.
+    `services` is a short list of names or a table of them (name, place) of any size."""
     q = F.col(text)
+    if isinstance(services, DataFrame):
+        questions = with_service_filter(questions, services, text)
     return questions.withColumns(
         {
             "keywords": keywords(q),
             "entityNames": entity_names(q),
-            "serviceFilter": service_filter(q, services or []),
+            "serviceFilter": F.col("serviceFilter") if isinstance(services, DataFrame) else service_filter(q, services or []),
             "fileTypeFilter": file_type_filter(q),
             "isArchitectural": is_architectural(q),
         }

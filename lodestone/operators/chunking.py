@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import extract
+from ..functions.classify import file_name
 from ..functions.text import WS, bound, is_blank, js_trim, short_id
 
 CODE_SIZE, DOCUMENT_SIZE, OVERLAP, LINE = 1500, 2000, 200, 80
 SUMMARY_LINES = 10
 SHEET_ROWS = 10_000
+#: Parts of a group that meet in one task when its first rows are looked for.
+MERGED = 16
 
 
 def window_starts(n: Column, size: int, overlap: int) -> Column:
@@ -136,7 +141,7 @@ def markdown_sections(text: Column) -> Column:
         ),
     )
     sections = F.filter(sections, lambda s: F.length(s["content"]) > 0)
-    return F.when(F.size(sections) == 0, text_sections(text)).otherwise(sections)
+    return bound(sections, lambda x: F.when(F.size(x) == 0, text_sections(text)).otherwise(x))
 
 
 def text_sections(text: Column) -> Column:
@@ -147,20 +152,39 @@ def text_sections(text: Column) -> Column:
 
 def text_pages(text: Column, count: Column) -> Column:
     """array of (pageNumber, content) of an extracted text: as a whole if it has one page; else cut
-    at form feeds; without these, into equal parts. Empty pages keep their numbers but are left out."""
+    at form feeds; without these, into equal parts, in one pass. Empty pages keep their numbers but are
+    left out."""
     size = F.greatest(F.ceil(F.length(text) / F.greatest(count, F.lit(1))).cast("int"), F.lit(1))
-    even = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda k: F.substring(text, (k * size + 1).cast("int"), size))
+    even = F.regexp_extract_all(text, F.concat(F.lit("(?s).{1,"), size.cast("string"), F.lit("}")), F.lit(0))
     parts = F.when(count <= 1, F.array(text)).when(text.contains("\f"), F.split(text, "\f")).otherwise(even)
     pages = F.transform(parts, lambda p, i: F.struct((i + 1).alias("pageNumber"), js_trim(p).alias("content")))
     return F.filter(pages, lambda p: F.length(p["content"]) > 0)
 
 
+def first_rows(rows: DataFrame, limit: int, by: list[str], order: list[str]) -> DataFrame:
+    """The first `limit` rows of each group by `order`, with their number from 1 as `__row`.
+
+    Spark cuts groups before a shuffle for small limits only. Here a group's rows are dealt out by a hash
+    of their order columns to as many cells as there are partitions; each cell hands on its first
+    `limit` rows, and MERGED cells meet at a time, until one is left. So no task sorts a whole group,
+    however large, and what meets in one task is at most MERGED times the limit.
+    """
+    cells = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = rows.withColumn("__cell", F.pmod(F.xxhash64(*order), F.lit(cells)))
+    while True:
+        first = Window.partitionBy(*by, "__cell").orderBy(*order)
+        out = out.withColumn("__row", F.row_number().over(first)).where(F.col("__row") <= limit)
+        if cells == 1:
+            return out.drop("__cell")
+        cells = -(-cells // MERGED)
+        out = out.withColumn("__cell", F.floor(F.col("__cell") / MERGED))
+
+
 def sheet_texts(rows: DataFrame, source: str, sheet: str, order: list[str], columns: list[str], limit: int = SHEET_ROWS) -> DataFrame:
     """(source, sheetName, rowCount, totalSheets, content): rows of each sheet as CSV lines, the first
     `limit` in order; the text is trimmed as a whole. totalSheets counts all sheets of a source, also
     those without text, which are left out. What is collected per sheet is bounded by `limit`."""
-    by = Window.partitionBy(source, sheet).orderBy(*order)
-    kept = rows.withColumn("__row", F.row_number().over(by)).where(F.col("__row") <= limit)
+    kept = first_rows(rows, limit, [source, sheet], order)
     line = F.to_csv(F.struct(*columns), {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": ""})
     lines = F.array_sort(F.collect_list(F.struct("__row", line.alias("line"))))
     out = kept.groupBy(F.col(source).alias("source"), F.col(sheet).alias("sheetName")).agg(F.count("*").cast("int").alias("rowCount"), lines.alias("lines"))
@@ -170,6 +194,10 @@ def sheet_texts(rows: DataFrame, source: str, sheet: str, order: list[str], colu
 
 
 def _document_chunks(parts: DataFrame, text: Column, name: Column, page: Column, sheet: Column, metadata: Column, size: int, overlap: int) -> DataFrame:
+    told = ["message"] if "message" in parts.columns else []
+    pieces = text_pieces(text, size, overlap)
+    if told:
+        pieces = F.when(F.col("message").isNull(), pieces).otherwise(F.array(F.lit(None).cast("string")))
     out = parts.select(
         "source",
         "sourceType",
@@ -177,10 +205,27 @@ def _document_chunks(parts: DataFrame, text: Column, name: Column, page: Column,
         page.cast("int").alias("page"),
         sheet.cast("string").alias("sheet"),
         metadata.alias("metadata"),
-        F.posexplode(text_pieces(text, size, overlap)).alias("index", "content"),
+        *told,
+        F.posexplode(pieces).alias("index", "content"),
     )
     key = short_id(F.lit("doc"), F.col("source"), F.col("__name"), F.col("index"))
-    return out.select(key.alias("id"), "content", "source", "sourceType", "page", "sheet", "metadata", "index")
+    return out.select(key.alias("id"), "content", "source", "sourceType", "page", "sheet", "metadata", "index", *told)
+
+
+def judged(docs: DataFrame, text: str) -> DataFrame:
+    """`docs` with `message`: why a document can't be chunked, or null. A `problem` that was found when it
+    was read comes first; else it has no text, or is to be cut into pages and has no page count."""
+    message = F.when(F.col(text).isNull(), "no text")
+    if "pageCount" in docs.columns:
+        message = message.when(F.col("pageCount").isNull(), "no page count")
+    if "problem" in docs.columns:
+        message = F.coalesce("problem", message)
+    return docs.withColumn("message", message)
+
+
+def _usable(docs: DataFrame, text: str, failed: bool) -> DataFrame:
+    out = judged(docs, text)
+    return out if failed else out.where("message is null").drop("message")
 
 
 def _map(**values) -> Column:
@@ -188,10 +233,16 @@ def _map(**values) -> Column:
     return F.map_filter(pairs, lambda _, v: v.isNotNull())
 
 
-def chunk_sections(docs: DataFrame, size: int = DOCUMENT_SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks of markdown and plain text documents (source, sourceType, text)."""
+def chunk_sections(docs: DataFrame, size: int = DOCUMENT_SIZE, overlap: int = OVERLAP, failed: bool = False) -> DataFrame:
+    """Chunks of markdown and plain text documents (source, sourceType, text). Those that can't be
+    chunked are left out or, with `failed`, are a row each with a `message`, as in the next two."""
+    docs = _usable(docs, "text", failed)
     sections = F.when(F.col("sourceType") == "markdown", markdown_sections(F.col("text"))).otherwise(text_sections(F.col("text")))
-    parts = docs.withColumn("__s", sections).select("source", "sourceType", F.size("__s").alias("__n"), F.explode("__s").alias("s"))
+    told = ["message"] if failed else []
+    if failed:
+        none = F.array(F.struct(F.lit("").alias("heading"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("content")))
+        sections = F.when(F.col("message").isNull(), sections).otherwise(none)
+    parts = docs.withColumn("__s", sections).select("source", "sourceType", *told, F.size("__s").alias("__n"), F.explode("__s").alias("s"))
     heading, level = F.col("s.heading"), F.col("s.level")
     titled = F.length(heading) > 0
     text = F.when(titled, F.concat(F.expr("repeat('#', s.level)"), F.lit(" "), heading, F.lit("\n\n"), F.col("s.content"))).otherwise(F.col("s.content"))
@@ -200,34 +251,52 @@ def chunk_sections(docs: DataFrame, size: int = DOCUMENT_SIZE, overlap: int = OV
     return _document_chunks(parts, text, name, null, null, _map(heading=heading, headingLevel=level, sectionCount=F.col("__n")), size, overlap)
 
 
-def chunk_pages(docs: DataFrame, size: int = DOCUMENT_SIZE, overlap: int = OVERLAP) -> DataFrame:
+def chunk_pages(docs: DataFrame, size: int = DOCUMENT_SIZE, overlap: int = OVERLAP, failed: bool = False) -> DataFrame:
     """Chunks of extracted texts with a page count (source, text, pageCount, title, author)."""
-    parts = docs.select("source", F.lit("pdf").alias("sourceType"), "title", "author", "pageCount", F.explode(text_pages(F.col("text"), F.col("pageCount"))).alias("p"))
+    docs = _usable(docs, "text", failed)
+    pages = text_pages(F.col("text"), F.col("pageCount"))
+    told = ["message"] if failed else []
+    if failed:
+        pages = F.when(F.col("message").isNull(), pages).otherwise(F.array(F.struct(F.lit(0).alias("pageNumber"), F.lit(None).cast("string").alias("content"))))
+    parts = docs.select("source", F.lit("pdf").alias("sourceType"), "title", "author", "pageCount", *told, F.explode(pages).alias("p"))
     name = F.concat(F.lit("page-"), F.col("p.pageNumber"))
     metadata = _map(title=F.coalesce("title", F.lit("")), author=F.coalesce("author", F.lit("")), totalPages=F.col("pageCount"))
     return _document_chunks(parts, F.col("p.content"), name, F.col("p.pageNumber"), F.lit(None), metadata, size, overlap)
 
 
-def chunk_sheets(sheets: DataFrame, size: int = DOCUMENT_SIZE, overlap: int = OVERLAP) -> DataFrame:
+def chunk_sheets(sheets: DataFrame, size: int = DOCUMENT_SIZE, overlap: int = OVERLAP, failed: bool = False) -> DataFrame:
     """Chunks of `sheet_texts` (source, sheetName, rowCount, totalSheets, content)."""
-    parts = sheets.withColumn("sourceType", F.lit("excel"))
+    parts = _usable(sheets, "content", failed).withColumn("sourceType", F.lit("excel"))
     name = F.concat(F.lit("sheet-"), F.col("sheetName"))
     metadata = _map(sheetName=F.col("sheetName"), rowCount=F.col("rowCount"), totalSheets=F.col("totalSheets"))
     return _document_chunks(parts, F.col("content"), name, F.lit(None), F.col("sheetName"), metadata, size, overlap)
 
 
+def _by_kind(texts: DataFrame | None, pages: DataFrame | None, sheets: DataFrame | None) -> list[tuple]:
+    every = ((texts, chunk_sections, "text"), (pages, chunk_pages, "text"), (sheets, chunk_sheets, "content"))
+    return [x for x in every if x[0] is not None]
+
+
+def chunk_outcomes(texts: DataFrame | None = None, pages: DataFrame | None = None, sheets: DataFrame | None = None, size: int = DOCUMENT_SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """The chunks of documents by kind and, among them, a row with a `message` for each document that
+    failed: one scan gives both. `split_outcomes` tells them apart, best once they are saved."""
+    parts = [chunk(given, size, overlap, failed=True) for given, chunk, _ in _by_kind(texts, pages, sheets)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def split_outcomes(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunks, errors) of outcomes; errors are (name, source, message)."""
+    errors = outcomes.where("message is not null").select(file_name(F.col("source")).alias("name"), "source", "message")
+    return outcomes.where("message is null").drop("message"), errors
+
+
 def chunk_documents(texts: DataFrame | None = None, pages: DataFrame | None = None, sheets: DataFrame | None = None, size: int = DOCUMENT_SIZE, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
-    """(chunks, errors) of documents by kind. A document without text goes to errors (source,
-    message) and does not stop the others."""
-    chunks, errors = None, None
-    for given, chunk, text in ((texts, chunk_sections, "text"), (pages, chunk_pages, "text"), (sheets, chunk_sheets, "content")):
-        if given is None:
-            continue
-        bad = given.where(F.col(text).isNull()).select("source", F.lit("no text").alias("message"))
-        good = chunk(given.where(F.col(text).isNotNull()), size, overlap)
-        chunks = good if chunks is None else chunks.unionByName(good, allowMissingColumns=True)
-        errors = bad if errors is None else errors.unionByName(bad)
-    return chunks, errors
+    """(chunks, errors) of documents by kind, each with a scan of its own. A document that can't be
+    chunked goes to errors (name, source, message) and does not stop the others."""
+    kinds = _by_kind(texts, pages, sheets)
+    chunks = [chunk(given, size, overlap) for given, chunk, _ in kinds]
+    failed = [judged(given, text).where("message is not null").select(file_name(F.col("source")).alias("name"), "source", "message") for given, _, text in kinds]
+    return reduce(lambda a, b: a.unionByName(b), chunks), reduce(lambda a, b: a.unionByName(b), failed)
 
 
 # --- records -----------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
@@ -33,17 +34,40 @@ def hashing_embedder(width: int = 64) -> Callable:
     return make
 
 
+@dataclass(frozen=True)
+class Model:
+    """An embedder by its name and width, which a chunk table is stamped with. `make` returns a function
+    of a batch of texts and is called once per worker."""
+
+    name: str
+    width: int
+    make: Callable
+
+    def embed(self, df: DataFrame, text: str = "content", batch: int = BATCH, partitions: int | None = None) -> DataFrame:
+        return embed(df, self.make, self.width, text, batch, partitions)
+
+
+def hashing_model(width: int = 64) -> Model:
+    return Model(f"hashing-{width}", width, hashing_embedder(width))
+
+
 def embed(df: DataFrame, make_embedder: Callable, width: int, text: str = "content", batch: int = BATCH, partitions: int | None = None) -> DataFrame:
-    """`df` with `vector` of each text. The embedder is made once per worker; equal texts are
-    embedded once and joined back by their hash; `partitions` spreads the model's work."""
-    keyed = df.withColumn("__sha", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    texts = keyed.groupBy("__sha").agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("__text"))
+    """`df` with `vector` of each text. The embedder is made once per worker; `partitions` spreads its
+    work; equal texts are embedded once. Texts are shuffled once, by their hash, and come back to
+    the other columns with their vectors; these columns travel without texts. Null texts are embedded
+    as empty ones and stay null. `df` is read twice: save it first if it is dear.
+    """
+    key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    texts = df.groupBy(key.alias("__sha")).agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("__text"))
     if partitions:
-        texts = texts.repartition(partitions)
+        texts = texts.repartition(partitions, "__sha")
     udf = predict_batch_udf(make_embedder, return_type=T.ArrayType(T.FloatType()), batch_size=batch)
-    vectors = texts.select("__sha", udf("__text").alias("vector"))
+    vectors = texts.select("__sha", "__text", udf("__text").alias("vector"))
     checked = F.when(F.size("vector") == width, F.col("vector")).otherwise(F.raise_error(F.concat(F.lit(f"a vector must have {width} numbers, not "), F.size("vector"))))
-    return keyed.drop("vector").join(vectors, "__sha").drop("__sha").withColumn("vector", checked)
+    kept = [c for c in df.columns if c not in ("vector", text)]
+    rows = df.select(*kept, key.alias("__sha"), F.col(text).isNull().alias("__none")).join(vectors, "__sha")
+    again = [F.when(~F.col("__none"), F.col("__text")).alias(c) if c == text else F.col(c) for c in df.columns if c != "vector"]
+    return rows.select(*again, checked.alias("vector"))
 
 
 def paired(df: DataFrame, vectors: DataFrame, key: str = "id") -> DataFrame:

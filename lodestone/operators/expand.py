@@ -21,12 +21,15 @@ def neighbours(results: DataFrame, chunks: DataFrame, order: str = "lines") -> D
 
     The three are taken before the result itself is left out, as in the reference. They are the
     nearest by line; `order="norm"` takes those with the least vector norm, as the reference does.
-    The join is on the file, the line range being a condition of it; a file is small by definition.
+    The join is on the file and a band of lines: a result looks into the three bands that its range may
+    touch, so a file with very many chunks is spread over its bands.
     """
     base = results.where(expandable()).select("query_id", F.col("id").alias("base_id"), F.col("score").alias("base_score"), F.col("rank").alias("base_rank"), "filePath", F.col("startLine").alias("base_line"))
-    code = chunks.where("chunkType = 'code'")
+    band = F.floor(F.col("base_line") / RANGE)
+    base = base.withColumn("__band", F.explode(F.sequence(band - 1, band + 1)))
+    code = chunks.where("chunkType = 'code'").withColumn("__band", F.floor(F.col("startLine") / RANGE))
     near = F.col("startLine").between(F.col("base_line") - RANGE, F.col("base_line") + RANGE)
-    pairs = base.join(code, "filePath").where(near)
+    pairs = base.join(code, ["filePath", "__band"]).where(near)
     if order == "norm":
         keys = [F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), F.col("id")]
     else:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -200,30 +202,24 @@ def keyword_index(words: list[list[str]]):
         automaton.add_word(w, k)
     if distinct:
         automaton.make_automaton()
-    looped = np.array([any(w.startswith(w[-n:]) for n in range(1, len(w))) for w in distinct], bool)
+    looped = {k for w, k in place.items() if any(w.startswith(w[-n:]) for n in range(1, len(w)))}
     pairs = np.array(sorted((place[w], q) for q, ws in enumerate(words) for w in ws if w), np.int64).reshape(-1, 2)
     begin = np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1))
     return distinct, automaton, looped, pairs[:, 1], begin
 
 
 def word_counts(texts: list[str | None], index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word, count) of the index's words in texts, without overlaps."""
+    """(text, word, count) of the index's words in texts, without overlaps. A text's work is in
+    proportion to its length and to the words found in it."""
     distinct, automaton, looped, _, _ = index
-    size = np.array([len(w) for w in distinct], np.int64)
     at, word, count = [], [], []
     for k, text in enumerate(texts):
-        found = np.array([*automaton.iter(text)], np.int64).reshape(-1, 2) if text and distinct else np.zeros((0, 2), np.int64)
-        n = np.bincount(found[:, 1], minlength=len(distinct))
-        for w in np.flatnonzero(looped & (n > 1)):
-            ends, free, held = found[found[:, 1] == w, 0], 0, 0
-            for end in ends:
-                if end - size[w] + 1 >= free:
-                    held, free = held + 1, end + 1
-            n[w] = held
-        some = np.flatnonzero(n)
-        at.append(np.full(len(some), k))
-        word.append(some)
-        count.append(n[some])
+        found = Counter(map(itemgetter(1), automaton.iter(text))) if text and distinct else {}
+        at.append(np.full(len(found), k))
+        word.append(np.fromiter(found.keys(), np.int64, len(found)))
+        # Only a word that may overlap itself has to be counted anew.
+        exact = (text.count(distinct[w]) if n > 1 and w in looped else n for w, n in found.items())
+        count.append(np.fromiter(exact, np.int64, len(found)))
     none = np.zeros(0, np.int64)
     return tuple(np.concatenate([*x, none]) for x in (at, word, count))
 

@@ -207,6 +207,56 @@ told AS (
 histories AS (SELECT conv_id, turn, text AS question, history FROM told WHERE role = 'user')"""
 
 
+#: The tree of files: its path within /data, its text as it is read leniently, its size and its doc_id.
+TREE = """
+tree AS MATERIALIZED (
+  SELECT doc_id AS i, concat(source, '/', lang, '/', list_extract(['src/', 'lib/deep/', 'node_modules/x/', '', 'api/', '.hid/', 'api/dist/'], doc_id % 7 + 1), 'f', doc_id,
+      list_extract(['.service.ts', '.tsx', '.py', '.spec.ts', '.go', '.d.ts', '.md', '.txt', '.controller.js', '.pdf', '.rs'], doc_id % 11 + 1)) AS relative,
+    CASE doc_id % 13 WHEN 1 THEN concat(text, chr(65533), '.') WHEN 2 THEN concat('a', chr(65533), ' ', text) WHEN 3 THEN NULL WHEN 4 THEN '' ELSE text END AS text,
+    CASE doc_id % 13 WHEN 1 THEN strlen(text) + 2 WHEN 2 THEN strlen(text) + 3 WHEN 3 THEN 7 WHEN 4 THEN 0 WHEN 5 THEN 10485761 ELSE strlen(text) END::BIGINT AS size, source, lang
+  FROM documents),
+services AS (
+  SELECT DISTINCT p AS path, concat('s:', p) AS name, replace(rtrim(p, '/'), './', '') AS folder
+  FROM (SELECT unnest(['.', source, concat('./', source, '/', lang, '/'), concat(source, '/', lang, '/api')]) AS p FROM (SELECT DISTINCT source, lang FROM documents))),
+assigned AS (
+  SELECT t.*, s.name, CASE WHEN folder = '.' THEN relative ELSE substring(relative, length(folder) + 2) END AS inside
+  FROM tree t JOIN services s ON folder = '.' OR starts_with(relative, concat(folder, '/'))),
+code_files AS (
+  SELECT *, regexp_extract(relative, '[^.]*$') AS ext,
+    CASE WHEN contains(lower(relative), '.controller.') THEN 'controller' WHEN contains(lower(relative), '.service.') THEN 'service' WHEN ends_with(relative, '.tsx') THEN 'component' ELSE 'unknown' END AS file_type
+  FROM assigned WHERE regexp_matches(inside, '\\.(ts|tsx|js|py|go|rs)$') AND NOT regexp_matches(inside, '\\.(spec|d)\\.ts$')
+    AND NOT regexp_matches(concat('/', inside), '/(node_modules|dist)/') AND NOT contains(concat('/', inside), '/.')),
+code_good AS (
+  SELECT *, CASE ext WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'typescript-react' WHEN 'js' THEN 'javascript' WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' ELSE 'rust' END AS language
+  FROM code_files WHERE size BETWEEN 1 AND 50000 AND text IS NOT NULL),
+docs AS (
+  SELECT *, CASE WHEN ends_with(relative, '.md') THEN 'markdown' ELSE 'text' END AS kind,
+    CASE WHEN size < 1 THEN 'empty' WHEN size > 10485760 THEN 'larger than 10485760 bytes' WHEN text IS NULL THEN 'cannot be read' END AS message
+  FROM tree WHERE regexp_matches(relative, '\\.(md|txt)$') AND NOT regexp_matches(relative, '/(node_modules|dist)/') AND NOT contains(relative, '/.'))"""
+
+
+def tree_chunks() -> str:
+    """Chunks of the tree's documents (source, id, content); no text has a heading."""
+    return f"""
+doc_pieces AS (SELECT i, concat('/data/', relative) AS source, {pieces(trim("text"))} AS p FROM docs WHERE message IS NULL AND length({trim("text")}) > 0),
+doc_chunks AS (
+  SELECT i, source, {ident("'doc'", "source", "'section-root'", "k - 1")} AS id, list_extract(p, k) AS content FROM (SELECT *, unnest(range(1, len(p) + 1)) AS k FROM doc_pieces))"""
+
+
+#: Hashed words of chunks and questions as unit vectors of 64 numbers.
+HASHED = """
+all_words AS (
+  SELECT kind, id, unnest(list_filter(regexp_split_to_array(lower(content), '[\\s\\x0B\\p{Z}]+'), lambda w: length(w) > 0)) AS w
+  FROM (SELECT 'c' AS kind, id, content FROM chunked UNION ALL SELECT 'q', query_id::VARCHAR, question FROM questions)),
+word_sums AS (
+  SELECT kind, id, h % 64 AS k, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::BIGINT AS x FROM (SELECT kind, id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM all_words) GROUP BY ALL),
+cells AS (
+  SELECT e.kind, e.id, k, coalesce(x, 0) AS x FROM (SELECT kind, id, unnest(range(0, 64)) AS k FROM (SELECT DISTINCT kind, id FROM word_sums)) e LEFT JOIN word_sums USING (kind, id, k)),
+hashed_vectors AS MATERIALIZED (
+  SELECT kind, id, list((CASE WHEN x = 0 THEN 0 ELSE x::FLOAT / norm END)::FLOAT ORDER BY k) AS vector
+  FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY kind, id))::FLOAT AS norm FROM cells) GROUP BY ALL)"""
+
+
 def _with(*parts: str) -> str:
     return "WITH " + ", ".join(p.strip() for p in parts) + "\n"
 
@@ -233,7 +283,51 @@ every AS (
   UNION ALL SELECT path, relative, source, content, s, e, level, {ident("path", "s", "e")} FROM wins WHERE length({trim("content")}) > 0)"""
     nearest = lambda kind: f"SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM pairs_d WHERE kind = '{kind}' QUALIFY place <= 10"
     chunked = _with(CHUNKED) + 'SELECT id, content, source AS "filePath", source AS "relativePath", \'\' AS "serviceName", \'text\' AS "fileType", \'\' AS language, \'\' AS "symbolName", \'\' AS level, 0::INT AS "startLine", 0::INT AS "endLine", \'document\' AS "chunkType" FROM chunked'
+    tree_code = f"""
+code_lines AS (SELECT *, concat('/data/', relative) AS path, string_split(text, chr(10)) AS l FROM code_good),
+code_wins AS (SELECT path, name, array_to_string(l[s + 1 : s + 18], chr(10)) AS content, s + 1 AS s, least(s + 18, len(l)) AS e FROM (SELECT *, unnest({starts("len(l)", 18, 2)}) AS s FROM code_lines)),
+code_chunks AS (
+  SELECT path, name, {ident("path", "'0'", "'0'")} AS id, concat('// File: ', relative, chr(10), '// Service: ', name, chr(10), '// Type: ', file_type, chr(10), '// Lines: ', len(l), chr(10)) AS content FROM code_lines
+  UNION ALL SELECT path, name, {ident("path", "s", "e")}, content FROM code_wins WHERE length({trim("content")}) > 0)"""
+    asked = [
+        QUESTIONS, analysed("questions", services), CHUNKED.replace("concat(source, '/', doc_id, '.txt') AS source", "concat('/data/', source, '/', doc_id, '.txt') AS source"), HASHED,
+        """chunks AS MATERIALIZED (
+  SELECT c.id, c.content, v.vector, 'document' AS kind, c.source AS path, '' AS service, 'text' AS file_type, 0 AS line FROM chunked c JOIN hashed_vectors v ON v.kind = 'c' AND v.id = c.id)""",
+    ]
+    asked_search = FUSED.replace("FROM analysed q, chunks c", "FROM (SELECT a.*, v.vector FROM analysed a JOIN hashed_vectors v ON v.kind = 'q' AND v.id = a.query_id::VARCHAR) q, chunks c")
     return {
+        "code_tree": _with(TREE) + """
+SELECT name AS "serviceName", relative AS "relativePath", file_type AS "fileType", language, len(string_split(text, chr(10)))::INT AS line_count, size, sha256(text) AS sha FROM code_good""",
+        "failed_documents": _with(TREE, tree_chunks()) + """
+SELECT mode, source, id, sha256(content) AS sha, NULL::VARCHAR AS name, NULL::VARCHAR AS message FROM doc_chunks, (VALUES ('lenient'), ('strict')) m(mode) WHERE mode = 'lenient' OR i % 13 NOT IN (1, 2)
+UNION ALL SELECT mode, concat('/data/', relative), NULL, NULL, regexp_extract(relative, '[^/]*$'), coalesce(message, 'not UTF-8') FROM docs, (VALUES ('lenient'), ('strict')) m(mode)
+  WHERE message IS NOT NULL OR (mode = 'strict' AND i % 13 IN (1, 2))
+UNION ALL SELECT 'service', concat('d', doc_id), NULL, NULL, concat('d', doc_id), CASE WHEN doc_id % 4 = 0 OR doc_id % 8 = 5 THEN 'unknown' WHEN doc_id % 8 = 1 THEN 'Vue' ELSE 'Next.js' END FROM documents""",
+        "streamed_files": _with(TREE, tree_chunks(), tree_code) + """
+SELECT 'document' AS "chunkType", source, '' AS "serviceName", id, sha256(content) AS told FROM doc_chunks
+UNION ALL SELECT 'code', path, name, id, sha256(content) FROM code_chunks
+UNION ALL SELECT 'error', concat('/data/', relative), NULL, regexp_extract(relative, '[^/]*$'), message FROM docs WHERE message IS NOT NULL
+UNION ALL SELECT 'error', concat('/data/', relative), NULL, regexp_extract(relative, '[^/]*$'), CASE WHEN size < 1 THEN 'empty' WHEN size > 50000 THEN 'larger than 50000 bytes' ELSE 'cannot be read' END
+  FROM code_files WHERE size < 1 OR size > 50000 OR text IS NULL""",
+        "asked_results": _with(*asked, keyword("chunks", 18, True), asked_search, RERANKED, expanded("reranked")) + """
+SELECT query_id, id, path AS "filePath", round(score, 6) AS score, rank::INT AS rank FROM expanded JOIN (SELECT id, path FROM chunks) USING (id)""",
+        "capped_sheets": """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem QUALIFY k <= 10000)
+SELECT l_returnflag AS "sheetName", count(*)::INT AS "rowCount", count(*) OVER () AS "totalSheets", sha256(string_agg(concat(l_orderkey, ',', l_linenumber, ',', l_partkey, ',', l_suppkey), chr(10) ORDER BY k)) AS sha FROM r GROUP BY 1""",
+        "service_filters": f"""
+WITH q AS (
+  SELECT item_id AS query_id, concat(text, CASE item_id % 4 WHEN 0 THEN concat(' of APP', item_id, ' en') WHEN 1 THEN concat(' of app', item_id, '-de?') WHEN 2 THEN concat(' of app', item_id * 3, 'fr') ELSE '' END) AS question FROM benchmark),
+s AS (SELECT concat('app', doc_id, '-', lang) AS name, doc_id AS place, doc_id, lang FROM documents),
+hits AS (
+  SELECT query_id, name, 0 AS part, place FROM q JOIN s ON contains(lower(question), concat('app', doc_id, '-', lang)) OR contains(lower(question), concat('app', doc_id, ' ', lang)) OR contains(lower(question), concat('app', doc_id, lang))
+  UNION ALL
+  SELECT query_id, arg_min(name, place), 1, min(place) FROM q JOIN (SELECT lang, min(place) AS place, arg_min(name, place) AS name FROM s GROUP BY lang) f
+    ON regexp_matches(question, concat('(?i)(^|[^A-Za-z0-9_])', lang, '($|[^A-Za-z0-9_])')) GROUP BY query_id)
+SELECT q.query_id, best.name AS service FROM q LEFT JOIN (SELECT query_id, arg_min(name, (part, place)) AS name FROM hits GROUP BY 1) best ON q.query_id = best.query_id""",
+        "cleared_histories": _with(HISTORIES.replace("FROM conversations WHERE", "FROM (SELECT * REPLACE (CASE WHEN role = 'user' AND (conv_id + 3 * turn) % 11 = 6 THEN ' Clear ' ELSE text END AS text) FROM conversations) WHERE")) + "SELECT * FROM histories",
+        "table_states": """
+SELECT k.kind AS "chunkType", CASE WHEN state = 'absent' OR (state = 'cleared' AND k.kind = 'code') THEN 0 ELSE n END AS n, state
+FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN 'code' ELSE 'document' END AS kind, count(*) AS n FROM documents GROUP BY 1) k, (VALUES ('absent'), ('filled'), ('cleared')) s(state)""",
         "streamed_chunks": chunked,
         "detected_services": """
 WITH m AS (
@@ -309,7 +403,7 @@ SELECT query_id, id, occurrences, round(score, 6) AS score, (row_number() OVER (
     WHERE (c.kind = 'document' OR len(list_filter(a.keywords, lambda w: contains(c.content, w))) > 0)
       AND (c.kind <> 'code' OR ((a.service_filter IS NULL OR c.service = a.service_filter) AND (a.type_filter IS NULL OR c.file_type = a.type_filter)))))
 QUALIFY rank <= 18""",
-        "chunk_table": _with(CHUNKS) + "SELECT id, path AS \"filePath\", kind AS \"chunkType\", line::INT AS \"startLine\", 64::INT AS width FROM chunks WHERE vector IS NOT NULL AND (kind = 'document' OR line < 100)",
+        "chunk_table": _with(CHUNKS) + "SELECT id, path AS \"filePath\", kind AS \"chunkType\", line::INT AS \"startLine\", 64::INT AS width FROM chunks WHERE kind = 'document' OR line < 100",
         "embedded_chunks": _with(CHUNKED, f"""
 words AS (SELECT id, source, unnest(list_filter(regexp_split_to_array(lower(content), '[\\s\\x0B\\p{{Z}}]+'), lambda w: length(w) > 0)) AS w FROM chunked)""", """
 hashed AS (SELECT id, source, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM words)""", """
@@ -330,7 +424,7 @@ SELECT doc_id,
     WHEN 1 THEN concat('엔티티 (', source, '). Relations: OneToOne → P', i % 2, ', ManyToOne → User')
     WHEN 2 THEN concat('모듈 (', source, '). Imports: A', i % 3, ', B.forRoot, C')
     WHEN 3 THEN concat('서비스 (', source, '). Dependencies: Repo', i % 3, ', X')
-    ELSE concat(lang, ' 파일 (', source, '). typescript, ', CASE WHEN i % 2 = 1 THEN 1 ELSE len(string_split(text, chr(10))) END, ' lines') END AS summary,
+    ELSE concat(lang, ' 파일 (', source, '). typescript, ', len(string_split(text, chr(10))) + i % 2, ' lines') END AS summary,
   CASE kind WHEN 0 THEN concat('./m', i, ',b', i % 3) WHEN 2 THEN 'x' WHEN 3 THEN concat('q', i % 5) ELSE '' END AS imports,
   CASE kind WHEN 0 THEN concat('C', i) WHEN 1 THEN concat('E', i) WHEN 2 THEN concat('M', i) WHEN 3 THEN concat('S', i) ELSE '' END AS exports,
   CASE kind WHEN 0 THEN 'Controller,Get,UseGuards,UseInterceptors,Post' WHEN 1 THEN 'Entity,ManyToOne,JoinColumn,OneToOne' WHEN 2 THEN 'Module' WHEN 3 THEN 'Injectable' ELSE '' END AS decorators,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from ..functions.analysis import analyse
 from ..operators import chat, chunking, context, embedding, expand, rerank, search
 from ..sources import files as source_files
 from ..sources import tables
+from ..storage import saved
 
 
 def run_totals(listed: DataFrame, records: DataFrame) -> DataFrame:
@@ -19,25 +18,37 @@ def run_totals(listed: DataFrame, records: DataFrame) -> DataFrame:
     return n.join(F.broadcast(records.agg(F.count("*").alias("chunks"))))  # one row each
 
 
-def index_code(files: DataFrame, services: DataFrame, root: str, path: str, make_embedder: Callable, width: int, size: int = chunking.CODE_SIZE, overlap: int = chunking.OVERLAP, mode: str = "overwrite", partitions: int | None = None) -> DataFrame:
-    """Lists, loads, chunks and embeds code and writes it to the chunk table; returns the totals."""
+def index_code(files: DataFrame, services: DataFrame, root: str, path: str, model: embedding.Model, size: int = chunking.CODE_SIZE, overlap: int = chunking.OVERLAP, mode: str = "overwrite", partitions: int | None = None) -> DataFrame:
+    """Lists, loads, chunks and embeds code and writes it to the chunk table; returns the totals. Files
+    that can't be read are skipped, as are those of another size."""
+    tables.stamp(files.sparkSession, path, model.name, model.width)
     listed = source_files.list_code(files, services, root)
-    chunks = chunking.chunk_code(source_files.load_code(listed), size, overlap)
-    records = chunking.code_records(embedding.embed(chunks, make_embedder, width, partitions=partitions))
-    tables.append_chunks(records, path, width, mode)
+    chunks = saved(chunking.chunk_code(source_files.load_code(listed), size, overlap), "code-chunks")
+    tables.append_chunks(chunking.code_records(model.embed(chunks, partitions=partitions)), path, model.width, mode)
     return run_totals(listed, tables.read_chunks(files.sparkSession, path).where("chunkType = 'code'"))
 
 
-def index_documents(files: DataFrame, root: str, path: str, make_embedder: Callable, width: int, pages: DataFrame | None = None, sheets: DataFrame | None = None, size: int = chunking.DOCUMENT_SIZE, overlap: int = chunking.OVERLAP, mode: str = "overwrite", partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+def index_documents(files: DataFrame, root: str, path: str, model: embedding.Model, pages: DataFrame | None = None, sheets: DataFrame | None = None, size: int = chunking.DOCUMENT_SIZE, overlap: int = chunking.OVERLAP, mode: str = "overwrite", partitions: int | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """The same for documents; texts are read from files, extracted pages and sheets are tables.
-    Returns the totals and the documents that failed."""
+    Returns the totals and the documents that failed (name, source, message): those that can't be read, are
+    empty or too large, or, with `strict`, are no UTF-8; the others are indexed. Files are read once."""
+    tables.stamp(files.sparkSession, path, model.name, model.width)
+    texts = source_files.document_texts(source_files.list_documents(files, root, any_size=True), strict)
+    outcomes = saved(chunking.chunk_outcomes(texts, pages, sheets, size, overlap), "document-chunks")
+    chunks, errors = chunking.split_outcomes(outcomes)
+    tables.append_chunks(chunking.document_records(model.embed(chunks, partitions=partitions)), path, model.width, mode)
     listed = source_files.list_documents(files, root)
-    chunks, errors = chunking.chunk_documents(source_files.document_texts(listed), pages, sheets, size, overlap)
-    records = chunking.document_records(embedding.embed(chunks, make_embedder, width, partitions=partitions))
-    tables.append_chunks(records, path, width, mode)
     return run_totals(listed, tables.read_chunks(files.sparkSession, path).where("chunkType = 'document'")), errors
 
 
+def ask(questions: DataFrame, path: str, model: embedding.Model, services: list[str] | None = None, question: str = "question", **how) -> DataFrame:
+    """Results of questions (query_id, question) in the chunk table at `path`, embedded by `model`. It is
+    refused at once if the table's vectors are of another model."""
+    tables.check_model(questions.sparkSession, path, model.name, model.width)
+    chunks = tables.read_chunks(questions.sparkSession, path)
+    return retrieve(saved(model.embed(questions, question), "asked"), chunks, services, question=question, **how)
+
+
 def retrieve(queries: DataFrame, chunks: DataFrame, services: list[str] | None = None, limit: int = search.LIMIT, multiplier: int = search.MULTIPLIER, question: str = "question", order: str = "lines", **keyword_options) -> DataFrame:
     """Results of every question (query_id, question, vector): analysed, searched both ways, fused,
     reranked and expanded. Chunk texts are joined to the few candidates only."""

@@ -90,6 +90,29 @@ def _inventory(spark, d):
     )
 
 
+def _tree(spark, d):
+    """Every document as a file of a source tree, of many kinds: in nested services, in folders that are
+    left out, tests and declarations, damaged, larger than a code file may be, empty, not to be read."""
+    i, lit = F.col("doc_id"), F.lit
+    one_of = lambda *names: F.element_at(F.array(*map(lit, names)), (i % len(names) + 1).cast("int"))
+    folder = one_of("src/", "lib/deep/", "node_modules/x/", "", "api/", ".hid/", "api/dist/")
+    ending = one_of(".service.ts", ".tsx", ".py", ".spec.ts", ".go", ".d.ts", ".md", ".txt", ".controller.js", ".pdf", ".rs")
+    path = F.concat(lit("/data/"), "source", lit("/"), "lang", lit("/"), folder, lit("f"), i, ending)
+    content = F.encode("text", "UTF-8")
+    content = F.when(i % 13 == 1, F.concat(content, lit(b"\xff."))).when(i % 13 == 2, F.concat(lit(b"a\xc3 "), content)).when(i % 13 == 3, None).when(i % 13 == 4, lit(b"")).otherwise(content)
+    length = F.when(i % 13 == 3, 7).when(i % 13 == 5, 10 * 1024 * 1024 + 1).otherwise(F.octet_length("content"))
+    docs = _t(spark, d, "documents").withColumn("path", path).withColumn("content", content)
+    return docs.select("path", F.timestamp_seconds(i).alias("modificationTime"), length.cast("long").alias("length"), "content")
+
+
+def _nested_services(spark, d):
+    """A service for the whole tree, one for each source, one for each source and language, and in some an inner one."""
+    docs = _t(spark, d, "documents").select("source", "lang").distinct()
+    paths = [F.lit("."), F.col("source"), F.concat(F.lit("./"), "source", F.lit("/"), "lang", F.lit("/")), F.concat_ws("/", "source", "lang", F.lit("api"))]
+    made = docs.select(F.explode(F.array(*paths)).alias("path")).distinct()
+    return made.select(F.concat(F.lit("s:"), "path").alias("name"), "path", F.lit("NestJS").alias("framework"), F.lit("api").alias("role"))
+
+
 def _services(spark):
     return spark.createDataFrame([(s, s, "NestJS", "api") for s in SERVICES], "name string, path string, framework string, role string")
 
@@ -300,12 +323,12 @@ def file_chunks(spark, d):
 
 def indexed_documents(spark, d):
     """All documents chunked, embedded and written; run totals."""
-    return jobs.index_documents(_inventory(spark, d), "/data", scratch(spark, "chunks"), embedding.hashing_embedder(64), 64)[0]
+    return jobs.index_documents(_inventory(spark, d), "/data", scratch(spark, "chunks"), embedding.hashing_model(64))[0]
 
 
 def indexed_code(spark, d):
     """The same for the inventory's code files."""
-    return jobs.index_code(_inventory(spark, d), _services(spark), "/data", scratch(spark, "chunks"), embedding.hashing_embedder(64), 64)
+    return jobs.index_code(_inventory(spark, d), _services(spark), "/data", scratch(spark, "chunks"), embedding.hashing_model(64))
 
 
 def detected_services(spark, d):
@@ -335,7 +358,7 @@ def streamed_chunks(spark, d):
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", index_stream.FILES_PER_BATCH).parquet(folder)
     files = stream.select(F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content"))
     path = scratch(spark, "chunks")
-    index_stream.index_stream(files, path, scratch(spark, "stream"), embedding.hashing_embedder(64), 64).awaitTermination()
+    index_stream.index_stream(files, path, scratch(spark, "stream"), embedding.hashing_model(64)).awaitTermination()
     return chunk_tables.read_chunks(spark, path).drop("vector")
 
 
@@ -349,7 +372,8 @@ def embedded_chunks(spark, d):
 
 def chunk_table(spark, d):
     """Chunks appended twice to the chunk table, of which the code is cleared in between; what is left."""
-    path, rows = scratch(spark, "chunks"), _chunks(spark, d).where("vector is not null")
+    empty = F.array_repeat(F.lit(0.0).cast("float"), 64)
+    path, rows = scratch(spark, "chunks"), _chunks(spark, d).withColumn("vector", F.coalesce("vector", empty))
     chunk_tables.append_chunks(rows, path, 64)
     chunk_tables.clear_chunks(spark, path, "code")
     chunk_tables.append_chunks(rows.where("chunkType = 'code' and startLine < 100"), path, 64)
@@ -363,8 +387,101 @@ def paired_vectors(spark, d):
     return out.select("id", "lang", F.size("vector").alias("width"), F.round(F.element_at("vector", 1).cast("double"), 5).alias("first"))
 
 
+def code_tree(spark, d):
+    """Code files of nested services, damaged ones read leniently, others left out."""
+    loaded = source_files.load_code(source_files.list_code(_tree(spark, d), _nested_services(spark, d), "/data"))
+    return loaded.select("serviceName", "relativePath", "fileType", "language", F.col("lineCount").alias("line_count"), "metadata.size", F.sha2("content", 256).alias("sha"))
+
+
+def failed_documents(spark, d):
+    """Every good chunk and a row for each file that failed, read leniently and strictly;
+    services told from manifests of which some are damaged or not to be read."""
+    out = []
+    for mode, strict in (("lenient", False), ("strict", True)):
+        texts = source_files.document_texts(source_files.list_documents(_tree(spark, d), "/data", any_size=True), strict)
+        chunks, errors = chunking.split_outcomes(saved(chunking.chunk_outcomes(texts), "outcomes"))
+        good = chunks.select(F.lit(mode).alias("mode"), "source", "id", F.sha2("content", 256).alias("sha"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("message"))
+        out += [good, errors.select(F.lit(mode).alias("mode"), "source", F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("sha"), "name", "message")]
+    manifests = _t(spark, d, "documents").select(
+        F.concat(F.lit("/r/d"), "doc_id", F.lit("/package.json")).alias("path"),
+        F.when(F.col("doc_id") % 4 == 0, None).when(F.col("doc_id") % 4 == 1, F.concat(F.lit(b'{"dependencies":{"vue":"1"},"x":"\xff"'), F.encode(F.when(F.col("doc_id") % 8 == 1, "}").otherwise(""), "UTF-8"))).otherwise(F.encode(F.lit('{"devDependencies":{"next":"1"}}'), "UTF-8")).alias("content"),
+    )
+    services = source_files.detect_services(manifests, "/r")
+    out.append(services.select(F.lit("service").alias("mode"), F.col("path").alias("source"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("sha"), "name", F.col("framework").alias("message")))
+    every = out[0]
+    for part in out[1:]:
+        every = every.unionByName(part)
+    return every
+
+
+def streamed_files(spark, d):
+    """ST1: code and documents of a tree read as a stream, each batch written twice, as after a crash; chunks
+    and failed files."""
+    folder, path = scratch(spark, "incoming"), scratch(spark, "chunks")
+    files = _tree(spark, d)
+    files.repartition(45, "path").write.parquet(folder)
+    stream = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", index_stream.FILES_PER_BATCH).parquet(folder)
+    write = index_stream.batch_writer(path, embedding.hashing_model(64), services=_nested_services(spark, d), root="/data")
+
+    def twice(batch, number):
+        write(batch, number)
+        write(batch, number)
+
+    stream.writeStream.foreachBatch(twice).option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    chunks = chunk_tables.read_chunks(spark, path).select("chunkType", F.col("filePath").alias("source"), "serviceName", "id", F.sha2("content", 256).alias("told"))
+    failed = index_stream.errors_of(spark, path).select(F.lit("error").alias("chunkType"), "source", F.lit(None).cast("string").alias("serviceName"), F.col("name").alias("id"), F.col("message").alias("told"))
+    return chunks.unionByName(failed)
+
+
+def asked_results(spark, d):
+    """Documents indexed by a model, questions embedded by the same, from text to results."""
+    files = _t(spark, d, "documents").select(F.concat(F.lit("/data/"), "source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.lit(None).cast("timestamp").alias("modificationTime"), F.octet_length("text").cast("long").alias("length"), F.encode("text", "UTF-8").alias("content"))
+    path, model = scratch(spark, "chunks"), embedding.hashing_model(64)
+    jobs.index_documents(files, "/", path, model)
+    out = jobs.ask(_questions(spark, d), path, model, SERVICES)
+    return out.select("query_id", "id", "filePath", F.round("score", 6).alias("score"), "rank")
+
+
+def capped_sheets(spark, d):
+    """Order lines as sheets by return flag, most of which have more rows than a sheet keeps."""
+    rows = _t(spark, d, "lineitem").withColumn("file", F.lit("lines"))
+    sheets = chunking.sheet_texts(rows, "file", "l_returnflag", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return sheets.select("sheetName", "rowCount", "totalSheets", F.sha2("content", 256).alias("sha"))
+
+
+def service_filters(spark, d):
+    """Q4: the service that each question names, out of a table of as many services as there are documents;
+    full names with loose hyphens come before what follows a hyphen."""
+    docs = _t(spark, d, "documents")
+    services = docs.select(F.concat_ws("-", F.concat(F.lit("app"), "doc_id"), "lang").alias("name"), F.col("doc_id").alias("place"))
+    i = F.col("item_id")
+    named = F.when(i % 4 == 0, F.concat(F.lit(" of APP"), i, F.lit(" en"))).when(i % 4 == 1, F.concat(F.lit(" of app"), i, F.lit("-de?"))).when(i % 4 == 2, F.concat(F.lit(" of app"), i * 3, F.lit("fr"))).otherwise("")
+    questions = _t(spark, d, "benchmark").select(i.alias("query_id"), F.concat("text", named).alias("question"))
+    return analysis.with_service_filter(questions, services).select("query_id", F.col("serviceFilter").alias("service"))
+
+
+def cleared_histories(spark, d):
+    """Histories where every eleventh message of a user is `clear`."""
+    messages = _t(spark, d, "conversations")
+    clear = (F.col("role") == "user") & ((F.col("conv_id") + 3 * F.col("turn")) % 11 == 6)
+    return chat.histories(messages.withColumn("text", F.when(clear, " Clear ").otherwise(F.col("text"))))
+
+
+def table_states(spark, d):
+    """Rows of both kinds where no table is, after an append, and after one kind is cleared."""
+    path, empty = scratch(spark, "chunks"), F.array_repeat(F.lit(0.0).cast("float"), 64)
+    rows = _chunks(spark, d).withColumn("vector", F.coalesce("vector", empty))
+    counted = lambda state: saved(chunk_tables.count_chunks(chunk_tables.read_chunks(spark, path)).withColumn("state", F.lit(state)), "counts")
+    absent = counted("absent")
+    chunk_tables.append_chunks(rows, path, 64)
+    filled = counted("filled")
+    chunk_tables.clear_chunks(spark, path, "code")
+    return absent.unionByName(filled).unionByName(counted("cleared"))
+
+
 def _sources(spark, d):
-    """Source files of each kind, made from every document's fields; a fifth are the texts themselves."""
+    """Source files of each kind, made from every document's fields and followed by its text; a fifth are the
+    texts alone."""
     i, lit = F.col("doc_id"), F.lit
     controller = F.concat(
         lit("import { A } from './m"), i, lit("'\nimport B from \"b"), i % 3, lit("\"\n@Controller('"), "source", lit("')\nexport class C"), i, lit(" {\n  constructor(private a: A"), i % 7,
@@ -379,8 +496,9 @@ def _sources(spark, d):
         lit("import { Q } from 'q"), i % 5, lit("'\n@Injectable()\nexport class S"), i, lit(" {\n  constructor(private readonly repo: Repo"), i % 3,
         lit(", public readonly x: X) {}\n  async run() {}\n}\n"),
     )
-    plain = F.when(i % 2 == 1, F.concat(lit("custom "), i)).otherwise(F.col("text"))
-    content = F.when(i % 5 == 0, controller).when(i % 5 == 1, entity).when(i % 5 == 2, module).when(i % 5 == 3, service).otherwise(plain)
+    plain = F.when(i % 2 == 1, F.concat(lit("custom "), i, lit("\n"))).otherwise(lit(""))
+    made = F.when(i % 5 == 0, controller).when(i % 5 == 1, entity).when(i % 5 == 2, module).when(i % 5 == 3, service).otherwise(plain)
+    content = F.concat(made, F.col("text"))
     files = _t(spark, d, "documents").select("doc_id", content.alias("content"), F.col("source").alias("serviceName"), F.col("lang").alias("fileType"), lit("typescript").alias("language"))
     return files.withColumn("lineCount", F.size(F.split("content", "\n")))
 
@@ -413,6 +531,7 @@ QUERIES = {
         keyword_search, semantic_search, merged_hits, hybrid_search, reranked, expanded, retrieved, assembled, rag_prompts, chat_histories, chat_prompts,
         chunk_counts, service_files, listed_documents, file_chunks, indexed_documents, indexed_code, embedded_chunks, paired_vectors, framework_metadata,
         detected_services, system_prompts, streamed_chunks, part_totals, markdown_chunks, all_documents, search_results, keyword_parity, chunk_table,
+        failed_documents, code_tree, streamed_files, asked_results, capped_sheets, service_filters, cleared_histories, table_states,
     )
 }
 ORACLE: dict[str, str] = oracle.statements(SERVICES, LABEL)

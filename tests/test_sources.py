@@ -67,15 +67,15 @@ def test_chunk_table_and_jobs(spark, tree, services, tmp_path):
     path = f"file://{tmp_path}/chunks"
     assert tables.read_chunks(spark, path).count() == 0
     tables.clear_chunks(spark, path)
-    make = embedding.hashing_embedder(8)
-    total = jobs.index_code(tree, services, "/r", path, make, 8).first()
+    model = embedding.hashing_model(8)
+    total = jobs.index_code(tree, services, "/r", path, model).first()
     # Files that are listed but not read (empty, too large) count as processed.
     assert (total["processedFiles"], total["chunks"]) == (5, 10)
-    total, errors = jobs.index_documents(tree, "/r", path, make, 8)
+    total, errors = jobs.index_documents(tree, "/r", path, model)
     assert tuple(total.first()) == (2, 2) and errors.count() == 0
     rows = tables.read_chunks(spark, path)
     assert rows.columns == [f.name for f in CHUNKS] and {r["chunkType"]: r["n"] for r in tables.count_chunks(rows).collect()} == {"code": 10, "document": 2}
-    jobs.index_documents(tree, "/r", path, make, 8, mode="append")
+    jobs.index_documents(tree, "/r", path, model, mode="append")
     assert tables.read_chunks(spark, path).count() == 14
     tables.clear_chunks(spark, path, "document")
     assert {r["chunkType"]: r["n"] for r in tables.count_chunks(tables.read_chunks(spark, path)).collect()} == {"code": 10, "document": 0}
@@ -96,7 +96,7 @@ def test_stream_in_batches(spark, tmp_path):
         (folder / f"d{k}.txt").write_text(f"text {k}")
 
     def run():
-        query = index_stream.index_stream(index_stream.document_stream(spark, f"file://{folder}"), path, f"file://{tmp_path}/cp", embedding.hashing_embedder(8), 8)
+        query = index_stream.index_stream(index_stream.document_stream(spark, f"file://{folder}"), path, f"file://{tmp_path}/cp", embedding.hashing_model(8))
         query.awaitTermination(120)
         return [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
 
