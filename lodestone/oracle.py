@@ -121,9 +121,17 @@ def keyword(chunks: str, k: int, filtered: bool) -> str:
     return f"""
 asked AS (SELECT query_id, unnest(keywords) AS word, len(keywords) AS n FROM analysed),
 distinct_words AS (SELECT DISTINCT word FROM asked),
+lowered AS MATERIALIZED (SELECT id, lower(content) AS low FROM {chunks}),
+grams AS MATERIALIZED (
+  SELECT id, unnest(list_distinct(list_concat(regexp_extract_all(low, '(?s)...'), regexp_extract_all(substring(low, 2), '(?s)...'), regexp_extract_all(substring(low, 3), '(?s)...')))) AS gram FROM lowered),
+gram_sizes AS (SELECT gram, count(*) AS n FROM grams GROUP BY 1),
+rarest AS (
+  SELECT word, arg_min(g.gram, coalesce(n, 0)) AS gram FROM (SELECT word, unnest(list_transform(range(1, length(word) - 1), lambda i: substring(word, i, 3))) AS gram FROM distinct_words WHERE length(word) > 2) g
+  LEFT JOIN gram_sizes USING (gram) GROUP BY 1),
+may_hold AS (
+  SELECT word, id FROM rarest JOIN grams USING (gram) UNION ALL SELECT word, id FROM distinct_words, lowered WHERE length(word) <= 2),
 counted AS MATERIALIZED (
-  SELECT c.id, w.word, (length(c.low) - length(replace(c.low, w.word, ''))) // length(w.word) AS c
-  FROM (SELECT id, lower(content) AS low FROM {chunks}) c JOIN distinct_words w ON contains(c.low, w.word)),
+  SELECT id, word, (length(low) - length(replace(low, word, ''))) // length(word) AS c FROM may_hold JOIN lowered USING (id) WHERE contains(low, word)),
 scored AS (
   SELECT s.query_id, s.id, s.occurrences, least(s.occurrences / greatest(5 * n, 1), 1.0) AS score
   FROM (SELECT query_id, id, sum(c)::BIGINT AS occurrences, any_value(n) AS n FROM counted JOIN asked USING (word) GROUP BY ALL) s
@@ -311,6 +319,13 @@ UNION ALL SELECT 'error', concat('/data/', relative), NULL, regexp_extract(relat
   FROM code_files WHERE size < 1 OR size > 50000 OR text IS NULL""",
         "asked_results": _with(*asked, keyword("chunks", 18, True), asked_search, RERANKED, expanded("reranked")) + """
 SELECT query_id, id, path AS "filePath", round(score, 6) AS score, rank::INT AS rank FROM expanded JOIN (SELECT id, path FROM chunks) USING (id)""",
+        "indexed_keywords": _with(
+            QUESTIONS, analysed("questions", services).replace("analysed AS (", "analysed_q AS ("),
+            """analysed AS (
+  SELECT -1 - query_id AS query_id, keywords FROM analysed_q
+  UNION ALL SELECT doc_id, list_filter(w, lambda x, i: list_position(w, x) = i) FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{11,}')[1:3] AS w FROM documents))""",
+            CHUNKED, keyword("chunked", 18, False),
+        ) + "SELECT query_id, id, occurrences, round(score, 6) AS score, rank::INT AS rank FROM keyed",
         "capped_sheets": """
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem QUALIFY k <= 10000)
 SELECT l_returnflag AS "sheetName", count(*)::INT AS "rowCount", count(*) OVER () AS "totalSheets", sha256(string_agg(concat(l_orderkey, ',', l_linenumber, ',', l_partkey, ',', l_suppkey), chr(10) ORDER BY k)) AS sha FROM r GROUP BY 1""",
@@ -441,6 +456,7 @@ SELECT doc_id, relative, regexp_extract(relative, '[^/]*$') AS name, {_case(fits
         "question_analysis": _with(QUESTIONS, analysed("questions", services)) + "SELECT query_id, array_to_string(keywords, ' ') AS keywords, array_to_string(names, ' ') AS entity_names, service_filter, type_filter AS file_type_filter, is_architectural FROM analysed",
         "trimmed": f"SELECT doc_id, sha256({trim('text')}) AS sha FROM documents",
         "keyword_search": _with(QUESTIONS, analysed("questions", services), CHUNKED, keyword("chunked", 18, False)) + "SELECT query_id, id, occurrences, round(score, 6) AS score, rank::INT AS rank FROM keyed",
+        "nearest_by_cells": _with(QUESTIONS, QUERIES, CHUNKS, f"d AS (SELECT q.query_id, c.id, {SQUARE} AS distance FROM queries q, chunks c WHERE c.vector IS NOT NULL)") + "SELECT query_id, id, distance, round(1 - least(distance, 1.0), 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY distance, id))::INT AS rank FROM d QUALIFY rank <= 18",
         "semantic_search": _with(QUESTIONS, QUERIES, CHUNKS, f"d AS (SELECT q.query_id, c.id, {SQUARE} AS distance FROM queries q, chunks c WHERE c.vector IS NOT NULL)") + "SELECT query_id, id, distance, round(1 - least(distance, 1.0), 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY distance, id))::INT AS rank FROM d QUALIFY rank <= 18",
         "merged_hits": _with(QUESTIONS, QUERIES, CHUNKS, f"pairs_d AS (SELECT q.query_id, c.id, c.kind, {SQUARE} AS distance FROM queries q, chunks c WHERE c.vector IS NOT NULL)", f"both_d AS (SELECT *, 0 AS f FROM ({nearest('code')}) UNION ALL SELECT *, 1 FROM ({nearest('document')}))") + "SELECT query_id, id, distance, (row_number() OVER (PARTITION BY query_id ORDER BY distance, f, id))::INT AS rank FROM both_d QUALIFY rank <= 10",
         "hybrid_search": _with(*search) + "SELECT query_id, id, round(score, 6) AS score, position::INT AS rank, semantic_rank::INT AS semantic_rank, keyword_rank::INT AS keyword_rank FROM candidates",

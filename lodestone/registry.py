@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import oracle
 from .functions import analysis, classify, extract
 from .functions.text import js_trim
-from .operators import chat, chunking, context, embedding, expand, rerank, search
+from .operators import chat, chunking, context, embedding, expand, gram_index, rerank, search, vector_cells
 from .plans import jobs
 from .sources import files as source_files
 from .sources import tables as chunk_tables
@@ -210,6 +210,14 @@ def semantic_search(spark, d):
     return out.select("query_id", "id", "distance", F.round(search.semantic_score(F.col("distance")), 6).alias("score"), "rank")
 
 
+def nearest_by_cells(spark, d):
+    """Nearest chunks of every question vector, from cells around pivots, blocks that can't hold any being skipped."""
+    path = scratch(spark, "cells")
+    vector_cells.build(_chunks(spark, d), path)
+    out = vector_cells.nearest_in_cells(_queries(spark, d), spark, path, 18)
+    return out.select("query_id", "id", "distance", F.round(search.semantic_score(F.col("distance")), 6).alias("score"), "rank")
+
+
 def merged_hits(spark, d):
     """Hits among code and among documents in one list."""
     chunks, queries = _chunks(spark, d), _queries(spark, d)
@@ -225,6 +233,18 @@ def search_results(spark, d):
     return out.select("query_id", "rank", "id", F.sha2("content", 256).alias("sha"), "score", "metadata.relativePath", "metadata.chunkType", "metadata.startLine", "metadata.endLine", "metadata.level", "filePath", "serviceName", "fileType", "symbolName")
 
 
+def indexed_keywords(spark, d):
+    """Keyword search through an index of trigrams, for questions of long words of every
+    document, mostly rare, and for those of the benchmark, which are scanned for."""
+    path = scratch(spark, "index")
+    gram_index.build(saved(document_chunks(spark, d).select("id", "content", "chunkType"), "chunks"), path)
+    long = F.array_distinct(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{11,}"), F.lit(0)), 1, 3))
+    rare = _t(spark, d, "documents").select(F.col("doc_id").alias("query_id"), long.alias("keywords"))
+    asked = analysis.analyse(_questions(spark, d), SERVICES).select((-1 - F.col("query_id")).alias("query_id"), "keywords")
+    out = gram_index.indexed_keyword_hits(rare.unionByName(asked), spark, path, 18)
+    return out.select("query_id", "id", "occurrences", F.round("score", 6).alias("score"), "rank")
+
+
 def keyword_parity(spark, d):
     """J2 as the reference has it: LIKE minds case, documents without any keyword are let in."""
     out = search.keyword_hits(_analysed(spark, d), _chunks(spark, d), 18, match="like", keyword_filter_documents=False, filtered=True)
@@ -531,7 +551,7 @@ QUERIES = {
         keyword_search, semantic_search, merged_hits, hybrid_search, reranked, expanded, retrieved, assembled, rag_prompts, chat_histories, chat_prompts,
         chunk_counts, service_files, listed_documents, file_chunks, indexed_documents, indexed_code, embedded_chunks, paired_vectors, framework_metadata,
         detected_services, system_prompts, streamed_chunks, part_totals, markdown_chunks, all_documents, search_results, keyword_parity, chunk_table,
-        failed_documents, code_tree, streamed_files, asked_results, capped_sheets, service_filters, cleared_histories, table_states,
+        failed_documents, code_tree, streamed_files, asked_results, capped_sheets, service_filters, indexed_keywords, nearest_by_cells, cleared_histories, table_states,
     )
 }
 ORACLE: dict[str, str] = oracle.statements(SERVICES, LABEL)
