@@ -97,8 +97,9 @@ def indexed_keyword_hits(queries: DataFrame, spark: SparkSession, path: str, k:
     asked = queries.select("query_id", F.size("keywords").alias("n"), F.explode(F.array_distinct("keywords")).alias("keyword")).withColumn("word", F.lower("keyword"))
     few = saved(rarest(asked.select("word").distinct(), postings), "rarest")
     most = few.groupBy("word").agg(F.min("n").alias("most"))
-    # A keyword of one character has no pieces, so it counts as one of every chunk.
-    cost = asked.select("query_id", "word").join(most, "word", "left").groupBy("query_id").agg(F.sum(F.coalesce("most", F.lit(total + 1))).alias("cost"))
+    # A keyword of one character has no pieces: the scan finds it.
+    held = F.coalesce(F.col("most").cast("double"), F.lit(float("inf")))
+    cost = asked.select("query_id", "word").join(most, "word", "left").groupBy("query_id").agg(F.sum(held).alias("cost"))
     cheap = saved(cost.where(F.col("cost") <= share * total).select("query_id"), "cheap")
 
     rare = asked.join(cheap, "query_id", "left_semi")

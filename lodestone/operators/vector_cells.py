@@ -29,7 +29,7 @@ ROOM = 1e-5
 def matrix(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
