@@ -34,7 +34,9 @@ CHAIN = 2
 #: Further leaders of members near one pivot.
 CELL_LEADERS = 1
 #: Bitmaps of changes have at most 64 << MAX_BIT_WORDS bits.
-MAX_BIT_WORDS = 4
+MAX_BIT_WORDS = 6
+#: Members of a cell that are not linked with its leader and meet the others in one task.
+SPLIT = 256
 #: Keys are broadcast up to so many rows.
 MAX_BROADCAST_ROWS = 200_000
 MULTIPLIERS = powers(np.uint64(0xF1357AEA2E62A9C5), COORDINATES + 1)[1:]
@@ -99,48 +101,34 @@ def texts_of(docs: DataFrame, wanted: DataFrame, max_broadcast: int) -> DataFram
 def changed_sets(left, right, percent: int) -> pa.RecordBatch:
     """Facts of pairs of sets (values, sizes), row by row: sizes, links, and what changed.
 
-    `near` and `settled` are similarities of 0.5 and 0.7. Of near pairs, `tokens` has half hashes of
-    what only the right set has, in order, then of what only the left one has; of linked ones no
-    more than `prefix` of them (see `linked_components`). `bits` marks the places of all of them in
-    a bitmap about as large as the left set.
+    `near` and `settled` are similarities of 0.5 and 0.7. `changes` counts the shingles that only one of
+    the two has; of near pairs, `bits` marks their places in a bitmap about as large as the left set.
     """
     (va, na), (vb, nb) = left, right
     rows = len(na)
     value = np.concatenate([va, vb])
     row = np.concatenate([np.repeat(np.arange(rows), na), np.repeat(np.arange(rows), nb)])
-    lost = np.arange(len(value)) < len(va)
     order = np.lexsort((value, row))
-    value, row, lost = value[order], row[order], lost[order]
-    twice = np.zeros(len(value), bool)
+    value, row = value[order], row[order]
     same = np.flatnonzero((value[1:] == value[:-1]) & (row[1:] == row[:-1]))
-    twice[same] = True
     inter = np.bincount(row[same], minlength=rows)
-    twice[same + 1] = True
     union = na + nb - inter
     near, settled, linked = 2 * inter >= union, 10 * inter >= 7 * union, 100 * inter >= percent * union
-    more, less = nb - inter, na - inter
-    prefix = more + less - (percent * more + 100 * less) // (100 + percent)
-    keep = ~twice & near[row]
-    value, row, lost = value[keep], row[keep], lost[keep]
-    order = np.lexsort((value, lost, row))
-    value, row = value[order], row[order]
+    alone = near[row]
+    alone[same] = alone[same + 1] = False
+    value, row = value[alone], row[alone]
     width = 1 << np.clip(np.ceil(np.log2(np.maximum(na, 1) / 64)), 0, MAX_BIT_WORDS).astype(np.int64)  # in words
+    width[~near] = 0
     first = np.append(0, np.cumsum(width))
     place = (value >> np.uint64(20)) & (width[row] * 64 - 1).astype(np.uint64)
     bits = np.zeros(first[-1], np.uint64)
     np.bitwise_or.at(bits, first[row] + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
-    begin = np.searchsorted(row, np.arange(rows))
-    keep = ~linked[row] | (np.arange(len(row)) - begin[row] < prefix[row])
-    value, row = value[keep], row[keep]
-    ends = np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)
-    half = (value >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    arrays = [*map(pa.array, (na.astype(np.int64), nb.astype(np.int64), (more + less).astype(np.int64), near, settled, linked, prefix.astype(np.int64)))]
-    lists = [pa.ListArray.from_arrays(pa.array(x.astype(np.int32)), pa.array(y)) for x, y in ((ends, half), (first, bits.view(np.int64)))]
-    return pa.RecordBatch.from_arrays([*arrays, *lists], names=FACTS)
+    arrays = [*map(pa.array, (na.astype(np.int64), nb.astype(np.int64), (na + nb - 2 * inter).astype(np.int64), near, settled, linked))]
+    return pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(bits.view(np.int64)))], names=FACTS)
 
 
-FACTS = ["n_a", "n_b", "changes", "near", "settled", "linked", "prefix", "tokens", "bits"]
-FACT_TYPES = "a long, b long, n_a long, n_b long, changes long, near boolean, settled boolean, linked boolean, prefix long, tokens array<int>, bits array<long>"
+FACTS = ["n_a", "n_b", "changes", "near", "settled", "linked", "bits"]
+FACT_TYPES = "a long, b long, n_a long, n_b long, changes long, near boolean, settled boolean, linked boolean, bits array<long>"
 
 
 def compared(sets: DataFrame, column: str, of_column, percent: int):
@@ -226,8 +214,9 @@ def linked_components(posted: DataFrame, compare, percent: int, rounds: int = RO
         pairs = saved(changed_alike(near, percent))
         best = pairs.groupBy("x_b").agg(F.max(F.struct("surplus", "b")).alias("best")).select(F.col("best.b").alias("a"), F.col("x_b").alias("b"))
         first = found_links(saved(best))
-        now = first.join(pairs.select(F.col("b").alias("a"), "comp").distinct(), "a").groupBy(F.col("b").alias("x_b")).agg(F.min("comp").alias("now"))
-        apart = pairs.join(now, "x_b", "left").where("comp <> coalesce(now, x_comp)")
+        now = saved(first.join(pairs.select(F.col("b").alias("a"), "comp").distinct(), "a").groupBy("b").agg(F.min("comp").alias("now")))
+        now_x = now.select(F.col("b").alias("x_b"), F.col("now").alias("now_x"))
+        apart = pairs.join(now, "b", "left").join(now_x, "x_b", "left").where("coalesce(now, comp) <> coalesce(now_x, x_comp)")
         return [first, found_links(saved(apart.select(F.least("x_b", "b").alias("a"), F.greatest("x_b", "b").alias("b")).distinct()))]
 
     def with_component(rows: DataFrame, groups: DataFrame, cls: str) -> DataFrame:
@@ -304,35 +293,31 @@ def changed_alike(near: DataFrame, percent: int) -> DataFrame:
 
     Let a member differ from the leader by the set C of shingles; two members have
     |C_b| + |C_x| - 2 |C_b & C_x| different shingles, so they are linked only if they changed enough
-    alike. If x is not linked to the leader, that is more than (percent * more + 100 * less) /
-    (100 + percent) of b's changes. So a prefix of C_b, in an order that all share, holds one of them:
-    x, by all of its changes, meets b by its prefix. Bitmaps of the changes bound how many the pair
-    can have in common before it becomes a row.
+    alike. What two bitmaps of changes have apart bounds what they can have in common, and this is
+    a condition of the join, so only pairs that may well be linked become rows. Two members that are
+    linked to the leader are linked by it, so one of the two, x, is not. The x of a leader are dealt
+    out SPLIT at a time, each portion with a copy of its members, so no task has all of a large cell.
     """
-    live = near.groupBy("a").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("a")
-    rows = near.join(live, "a", "left_semi").withColumnRenamed("a", "lead")
+    cells = near.groupBy("a").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count_if(~F.col("linked")).alias("loose"))
+    cells = cells.where("c0 <> c1").select("a", F.floor(F.col("loose") / SPLIT).cast("int").alias("portions"))
+    rows = near.join(cells, "a").withColumnRenamed("a", "lead")
     facts = ["b", "n_b", "changes", "comp", "cell", "bits"]
-    x = rows.where("not linked").select("lead", *[F.col(c).alias(f"x_{c}") for c in facts], F.explode("tokens").alias("t"))
-    y = rows.select("lead", *facts, "prefix", F.explode(F.slice("tokens", F.lit(1), F.greatest(F.col("prefix").cast("int"), F.lit(0)))).alias("t"))
+    portion = F.pmod(F.xxhash64("b"), F.col("portions") + 1).cast("int")
+    x = rows.where("not linked").select("lead", portion.alias("portion"), *[F.col(c).alias(f"x_{c}") for c in facts])
+    y = rows.select("lead", *facts, F.explode(F.sequence(F.lit(0), F.col("portions"))).alias("portion"))
 
     def surplus(common) -> Column:
         return (100 - percent) * (F.col("n_b") + F.col("x_n_b")) - (100 + percent) * (F.col("changes") + F.col("x_changes") - 2 * common)
 
-    def fits(common) -> Column:
-        return surplus(common) >= 0
-
     def only(one: str, other: str) -> Column:
         alone = F.zip_with(one, other, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
         return F.aggregate(alone, F.lit(0), lambda total, n: total + n)
 
     meet = (F.col("comp") != F.col("x_comp")) & similar_size(F.col("n_b"), F.col("x_n_b"), percent)
-    meet = meet & (F.col("cell").isNull() | (F.col("cell") != F.col("x_cell"))) & fits(F.least("changes", "x_changes"))
+    meet = meet & (F.col("cell").isNull() | (F.col("cell") != F.col("x_cell"))) & (surplus(F.least("changes", "x_changes")) >= 0)
     most = F.least(F.col("changes") - only("bits", "x_bits"), F.col("x_changes") - only("x_bits", "bits"))
-    both = x.join(y, ["lead", "t"]).where(meet & fits(most)).withColumn("most", most).groupBy("lead", "x_b", "b")
-    both = both.agg(F.count("*").alias("common"), *[F.first(c).alias(c) for c in ("n_b", "x_n_b", "changes", "x_changes", "prefix", "comp", "x_comp", "most")])
-    # All changes that they can have in common: those counted, and what is beyond b's prefix.
-    most = F.least("most", F.col("common") + F.col("changes") - F.col("prefix"))
-    return both.where(fits(most)).select("x_b", "b", "x_comp", "comp", surplus(most).alias("surplus"))
+    both = x.join(y, ["lead", "portion"]).where(meet & (surplus(most) >= 0))
+    return both.select("x_b", "b", "x_comp", "comp", surplus(most).alias("surplus"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = ROUNDS, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
