@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from .common import saved, small_side
 
-#: Fixed masks over consecutive words, five words each; 0 marks an ignored position. Each is three
-#: words in a row, a gap, and two words in a row; any of them suffices for a hit.
-GAPS = {"11111": 0, "111011": 1, "1110011": 2}
-SPAN = 5  # of the shortest mask
+#: Fixed masks over consecutive words, four words each; 0 marks an ignored position. Any of them suffices
+#: for a hit. With up to a fifth of an item's words substituted, one of the first two always fits in an
+#: item of six words or more: either four words in a row are left, or two runs of two or three with one
+#: word between them. Items of five words need the other two as well, for a word next to the ends.
+MASKS, FIVE_MASKS = ("1111", "11011"), ("11101", "10111")
+SPAN = 5  # words of the shortest item that masks are used for
+LEAST = 4  # words of a mask
 #: Seeds of the items (a hash, an int and an id each) are broadcast up to so many rows.
 MAX_BROADCAST_ROWS = 200_000
 #: Words of a part of an item whose overlap is reported by itself.
@@ -37,17 +40,21 @@ def staged(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def positions(df: DataFrame, words: str, at: str, *keep: str) -> DataFrame:
-    """`keep` columns, the word position and `seed` for each position and mask.
+def positions(df: DataFrame, words: str, at: str, five: bool, *keep: str) -> DataFrame:
+    """`keep` columns, the word position and `seed` for each position and mask, with `five` for the
+    masks of items of five words too.
 
     Seeds are built from hashes of neighbours (two words, three words), so each costs one hash,
     and the words themselves are not carried along with the rows made from them. At the last words
     seeds are of fewer words; what they hit is verified like any other hit.
     """
     w = F.col(words)
-    out = staged(df.where(F.size(w) >= SPAN), "__two", paired(w, w, 1, 2))
-    out = staged(out, "__three", paired(F.col("__two"), w, 2, 3))
-    seeds = [paired(F.col("__three"), F.col("__two"), 3 + gap, 10 + gap) for gap in GAPS.values()]
+    out = staged(df.where(F.size(w) >= LEAST), "__two", paired(w, w, 1, 2))
+    two = F.col("__two")
+    seeds = [paired(two, two, 2, 10), paired(two, two, 3, 11)]
+    if five:
+        out = staged(out, "__three", paired(two, w, 2, 3))
+        seeds += [paired(F.col("__three"), w, 4, 12), paired(w, F.col("__three"), 2, 13)]
     out = out.withColumn("__n", F.size(w)).select(*keep, "__n", F.posexplode(F.concat(*seeds)).alias("__p", "seed"))
     return out.select(*keep, (F.col("__p") % F.col("__n")).alias(at), "seed")
 
@@ -124,8 +131,9 @@ def find_overlaps(docs: DataFrame, items: DataFrame, min_match: float = 0.8, max
     A hit of one seed aligns an item with a document; the overlap is kept if, aligned so, at least
     `min_match` of all the item's words equal the document's, or stand there in order with up to
     BAND words put in or left out; failing that, if `min_match` of WINDOW of its words in a row
-    do, and then this part is what start_word and n_words tell (the best part of an alignment). An
-    item with fewer words than the shortest mask is found where all its words stand in a row. Null
+    do, and then this part is what start_word and n_words tell (the best part of an alignment). With a
+    `min_match` of 0.8 or more, no place where an item of five words or more stands with words
+    substituted is missed; an item of fewer words is found where all its words stand in a row. Null
     texts count as empty; repeated rows give one row; an empty table gives none; very long texts are
     taken whole; other columns are ignored.
 
@@ -139,15 +147,16 @@ def find_overlaps(docs: DataFrame, items: DataFrame, min_match: float = 0.8, max
 def keyed_overlaps(docs: DataFrame, items: DataFrame, min_match: float = 0.8, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """`find_overlaps` with `__key`, which stands for id and text of the document."""
     item = saved(items.select("item_id", word_hashes(F.col("text")).alias("iw")).distinct())
-    short = [r[0] for r in item.where(F.size("iw").between(1, SPAN - 1)).select(F.size("iw")).distinct().collect()]  # SPAN - 1 at most
-    seeds = positions(item, "iw", "__j", "item_id")
+    sizes = [r[0] for r in item.where(F.size("iw").between(1, SPAN)).select(F.size("iw")).distinct().collect()]  # SPAN at most
+    short, five = [n for n in sizes if n < SPAN], SPAN in sizes
+    seeds = positions(item.where(F.size("iw") >= SPAN), "iw", "__j", five, "item_id")
     for n in short:
         seeds = seeds.unionByName(short_seeds(item.where(F.size("iw") == n), "iw", "__j", n, "item_id"))
     seeds = saved(seeds.distinct())
     key = F.xxhash64("doc_id", "text").alias("__key")
     words = staged(docs.select(key, "text"), "w", word_hashes(F.col("text"))).drop("text")
     start = (F.col("__i") - F.col("__j")).alias("start_word")
-    places = positions(words, "w", "__i", "__key")
+    places = positions(words, "w", "__i", five, "__key")
     for n in short:
         places = places.unionByName(short_seeds(words, "w", "__i", n, "__key"))
     hits = places.join(small_side(seeds, seeds.count(), max_broadcast), "seed")

@@ -114,7 +114,7 @@ def target_weights(sizes: dict, power: float = 0.5) -> dict:
 def mix_sources(df: DataFrame, weights: dict | None = None, block_bytes: int = 1 << 20, key: str = "doc_id", source: str = "source") -> DataFrame:
     """`df` with mix_source, mix_block and mix_slot: the place of each row in the mixture.
 
-    A source's rows, in the order of their hashes, fill blocks of `block_bytes` of text; a row
+    A source's rows, in the order of the hashes of their keys and texts, fill blocks of `block_bytes` of text; a row
     belongs to the block in which it starts. Blocks take the slots of the Pfair schedule; order the
     table by mix_slot (rows of a block are next to each other) to read the mixture. All rows are
     kept: when a source is used up its later slots stay empty, and the others keep their ratios.
@@ -128,7 +128,8 @@ def mix_sources(df: DataFrame, weights: dict | None = None, block_bytes: int = 1
     kept = df.drop("mix_source", "mix_block", "mix_slot")
     rows = kept.withColumn("mix_source", F.coalesce(F.col(source).cast("string"), F.lit("")))
     rows = rows.withColumn("__bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    rows = rows.withColumn("__order", F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    # The text is part of the order, so that rows with one key or none are spread as well.
+    rows = rows.withColumn("__order", F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.xxhash64("text").cast("string"))))
     sizes = rows.groupBy("mix_source").agg(F.sum("__bytes").alias("b"), F.count("*").alias("n")).collect()
     if not sizes:
         return kept.withColumns({"mix_source": F.lit(""), "mix_block": F.lit(0).cast("long"), "mix_slot": F.lit(0).cast("long")})

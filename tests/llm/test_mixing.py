@@ -18,15 +18,24 @@ def test_every_block_keeps_its_window_and_deviation_is_less_than_a_block():
         assert done == slots
 
 
-def expected(rows, weights, block):
+def order_of(row):
+    """The hash of key and text by which a source's rows are ordered."""
     import hashlib
 
+    import xxhash
+
+    text = 42 if row[1] is None else xxhash.xxh64(row[1].encode(), seed=42).intdigest()
+    return hashlib.md5(f"{row[0]}:{text - (1 << 64) if text >> 63 else text}".encode()).hexdigest()
+
+
+def expected(rows, weights, block):
+
     slots = mixing.quotas(weights)
     place = {(s, k): t for t, s, k in mixing.pfair_period(slots)}
     out = {}
     for s in weights:
         at = 0
-        for k, n in sorted(((hashlib.md5(str(r[0]).encode()).hexdigest(), len((r[1] or "").encode())), r[0]) for r in rows if (r[2] or "") == s):
+        for k, n in sorted(((order_of(r), len((r[1] or "").encode())), r[0]) for r in rows if (r[2] or "") == s):
             b = at // block
             out[n] = (s, b, b // slots[s] * 1000 + place[s, b % slots[s]])
             at += k[1]
@@ -42,6 +51,19 @@ def test_against_a_plain_version(docs, monkeypatch, bucket_rows):
     assert {r["doc_id"]: (r["mix_source"], r["mix_block"], r["mix_slot"]) for r in got.collect()} == expected(rows, {s: w for s, w in weights.items() if w}, 2000)
 
 
+def test_rows_without_an_id_or_with_one_are_spread(docs, monkeypatch):
+    """A key that many rows share doesn't put them into one range; long and repeated rows keep their blocks."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 10)
+    rows = [(None, f"text {k} " * 5, "a") for k in range(200)] + [(7, "y" * k, "a") for k in range(100)] + [(8, "z" * 50_000, "a"), (9, "same", "a"), (9, "same", "a")]
+    got = mixing.mix_sources(docs(rows), block_bytes=1000).select("doc_id", "text", "mix_block").collect()
+    assert len(got) == len(rows)
+    held = {}
+    for r in got:
+        held.setdefault(r["mix_block"], []).append(len(r["text"]))
+    # A block's rows but the last one to start in it fit into it.
+    assert all(sum(v) - max(v) <= 1000 for v in held.values()) and max(held) <= sum(len(t) for _, t, _ in rows) // 1000
+
+
 def test_rows_stay_and_bad_weights_are_refused(docs):
     rows = [(1, "a", "s"), (1, "a", "s"), (None, "b", "s")]
     assert mixing.mix_sources(docs(rows)).count() == 3
