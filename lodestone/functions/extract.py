@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .text import js_trim
+from .text import bound, js_trim
 
 # Decorators of routes and of relations, in the order of the results.
 VERBS = ["Get", "Post", "Put", "Delete", "Patch"]
@@ -20,8 +17,13 @@ IMPORT = r"""import\s+.*?\s+from\s+['"](.+?)['"]"""
 EXPORT = r"export\s+(?:default\s+)?(?:class|function|const|interface|type|enum)\s+(\w+)"
 DECORATOR = r"@(\w+)\("
 MARKERS = r"@(?:Module|Controller|Injectable|Entity)\s*\("
-OCCURRENCES = T.ArrayType(T.StructType().add("name", T.StringType()).add("args", T.ArrayType(T.StringType())).add("target", T.StringType()))
-# Fixed values (X8, X3, X9, X10): typed and injected parameters, lists of a method, modules, occurrences.
+# Fixed values (X8, X3, X6, X9, X10, X11): parameters of a constructor, lists of a decorator, modules,
+# occurrences and their targets, and the phrases of summaries.
+PARAMETERS, BALANCED = r"[^)]*", r"[^()]*(?:\((?:[^()]|\([^()]*\))*\)[^()]*)*"
+CONSTRUCTOR = r"constructor\s*\((%s)\)"
+LISTED = r"@%s\s*\(([^)]+)\)"
+CLASS = r"class\s+(\w+)"
+MODULE_SAID, CONTROLLER_SAID, ENTITY_SAID, SERVICE_SAID, FILE_SAID = "모듈", "REST 컨트롤러", "엔티티", "서비스", " 파일"
 TYPED = r"(?:private|protected|public|readonly)\s+\w+\s*:\s*(\w+)"
 INJECTED = r"""@Inject\s*\(\s*['"]?(\w+)['"]?\s*\)"""
 CONTROLLER = r"""@Controller\s*\(\s*['"]([^'"]*)['"]\s*\)"""
@@ -59,7 +61,7 @@ def role(content: Column) -> Column:
 
 
 def _listed(block: Column, decorator: str) -> Column:
-    inside = F.regexp_extract(block, rf"@{decorator}\s*\(([^)]+)\)", 1)
+    inside = F.regexp_extract(block, LISTED % decorator, 1)
     return F.filter(F.transform(F.split(inside, ","), js_trim), lambda g: F.length(g) > 0)
 
 
@@ -115,51 +117,62 @@ def injectable_deps(content: Column, full_params: bool = False) -> Column:
     """Injected names, then parameter types not listed yet. By default the parameters end at the
     first closing bracket, as in the reference; `full_params` takes them to the balanced one (three
     levels deep)."""
-    inner = r"[^()]*(?:\((?:[^()]|\([^()]*\))*\)[^()]*)*"
-    params = F.regexp_extract(content, rf"constructor\s*\(({inner if full_params else r'[^)]*'})\)", 1)
+    params = F.regexp_extract(content, CONSTRUCTOR % (BALANCED if full_params else PARAMETERS), 1)
     injected = F.regexp_extract_all(params, F.lit(INJECTED), 1)
     typed = F.regexp_extract_all(params, F.lit(TYPED), 1)
     return F.aggregate(typed, injected, lambda out, t: F.when(F.array_contains(out, t), out).otherwise(F.concat(out, F.array(t))))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def module_imports(content: pd.Series) -> pd.Series:
-    """Items of the module's `imports` list; brackets are balanced, which no pattern can do. As in the
-    reference, a module or a list at the very beginning is not seen."""
-    module, listed, call = (re.compile(p, re.ASCII) for p in (MODULE, MODULE_LIST, MODULE_CALL))
+def _behind(text: Column, pattern: str) -> Column:
+    """What follows the first place that the pattern fits; '' if none does."""
+    return F.regexp_extract(text, rf"(?s)\A.*?(?:{pattern})(.*)\z", 1)
 
-    def inside(text: str) -> str:
-        """What stands between the list's brackets; nothing if they aren't closed."""
-        found = module.search(text)
-        begin = listed.search(text, found.end()) if found and found.start() else None
-        level = 1
-        for bracket in re.finditer(r"[\[\]]", text[begin.end() :]) if begin else ():
-            level += 1 if bracket[0] == "[" else -1
-            if not level:
-                return text[begin.end() : begin.end() + bracket.start()]
-        return ""
 
-    def name(item: str) -> str:
-        called = call.match(item)
-        return ".".join(called.groups()) if called else re.sub(r"\(.*\)", "", item, count=1).strip()
+def _closed(text: Column) -> Column:
+    """`text` up to the bracket that closes one opened before it; '' if it isn't closed. Brackets are
+    counted over the pieces between them, in one pass."""
+    start = F.struct(F.lit(1).alias("level"), F.lit(0).alias("at"), F.lit(-1).alias("end"))
 
-    return content.map(lambda text: [n for n in (name(x.strip()) for x in inside(text).split(",")) if n], na_action="ignore")
+    def step(held: Column, piece: Column) -> Column:
+        level = held["level"] + F.when(piece == "[", 1).when(piece == "]", -1).otherwise(0)
+        end = F.when((held["end"] < 0) & (level == 0), held["at"]).otherwise(held["end"])
+        return F.struct(level.alias("level"), (held["at"] + F.length(piece)).alias("at"), end.alias("end"))
 
+    pieces = F.regexp_extract_all(text, F.lit(r"[\[\]]|[^\[\]]+"), F.lit(0))
+    end = F.aggregate(pieces, start, step, lambda held: held["end"])
+    return F.substring(text, F.lit(1), F.greatest(end, F.lit(0)))
 
-@F.pandas_udf(OCCURRENCES)
-def decorator_occurrences(content: pd.Series) -> pd.Series:
-    """Decorators with their arguments and targets; the target is looked for behind the match."""
-    pattern = re.compile(OCCURRENCE, re.ASCII)
 
-    def target(text: str, at: int) -> str:
-        ahead = text[at : at + 200]
-        found = re.search(r"class\s+(\w+)", ahead, re.ASCII) or re.search(HANDLER, ahead, re.ASCII)
-        return found[1] if found else "unknown"
+def module_imports(content: Column) -> Column:
+    """Items of the module's `imports` list; brackets are balanced. As in the reference, a module at the
+    very beginning is not seen."""
+    seen = F.when(content.rlike(rf"\A{MODULE}"), "").otherwise(_behind(content, MODULE))
 
-    def one(text: str) -> list[dict]:
-        return [{"name": m[1], "args": [m[2].strip()] if m[2].strip() else [], "target": m[3] or target(text, m.end())} for m in pattern.finditer(text)]
+    def name(item: Column) -> Column:
+        called = F.concat_ws(".", F.regexp_extract(item, rf"\A{MODULE_CALL}", 1), F.regexp_extract(item, rf"\A{MODULE_CALL}", 2))
+        plain = js_trim(F.regexp_replace(item, r"(?s)\A(.*?)\((?-s:.*)\)", "$1"))
+        return F.when(item.rlike(rf"\A{MODULE_CALL}"), called).otherwise(plain)
 
-    return content.map(one, na_action="ignore")
+    items = bound(_behind(seen, MODULE_LIST), lambda x: F.split(_closed(x), ","))
+    return F.when(content.isNotNull(), F.filter(F.transform(F.transform(items, js_trim), name), lambda n: F.length(n) > 0))
+
+
+def decorator_occurrences(content: Column) -> Column:
+    """array of (name, args, target): decorators with their arguments and targets; a target that the match
+    doesn't hold is looked for in the 200 characters behind it."""
+    pattern = OCCURRENCE + r"(?=([\s\S]{0,200}))"
+    name, args, own, ahead = (F.regexp_extract_all(content, F.lit(pattern), F.lit(k)) for k in (1, 2, 3, 4))
+    found = F.arrays_zip(name.alias("name"), args.alias("args"), own.alias("own"), ahead.alias("ahead"))
+
+    def one(m: Column) -> Column:
+        inside = js_trim(m["args"])
+        target = F.lit("unknown")
+        for p in (HANDLER, CLASS):
+            target = F.when(m["ahead"].rlike(p), F.regexp_extract(m["ahead"], p, 1)).otherwise(target)
+        given = F.when(F.length(inside) > 0, F.array(inside)).otherwise(F.array().cast("array<string>"))
+        return F.struct(m["name"].alias("name"), given.alias("args"), F.when(F.length(m["own"]) > 0, m["own"]).otherwise(target).alias("target"))
+
+    return F.transform(found, one)
 
 
 def framework_of(content: Column) -> Column:
@@ -179,17 +192,17 @@ def with_framework(files: DataFrame, plugins: Sequence[tuple[str, Callable, Call
 
     `plugins` are further analysers (name, can_analyse, analyse), tried after the built-in one; the
     first whose can_analyse(content) holds is the file's. Both functions make columns of the content;
-    analyse makes a struct of the fields of `framework_of`. The helpers run only over files of their plug-in.
+    analyse makes a struct of the fields of `framework_of`. Files are read once; each is analysed by its
+    plug-in alone.
     """
     c = F.col("content")
     known = [("nestjs", has_framework, framework_of), *plugins]
-    name = F.lit(None).cast("string")
-    for plugin, can, _ in reversed(known):
+    name, framework = F.lit(None).cast("string"), F.lit(None)
+    for plugin, can, analyse in reversed(known):
         name = F.when(F.coalesce(can(c), F.lit(False)), plugin).otherwise(name)
+        framework = F.when(F.col("plugin") == plugin, analyse(c)).otherwise(framework)
     out = files.withColumn("plugin", name).withColumn("hasFramework", F.col("plugin").isNotNull()).withColumn("role", F.when(F.col("hasFramework"), role(c)))
-    both = out.where("plugin is null")
-    for plugin, _, analyse in known:
-        both = both.unionByName(out.where(F.col("plugin") == plugin).withColumn("framework", analyse(c)), allowMissingColumns=True)
+    both = out.withColumn("framework", framework)
 
     def listed(array: Column, one) -> Column:
         text = F.array_join(F.transform(array, one), ", ")
@@ -197,10 +210,10 @@ def with_framework(files: DataFrame, plugins: Sequence[tuple[str, Callable, Call
 
     f, service = F.col("framework"), F.concat(F.lit(" ("), F.col("serviceName"), F.lit("). "))
     summary = (
-        F.when(F.col("role") == "module", F.concat(F.lit("모듈"), service, F.lit("Imports: "), listed(f["moduleImports"], lambda x: x)))
-        .when(F.col("role") == "controller", F.concat(F.lit("REST 컨트롤러"), service, F.lit("Routes: "), listed(f["controllerRoutes"], lambda x: F.concat_ws(" ", x["method"], x["path"]))))
-        .when(F.col("role") == "entity", F.concat(F.lit("엔티티"), service, F.lit("Relations: "), listed(f["entityRelations"], lambda x: F.concat_ws(" → ", x["type"], x["target"]))))
-        .when(F.col("role") == "service", F.concat(F.lit("서비스"), service, F.lit("Dependencies: "), listed(f["injectableDeps"], lambda x: x)))
-        .otherwise(F.concat(F.col("fileType"), F.lit(" 파일"), service, F.col("language"), F.lit(", "), F.col("lineCount"), F.lit(" lines")))
+        F.when(F.col("role") == "module", F.concat(F.lit(MODULE_SAID), service, F.lit("Imports: "), listed(f["moduleImports"], lambda x: x)))
+        .when(F.col("role") == "controller", F.concat(F.lit(CONTROLLER_SAID), service, F.lit("Routes: "), listed(f["controllerRoutes"], lambda x: F.concat_ws(" ", x["method"], x["path"]))))
+        .when(F.col("role") == "entity", F.concat(F.lit(ENTITY_SAID), service, F.lit("Relations: "), listed(f["entityRelations"], lambda x: F.concat_ws(" → ", x["type"], x["target"]))))
+        .when(F.col("role") == "service", F.concat(F.lit(SERVICE_SAID), service, F.lit("Dependencies: "), listed(f["injectableDeps"], lambda x: x)))
+        .otherwise(F.concat(F.col("fileType"), F.lit(FILE_SAID), service, F.col("language"), F.lit(", "), F.col("lineCount"), F.lit(" lines")))
     )
     return both.withColumn("summary", summary)
