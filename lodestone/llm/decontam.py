@@ -167,7 +167,9 @@ def keyed_overlaps(docs: DataFrame, items: DataFrame, min_match: float = 0.8, ma
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The documents that hold no test item. Each text is judged for itself, whatever other rows
-    have the same doc_id or none."""
+    """The documents that hold no test item, with all their columns. Each text is judged for itself, whatever
+    other rows have the same doc_id or none, so of repeated rows all stay or all go. Null and empty texts
+    stay; very long texts are taken whole; an empty table of items removes nothing, an empty table of
+    documents gives none. A row is told by 64 bits of its id and text."""
     leaks = keyed_overlaps(docs, items, **how).select(F.col("__key").alias("__leak")).distinct()
     return docs.join(leaks, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("__leak"), "left_anti")

@@ -168,7 +168,8 @@ def _mapped(df: DataFrame, columns: list[str], one, schema: str) -> DataFrame:
 
 
 def encode_texts(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, media): each text's padded bytes as an Ogg stream. Null: as the empty text."""
+    """(key, media): each text's padded bytes as an Ogg stream. Null: as the empty text. Repeated rows give
+    repeated streams; an empty table gives none; a very long text is a slice by itself."""
     kind = df.schema[key].dataType.simpleString()
 
     def one(k, t):
@@ -178,7 +179,8 @@ def encode_texts(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
 
 def read_pages(df: DataFrame, media: str = "media", key: str = "doc_id") -> DataFrame:
-    """A row per page with a good checksum. Null or foreign bytes: none."""
+    """A row per page with a good checksum. Null or foreign bytes: none. Repeated rows repeat their pages;
+    an empty table gives none."""
     kind = df.schema[key].dataType.simpleString()
 
     def one(k, m):
@@ -189,7 +191,8 @@ def read_pages(df: DataFrame, media: str = "media", key: str = "doc_id") -> Data
 
 
 def read_packets(df: DataFrame, media: str = "media", key: str = "doc_id") -> DataFrame:
-    """A row per whole packet, with the time at which it ends (null unless its page states it)."""
+    """A row per whole packet, with the time at which it ends (null unless its page states it). Null or
+    foreign bytes: none. Repeated rows repeat their packets; an empty table gives none."""
     kind = df.schema[key].dataType.simpleString()
 
     def one(k, m):
