@@ -165,11 +165,11 @@ best AS (
 reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, position) AS rank FROM best QUALIFY rank <= 6)"""
 
 
-def expanded(base: str) -> str:
+def expanded(base: str, order: str = "abs(c.line - b.line), c.line, c.id") -> str:
     return f"""
 pairs AS (
   SELECT b.query_id, b.id AS base_id, b.rank AS base_rank, b.score * 0.5 AS score, c.id,
-    row_number() OVER (PARTITION BY b.query_id, b.id ORDER BY abs(c.line - b.line), c.line, c.id) AS near
+    row_number() OVER (PARTITION BY b.query_id, b.id ORDER BY {order}) AS near
   FROM {base} b JOIN chunks c ON c.path = b.path AND c.line BETWEEN b.line - 50 AND b.line + 50
   WHERE b.kind = 'code' AND c.kind = 'code' QUALIFY near <= 3),
 together AS (
@@ -303,7 +303,19 @@ code_chunks AS (
   SELECT c.id, c.content, v.vector, 'document' AS kind, c.source AS path, '' AS service, 'text' AS file_type, 0 AS line FROM chunked c JOIN hashed_vectors v ON v.kind = 'c' AND v.id = c.id)""",
     ]
     asked_search = FUSED.replace("FROM analysed q, chunks c", "FROM (SELECT a.*, v.vector FROM analysed a JOIN hashed_vectors v ON v.kind = 'q' AND v.id = a.query_id::VARCHAR) q, chunks c")
+    scaled = CHUNKS.replace("chunks AS MATERIALIZED", "plain_chunks AS") + """,
+chunks AS MATERIALIZED (
+  SELECT * REPLACE (list_transform(vector, lambda x: (x * f)::FLOAT) AS vector), list_reduce(list_transform(vector, lambda x: (x * f)::FLOAT::DOUBLE * (x * f)::FLOAT::DOUBLE), lambda a, b: a + b) AS norm
+  FROM (SELECT *, list_extract([1, 2, 4], id::INT % 3 + 1)::FLOAT AS f FROM plain_chunks WHERE vector IS NOT NULL))"""
+    capped = keyword("chunks", 18, False).replace("scored AS (", "all_scored AS (") + """,
+scored AS (SELECT s.* FROM all_scored s JOIN chunks c USING (id) QUALIFY row_number() OVER (PARTITION BY s.query_id ORDER BY c.norm, id) <= 54),
+kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 18)"""
+    capped = capped.replace("keyed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 18),\n", "")
+    near_d = f"near_d AS (SELECT q.query_id, c.id, c.path, c.line, c.kind, {SQUARE} AS distance FROM queries q, chunks c WHERE c.vector IS NOT NULL)"
+    base = "base AS (SELECT *, round(1 - least(distance, 1.0), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM near_d QUALIFY rank <= 6)"
     return {
+        "keyword_capped": _with(QUESTIONS, QUERIES, analysed("queries", services), scaled, capped) + "SELECT query_id, id, occurrences, round(score, 6) AS score, rank::INT AS rank FROM kept",
+        "expanded_by_norm": _with(QUESTIONS, QUERIES, scaled, near_d, base, expanded("base", "c.norm, c.id")) + "SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM expanded",
         "code_tree": _with(TREE) + """
 SELECT name AS "serviceName", relative AS "relativePath", file_type AS "fileType", language, len(string_split(text, chr(10)))::INT AS line_count, size, sha256(text) AS sha FROM code_good""",
         "failed_documents": _with(TREE, tree_chunks()) + """

@@ -251,6 +251,26 @@ def keyword_parity(spark, d):
     return out.select("query_id", "id", "occurrences", F.round("score", 6).alias("score"), "rank")
 
 
+def _scaled(spark, d):
+    """Chunks with vectors of different norms: each is 1, 2 or 4 times as long."""
+    factor = F.element_at(F.array(F.lit(1.0), F.lit(2.0), F.lit(4.0)), (F.col("id").cast("int") % 3 + 1)).cast("float")
+    return _chunks(spark, d).where("vector is not null").withColumn("vector", F.transform("vector", lambda x: x * factor))
+
+
+def keyword_capped(spark, d):
+    """T2, J2 as the reference has it: of the chunks with a keyword, the 54 of least norm are scored."""
+    out = search.keyword_hits(_analysed(spark, d), _scaled(spark, d), 18, candidate_cap=54)
+    return out.select("query_id", "id", "occurrences", F.round("score", 6).alias("score"), "rank")
+
+
+def expanded_by_norm(spark, d):
+    """R5, W5 as the reference has it: the neighbours of least norm."""
+    chunks = _scaled(spark, d)
+    base = search.nearest(_queries(spark, d), chunks, 6).join(chunks.drop("vector", "content"), "id")
+    base = base.withColumn("score", F.round(search.semantic_score(F.col("distance")), 6)).drop("distance", "vector")
+    return expand.expand(base, chunks, "norm").select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 def hybrid_search(spark, d):
     """Both searches fused."""
     out = search.hybrid_search(_analysed(spark, d), _chunks(spark, d))
@@ -551,7 +571,7 @@ QUERIES = {
         keyword_search, semantic_search, merged_hits, hybrid_search, reranked, expanded, retrieved, assembled, rag_prompts, chat_histories, chat_prompts,
         chunk_counts, service_files, listed_documents, file_chunks, indexed_documents, indexed_code, embedded_chunks, paired_vectors, framework_metadata,
         detected_services, system_prompts, streamed_chunks, part_totals, markdown_chunks, all_documents, search_results, keyword_parity, chunk_table,
-        failed_documents, code_tree, streamed_files, asked_results, capped_sheets, service_filters, indexed_keywords, nearest_by_cells, cleared_histories, table_states,
+        failed_documents, code_tree, streamed_files, asked_results, capped_sheets, service_filters, indexed_keywords, nearest_by_cells, keyword_capped, expanded_by_norm, cleared_histories, table_states,
     )
 }
 ORACLE: dict[str, str] = oracle.statements(SERVICES, LABEL)
