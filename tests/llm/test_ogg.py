@@ -66,3 +66,13 @@ def test_tables(spark, docs):
     assert {p["end_micros"] for p in packets if p["granule"] == 576} == {72_000}
     assert ogg.read_pages(spark.createDataFrame([(1, None), (2, b"no")], "doc_id long, media binary")).count() == 0
     assert struct.calcsize(ogg.HEADER) == ogg.HEADER_BYTES and struct.calcsize(ogg.IDENT) == ogg.IDENT_BYTES
+
+
+def test_very_long_and_repeated_texts(docs):
+    long = "é " * 700_000
+    rows = [(1, long), (1, long), (2, None)]
+    got = [tuple(r) for r in ogg.media_digests(docs(rows)).collect()]
+    payload = ogg.payload_of(long.encode())
+    assert got[0] == got[1] and got[0][1:4] == (len(long.encode()), len(payload), hashlib.sha256(payload).hexdigest())
+    pages = ogg.read_pages(ogg.encode_texts(docs(rows[:2]))).groupBy("doc_id", "serial", "page_number").count().collect()
+    assert {r["count"] for r in pages} == {2}
