@@ -37,6 +37,8 @@ CELL_LEADERS = 1
 MAX_BIT_WORDS = 6
 #: Members of a cell that are not linked with its leader and meet the others in one task.
 SPLIT = 256
+#: Members of a cell's largest component that the others are compared with before any pairs are looked for.
+PROBES = 8
 #: Keys are broadcast up to so many rows.
 MAX_BROADCAST_ROWS = 200_000
 MULTIPLIERS = powers(np.uint64(0xF1357AEA2E62A9C5), COORDINATES + 1)[1:]
@@ -210,14 +212,19 @@ def linked_components(posted: DataFrame, compare, percent: int, rounds: int = RO
         return saved(components(functools.reduce(DataFrame.unionByName, links)))
 
     def settled_cells(near: DataFrame) -> list[DataFrame]:
-        """Links between near members: of each member the likeliest first; then of what is still apart."""
+        """Links between near members: with a few of their cell's largest component first; of those that
+        found none, with the likeliest member; then of what is still apart."""
+        tried = probes(near, percent)
+        joined = found_links(saved(tried.select("a", "b").distinct()))
+        labels = joined.join(tried.select("b", "lead", "main").distinct(), "b").groupBy("b", F.col("lead").alias("a")).agg(F.min("main").alias("main"))
+        near = saved(near.join(labels, ["a", "b"], "left").withColumn("comp", F.coalesce("main", "comp")).drop("main"))
         pairs = saved(changed_alike(near, percent))
         best = pairs.groupBy("x_b").agg(F.max(F.struct("surplus", "b")).alias("best")).select(F.col("best.b").alias("a"), F.col("x_b").alias("b"))
         first = found_links(saved(best))
         now = saved(first.join(pairs.select(F.col("b").alias("a"), "comp").distinct(), "a").groupBy("b").agg(F.min("comp").alias("now")))
         now_x = now.select(F.col("b").alias("x_b"), F.col("now").alias("now_x"))
         apart = pairs.join(now, "b", "left").join(now_x, "x_b", "left").where("coalesce(now, comp) <> coalesce(now_x, x_comp)")
-        return [first, found_links(saved(apart.select(F.least("x_b", "b").alias("a"), F.greatest("x_b", "b").alias("b")).distinct()))]
+        return [joined, first, found_links(saved(apart.select(F.least("x_b", "b").alias("a"), F.greatest("x_b", "b").alias("b")).distinct()))]
 
     def with_component(rows: DataFrame, groups: DataFrame, cls: str) -> DataFrame:
         return rows.join(groups.select(F.col("node").alias(cls), "component"), cls, "left").withColumn("comp", F.coalesce("component", cls)).drop("component")
@@ -286,6 +293,45 @@ def similar_size(a, b, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def surplus(common, percent: int) -> Column:
+    """How many of `common` changes two members of one leader (b, x_b) have beyond those that make them
+    similar; negative if they can't be linked."""
+    return (100 - percent) * (F.col("n_b") + F.col("x_n_b")) - (100 + percent) * (F.col("changes") + F.col("x_changes") - 2 * common)
+
+
+def most_common() -> Column:
+    """A bound on the changes that two members of one leader have in common: what two bitmaps of changes
+    have apart is not in common."""
+
+    def only(one: str, other: str) -> Column:
+        alone = F.zip_with(one, other, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+        return F.aggregate(alone, F.lit(0), lambda total, n: total + n)
+
+    return F.least(F.col("changes") - only("bits", "x_bits"), F.col("x_changes") - only("x_bits", "bits"))
+
+
+def may_be_linked(percent: int) -> Column:
+    """Whether two members of one leader, of different components and cells, can be linked at all."""
+    meet = (F.col("comp") != F.col("x_comp")) & similar_size(F.col("n_b"), F.col("x_n_b"), percent)
+    meet = meet & (F.col("cell").isNull() | (F.col("cell") != F.col("x_cell"))) & (surplus(F.least("changes", "x_changes"), percent) >= 0)
+    return meet & (surplus(most_common(), percent) >= 0)
+
+
+def probes(near: DataFrame, percent: int) -> DataFrame:
+    """(lead, main, a, b): for each member b near a leader that is in none of its cell's largest component,
+    `main`, up to PROBES members a of that component with which b may be linked. Most members of a
+    group of near copies are linked with one of any few others, and then need no look at the rest."""
+    sizes = near.groupBy("a", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("a").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("a", F.col("m.comp").alias("main"))
+    rows = near.join(main, "a").withColumnRenamed("a", "lead")
+    facts = ["b", "n_b", "changes", "comp", "cell", "bits"]
+    part = F.pmod(F.xxhash64("b"), F.lit(PROBES))
+    first = rows.where("comp = main").groupBy("lead", part.alias("part")).agg(F.min(F.struct(F.xxhash64("b").alias("h"), *facts)).alias("p"))
+    x = first.select("lead", *[F.col(f"p.{c}").alias(f"x_{c}") for c in facts])
+    both = rows.where("comp <> main and not linked").select("lead", "main", *facts).join(x, "lead").where(may_be_linked(percent))
+    return saved(both.select("lead", "main", F.col("x_b").alias("a"), "b"))
+
+
 def changed_alike(near: DataFrame, percent: int) -> DataFrame:
     """(x_b, b, x_comp, comp, surplus): pairs of members near one leader that may be linked, of
     different components (`comp`) and cells. `near` has the leader as a, the member as b, and
@@ -306,18 +352,8 @@ def changed_alike(near: DataFrame, percent: int) -> DataFrame:
     x = rows.where("not linked").select("lead", portion.alias("portion"), *[F.col(c).alias(f"x_{c}") for c in facts])
     y = rows.select("lead", *facts, F.explode(F.sequence(F.lit(0), F.col("portions"))).alias("portion"))
 
-    def surplus(common) -> Column:
-        return (100 - percent) * (F.col("n_b") + F.col("x_n_b")) - (100 + percent) * (F.col("changes") + F.col("x_changes") - 2 * common)
-
-    def only(one: str, other: str) -> Column:
-        alone = F.zip_with(one, other, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
-        return F.aggregate(alone, F.lit(0), lambda total, n: total + n)
-
-    meet = (F.col("comp") != F.col("x_comp")) & similar_size(F.col("n_b"), F.col("x_n_b"), percent)
-    meet = meet & (F.col("cell").isNull() | (F.col("cell") != F.col("x_cell"))) & (surplus(F.least("changes", "x_changes")) >= 0)
-    most = F.least(F.col("changes") - only("bits", "x_bits"), F.col("x_changes") - only("x_bits", "bits"))
-    both = x.join(y, ["lead", "portion"]).where(meet & (surplus(most) >= 0))
-    return both.select("x_b", "b", "x_comp", "comp", surplus(most).alias("surplus"))
+    both = x.join(y, ["lead", "portion"]).where(may_be_linked(percent))
+    return both.select("x_b", "b", "x_comp", "comp", surplus(most_common(), percent).alias("surplus"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = ROUNDS, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
