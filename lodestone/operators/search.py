@@ -141,26 +141,41 @@ def misfits(asked: pa.RecordBatch, rows: pa.RecordBatch) -> np.ndarray:
     return out & (objects(rows.column("chunkType")) == "code")[None, :]
 
 
+def vectors(column) -> np.ndarray:
+    """A column of vectors as a matrix; refused if they differ in width or hold a null, which no distance
+    could be told from."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, 0))
+    flat = column.flatten()
+    if flat.null_count:
+        raise ValueError("a vector holds a null")
+    if len(set(column.value_lengths().to_pylist())) > 1:
+        raise ValueError("vectors have different widths")
+    return np.asarray(flat, np.float64).reshape(len(column), -1)
+
+
 def nearest(queries: DataFrame, chunks: DataFrame, k: int, decimals: int = 6, filtered: bool = False) -> DataFrame:
     """(query_id, id, distance, rank): for each question (query_id, vector) the `k` chunks (id,
     vector) with the least squared Euclidean distance; ties by id. Exact.
 
-    Questions and chunks without a vector are left out. With `filtered`, questions have
-    serviceFilter and fileTypeFilter and chunks have chunkType, serviceName, fileType.
+    Questions and chunks without a vector are left out; vectors of different widths, or with a null in
+    them, are an error. With `filtered`, questions have serviceFilter and fileTypeFilter and chunks have
+    chunkType, serviceName, fileType.
     """
     columns = ["query_id", "vector"] + (["serviceFilter", "fileTypeFilter"] if filtered else [])
     columns_c = ["id", "vector"] + (["chunkType", "serviceName", "fileType"] if filtered else [])
 
-    def matrix(block: pa.RecordBatch) -> np.ndarray:
-        return np.asarray(block.column("vector").flatten(), np.float64).reshape(block.num_rows, -1)
-
     def prepare(block):
-        m = matrix(block)
+        m = vectors(block.column("vector"))
         return block, m, (m**2).sum(axis=1)
 
     def score(given, rows):
         block, m, squares = given
-        x = matrix(rows)
+        x = vectors(rows.column("vector"))
+        if len(x) and x.shape[1] != m.shape[1]:
+            raise ValueError(f"questions have vectors of {m.shape[1]} numbers, chunks of {x.shape[1]}")
         d = np.maximum(squares[:, None] + (x**2).sum(axis=1)[None, :] - 2 * m @ x.T, 0).round(decimals)
         if filtered:
             d[misfits(block, rows)] = np.inf

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..storage import saved
-from .search import CHUNK_BLOCK, MAX_BROADCAST_BLOCKS, QUERY_BLOCK, blocks, objects, top, unpacked
+from .search import CHUNK_BLOCK, MAX_BROADCAST_BLOCKS, QUERY_BLOCK, blocks, objects, top, unpacked, vectors
 
 #: Pivots, and rows of the sample that bounds distances before any block is read; both bounded.
 PIVOTS, SAMPLE = 64, 2048
@@ -26,12 +26,6 @@ PIVOTS, SAMPLE = 64, 2048
 ROOM = 1e-5
 
 
-def matrix(column) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
-
-
 def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of all rows of two matrices."""
     return np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * a @ b.T, 0)
@@ -43,11 +37,11 @@ def build(chunks: DataFrame, path: str, pivots: int = PIVOTS, sample: int = SAMP
     rows = chunks.where(F.col("vector").isNotNull()).select("id", "vector")
     taken = rows.orderBy(F.xxhash64("id"), "id").limit(max(pivots, sample))
     taken.coalesce(1).write.mode("overwrite").parquet(f"{path}/sample")
-    centres = matrix(rows.sparkSession.read.parquet(f"{path}/sample").orderBy(F.xxhash64("id"), "id").limit(pivots).toArrow().column("vector"))
+    centres = vectors(rows.sparkSession.read.parquet(f"{path}/sample").orderBy(F.xxhash64("id"), "id").limit(pivots).toArrow().column("vector"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = squares(matrix(batch.column("vector")), centres)
+            d = squares(vectors(batch.column("vector")), centres)
             cell = d.argmin(axis=1)
             radius = np.sqrt(d[np.arange(len(cell)), cell])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(radius)], names=[*batch.schema.names, "cell", "radius"])
@@ -61,7 +55,7 @@ def scan(queries: DataFrame, spark: SparkSession, path: str, k: int, pivots: int
     """(query_id, id, distance, looked, pairs): candidates of each question, at least the `k` nearest; and, with
     a null query_id, what each task looked at of its pairs of question and block."""
     first = spark.read.parquet(f"{path}/sample").orderBy(F.xxhash64("id"), "id").toArrow()  # bounded by SAMPLE
-    known = matrix(first.column("vector"))
+    known = vectors(first.column("vector"))
     centres = known[:pivots]
     rows = spark.read.parquet(f"{path}/rows")
     asked = saved(blocks(queries.where(F.col("vector").isNotNull()).select("query_id", "vector"), QUERY_BLOCK).withColumn("number", F.monotonically_increasing_id()), "questions")
@@ -75,7 +69,7 @@ def scan(queries: DataFrame, spark: SparkSession, path: str, k: int, pivots: int
         """Questions of a block with their distances to the pivots and their best chunks so far."""
 
         def __init__(self, block: pa.RecordBatch):
-            self.ids, self.m = block.column("query_id"), matrix(block.column("vector"))
+            self.ids, self.m = block.column("query_id"), vectors(block.column("vector"))
             self.to_pivots = np.sqrt(squares(self.m, centres)) if len(centres) else np.zeros((len(self.m), 1))
             n = len(self.m)
             near = np.sort(squares(self.m, known).round(decimals), axis=1) if len(known) >= k else np.full((n, k), np.inf)
@@ -111,7 +105,7 @@ def scan(queries: DataFrame, spark: SparkSession, path: str, k: int, pivots: int
                 questions = held[number]
                 block = unpacked(batch.column("block")[r].as_py())
                 cells, radius = np.asarray(block.column("cell")), np.asarray(block.column("radius"))
-                ids, x = objects(block.column("id")), matrix(block.column("vector"))
+                ids, x = objects(block.column("id")), vectors(block.column("vector"))
                 for cell in np.unique(cells):
                     of = np.flatnonzero(cells == cell)
                     which = questions.active(cell, radius[of].min(), radius[of].max())

@@ -189,3 +189,12 @@ def test_cells_equal_the_scan_and_skip(spark, tmp_path):
     empty = f"file://{tmp_path}/empty"
     vector_cells.build(chunks.limit(0), empty)
     assert vector_cells.nearest_in_cells(queries, spark, empty, 3).count() == 0
+
+
+def test_vectors_that_do_not_fit_are_refused(spark):
+    schema = "id string, vector array<float>"
+    queries = spark.createDataFrame([(1, [0.0, 1.0])], "query_id int, vector array<float>")
+    for bad in ([0.0], [0.0, None], [0.0, 1.0, 2.0]):
+        chunks = spark.createDataFrame([("a", [1.0, 1.0]), ("b", bad)], schema).coalesce(1)
+        with pytest.raises(Exception, match="width|null|numbers"):
+            search.nearest(queries, chunks, 1).collect()
