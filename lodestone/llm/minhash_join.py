@@ -133,6 +133,14 @@ FACTS = ["n_a", "n_b", "changes", "near", "settled", "linked", "bits"]
 FACT_TYPES = "a long, b long, n_a long, n_b long, changes long, near boolean, settled boolean, linked boolean, bits array<long>"
 
 
+def of_pairs(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of `classes` that are in a pair, where these are few enough to be told to all tasks, so that
+    the others aren't shuffled; else all."""
+    asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    n = asked.count()
+    return classes.join(F.broadcast(asked), "cls", "left_semi") if n <= MAX_BROADCAST_ROWS else classes
+
+
 def compared(sets: DataFrame, column: str, of_column, percent: int):
     """A comparison of pairs (a, b) of classes by their full sets: (a, b) and `changed_sets`.
 
@@ -141,8 +149,9 @@ def compared(sets: DataFrame, column: str, of_column, percent: int):
     """
 
     def compare(pairs: DataFrame) -> DataFrame:
-        with_b = pairs.join(sets.select(F.col("cls").alias("b"), F.col(column).alias("__b")), "b")
-        both = with_b.join(sets.select(F.col("cls").alias("a"), F.col(column).alias("__a")), "a").select("a", "b", "__a", "__b")
+        some = of_pairs(sets, pairs)
+        with_b = pairs.join(some.select(F.col("cls").alias("b"), F.col(column).alias("__b")), "b")
+        both = with_b.join(some.select(F.col("cls").alias("a"), F.col(column).alias("__a")), "a").select("a", "b", "__a", "__b")
 
         def run(batches):
             for batch in batches:
@@ -200,7 +209,9 @@ def linked_components(posted: DataFrame, compare, percent: int, rounds: int = RO
     def enough(pairs: DataFrame, least: int) -> DataFrame:
         if member is None:
             return pairs
-        of = lambda c: member.select(F.col("cls").alias(c), F.col("tokens").alias(f"tokens_{c}"))
+        pairs = saved(pairs)
+        some = of_pairs(member, pairs)
+        of = lambda c: some.select(F.col("cls").alias(c), F.col("tokens").alias(f"tokens_{c}"))
         counted = pairs.join(of("b"), "b").join(of("a"), "a")
         return counted.where(F.size(F.filter(F.zip_with("tokens_a", "tokens_b", lambda x, y: x == y), lambda x: x)) >= least).select("a", "b")
 
