@@ -53,8 +53,8 @@ def hashing_model(width: int = 64) -> Model:
 
 def embed(df: DataFrame, make_embedder: Callable, width: int, text: str = "content", batch: int = BATCH, partitions: int | None = None) -> DataFrame:
     """`df` with `vector` of each text. The embedder is made once per worker; `partitions` spreads its
-    work; equal texts are embedded once. Texts are shuffled once, by their hash, and come back to
-    the other columns with their vectors; these columns travel without texts. Null texts are embedded
+    work; equal texts are embedded once. Texts are shuffled by their hash, and then each distinct one once
+    more, with its vector, to the other columns, which travel without texts. Null texts are embedded
     as empty ones and stay null. `df` is read twice: save it first if it is dear.
     """
     key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
