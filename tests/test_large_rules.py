@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import registry
+from lodestone.operators import search
 
 
 def same_as_sql(spark, name, tables, out):
@@ -28,3 +29,23 @@ def test_targets_reach_into_texts(spark, tmp_path, text, seen):
     docs = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("src1").alias("source"), F.lit("en").alias("lang"), F.lit(text).alias("text"))
     rows = {r["doc_id"]: r["occurrences"] for r in same_as_sql(spark, "framework_metadata", {"documents": docs}, tmp_path)}
     assert rows[0].endswith(f"Post() {seen}")
+
+
+def test_equal_questions_are_searched_once_and_full_ones_not_further(spark, monkeypatch):
+    """Repeated questions reach the scorer once, and those with full scores enough among the least ids
+    don't meet the other chunks; the hits are those of a plain count."""
+    texts = {f"c{k:02}": "ab " * (k % 7) + "rare " * (k == 38) for k in range(40)}
+    asked = {q: (["ab"], ["rare"], ["ab", "rare"], [])[q % 4] for q in range(40)}
+    chunks = spark.createDataFrame([(i, t, "document" if i > "c20" else "code") for i, t in texts.items()], "id string, content string, chunkType string").repartition(3)
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, keywords array<string>")
+    seen = []
+    inner = search.best_of_blocks
+    monkeypatch.setattr(search, "best_of_blocks", lambda q, c, *rest, **how: (seen.append((q.count(), c.count())), inner(q, c, *rest, **how))[1])
+    monkeypatch.setattr(search, "FIRST_CHUNKS", 20)
+    for documents in (True, False):
+        want = set()
+        for q, ws in asked.items():
+            rows = [(-min(n / max(5 * len(ws), 1), 1.0), i, n) for i, t in texts.items() if (n := sum(t.count(w) for w in ws)) or (not documents and i > "c20")]
+            want |= {(q, i, n, -s, k + 1) for k, (s, i, n) in enumerate(sorted(rows)[:3])}
+        assert {tuple(r) for r in search.keyword_hits(queries, chunks, 3, keyword_filter_documents=documents).collect()} == want
+    assert seen == [(4, 20), (3, 20)] * 2
