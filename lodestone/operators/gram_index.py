@@ -7,6 +7,9 @@ intersected, and what is left is confirmed on the text. So the meaning is that o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +27,20 @@ LISTS = 3
 SHARE = 0.1
 
 
-def pieces(text: Column) -> Column:
+def pieces(text: str) -> set[str]:
     """The distinct pieces of three and of two characters of a text."""
-    cut = lambda x, n, at: F.regexp_extract_all(F.substring(x, at, 1 << 30), F.lit(f"(?s).{{{n}}}"), F.lit(0))
-    return bound(text, lambda x: F.array_distinct(F.concat(*[cut(x, n, at) for n in (2, 3) for at in range(1, n + 1)])))
+    return {text[at : at + n] for n in (2, 3) for at in range(len(text) - n + 1)}
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(piece, block, numbers) of the chunks (number, text) of each batch."""
+    for batch in batches:
+        lists: dict[tuple[str, int], list[int]] = {}
+        for number, text in zip(batch.column("number").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for piece in pieces(text or ""):
+                lists.setdefault((piece, number >> BLOCK_BITS), []).append(number)
+        columns = [pa.array([p for p, _ in lists], pa.string()), pa.array([b for _, b in lists], pa.int64()), pa.array(lists.values(), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["piece", "block", "numbers"])
 
 
 def _bucket(piece: Column) -> Column:
@@ -39,8 +52,9 @@ def build(chunks: DataFrame, path: str) -> None:
     (piece, block, n, numbers) by buckets of pieces. Null contents are never found."""
     chunks.withColumn("number", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/chunks")
     rows = chunks.sparkSession.read.parquet(f"{path}/chunks")
-    posted = rows.select("number", F.explode(pieces(F.lower("content"))).alias("piece"))
-    lists = posted.groupBy("piece", F.shiftright("number", BLOCK_BITS).alias("block")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("number")).alias("numbers"))
+    # Lists are begun where the chunks are read, so a row is shuffled for each list and not for each piece of a chunk.
+    posted = rows.select("number", F.lower("content").alias("text")).mapInArrow(_posted, "piece string, block long, numbers array<bigint>")
+    lists = posted.groupBy("piece", "block").agg(F.sum(F.size("numbers")).alias("n"), F.array_sort(F.flatten(F.collect_list("numbers"))).alias("numbers"))
     lists = lists.withColumn("bucket", _bucket(F.col("piece"))).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "piece", "block")
     lists.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
 
@@ -81,9 +95,11 @@ def word_counts(words: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     postings, chunks = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/chunks")
     found = candidates(saved(rarest(words.distinct(), postings), "rarest"), postings)
     at = found.groupBy("number").agg(F.collect_list("word").alias("words"))
-    texts = chunks.join(at, "number").withColumn("low", F.lower("content"))
+    texts = chunks.join(at, "number")
     kept = [c for c in chunks.columns if c not in ("number", "content", "vector")]
-    counted = texts.select(*kept, F.explode(F.transform("words", lambda w: F.struct(w.alias("word"), occurrences(F.col("low"), w).alias("count")))).alias("w"))
+    # A text is lower-cased once, not for each of its words.
+    of_text = bound(F.lower("content"), lambda low: F.transform("words", lambda w: F.struct(w.alias("word"), occurrences(low, w).alias("count"))))
+    counted = texts.select(*kept, F.explode(of_text).alias("w"))
     return counted.select("w.word", *kept, "w.count").where(F.col("count") > 0)
 
 

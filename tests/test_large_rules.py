@@ -1,11 +1,12 @@
 """Rules that small tables don't reach, against the SQL on made tables."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone import registry
-from lodestone.operators import search
+from lodestone.operators import gram_index, search
 
 
 def same_as_sql(spark, name, tables, out):
@@ -49,3 +50,11 @@ def test_equal_questions_are_searched_once_and_full_ones_not_further(spark, monk
             want |= {(q, i, n, -s, k + 1) for k, (s, i, n) in enumerate(sorted(rows)[:3])}
         assert {tuple(r) for r in search.keyword_hits(queries, chunks, 3, keyword_filter_documents=documents).collect()} == want
     assert seen == [(4, 20), (3, 20)] * 2
+
+
+def test_lists_of_the_index_are_begun_where_chunks_are_read():
+    """A batch gives a row for each piece and block, not for each piece of a chunk."""
+    texts = ["aXéb", "aXé", None, "a"]
+    made = list(gram_index._posted(iter([pa.RecordBatch.from_pydict({"number": [0, 1, 2, 1 << gram_index.BLOCK_BITS], "text": texts})])))
+    rows = {(r["piece"], r["block"]): r["numbers"] for r in made[0].to_pylist()}
+    assert rows == {("aX", 0): [0, 1], ("Xé", 0): [0, 1], ("éb", 0): [0], ("aXé", 0): [0, 1], ("Xéb", 0): [0]}
