@@ -1,9 +1,11 @@
 """Files, services, the chunk table, jobs and the stream."""
 
 import datetime
+import hashlib
 import json
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +91,21 @@ def test_embedding_is_made_once_per_text(spark):
     assert got[1] == got[2] != got[4] and len(got[3]) == 16
 
 
+def test_a_word_is_hashed_once(monkeypatch):
+    """The test embedder's time goes by distinct words; its vectors are those of a hash for each word."""
+    inner, asked = hashlib.md5, []
+    monkeypatch.setattr(hashlib, "md5", lambda data: (asked.append(data), inner(data))[1])
+    embed = embedding.hashing_embedder(8)()
+    got = embed(np.array(["a b a A", "b  a\tb", "", "x"], object))
+    assert asked == [b"a", b"b", b"x"]
+    for text, vector in zip(["a b a a", "b a b", "", "x"], got, strict=True):
+        want = np.zeros(8)
+        for word in text.split():
+            h = int.from_bytes(inner(word.encode()).digest()[:4])
+            want[h % 8] += 1 if h >> 31 else -1
+        assert np.allclose(vector, want / (np.linalg.norm(want) or 1))
+
+
 def test_stream_in_batches(spark, tmp_path):
     folder, path = tmp_path / "in", f"file://{tmp_path}/out"
     os.makedirs(folder)
