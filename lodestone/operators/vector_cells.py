@@ -22,6 +22,8 @@ from .search import CHUNK_BLOCK, MAX_BROADCAST_BLOCKS, QUERY_BLOCK, blocks, obje
 
 #: Pivots, and rows of the sample that bounds distances before any block is read; both bounded.
 PIVOTS, SAMPLE = 64, 2048
+#: Questions whose distances to the sample are made at once.
+PART = 256
 #: Room for rounding when a bound is compared with a distance.
 ROOM = 1e-5
 
@@ -31,6 +33,17 @@ def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * a @ b.T, 0)
 
 
+def first_bounds(m: np.ndarray, known: np.ndarray, k: int, decimals: int) -> np.ndarray:
+    """The k-th least squared distance of each question to the sample. The bounds alone are held, no view of the
+    distances they are from, which are made for PART questions at a time."""
+    out = np.full(len(m), np.inf)
+    if len(known) >= k:
+        for at in range(0, len(m), PART):
+            near = squares(m[at : at + PART], known).round(decimals)
+            out[at : at + PART] = np.partition(near, k - 1, axis=1)[:, k - 1]
+    return out
+
+
 def build(chunks: DataFrame, path: str, pivots: int = PIVOTS, sample: int = SAMPLE) -> None:
     """Writes chunks (id, vector), without those that have no vector, to `path` in cells. The pivots and the
     sample are the rows with the least hashes of their ids."""
@@ -72,8 +85,7 @@ def scan(queries: DataFrame, spark: SparkSession, path: str, k: int, pivots: int
             self.ids, self.m = block.column("query_id"), vectors(block.column("vector"))
             self.to_pivots = np.sqrt(squares(self.m, centres)) if len(centres) else np.zeros((len(self.m), 1))
             n = len(self.m)
-            near = np.sort(squares(self.m, known).round(decimals), axis=1) if len(known) >= k else np.full((n, k), np.inf)
-            self.bound = near[:, k - 1]
+            self.bound = first_bounds(self.m, known, k, decimals)
             self.best = [(np.empty(0, object), np.empty(0)) for _ in range(n)]
 
         def active(self, cell: int, low: float, high: float) -> np.ndarray:

@@ -191,6 +191,18 @@ def test_cells_equal_the_scan_and_skip(spark, tmp_path):
     assert vector_cells.nearest_in_cells(queries, spark, empty, 3).count() == 0
 
 
+def test_bounds_do_not_hold_the_distances(monkeypatch):
+    """A worker keeps a number for each question, not its distances to the whole sample, nor makes them all at once."""
+    rng = np.random.default_rng(4)
+    m, known = rng.normal(size=(1000, 8)), rng.normal(size=(60, 8))
+    inner, seen = vector_cells.squares, []
+    monkeypatch.setattr(vector_cells, "squares", lambda a, b: (seen.append(len(a)), inner(a, b))[1])
+    got = vector_cells.first_bounds(m, known, 18, 6)
+    assert got.base is None and got.nbytes == 8 * 1000 and max(seen) <= vector_cells.PART
+    assert (got == np.sort(inner(m, known).round(6), axis=1)[:, 17]).all()
+    assert np.isinf(vector_cells.first_bounds(m, known[:5], 18, 6)).all()
+
+
 def test_vectors_that_do_not_fit_are_refused(spark):
     schema = "id string, vector array<float>"
     queries = spark.createDataFrame([(1, [0.0, 1.0])], "query_id int, vector array<float>")
