@@ -39,6 +39,10 @@ MAX_BIT_WORDS = 6
 SPLIT = 256
 #: Members of a cell's largest component that the others are compared with before any pairs are looked for.
 PROBES = 8
+#: Times that members still apart are compared with the likeliest member of another component.
+CELL_ROUNDS = 3
+#: So many pairs are compared without such rounds.
+FEW_PAIRS = 4096
 #: Keys are broadcast up to so many rows.
 MAX_BROADCAST_ROWS = 200_000
 MULTIPLIERS = powers(np.uint64(0xF1357AEA2E62A9C5), COORDINATES + 1)[1:]
@@ -224,18 +228,21 @@ def linked_components(posted: DataFrame, compare, percent: int, rounds: int = RO
 
     def settled_cells(near: DataFrame) -> list[DataFrame]:
         """Links between near members: with a few of their cell's largest component first; of those that
-        found none, with the likeliest member; then of what is still apart."""
+        found none, with the likeliest member of another component, and again once these have merged; then of
+        what is still apart."""
         tried = probes(near, percent)
         joined = found_links(saved(tried.select("a", "b").distinct()))
         labels = joined.join(tried.select("b", "lead", "main").distinct(), "b").groupBy("b", F.col("lead").alias("a")).agg(F.min("main").alias("main"))
         near = saved(near.join(labels, ["a", "b"], "left").withColumn("comp", F.coalesce("main", "comp")).drop("main"))
-        pairs = saved(changed_alike(near, percent))
-        best = pairs.groupBy("x_b").agg(F.max(F.struct("surplus", "b")).alias("best")).select(F.col("best.b").alias("a"), F.col("x_b").alias("b"))
-        first = found_links(saved(best))
-        now = saved(first.join(pairs.select(F.col("b").alias("a"), "comp").distinct(), "a").groupBy("b").agg(F.min("comp").alias("now")))
-        now_x = now.select(F.col("b").alias("x_b"), F.col("now").alias("now_x"))
-        apart = pairs.join(now, "b", "left").join(now_x, "x_b", "left").where("coalesce(now, comp) <> coalesce(now_x, x_comp)")
-        return [joined, first, found_links(saved(apart.select(F.least("x_b", "b").alias("a"), F.greatest("x_b", "b").alias("b")).distinct()))]
+        found, pairs = [joined], saved(changed_alike(near, percent))
+        for _ in range(CELL_ROUNDS):
+            if pairs.count() <= FEW_PAIRS:
+                break
+            best = pairs.groupBy("x_b").agg(F.max(F.struct("surplus", "b")).alias("best")).select(F.col("best.b").alias("a"), F.col("x_b").alias("b"))
+            tried = saved(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            found.append(found_links(tried))
+            pairs = saved(still_apart(pairs, tried, found[-1]))
+        return [*found, found_links(saved(pairs.select(F.least("x_b", "b").alias("a"), F.greatest("x_b", "b").alias("b")).distinct()))]
 
     def with_component(rows: DataFrame, groups: DataFrame, cls: str) -> DataFrame:
         return rows.join(groups.select(F.col("node").alias(cls), "component"), cls, "left").withColumn("comp", F.coalesce("component", cls)).drop("component")
@@ -367,6 +374,18 @@ def changed_alike(near: DataFrame, percent: int) -> DataFrame:
     return both.select("x_b", "b", "x_comp", "comp", surplus(most_common(), percent).alias("surplus"))
 
 
+def still_apart(pairs: DataFrame, tried: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of `changed_alike` not among `tried` (a, b) whose components aren't merged by `links` (a, b) that
+    were found; with the merged components. Most pairs of a group of near copies fall away with a few links."""
+    of = pairs.select(F.col("x_b").alias("node"), F.col("x_comp").alias("of")).union(pairs.select("b", "comp")).distinct()
+    ends = [of.select(F.col("node").alias(c), F.col("of").alias(f"of_{c}")) for c in "ab"]
+    merged = saved(components(links.join(ends[0], "a").join(ends[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))))
+    for c in ("comp", "x_comp"):
+        pairs = pairs.join(merged.select(F.col("node").alias(c), F.col("component").alias("now")), c, "left").withColumn(c, F.coalesce("now", c)).drop("now")
+    known = tried.select(F.col("a").alias("x_b"), "b").union(tried.select("b", "a"))
+    return pairs.where("comp <> x_comp").join(known, ["x_b", "b"], "left_anti").select("x_b", "b", "x_comp", "comp", "surplus")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = ROUNDS, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document.
 

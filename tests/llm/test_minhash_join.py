@@ -109,3 +109,12 @@ def test_very_long_texts(docs):
     rows = [(1, long), (2, long + " end"), (3, long[: len(long) // 2]), (4, None)]
     got = {r["doc_id"]: r["component_id"] for r in minhash_join.near_duplicates(docs(rows)).collect()}
     assert got[2] == 1 and got[4] == 4
+
+
+def test_merged_components_spare_comparisons(spark):
+    """Pairs whose components were merged by a chain of links, or that were tried, aren't compared again."""
+    pairs = spark.createDataFrame([(1, 2, 1, 2, 5), (2, 3, 2, 3, 4), (1, 3, 1, 3, 3), (4, 1, 4, 1, 2), (1, 4, 1, 4, 2)], "x_b long, b long, x_comp long, comp long, surplus long")
+    links = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    assert {tuple(r) for r in minhash_join.still_apart(pairs, links, links).collect()} == {(4, 1, 4, 1, 2), (1, 4, 1, 4, 2)}
+    tried = spark.createDataFrame([(1, 2), (2, 3), (1, 4)], "a long, b long")
+    assert minhash_join.still_apart(pairs, tried, links).isEmpty()
