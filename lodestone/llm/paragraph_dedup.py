@@ -16,14 +16,16 @@ and all but a cluster's first occurrence are marked for removal.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bwt_dedup import sliding_min
 from .common import column_bytes, mix, saved, shingles_of, slices, words_of
-from .minhash_join import ADDENDS, MULTIPLIERS, compared, linked_components, of_items
+from .minhash_join import ADDENDS, MULTIPLIERS, SKETCH, SKETCH_TYPE, compared, linked_components, of_items, parts_of
 
 BANDS = 5
 SHINGLE = 5
@@ -32,6 +34,7 @@ RADIUS = 4
 #: Least words of a reported run; less is common speech.
 MIN_WORDS = 24
 GOLD = np.uint64(0xD6E8FEB86659FD93)
+SKETCH_ARROW = pa.struct([(f"s{k}", pa.int64()) for k in range(SKETCH)])
 
 
 def chunks(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -146,8 +149,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def asked_words(docs: DataFrame, wanted: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From one pass over the texts that hold them: (cls, items), the shingle sets of the wanted lines
-    (cls, doc_id, number), one of each class; and (doc_id, first, last, items, before, after), the
+    """From one pass over the texts that hold them: (cls, items, sketch), the shingle sets of the wanted lines
+    (cls, doc_id, number), one of each class, and their bitmaps; and (doc_id, first, last, items, before, after), the
     words from one chunk through another of the spans (doc_id, first, last), with the chunk before
     and the one after, which have so many words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -165,7 +168,7 @@ def asked_words(docs: DataFrame, wanted: DataFrame, spans: DataFrame) -> tuple[D
                 _, _, row, _, _, size = chunks(part.column("text"))
                 start = np.append(0, np.cumsum(size))
                 head = np.searchsorted(row, np.arange(part.num_rows + 1))
-                at, items, rest = [], [], []
+                at, items, rest, sketch = [], [], [], []
                 for r, asked in enumerate(part.column("asked").to_pylist()):
                     for a in asked:
                         if a["cls"] is not None:
@@ -173,6 +176,7 @@ def asked_words(docs: DataFrame, wanted: DataFrame, spans: DataFrame) -> tuple[D
                             if u < heads[r + 1]:  # else of another row with the same id
                                 at.append(r)
                                 items.append(value[begin[u] : begin[u + 1]].tobytes())
+                                sketch.append(bitmap(value[begin[u] : begin[u + 1]]))
                                 rest.append((a["cls"], None, None, None, None))
                             continue
                         lo, hi = head[r] + a["first"], head[r] + a["last"] + 1
@@ -180,15 +184,16 @@ def asked_words(docs: DataFrame, wanted: DataFrame, spans: DataFrame) -> tuple[D
                             out, end = max(lo - 1, head[r]), min(hi + 1, head[r + 1])
                             at.append(r)
                             items.append(word[start[out] : start[end]].tobytes())
+                            sketch.append(None)
                             rest.append((None, a["first"], a["last"], int(start[lo] - start[out]), int(start[end] - start[hi])))
                 facts = [pa.array([x[k] for x in rest], pa.int32() if k else pa.int64()) for k in range(5)]
-                arrays = [part.column("doc_id").take(pa.array(at, pa.int64())), pa.array(items, pa.binary()), *facts]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "items", "cls", "first", "last", "before", "after"])
+                arrays = [part.column("doc_id").take(pa.array(at, pa.int64())), pa.array(items, pa.binary()), *facts, pa.array(sketch, SKETCH_ARROW)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "items", "cls", "first", "last", "before", "after", "sketch"])
 
-    types = f"doc_id {kind}, items binary, cls long, first int, last int, before int, after int"
+    types = f"doc_id {kind}, items binary, cls long, first int, last int, before int, after int, sketch {SKETCH_TYPE}"
     found = saved(docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(run, types))
-    sets = found.where("cls is not null").select("cls", "items").dropDuplicates(["cls"])
-    return sets, found.where("cls is null").drop("cls").dropDuplicates(["doc_id", "first", "last"])
+    sets = found.where("cls is not null").select("cls", "items", "sketch").dropDuplicates(["cls"])
+    return sets, found.where("cls is null").drop("cls", "sketch").dropDuplicates(["doc_id", "first", "last"])
 
 
 def same_words(a: np.ndarray, b: np.ndarray) -> int:
@@ -251,12 +256,29 @@ def bridges(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
     return found.select("doc_id", "first", "last").unionByName(theirs(found)).distinct()
 
 
+def bitmap(items: np.ndarray) -> dict[str, int]:
+    """A bitmap of a set of hashes, as a sketch."""
+    bits = np.zeros(64 * SKETCH, bool)
+    bits[(items >> np.uint64(20)) % np.uint64(64 * SKETCH)] = True
+    return {f"s{k}": int(x) for k, x in enumerate(np.packbits(bits, bitorder="little").view(np.int64))}
+
+
+def bitmaps_alike(n: str, sketch: str, x_n: str, x_sketch: str, percent: int) -> Column:
+    """Whether two sets can be similar: what their bitmaps have apart is not in common."""
+
+    def only(one: str, other: str) -> Column:
+        return functools.reduce(lambda p, q: p + q, [F.bit_count(a.bitwiseAND(F.bitwise_not(b))) for a, b in parts_of(one, other)])
+
+    common = F.least(F.col(n) - only(sketch, x_sketch), F.col(x_n) - only(x_sketch, sketch))
+    return (100 + percent) * common >= percent * (F.col(n) + F.col(x_n))
+
+
 def line_clusters(variant: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(cls, keeper): the first occurrence (doc_id, number) of the cluster of each line that has more
     than one occurrence. `variant` is (token, cls, n, one), `sets` the shingles of those that collide."""
-    posted = variant.join(sets.select("cls", (F.octet_length("items") / 8).cast("long").alias("size")), "cls")
-    posted = saved(posted.select("token", "cls", F.col("n").alias("hub"), F.col("size").alias("n")))
-    groups = linked_components(posted, compared(sets, "items", of_items, percent), percent)
+    posted = variant.join(sets.select("cls", "sketch", (F.octet_length("items") / 8).cast("long").alias("size")), "cls")
+    posted = saved(posted.select("token", "cls", F.col("n").alias("hub"), F.col("size").alias("n"), "sketch"))
+    groups = linked_components(posted, compared(sets, "items", of_items, percent), percent, bitmaps_alike)
     classes = variant.groupBy("cls").agg(F.max("n").alias("n"), F.min("one").alias("one")).join(groups.withColumnRenamed("node", "cls"), "cls", "left")
     classes = classes.withColumn("comp", F.coalesce("component", "cls"))
     comps = classes.groupBy("comp").agg(F.sum("n").alias("n"), F.min("one").alias("keeper")).where("n > 1").drop("n")

@@ -118,3 +118,31 @@ def test_merged_components_spare_comparisons(spark):
     assert {tuple(r) for r in minhash_join.still_apart(pairs, links, links).collect()} == {(4, 1, 4, 1, 2), (1, 4, 1, 4, 2)}
     tried = spark.createDataFrame([(1, 2), (2, 3), (1, 4)], "a long, b long")
     assert minhash_join.still_apart(pairs, tried, links).isEmpty()
+
+
+def test_components_are_made_once(docs, monkeypatch):
+    """Two groups under one common list take one computation of components, whatever steps find their links."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    bases = [[rng.choice(words) for _ in range(60)] for _ in range(2)]
+    bases.append(bases[0][:40] + bases[1][:20])
+    rows = list(enumerate(t for b in bases for t in near_copies(rng, b, 30, 8, words[:40])))
+    made, of_edges = [], minhash_join.components
+    monkeypatch.setattr(minhash_join, "components", lambda edges: made.append(1) or of_edges(edges))
+    got = {r["doc_id"]: r["component_id"] for r in minhash_join.near_duplicates(docs(rows), size=2).collect()}
+    assert got == {d: x[1] for d, x in brute(rows, 2).items()}
+    assert len(made) == 1
+
+
+def test_sketches_lose_no_pair_with_enough_matches(docs):
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    texts = near_copies(rng, [rng.choice(words) for _ in range(60)], 40, 20, words)
+    signed = minhash_join.signatures(docs(list(enumerate(texts))), 2).select("doc_id", "tokens", "sketch", "n_shingles")
+    both = signed.crossJoin(signed.select(*[signed[c].alias(f"x_{c}") for c in signed.columns]))
+    alike = [minhash_join.signatures_alike("n_shingles", "sketch", "x_n_shingles", "x_sketch", p) for p in (50, 80)]
+    rows = both.select("tokens", "x_tokens", *[c.alias(f"p{k}") for k, c in enumerate(alike)]).collect()
+    matches = [sum(a == b for a, b in zip(r["tokens"], r["x_tokens"], strict=True)) for r in rows]
+    assert all(r["p0"] for r, m in zip(rows, matches, strict=True) if m >= minhash_join.NEAR_MATCHES)
+    assert all(r["p1"] for r, m in zip(rows, matches, strict=True) if m >= minhash_join.MATCHES)
+    assert not all(r["p1"] for r in rows)
