@@ -104,3 +104,22 @@ def test_very_long_texts(docs):
     long = " ".join(f"w{k}" for k in range(200_000))
     found = paragraph_dedup.repeated_paragraphs(docs([(1, f"{long} {passage}"), (2, f"x y\n{passage}"), (3, "short")])).collect()
     assert {r["doc_id"] for r in found} == {1, 2} and all(40 <= r["n_words"] <= 62 for r in found)
+
+
+def test_unlike_lines_of_one_list_are_not_compared(spark):
+    """Lines that share a band but can't be similar by their bitmaps make no pairs; those that can all do."""
+    rng = np.random.default_rng(14)
+    sets = [rng.integers(0, 2**63, 12, dtype=np.uint64) for _ in range(120)]
+    sets += [np.append(s[:11], rng.integers(0, 2**63, 1, dtype=np.uint64)) for s in sets[:20]]
+    rows = [(1, k, 12, 1, tuple(paragraph_dedup.bitmap(s).values())) for k, s in enumerate(sets)]
+    posted = spark.createDataFrame(rows, f"token long, cls long, n long, hub long, sketch {paragraph_dedup.SKETCH_TYPE}")
+    items = spark.createDataFrame([(k, np.sort(s).tobytes()) for k, s in enumerate(sets)], "cls long, items binary")
+    compare, met = paragraph_dedup.compared(items, "items", paragraph_dedup.of_items, 80), []
+
+    def counted(pairs):
+        met.append(pairs.count())
+        return compare(pairs)
+
+    groups = paragraph_dedup.linked_components(posted, counted, 80, paragraph_dedup.bitmaps_alike)
+    assert {(r["node"], r["component"]) for r in groups.collect() if r["node"] != r["component"]} == {(120 + k, k) for k in range(20)}
+    assert sum(met) <= 40
