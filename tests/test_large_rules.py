@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import registry
-from lodestone.operators import gram_index, search
+from lodestone.operators import gram_index, rerank, search
+from lodestone.plans import jobs
 
 
 def same_as_sql(spark, name, tables, out):
@@ -52,6 +53,25 @@ def test_equal_questions_are_searched_once_and_full_ones_not_further(spark, monk
     assert seen == [(4, 20), (3, 20)] * 2
 
 
+def test_prompts_carry_no_texts_and_many_questions_meet_small_chunks_once(spark, monkeypatch):
+    """Candidates are reranked without their texts, which are joined to the few that fit; each of many questions gets its
+    nearest chunks in one task, so no more than k rows are made for it; the prompts are those of results with texts."""
+    vec = lambda n: [float((n * p) % 11) for p in (3, 5, 7)]
+    rows = [(f"c{k:02}", ("Alpha beta " * (k % 5) + f"word{k} ") * (k % 4 + 1), vec(k), "code" if k % 2 else "document", f"f{k // 6}", f"f{k // 6}", "s", "t", "n", k % 6 * 9 + 1, k % 6 * 9 + 9) for k in range(48)]
+    chunks = spark.createDataFrame(rows, "id string, content string, vector array<float>, chunkType string, filePath string, relativePath string, serviceName string, fileType string, symbolName string, startLine int, endLine int")
+    queries = spark.createDataFrame([(k, f"Where is Alpha or word{k}?", vec(k + 1)) for k in range(30)], "query_id long, question string, vector array<float>")
+    got = {r["query_id"]: r["prompt"] for r in jobs.asked_prompts(queries, chunks.repartition(3), ["s"]).collect()}
+    assert len(got) == 30 and all("## Question" in p and "word" in p for p in got.values())
+    held, inner = [], rerank.rerank
+    monkeypatch.setattr(jobs.rerank, "rerank", lambda c, *rest, **how: (held.append(set(c.columns)), inner(c, *rest, **how))[1])
+    assert got == {r["query_id"]: r["prompt"] for r in jobs.prompts(queries, jobs.retrieve(queries, chunks, ["s"])).collect()}
+    assert held and not held[0] & {"content", "keywords"}
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    made, topped = [], search.top
+    monkeypatch.setattr(search, "top", lambda df, *rest, **how: (made.append(df.count()), topped(df, *rest, **how))[1])
+    assert search.nearest(queries, chunks.repartition(9), 5).count() == 150 and made == [150]
+
+
 def test_lists_of_the_index_are_begun_where_chunks_are_read():
     """A batch gives a row for each piece and block, not for each piece of a chunk."""
     texts = ["aXéb", "aXé", None, "a"]
