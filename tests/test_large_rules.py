@@ -1,12 +1,15 @@
 """Rules that small tables don't reach, against the SQL on made tables."""
 
+import random
+import re
+
 import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone import registry
-from lodestone.operators import gram_index, rerank, search
+from lodestone.operators import gram_index, rerank, search, word_index
 from lodestone.plans import jobs
 
 
@@ -72,6 +75,27 @@ def test_prompts_carry_no_texts_and_many_questions_meet_small_chunks_once(spark,
     assert search.nearest(queries, chunks.repartition(9), 5).count() == 150 and made == [150]
 
 
+def test_the_index_of_words_equals_the_scan(spark, tmp_path, monkeypatch):
+    """Keywords within words, over parts of them, with blanks, short and in other case; equal questions are looked up once,
+    and a chunk is posted once for each word."""
+    rng = random.Random(6)
+    words = ["abcabcabcabc", "xabcabcabcabcabc", "Übergrößenträger", "übergrößen", "aaaaaaaaaaaaaaaaaaaa", "ab", "日本語日本語日本語", "it's-a-long-one", "\x1cnot\x85parted", ""]
+    texts = [None, "", " \n "] + ["".join(rng.choice(words) + rng.choice(["", " ", "\n", "\t", "\u00a0", " \r\n"]) for _ in range(rng.randint(0, 12))) for _ in range(150)]
+    chunks = spark.createDataFrame([(f"c{k:03}", t, ("code", "document")[k % 2], f"s{k % 3}", "t") for k, t in enumerate(texts)], "id string, content string, chunkType string, serviceName string, fileType string").repartition(3)
+    asked = [["abcabcabc"], ["ABCABCABC", "abcabcabc"], ["aaaaaaaa", "nowhere-at-all"], ["übergröß"], ["本語日本語日本語"], ["long-one", "abcabcab"], ["ab"], ["long-one", "ab"], ["a long one"], ["nowhere-at-all"], [], ["parted", "not\x85part"], None]
+    schema = "query_id int, keywords array<string>, serviceFilter string, fileTypeFilter string"
+    queries = spark.createDataFrame([(k, asked[k % len(asked)], None if k % 2 else "s1", None) for k in range(4 * len(asked))], schema)
+    path = f"file://{tmp_path}/index"
+    monkeypatch.setattr(word_index, "ROWS", 40)
+    word_index.build(chunks, path)
+    posted = spark.read.parquet(f"{path}/postings").select("word", F.explode("numbers").alias("number"))
+    assert posted.count() == posted.distinct().count() == sum(len(set(re.findall(r"[^ \t\n\x0b\f\r]+", (t or "").lower()))) for t in texts)
+    for share, filtered, most in ((0.0, False, 9), (0.3, True, 0), (5.0, False, 0), (50.0, True, 1 << 20)):
+        monkeypatch.setattr(word_index, "MAX_BROADCAST", most)
+        got = sorted(tuple(r) for r in word_index.indexed_keyword_hits(queries, spark, path, 9, filtered=filtered, share=share).collect())
+        assert got == sorted(tuple(r) for r in search.keyword_hits(queries, chunks, 9, filtered=filtered).collect()) and len(got) > 250
+
+
 def test_lists_of_the_index_are_begun_where_chunks_are_read():
     """A batch gives a row for each piece and block, not for each piece of a chunk."""
     texts = ["aXéb", "aXé", None, "a"]
